@@ -1,0 +1,26 @@
+"""Broadcast only behind a checked size bound, with a shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Tables at or below this many rows are broadcast; the count stops at the bound,
+# so the check costs one small job on a metadata-sized table.
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``
+    unchanged (the join then shuffles, and AQE may still broadcast at run time
+    from measured sizes)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join a (usually) small lookup table to a large one; broadcast when the
+    lookup is proven small, so the large side is not shuffled and a hot key on it
+    costs nothing."""
+    return big.join(bounded_broadcast(small, max_rows), on=on, how=how)
