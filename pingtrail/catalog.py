@@ -29,6 +29,10 @@ MULTI_YEAR_GAP_SECS = 10 * 86_400
 # two engines (means, SDs, model outputs).
 STAT_PLACES = 9
 MODEL_PLACES = 6
+COV_PLACES = 12
+CURVE_POINTS = 200
+CURVE_Z = 1.96
+THRESHOLD_PROBS = (0.05, 0.5, 0.95)
 
 
 def round_doubles(df: DataFrame, places: int, only=None) -> DataFrame:
@@ -262,15 +266,17 @@ def q_range_by_distance(spark, sf):
 
 
 def q_range_model(spark, sf):
-    return round_doubles(_range_model(spark, sf), MODEL_PLACES, only=("b0", "b1", "max_distance"))
+    m = round_doubles(_range_model(spark, sf), MODEL_PLACES, only=("b0", "b1", "max_distance"))
+    return round_doubles(m, COV_PLACES, only=("v00", "v01", "v11"))
 
 
 def q_range_curve(spark, sf):
-    return round_doubles(range_test.range_curve(_range_model(spark, sf)), MODEL_PLACES)
+    curve = range_test.range_curve(_range_model(spark, sf), n=CURVE_POINTS, z=CURVE_Z)
+    return round_doubles(curve, MODEL_PLACES)
 
 
 def q_range_thresholds(spark, sf):
-    return round_doubles(range_test.range_thresholds(_range_model(spark, sf)), MODEL_PLACES - 3)
+    return round_doubles(range_test.range_thresholds(_range_model(spark, sf), THRESHOLD_PROBS), MODEL_PLACES - 3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -57,8 +57,11 @@ def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float,
         if carried:
             kept = kept.select(*cols, F.inline("__carried"))
         return kept.select(*cols, *carried)
-    rows = s.select(*ek, *carried)
-    return rows.join(kept.select(*cols), ek, "inner").select(*cols, *carried)
+    rows = s.select(*ek, *carried).alias("r")
+    k = kept.select(*cols).alias("k")
+    # NULL tag ids form one group, so the join back is null-safe.
+    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ek]
+    return rows.join(k, cond, "inner").select(*[F.col(f"k.{c}") for c in cols], *[F.col(f"r.{c}") for c in carried])
 
 
 def hour_bins(events: DataFrame) -> DataFrame:
