@@ -3,12 +3,14 @@
 A plain ``Window.partitionBy(tag).orderBy(time)`` sends every row of a tag to
 one task; with one tag holding a third of the data that task gets a third of
 the data.  These operators split each group into time chunks (``chunk_us``
-wide), run the window per (group, chunk), and carry the little state that
-crosses a chunk boundary (row counts, first/last values, event counters)
-through a per-chunk summary that has one row per (group, chunk).  Results are
-identical to the single-window form; the summary is joined back on the same
-(group, chunk) key the rows are already partitioned by, so the large side is
-shuffled once.
+wide) and run the window per (group, chunk).  The same window pass also
+computes each chunk's summary (row count, first values, last time, event
+starts) as whole-partition window columns.  That output is checkpointed once
+in the shared folder; its first row per chunk gives a summary table with one
+row per (group, chunk), over which a small window carries the state across
+chunk boundaries; the summary is joined back on (group, chunk), the key the
+checkpointed rows are already partitioned by.  Results equal the
+single-window form; the big data is shuffled once.
 
 Groups are keyed by ``struct(keys)``: a NULL key (e.g. a NULL tag id) forms one
 group, as in a window, and joins back without a null-safe rewrite.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.functions.time import US_PER_DAY, epoch_us
+from pingtrail.session import materialize
 
 _G = "__grp"
 _K = "__chunk"
@@ -33,52 +36,60 @@ def _order_cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _with_chunks(df: DataFrame, keys: Sequence[str], time_col: str, chunk_us: int) -> DataFrame:
-    us = epoch_us(time_col)
-    return df.withColumns({
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence, chunk_us: int):
+    us = epoch_us(order[0])
+    d = df.withColumns({
         _G: F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0),
         _K: F.floor(us / F.lit(float(chunk_us))).cast("long"),
     })
+    # An explicit partition count: AQE does not coalesce it, so the hash
+    # partitioning survives the checkpoint and the join back reuses it.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(n, _G, _K)
+    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
+    whole = Window.partitionBy(_G, _K)
+    return d, w, whole
+
+
+def _carry(first_rows: DataFrame, d: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Window over the per-chunk summary (one row per group and chunk), then
+    join the carried values back to every row of ``d``."""
+    summary = first_rows.select(_G, _K, *[c.alias(n) for n, c in cols.items()])
+    return d.join(summary, [_G, _K], "inner")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
                 chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
     timestamp column used for chunking (later order columns break ties)."""
-    d = _with_chunks(df, keys, order[0], chunk_us)
-    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
-    d = d.withColumn("__local", F.row_number().over(w))
-    sizes = d.groupBy(_G, _K).agg(F.max("__local").alias("__n"))
+    d, w, whole = _chunked(df, keys, order, chunk_us)
+    d = d.withColumns({"__local": F.row_number().over(w), "__n": F.count(F.lit(1)).over(whole)})
+    d = materialize(d)
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (
-        d.join(offsets, [_G, _K], "inner")
-        .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
-        .drop(_G, _K, "__local", "__off")
-    )
+    firsts = d.where(F.col("__local") == 1)
+    out_df = _carry(firsts, d.drop("__n"), {"__off": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    return out_df.withColumn(out, (F.col("__off") + F.col("__local")).cast("int")).drop(_G, _K, "__local", "__off")
 
 
 def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str], *,
                  row_number: str | None = None, chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """Add ``lead(src)`` per group for each ``{out_name: src}`` in ``cols``
     (NULL on a group's last row), and optionally a ``row_number`` column."""
-    d = _with_chunks(df, keys, order[0], chunk_us)
-    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
+    d, w, whole = _chunked(df, keys, order, chunk_us)
     srcs = list(dict.fromkeys(cols.values()))
-    d = d.withColumn("__local", F.row_number().over(w))
-    d = d.withColumn("__nxt", F.lead(F.struct(*[F.col(s).alias(s) for s in srcs])).over(w))
-    firsts = d.where(F.col("__local") == 1).select(_G, _K, F.struct(*[F.col(s).alias(s) for s in srcs]).alias("__first"))
-    sizes = d.groupBy(_G, _K).agg(F.max("__local").alias("__n"))
+    packed = F.struct(*[F.col(s).alias(s) for s in srcs])
+    d = d.withColumns({
+        "__local": F.row_number().over(w),
+        "__nxt": F.lead(packed).over(w),
+        "__n": F.count(F.lit(1)).over(whole),
+    })
+    d = materialize(d)
     ws = Window.partitionBy(_G).orderBy(_K)
-    summary = (
-        firsts.join(sizes, [_G, _K], "inner")
-        .select(
-            _G, _K,
-            F.lead("__first").over(ws).alias("__next_first"),
-            F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        )
-    )
-    out = d.join(summary, [_G, _K], "inner")
+    firsts = d.where(F.col("__local") == 1)
+    carried = {"__next_first": F.lead(packed).over(ws)}
+    if row_number:
+        carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = _carry(firsts, d.drop("__n"), carried)
     nxt = F.coalesce(F.col("__nxt"), F.col("__next_first"))
     new_cols = {name: nxt.getField(src) for name, src in cols.items()}
     if row_number:
@@ -101,28 +112,26 @@ def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence, max_gap_secs
         raise ValueError("first_gap must be 'zero' or 'null'")
     limit_us = int(round(max_gap_secs * 1_000_000))
     base = 0 if first_gap == "zero" else 1
-    d = _with_chunks(df, keys, order[0], chunk_us).withColumn("__us", epoch_us(order[0]))
-    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
+    d, w, whole = _chunked(df, keys, order, chunk_us)
+    d = d.withColumn("__us", epoch_us(order[0]))
     d = d.withColumn("__lgap", F.col("__us") - F.lag("__us").over(w))
     d = d.withColumn("__lflag", F.when(F.col("__lgap") > limit_us, 1).otherwise(0))
-    d = d.withColumn("__lcum", F.sum("__lflag").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chunks = d.groupBy(_G, _K).agg(
-        F.min("__us").alias("__first_us"), F.max("__us").alias("__last_us"), F.sum("__lflag").alias("__nflags"))
+    d = d.withColumns({
+        "__lcum": F.sum("__lflag").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "__last_us": F.max("__us").over(whole),
+        "__nflags": F.sum("__lflag").over(whole),
+    })
+    d = materialize(d)
     ws = Window.partitionBy(_G).orderBy(_K)
-    prev_last = F.lag("__last_us").over(ws)
-    chunks = chunks.select(
-        _G, _K, "__first_us", "__nflags",
-        (F.col("__first_us") - prev_last).alias("__bgap"),
-    ).withColumn("__bflag", F.when(F.col("__bgap") > limit_us, 1).otherwise(0))
-    chunks = chunks.withColumn(
-        "__off",
-        F.lit(base)
-        + F.coalesce(F.sum(F.col("__nflags") + F.col("__bflag")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        + F.col("__bflag"),
-    ).drop("__nflags")
-    out = d.join(chunks, [_G, _K], "inner")
-    is_chunk_first = F.col("__lgap").isNull()
-    gap_us = F.when(is_chunk_first, F.col("__bgap")).otherwise(F.col("__lgap"))
+    firsts = d.where(F.col("__lgap").isNull())
+    bgap = F.col("__us") - F.lag("__last_us").over(ws)
+    bflag = F.when(bgap > limit_us, 1).otherwise(0)
+    prior = F.coalesce(F.sum(F.col("__nflags") + bflag).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = _carry(firsts, d.drop("__last_us", "__nflags"), {
+        "__bgap": bgap,
+        "__off": F.lit(base) + prior + bflag,
+    })
+    gap_us = F.when(F.col("__lgap").isNull(), F.col("__bgap")).otherwise(F.col("__lgap"))
     if first_gap == "zero":
         gap_us = F.coalesce(gap_us, F.lit(0))
         flag = F.when(gap_us > limit_us, 1).otherwise(0)
@@ -132,4 +141,4 @@ def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence, max_gap_secs
         gap_col: gap_us / F.lit(1_000_000.0),
         flag_col: flag.cast("int"),
         id_col: (F.col("__off") + F.col("__lcum")).cast("long"),
-    }).drop(_G, _K, "__us", "__lgap", "__lflag", "__lcum", "__first_us", "__bgap", "__bflag", "__off")
+    }).drop(_G, _K, "__us", "__lgap", "__lflag", "__lcum", "__bgap", "__off")

@@ -26,10 +26,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pin
     )
 
 
-def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
-    value = spark.conf.get("spark.checkpoint.dir", None)
-    if value:
-        return value
+def _context_checkpoint_dir(spark: SparkSession) -> str | None:
     try:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
@@ -42,16 +39,40 @@ def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder is
-    created and registered, so that ``checkpoint()`` and staged tables agree.
+    Read from the session (or the context's checkpoint directory); only when it
+    is unset (local tests) a folder is created and registered, so that
+    ``checkpoint()`` and staged tables use the same place.
     """
-    found = _configured_checkpoint_dir(spark)
+    found = _context_checkpoint_dir(spark)
     if found:
         return found
-    local = tempfile.mkdtemp(prefix="pingtrail-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return _configured_checkpoint_dir(spark) or local
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="pingtrail-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    spark.sparkContext.setCheckpointDir(conf)
+    return _context_checkpoint_dir(spark) or conf
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` in the shared folder: cuts the lineage (a
+    lost executor re-reads it instead of re-running the plan) and lets several
+    branches of a plan read one computed result.
+
+    The checkpoint job is planned without adaptive execution, because an
+    adaptive plan reports an unknown output partitioning and the checkpointed
+    rows would be shuffled again by the next join on the same keys.  Callers
+    fix the partition count explicitly, so nothing is lost by it.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
