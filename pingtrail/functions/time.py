@@ -16,6 +16,7 @@ US_PER_HOUR = 3_600 * US_PER_SEC
 US_PER_DAY = 86_400 * US_PER_SEC
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+_EPOCH_DATE = __import__("datetime").date(1970, 1, 1)
 
 
 def _c(col) -> Column:
@@ -28,18 +29,27 @@ def to_ntz(col) -> Column:
 
 
 def epoch_us(col) -> Column:
-    """Microseconds since 1970-01-01 00:00 of an NTZ wall-clock timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), to_ntz(col))
+    """Microseconds since 1970-01-01 00:00 of an NTZ wall-clock timestamp.
+
+    Built from calendar fields (days since the epoch, hour, minute, seconds
+    with fraction), which are read without any zone; ``timestamp_diff`` on NTZ
+    values goes through the session zone and is off across DST gaps."""
+    t = to_ntz(col)
+    days = F.datediff(F.to_date(t), F.lit(_EPOCH_DATE)).cast("long")
+    hm = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long")
+    sec_us = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return days * US_PER_DAY + hm * US_PER_SEC + sec_us
 
 
 def from_epoch_us(col) -> Column:
-    """Inverse of :func:`epoch_us`; returns ``timestamp_ntz``."""
+    """Inverse of :func:`epoch_us`; returns ``timestamp_ntz`` (adding to an NTZ
+    value involves no zone)."""
     return F.timestamp_add("MICROSECOND", _c(col).cast("long"), F.expr(_EPOCH))
 
 
 def diff_us(end, start) -> Column:
     """Exact difference ``end - start`` in microseconds (long)."""
-    return F.timestamp_diff("MICROSECOND", to_ntz(start), to_ntz(end))
+    return epoch_us(end) - epoch_us(start)
 
 
 def floor_time(col, unit_us: int) -> Column:
@@ -76,13 +86,16 @@ def _year_from_text(y: Column) -> Column:
     )
 
 
+def _digit_runs(col) -> Column:
+    return F.regexp_extract_all(_c(col), F.lit("[0-9]+"), 0)
+
+
 def parse_dmy_hm(col) -> Column:
     """Day-month-year hour:minute text -> NTZ timestamp; NULL when it does not parse.
 
     Any run of non-digits separates fields ("03/01/2024 10:05", "3-1-24 10.05").
     """
-    parts = F.split(F.trim(F.regexp_replace(_c(col), "[^0-9]+", " ")), " ")
-    ok = F.size(parts) == 5
+    parts = _digit_runs(col)
     ts = F.try_make_timestamp_ntz(
         _year_from_text(F.get(parts, 2)),
         F.get(parts, 1).try_cast("int"),
@@ -91,14 +104,13 @@ def parse_dmy_hm(col) -> Column:
         F.get(parts, 4).try_cast("int"),
         F.lit(0),
     )
-    return F.when(ok, ts)
+    return F.when(F.size(parts) == 5, ts)
 
 
 def parse_date_time(date_col, time_col) -> Column:
     """``dd-mm-yy`` + ``HH:MM:SS`` text -> NTZ timestamp (NULL when invalid)."""
-    d = F.split(F.trim(F.regexp_replace(_c(date_col), "[^0-9]+", " ")), " ")
-    t = F.split(F.trim(F.regexp_replace(_c(time_col), "[^0-9]+", " ")), " ")
-    ok = (F.size(d) == 3) & (F.size(t) == 3)
+    d = _digit_runs(date_col)
+    t = _digit_runs(time_col)
     ts = F.try_make_timestamp_ntz(
         _year_from_text(F.get(d, 2)),
         F.get(d, 1).try_cast("int"),
@@ -107,7 +119,7 @@ def parse_date_time(date_col, time_col) -> Column:
         F.get(t, 1).try_cast("int"),
         F.get(t, 2).try_cast("int"),
     )
-    return F.when(ok, ts)
+    return F.when((F.size(d) == 3) & (F.size(t) == 3), ts)
 
 
 # English month abbreviations, January first (locale-free labels).

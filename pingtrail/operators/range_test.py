@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingtrail.functions.text import parse_number
-from pingtrail.functions.time import US_PER_HOUR, epoch_us, floor_time, from_epoch_us, parse_date_time, shift_zone
+from pingtrail.functions.time import US_PER_HOUR, epoch_us, floor_time, parse_date_time, shift_zone
 from pingtrail.plans.joins import bounded_broadcast
 
 
@@ -28,16 +28,25 @@ def range_hourly(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
     return d.groupBy("hour_time", "receiver", "transmitter", "distance").agg(F.count(F.lit(1)).alias("n_det"))
 
 
+def _hour_index(col) -> F.Column:
+    return F.floor(epoch_us(col) / F.lit(float(US_PER_HOUR))).cast("long")
+
+
 def schedule_hours(schedule: DataFrame) -> DataFrame:
     """Expand closed schedule windows to the whole hours they cover:
-    (``hour_time``, ``expected``); where windows overlap the first one wins."""
+    (``__h`` hour index, ``hour_time``, ``expected``); where windows overlap the
+    first one wins."""
     s = schedule.select(
         F.explode(F.sequence(
             F.ceil(epoch_us("window_start") / F.lit(float(US_PER_HOUR))).cast("long"),
             F.floor(epoch_us("window_end") / F.lit(float(US_PER_HOUR))).cast("long"),
         )).alias("__h"), "expected", "priority")
     best = s.groupBy("__h").agg(F.min_by("expected", "priority").alias("expected"))
-    return best.select(from_epoch_us(F.col("__h") * US_PER_HOUR).alias("hour_time"), "expected")
+    return best.select("__h", "expected")
+
+
+# Join key for rows whose hour is NULL: never equal to a real hour index.
+_NO_HOUR = -(2**63)
 
 
 def with_expected(hourly: DataFrame, schedule: DataFrame, *, require_rows: bool = False) -> DataFrame:
@@ -45,11 +54,14 @@ def with_expected(hourly: DataFrame, schedule: DataFrame, *, require_rows: bool
     and the rate ``tasa_detec``; hours outside the schedule, with no positive
     expectation, or with more detections than expected are dropped.
 
-    The time-window lookup is an equi-join on the hour against the expanded
-    schedule (broadcast when its hour count is small), not a range join."""
+    The time-window lookup is an equi-join on the hour index against the
+    expanded schedule (broadcast when its hour count is small), not a range
+    join.  The key is never NULL, so the optimizer adds no NULL filter that
+    would copy the whole time parsing into the scan."""
     hours = schedule_hours(schedule).withColumnRenamed("expected", "detec_esperadas")
+    h = hourly.withColumn("__h", F.coalesce(_hour_index("hour_time"), F.lit(_NO_HOUR)))
     out = (
-        hourly.join(bounded_broadcast(hours), "hour_time", "inner")
+        h.join(bounded_broadcast(hours), "__h", "inner").drop("__h")
         .where(F.col("detec_esperadas").isNotNull() & (F.col("detec_esperadas") > 0))
         .where(F.col("n_det") <= F.col("detec_esperadas"))
         .withColumn("tasa_detec", F.col("n_det") / F.col("detec_esperadas"))
