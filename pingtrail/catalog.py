@@ -81,7 +81,7 @@ def _hourly_ids(spark, sf):
 
 
 def _bins(spark, sf):
-    return events.hour_bins(_hourly_ids(spark, sf))
+    return events.hourly_bins(tidy_for(spark, sf), ["tag_id", "protection"], 3600)
 
 
 def _range_rates(spark, sf):

@@ -3,27 +3,27 @@ residency (per tag and management zone, hour bins)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingtrail.functions.time import US_PER_DAY, US_PER_HOUR, diff_us, floor_time, round_ratio_half_up
-from pingtrail.plans.sequence import DEFAULT_CHUNK_US, sessionize
+from pingtrail.functions.time import US_PER_DAY, US_PER_HOUR, diff_us, epoch_us, floor_time, round_ratio_half_up
+from pingtrail.plans.sequence import bucket_events, bucket_of, group_key, reusable, sessionize
 
 EVENT_CARRIED = ["scientific_name", "protection", "substrate"]
 
 
 def event_ids(df: DataFrame, keys, max_gap_secs: float = 3600, *, first_gap: str = "null",
-              tie_break=("station_name", "transmitter"), chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+              tie_break=("station_name", "transmitter")) -> DataFrame:
     """Add ``gap_secs``, ``new_event`` and ``event_id`` per group ``keys`` in
     time order; a gap strictly above ``max_gap_secs`` starts a new event.
     ``first_gap='null'`` numbers events from 1, ``'zero'`` from 0."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = ["datetime", *[c for c in tie_break if c in df.columns and c not in keys]]
-    return sessionize(df, keys, order, max_gap_secs, first_gap=first_gap, chunk_us=chunk_us)
+    return sessionize(df, keys, order, max_gap_secs, first_gap=first_gap)
 
 
 def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float, max_gap_secs: float = 86_400,
-                     per: str = "event", chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+                     per: str = "event") -> DataFrame:
     """Station residency events per (``tag_id``, ``station_name``).
 
     Event ids start at 0 (first gap counts as 0).  Each event gets
@@ -36,32 +36,54 @@ def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float,
     ``per='event'``: one row per event and carried-value combination;
     ``per='detection'``: one row per detection of a kept event (the shape a
     summary that carries whole columns produces).
+
+    Plan: detections are aggregated once per (tag, station, gap bucket) with
+    map-side partial aggregation; events are numbered over the buckets and
+    summarised from them.  No window runs over the detections.
     """
     if per not in ("event", "detection"):
         raise ValueError("per must be 'event' or 'detection'")
     keys = ["tag_id", "station_name"]
-    s = event_ids(df, keys, max_gap_secs, first_gap="zero", tie_break=("transmitter",), chunk_us=chunk_us)
+    src = reusable(df) if per == "detection" else df
+    carried = [c for c in EVENT_CARRIED if c in src.columns]
+    b = bucket_events(src, keys, "datetime", max_gap_secs, first_gap="zero", extra_keys=carried, aggs=[
+        F.min("datetime").alias("__s"), F.max("datetime").alias("__e"), F.count(F.lit(1)).alias("__n")])
     ek = [*keys, "event_id"]
-    carried = [c for c in EVENT_CARRIED if c in s.columns]
-    stats = s.groupBy(*ek).agg(
-        F.min("datetime").alias("start_datetime"),
-        F.max("datetime").alias("end_datetime"),
-        F.count(F.lit(1)).alias("n_detections"),
-        *([F.collect_set(F.struct(*carried)).alias("__carried")] if per == "event" and carried else []),
-    )
-    stats = stats.withColumn("__dur_us", diff_us("end_datetime", "start_datetime"))
-    stats = stats.withColumn("duration_days", round_ratio_half_up("__dur_us", US_PER_DAY, 2)).drop("__dur_us")
-    kept = stats.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
+    # event totals as windows over the bucket table (already partitioned by group)
+    ew = Window.partitionBy("__grp", "event_id")
+    b = b.withColumns({
+        "start_datetime": F.min("__s").over(ew),
+        "end_datetime": F.max("__e").over(ew),
+        "n_detections": F.sum("__n").over(ew).cast("long"),
+    })
+    b = b.withColumn("__dur_us", diff_us("end_datetime", "start_datetime"))
+    b = b.withColumn("duration_days", round_ratio_half_up("__dur_us", US_PER_DAY, 2)).drop("__dur_us")
+    b = b.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
     cols = [*ek, "start_datetime", "end_datetime", "n_detections", "duration_days"]
     if per == "event":
-        if carried:
-            kept = kept.select(*cols, F.inline("__carried"))
-        return kept.select(*cols, *carried)
-    rows = s.select(*ek, *carried).alias("r")
-    k = kept.select(*cols).alias("k")
-    # NULL tag ids form one group, so the join back is null-safe.
-    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ek]
-    return rows.join(k, cond, "inner").select(*[F.col(f"k.{c}") for c in cols], *[F.col(f"r.{c}") for c in carried])
+        return b.select(*cols, *carried).distinct()
+    # per detection: every detection of a bucket of a kept event
+    bucket_map = b.select("__grp", "__bucket", *cols[2:]).distinct()
+    width = max(int(round(max_gap_secs * 1_000_000)), 1)
+    rows = src.withColumns({"__grp": group_key(keys), "__us": epoch_us("datetime")}).withColumn(
+        "__bucket", bucket_of("__us", width))
+    return rows.join(bucket_map, ["__grp", "__bucket"], "inner").select(*cols, *carried)
+
+
+def hourly_bins(df: DataFrame, keys=("tag_id", "protection"), max_gap_secs: float = 3600) -> DataFrame:
+    """Hour bins of hourly residency events straight from detections: the same
+    table as ``hour_bins(event_ids(df, keys, max_gap_secs))`` without a per-row
+    window; detections are aggregated once per (tag, zone, species, hour, gap
+    bucket) and events are numbered over the buckets."""
+    keys = list(keys)
+    d = df.withColumn("hour_bin", floor_time("datetime", US_PER_HOUR))
+    extra = [c for c in ("scientific_name", "hour_bin") if c not in keys]
+    b = bucket_events(d, keys, "datetime", max_gap_secs, first_gap="null", extra_keys=extra, aggs=[
+        F.count(F.lit(1)).alias("__n"), F.min("datetime").alias("__s"), F.max("datetime").alias("__e")])
+    return b.groupBy("tag_id", "scientific_name", "protection", "event_id", "hour_bin").agg(
+        F.sum("__n").cast("long").alias("dets_in_hour"),
+        F.min("__s").alias("hour_start"),
+        F.max("__e").alias("hour_end"))
 
 
 def hour_bins(events: DataFrame) -> DataFrame:

@@ -1,16 +1,25 @@
-"""Ordered per-group windows that stay balanced when one group is huge.
+"""Ordered per-group work that stays balanced when one group is huge.
 
 A plain ``Window.partitionBy(tag).orderBy(time)`` sends every row of a tag to
 one task; with one tag holding a third of the data that task gets a third of
-the data.  These operators split each group into time chunks (``chunk_us``
-wide) and run the window per (group, chunk).  The same window pass also
-computes each chunk's summary (row count, first values, last time, event
-starts) as whole-partition window columns.  That output is checkpointed once
-in the shared folder; its first row per chunk gives a summary table with one
-row per (group, chunk), over which a small window carries the state across
-chunk boundaries; the summary is joined back on (group, chunk), the key the
-checkpointed rows are already partitioned by.  Results equal the
-single-window form; the big data is shuffled once.
+the data.  Two plan shapes avoid it:
+
+* **Chunked windows** (row numbers, leads): rows are windowed per (group,
+  time chunk).  What crosses a chunk boundary (row counts, the first row of
+  the next chunk) comes from an aggregate per (group, chunk), computed with
+  map-side partial aggregation; a small window over that summary (one row per
+  group and chunk) carries it forward, and it is joined back on (group,
+  chunk), the key the windowed rows are already partitioned by.
+* **Gap buckets** (gap-and-island event ids): in time buckets as wide as the
+  gap limit two consecutive detections are never more than the limit apart,
+  so an event can only start at a bucket's first detection.  Event ids are
+  therefore a property of buckets: one aggregate per (group, bucket) (min and
+  max time), a small window over buckets, and per-row results only where the
+  caller asks for them.
+
+The summary branch reads the input a second time; when the input is not a
+plain scan (it has joins, aggregates, windows) it is checkpointed first in the
+shared folder, so that nothing upstream runs twice.
 
 Groups are keyed by ``struct(keys)``: a NULL key (e.g. a NULL tag id) forms one
 group, as in a window, and joins back without a null-safe rewrite.
@@ -18,6 +27,7 @@ group, as in a window, and joins back without a null-safe rewrite.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,106 +41,174 @@ _K = "__chunk"
 
 DEFAULT_CHUNK_US = US_PER_DAY
 
+# Logical plan nodes that are cheap to evaluate twice (a scan and row-wise work).
+_CHEAP_NODES = {"Project", "Filter", "Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range",
+                "SubqueryAlias", "View", "ResolvedHint", "Generate", "Sample", "RelationV2", "StreamingRelation"}
+
+
+def _plan_nodes(df: DataFrame) -> set[str] | None:
+    try:
+        text = df._jdf.queryExecution().optimizedPlan().treeString()
+    except Exception:  # no JVM handle (e.g. Spark Connect)
+        return None
+    names = set()
+    for line in text.splitlines():
+        m = re.match(r"^[\s:|+\-]*([A-Za-z][A-Za-z0-9]*)", line)
+        if m:
+            names.add(m.group(1))
+    return names
+
+
+def reusable(df: DataFrame) -> DataFrame:
+    """``df`` itself when reading it twice only repeats a scan, else a
+    checkpoint of it (joins, aggregates and windows run once)."""
+    nodes = _plan_nodes(df)
+    if nodes is not None and nodes <= _CHEAP_NODES:
+        return df
+    return materialize(df)
+
 
 def _order_cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence, chunk_us: int):
-    us = epoch_us(order[0])
-    d = df.withColumns({
-        _G: F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0),
-        _K: F.floor(us / F.lit(float(chunk_us))).cast("long"),
-    })
-    # An explicit partition count: AQE does not coalesce it, so the hash
-    # partitioning survives the checkpoint and the join back reuses it.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(n, _G, _K)
-    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
-    whole = Window.partitionBy(_G, _K)
-    return d, w, whole
+def group_key(keys: Sequence[str]) -> Column:
+    """The struct group key (NULL-safe equality in joins)."""
+    return _group(keys)
+
+
+def bucket_of(us_col: str, width_us: int) -> Column:
+    """Exact floor(us / width) for a long column."""
+    return _bucket(us_col, width_us)
+
 
+def _group(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
-def _carry(first_rows: DataFrame, d: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """Window over the per-chunk summary (one row per group and chunk), then
-    join the carried values back to every row of ``d``."""
-    summary = first_rows.select(_G, _K, *[c.alias(n) for n, c in cols.items()])
-    return d.join(summary, [_G, _K], "inner")
+
+def _bucket(us_col: str, width_us: int) -> Column:
+    """Exact floor(us / width) for a long column (negative values included)."""
+    us = F.col(us_col)
+    return ((us - F.pmod(us, F.lit(width_us))) / F.lit(float(width_us))).cast("long")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame:
+    d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
+    return d.withColumn(_K, _bucket("__us", chunk_us))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
                 chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
     timestamp column used for chunking (later order columns break ties)."""
-    d, w, whole = _chunked(df, keys, order, chunk_us)
-    d = d.withColumns({"__local": F.row_number().over(w), "__n": F.count(F.lit(1)).over(whole)})
-    d = materialize(d)
+    d = _with_chunks(reusable(df), keys, order[0], chunk_us)
+    sizes = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = d.where(F.col("__local") == 1)
-    out_df = _carry(firsts, d.drop("__n"), {"__off": F.coalesce(F.sum("__n").over(before), F.lit(0))})
-    return out_df.withColumn(out, (F.col("__off") + F.col("__local")).cast("int")).drop(_G, _K, "__local", "__off")
+    offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    rows = d.repartition(_partitions(d), _G, _K)
+    rows = rows.withColumn("__local", F.row_number().over(Window.partitionBy(_G, _K).orderBy(*_order_cols(order))))
+    return (rows.join(offsets, [_G, _K], "inner")
+            .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
+            .drop(_G, _K, "__us", "__local", "__off"))
 
 
-def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str], *,
+def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], *,
                  row_number: str | None = None, chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """Add ``lead(src)`` per group for each ``{out_name: src}`` in ``cols``
-    (NULL on a group's last row), and optionally a ``row_number`` column."""
-    d, w, whole = _chunked(df, keys, order, chunk_us)
+    (NULL on a group's last row), and optionally a ``row_number`` column.
+    ``order`` are column names; ``order[0]`` is the timestamp used for chunks."""
+    d = _with_chunks(reusable(df), keys, order[0], chunk_us)
     srcs = list(dict.fromkeys(cols.values()))
-    packed = F.struct(*[F.col(s).alias(s) for s in srcs])
-    d = d.withColumns({
-        "__local": F.row_number().over(w),
-        "__nxt": F.lead(packed).over(w),
-        "__n": F.count(F.lit(1)).over(whole),
-    })
-    d = materialize(d)
+    first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                         *[F.col(s).alias(s) for s in srcs])
+    summary = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"), F.min(first_key).alias("__first"))
     ws = Window.partitionBy(_G).orderBy(_K)
-    firsts = d.where(F.col("__local") == 1)
-    carried = {"__next_first": F.lead(packed).over(ws)}
+    carried = {"__next_first": F.lead("__first").over(ws)}
     if row_number:
         carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = _carry(firsts, d.drop("__n"), carried)
-    nxt = F.coalesce(F.col("__nxt"), F.col("__next_first"))
-    new_cols = {name: nxt.getField(src) for name, src in cols.items()}
+    summary = summary.select(_G, _K, *[c.alias(n) for n, c in carried.items()])
+
+    rows = d.repartition(_partitions(d), _G, _K)
+    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
+    packed = F.struct(*[F.col(s).alias(s) for s in srcs])
+    rows = rows.withColumn("__nxt", F.lead(packed).over(w))
+    if row_number:
+        rows = rows.withColumn("__local", F.row_number().over(w))
+    out = rows.join(summary, [_G, _K], "inner")
+    # the next row is in this chunk, else it is the first row of the next chunk
+    new_cols = {name: F.when(F.col("__nxt").isNotNull(), F.col("__nxt").getField(src))
+                .otherwise(F.col("__next_first").getField(src))
+                for name, src in cols.items()}
     if row_number:
         new_cols[row_number] = (F.col("__off") + F.col("__local")).cast("int")
-    return out.withColumns(new_cols).drop(_G, _K, "__local", "__nxt", "__next_first", "__off")
+    return out.withColumns(new_cols).drop(_G, _K, "__us", "__nxt", "__next_first", "__off", "__local")
+
 
+def bucket_events(df: DataFrame, keys: Sequence[str], time_col: str, max_gap_secs: float, *,
+                  first_gap: str = "zero", aggs: Sequence[Column] = (), extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Event ids per gap bucket.
 
-def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence, max_gap_secs: float, *,
+    Groups ``df`` once by (keys, extra_keys, bucket) with ``aggs`` (plus
+    ``__lo``/``__hi``, the first and last time in microseconds), then numbers
+    events over the buckets of each ``keys`` group with windows on that small
+    table: a bucket starts a new event when its first time is more than
+    ``max_gap_secs`` after the last time of the buckets before it.
+
+    Returns one row per (keys, extra_keys, bucket) with ``__grp``,
+    ``__bucket``, ``__bgap`` (microseconds since the previous bucket of the
+    group, NULL for the first) and ``event_id`` (from 0 with
+    ``first_gap='zero'``, from 1 with ``'null'``).
+    """
+    if first_gap not in ("zero", "null"):
+        raise ValueError("first_gap must be 'zero' or 'null'")
+    limit_us = int(round(max_gap_secs * 1_000_000))
+    width = max(limit_us, 1)
+    base = 0 if first_gap == "zero" else 1
+    d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)}).withColumn("__bucket", _bucket("__us", width))
+    a = d.groupBy(_G, *keys, *extra_keys, "__bucket").agg(
+        F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), *aggs)
+    by_bucket = Window.partitionBy(_G).orderBy("__bucket")
+    same = by_bucket.rangeBetween(0, 0)
+    # one representative row per bucket carries the bucket's start flag
+    rep = (F.struct(*extra_keys) == F.min(F.struct(*extra_keys)).over(same)) if extra_keys else F.lit(True)
+    a = a.withColumns({
+        "__bgap": F.min("__lo").over(same) - F.max("__hi").over(by_bucket.rangeBetween(Window.unboundedPreceding, -1)),
+        "__rep": rep,
+    })
+    start = F.when(F.col("__rep") & (F.col("__bgap") > limit_us), 1).otherwise(0)
+    a = a.withColumn("event_id", (F.lit(base) + F.sum(start).over(
+        by_bucket.rangeBetween(Window.unboundedPreceding, 0))).cast("long"))
+    return a.drop("__rep")
+
+
+def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gap_secs: float, *,
                first_gap: str = "zero", gap_col: str = "gap_secs", flag_col: str = "new_event",
-               id_col: str = "event_id", chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
-    """Gap-and-island numbering per group, ordered by ``order``.
+               id_col: str = "event_id") -> DataFrame:
+    """Per-row gap-and-island numbering per group, ordered by ``order``.
 
     ``gap_col`` = seconds since the previous row of the group; a row starts a
     new event when that gap is strictly greater than ``max_gap_secs``.
     ``first_gap='zero'``: the first row's gap is 0, so ids start at 0;
     ``first_gap='null'``: the first row's gap is NULL and counts as a new
     event, so ids start at 1.  ``event_id`` is the running count of starts.
+
+    Event ids come from :func:`bucket_events`; the rows are windowed only per
+    (group, gap bucket) for the in-bucket gaps.
     """
-    if first_gap not in ("zero", "null"):
-        raise ValueError("first_gap must be 'zero' or 'null'")
+    src = reusable(df)
     limit_us = int(round(max_gap_secs * 1_000_000))
-    base = 0 if first_gap == "zero" else 1
-    d, w, whole = _chunked(df, keys, order, chunk_us)
-    d = d.withColumn("__us", epoch_us(order[0]))
+    width = max(limit_us, 1)
+    ev = bucket_events(src, keys, order[0], max_gap_secs, first_gap=first_gap).select(
+        _G, "__bucket", "__bgap", F.col("event_id").alias("__eid"))
+    d = src.withColumns({_G: _group(keys), "__us": epoch_us(order[0])}).withColumn("__bucket", _bucket("__us", width))
+    d = d.repartition(_partitions(d), _G, "__bucket")
+    w = Window.partitionBy(_G, "__bucket").orderBy(*_order_cols(order))
     d = d.withColumn("__lgap", F.col("__us") - F.lag("__us").over(w))
-    d = d.withColumn("__lflag", F.when(F.col("__lgap") > limit_us, 1).otherwise(0))
-    d = d.withColumns({
-        "__lcum": F.sum("__lflag").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "__last_us": F.max("__us").over(whole),
-        "__nflags": F.sum("__lflag").over(whole),
-    })
-    d = materialize(d)
-    ws = Window.partitionBy(_G).orderBy(_K)
-    firsts = d.where(F.col("__lgap").isNull())
-    bgap = F.col("__us") - F.lag("__last_us").over(ws)
-    bflag = F.when(bgap > limit_us, 1).otherwise(0)
-    prior = F.coalesce(F.sum(F.col("__nflags") + bflag).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = _carry(firsts, d.drop("__last_us", "__nflags"), {
-        "__bgap": bgap,
-        "__off": F.lit(base) + prior + bflag,
-    })
+    out = d.join(ev, [_G, "__bucket"], "inner")
     gap_us = F.when(F.col("__lgap").isNull(), F.col("__bgap")).otherwise(F.col("__lgap"))
     if first_gap == "zero":
         gap_us = F.coalesce(gap_us, F.lit(0))
@@ -140,5 +218,5 @@ def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence, max_gap_secs
     return out.withColumns({
         gap_col: gap_us / F.lit(1_000_000.0),
         flag_col: flag.cast("int"),
-        id_col: (F.col("__off") + F.col("__lcum")).cast("long"),
-    }).drop(_G, _K, "__us", "__lgap", "__lflag", "__lcum", "__bgap", "__off")
+        id_col: F.col("__eid"),
+    }).drop(_G, "__bucket", "__us", "__lgap", "__bgap", "__eid")

@@ -46,17 +46,54 @@ def _sorted(df, cols):
 
 def test_chunked_windows_equal_plain_windows(spark):
     df = _data(spark)
-    for first_gap, gap in (("zero", 86400), ("null", 3600)):
-        expect = _plain(df, gap, first_gap)
-        for chunk in (MIN_US * 7, US_PER_HOUR, US_PER_HOUR * 24, US_PER_HOUR * 24 * 365):
-            order = ["t", "s", "i"]
-            got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk)
-            assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
-            got = number_rows(df, ["k"], order, out="rn", chunk_us=chunk)
-            assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
-            got = sessionize(df, ["k"], order, gap, first_gap=first_gap, gap_col="g", flag_col="f", id_col="e",
-                             chunk_us=chunk)
-            assert _sorted(got, ["i", "g", "f", "e"]) == _sorted(expect, ["i", "g", "f", "e"])
+    expect = _plain(df, 3600, "null")
+    for chunk in (MIN_US * 7, US_PER_HOUR, US_PER_HOUR * 24, US_PER_HOUR * 24 * 365):
+        order = ["t", "s", "i"]
+        got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk)
+        assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
+        got = number_rows(df, ["k"], order, out="rn", chunk_us=chunk)
+        assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
+
+
+def test_bucketed_sessions_equal_plain_windows(spark):
+    df = _data(spark)
+    for first_gap in ("zero", "null"):
+        for gap in (0, 60, 59 * 60, 3600, 86400, 10 * 86400):
+            expect = _plain(df, gap, first_gap)
+            got = sessionize(df, ["k"], ["t", "s", "i"], gap, first_gap=first_gap, gap_col="g", flag_col="f",
+                             id_col="e")
+            assert _sorted(got, ["i", "g", "f", "e"]) == _sorted(expect, ["i", "g", "f", "e"]), (first_gap, gap)
+
+
+def test_hourly_bins_equal_per_row_path(spark):
+    from helpers import detections_df
+    from pingtrail.operators.events import event_ids, hour_bins, hourly_bins, residency_events
+
+    rnd = random.Random(3)
+    t = dt.datetime(2024, 1, 1)
+    data = []
+    for _ in range(400):
+        t += dt.timedelta(minutes=rnd.choice([1, 7, 30, 60, 61, 200]))
+        data.append((t.isoformat(sep=" "), rnd.choice(["A69-1602-12345", "A69-1602-SYNC", "A69-1602-2222"]),
+                     rnd.choice(["ST1", "ST2"]), rnd.choice(["MPA", "OPEN"]), rnd.choice(["SpA", "SpB"])))
+    df = detections_df(spark, data)
+    cols = ["tag_id", "scientific_name", "protection", "event_id", "hour_bin", "dets_in_hour", "hour_start", "hour_end"]
+    for gap in (3600, 1800, 7200):
+        a = hour_bins(event_ids(df, ["tag_id", "protection"], gap))
+        b = hourly_bins(df, ["tag_id", "protection"], gap)
+        assert sorted(map(repr, a.select(*cols).collect())) == sorted(map(repr, b.select(*cols).collect()))
+    # per-detection residency rows equal a plain-window computation
+    w = Window.partitionBy("tag_id", "station_name").orderBy("datetime", "transmitter")
+    us = epoch_us("datetime")
+    plain = df.withColumn("g", F.coalesce(us - F.lag(us).over(w), F.lit(0))).withColumn(
+        "event_id", F.sum(F.when(F.col("g") > 3 * 3600 * 10**6, 1).otherwise(0)).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+    ew = Window.partitionBy("tag_id", "station_name", "event_id")
+    plain = plain.select("tag_id", "station_name", "event_id", F.count(F.lit(1)).over(ew).alias("n_detections"),
+                         F.min("datetime").over(ew).alias("start_datetime"))
+    got = residency_events(df, min_detections=1, min_days=0.0, max_gap_secs=3 * 3600, per="detection")
+    sel = ["tag_id", "station_name", "event_id", "n_detections", "start_datetime"]
+    assert sorted(map(repr, got.select(*sel).collect())) == sorted(map(repr, plain.select(*sel).collect()))
 
 
 def test_hot_group_is_split_across_tasks(spark):
