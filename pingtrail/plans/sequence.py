@@ -168,9 +168,10 @@ def bucket_events(df: DataFrame, keys: Sequence[str], time_col: str, max_gap_sec
     limit_us = int(round(max_gap_secs * 1_000_000))
     width = max(limit_us, 1)
     base = 0 if first_gap == "zero" else 1
-    d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)}).withColumn("__bucket", _bucket("__us", width))
-    a = d.groupBy(_G, *keys, *extra_keys, "__bucket").agg(
+    d = df.withColumn("__us", epoch_us(time_col)).withColumn("__bucket", _bucket("__us", width))
+    a = d.groupBy(*keys, *extra_keys, "__bucket").agg(
         F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), *aggs)
+    a = a.withColumn(_G, _group(keys))
     by_bucket = Window.partitionBy(_G).orderBy("__bucket")
     same = by_bucket.rangeBetween(0, 0)
     # one representative row per bucket carries the bucket's start flag
