@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pingtrail.functions.text import parse_number
 from pingtrail.functions.time import US_PER_HOUR, epoch_us, floor_time, parse_date_time, shift_zone
 from pingtrail.plans.joins import bounded_broadcast
+from pingtrail.plans.sequence import reusable
 
 
 def range_hourly(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
@@ -109,15 +110,17 @@ def fit_range(by_distance: DataFrame, *, max_iter: int = 25, tol: float = 1e-8)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    data = by_distance.where(F.col("distance").isNotNull())
+    # IRLS makes one pass per iteration: checkpoint the (one row per distance)
+    # input so the upstream aggregation runs once, not once per iteration.
+    by_distance = reusable(by_distance.where(F.col("distance").isNotNull()))
+    data = by_distance
     data = VectorAssembler(inputCols=["distance"], outputCol="features").transform(
         data.withColumn("distance", F.col("distance").cast("double")))
     glr = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="tasa_detec", weightCol="total_expected",
         featuresCol="features", fitIntercept=True, maxIter=max_iter, tol=tol, regParam=0.0)
     model = glr.fit(data)
-    return _covariance(by_distance.where(F.col("distance").isNotNull()),
-                       float(model.intercept), float(model.coefficients[0]))
+    return _covariance(by_distance, float(model.intercept), float(model.coefficients[0]))
 
 
 def _plogis(c):

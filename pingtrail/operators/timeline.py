@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingtrail.functions.time import US_PER_HOUR
-from pingtrail.plans.sequence import number_rows
+from pingtrail.plans.sequence import number_rows, reusable
 
 
 def tag_ranks(df: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def tag_ranks(df: DataFrame) -> DataFrame:
 def abacus(df: DataFrame) -> DataFrame:
     """Every detection with its tag's rank: ``datetime``, ``tag_id``,
     ``protection``, ``tag_rank`` (NULL for a NULL tag)."""
-    # The rank table is derived from the detections, so its size is only known
-    # at run time: AQE measures it and broadcasts it when small (no extra pass).
+    # The detections are read twice (ranks, rows): checkpointed first unless a scan.
+    # The rank table is derived from them, so its size is only known at run
+    # time: AQE measures it and broadcasts it when small (no extra pass).
+    df = reusable(df)
     ranks = tag_ranks(df).select("tag_id", "tag_rank")
     return df.select("datetime", "tag_id", "protection").join(ranks, "tag_id", "left").select(
         "datetime", "tag_id", "protection", "tag_rank")
