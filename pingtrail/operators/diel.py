@@ -23,12 +23,18 @@ def hour_bin(hour_col: str, closed: str = "left"):
     raise ValueError("closed must be 'left' or 'right'")
 
 
+def hour_label(col) -> F.Column:
+    """Clock label of an hour of day: 7 -> "07:00"."""
+    return F.format_string("%02d:00", F.col(col) if isinstance(col, str) else col)
+
+
 def rose_counts(df: DataFrame, keys: Sequence[str], hour_col: str = "hour", closed: str = "left") -> DataFrame:
-    """Rows per ``keys`` and hour bin: ``bin_start``, ``bin_end``, ``n``."""
+    """Rows per ``keys`` and hour bin: ``bin_start``, ``bin_end``, ``n`` and the
+    clock label of the bin start (``"07:00"``)."""
     b = hour_bin(hour_col, closed)
     return (
         df.groupBy(*keys, b.alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bin_end", F.col("bin_start") + 1)
+        .withColumns({"bin_end": F.col("bin_start") + 1, "bin_label": hour_label("bin_start")})
     )
 
 
@@ -50,6 +56,7 @@ def tag_roses(hours: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("scientific_name").alias("__sp"))
     return r.withColumns({
         "bin_end": F.col("bin_start") + 1,
+        "bin_label": hour_label("bin_start"),
         "species": F.min("__sp").over(Window.partitionBy("tag_id")),
     }).drop("__sp")
 

@@ -136,3 +136,9 @@ def resident_hours(bins: DataFrame, *, min_per_hour: int = 2, event_filter: str
         b = b.join(ok, cond, "left_semi")
     return b.select("tag_id", "scientific_name", "protection", "event_id", "hour_bin",
                     F.hour("hour_bin").alias("hour_of_day"), "dets_in_hour")
+
+
+def sorted_events(ev: DataFrame) -> DataFrame:
+    """Display order of events: tag, then start time; NULLs last.  A global
+    sort: use only for output/inspection."""
+    return ev.orderBy(F.asc_nulls_last("tag_id"), F.asc_nulls_last("start_datetime"))

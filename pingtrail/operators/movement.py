@@ -54,3 +54,9 @@ def movement_legs(base: DataFrame, only_moves: bool = False) -> DataFrame:
 def movement_station_counts(legs: DataFrame) -> DataFrame:
     """Legs per station point, rows with a NULL removed (the open arrival)."""
     return station_counts(legs, drop_incomplete=True)
+
+
+def sorted_legs(legs: DataFrame) -> DataFrame:
+    """Display order of the legs: tag, movement, "arrival" before "departure",
+    time; NULLs last.  A global sort: use only for output/inspection."""
+    return legs.orderBy(*[F.asc_nulls_last(c) for c in ("tag_id", "movement_id", "movement", "datetime")])

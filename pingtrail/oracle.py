@@ -263,7 +263,8 @@ HAVING station_name IS NOT NULL AND latitude IS NOT NULL AND NOT isnan(latitude)
     q["monthly_days"] = _monthly("distinct") + "\nSELECT * FROM monthly"
     q["days_per_year"] = _monthly("rows") + "\nSELECT * FROM monthly"
     q["rose_detections"] = tidy + """
-SELECT scientific_name, sitio_captura, protection, hour AS bin_start, count(*) AS n, hour + 1 AS bin_end
+SELECT scientific_name, sitio_captura, protection, hour AS bin_start, count(*) AS n, hour + 1 AS bin_end,
+       printf('%02d:00', hour) AS bin_label
 FROM tidy GROUP BY ALL"""
     q["rose_partitions"] = q["rose_detections"]
     q["mean_residency_station"] = _mean("distinct", C.STATION_KEYS, "tags")
@@ -286,7 +287,7 @@ SELECT * FROM rh WHERE EXISTS (SELECT 1 FROM good g WHERE g.tag_id IS NOT DISTIN
   AND g.event_id IS NOT DISTINCT FROM rh.event_id)"""
     q["rose_resident_hours"] = _hourly() + """
 SELECT scientific_name, protection, greatest(hour_of_day - 1, 0) AS bin_start, count(*) AS n,
-       greatest(hour_of_day - 1, 0) + 1 AS bin_end
+       greatest(hour_of_day - 1, 0) + 1 AS bin_end, printf('%02d:00', greatest(hour_of_day - 1, 0)) AS bin_label
 FROM rh GROUP BY ALL"""
     q["abacus"] = tidy + """,
 fd AS (SELECT tag_id, min(datetime) AS first_det FROM tidy WHERE tag_id IS NOT NULL GROUP BY tag_id),
@@ -295,7 +296,8 @@ SELECT t.datetime, t.tag_id, t.protection, rk.tag_rank FROM tidy t LEFT JOIN rk
     q["tag_roses"] = _hourly() + """,
 tr AS (SELECT tag_id, protection, greatest(hour_of_day - 1, 0) AS bin_start, count(*) AS n,
               min(scientific_name) AS sp FROM rh GROUP BY ALL)
-SELECT tag_id, protection, bin_start, n, bin_start + 1 AS bin_end, min(sp) OVER (PARTITION BY tag_id) AS species FROM tr"""
+SELECT tag_id, protection, bin_start, n, bin_start + 1 AS bin_end, printf('%02d:00', bin_start) AS bin_label,
+       min(sp) OVER (PARTITION BY tag_id) AS species FROM tr"""
     q["range_hourly"] = _range() + "\nSELECT * FROM rh"
     q["range_expected"] = _range() + "\nSELECT * FROM rates"
     q["range_by_distance"] = _range() + "\nSELECT * FROM bd"
