@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from pingtrail.functions.text import trailing_digits
 from pingtrail.functions.time import epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
 from pingtrail.plans.joins import bounded_broadcast
+from pingtrail.plans.quantiles import exact_quantiles
 
 RECEIVER_RENAMES = {
     "station_latitude": "latitude",
@@ -107,26 +108,19 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
 
 
 def six_number(df: DataFrame, col: str) -> DataFrame:
-    """Min, quartiles (linear interpolation), mean and max of a timestamp column;
-    the mean is floored to whole microseconds, computed exactly in decimal."""
-    us = epoch_us(col)
-    stats = df.where(F.col(col).isNotNull()).agg(
-        F.min(us).alias("mn"),
-        F.percentile(us, F.lit(0.25)).alias("q1"),
-        F.percentile(us, F.lit(0.5)).alias("q2"),
-        F.percentile(us, F.lit(0.75)).alias("q3"),
-        F.sum(us.cast("decimal(20,0)")).alias("s"),
-        F.count(F.lit(1)).alias("n"),
-        F.max(us).alias("mx"),
-    )
-    mean_us = F.expr("s div n")
-    return stats.select(
-        from_epoch_us("mn").alias("min"),
-        from_epoch_us(F.floor("q1")).alias("q1"),
-        from_epoch_us(F.floor("q2")).alias("median"),
-        from_epoch_us(mean_us).alias("mean"),
-        from_epoch_us(F.floor("q3")).alias("q3"),
-        from_epoch_us("mx").alias("max"),
+    """Min, quartiles (linear interpolation), mean and max of a timestamp column.
+
+    Exact and distributed (:func:`pingtrail.plans.quantiles.exact_quantiles`);
+    quantiles and the mean are floored to whole microseconds, the mean is
+    summed exactly in decimal."""
+    q = exact_quantiles(df.select(epoch_us(col).alias("__us")), "__us", [0.25, 0.5, 0.75], 60_000_000)
+    return q.select(
+        from_epoch_us("min").alias("min"),
+        from_epoch_us(F.floor("q_0")).alias("q1"),
+        from_epoch_us(F.floor("q_1")).alias("median"),
+        from_epoch_us(F.expr("sum div n")).alias("mean"),
+        from_epoch_us(F.floor("q_2")).alias("q3"),
+        from_epoch_us("max").alias("max"),
     )
 
 
