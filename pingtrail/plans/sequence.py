@@ -92,10 +92,6 @@ def _bucket(us_col: str, width_us: int) -> Column:
     return ((us - F.pmod(us, F.lit(width_us))) / F.lit(float(width_us))).cast("long")
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame:
     d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
     return d.withColumn(_K, _bucket("__us", chunk_us))
@@ -109,8 +105,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
     sizes = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    rows = d.repartition(_partitions(d), _G, _K)
-    rows = rows.withColumn("__local", F.row_number().over(Window.partitionBy(_G, _K).orderBy(*_order_cols(order))))
+    rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_G, _K).orderBy(*_order_cols(order))))
     return (rows.join(offsets, [_G, _K], "inner")
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
             .drop(_G, _K, "__us", "__local", "__off"))
@@ -132,7 +127,7 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
         carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summary = summary.select(_G, _K, *[c.alias(n) for n, c in carried.items()])
 
-    rows = d.repartition(_partitions(d), _G, _K)
+    rows = d
     w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
     packed = F.struct(*[F.col(s).alias(s) for s in srcs])
     rows = rows.withColumn("__nxt", F.lead(packed).over(w))
@@ -206,7 +201,6 @@ def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gap
     ev = bucket_events(src, keys, order[0], max_gap_secs, first_gap=first_gap).select(
         _G, "__bucket", "__bgap", F.col("event_id").alias("__eid"))
     d = src.withColumns({_G: _group(keys), "__us": epoch_us(order[0])}).withColumn("__bucket", _bucket("__us", width))
-    d = d.repartition(_partitions(d), _G, "__bucket")
     w = Window.partitionBy(_G, "__bucket").orderBy(*_order_cols(order))
     d = d.withColumn("__lgap", F.col("__us") - F.lag("__us").over(w))
     out = d.join(ev, [_G, "__bucket"], "inner")

@@ -57,22 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Reliable checkpoint of ``df`` in the shared folder: cuts the lineage (a
     lost executor re-reads it instead of re-running the plan) and lets several
-    branches of a plan read one computed result.
-
-    The checkpoint job is planned without adaptive execution, because an
-    adaptive plan reports an unknown output partitioning and the checkpointed
-    rows would be shuffled again by the next join on the same keys.  Callers
-    fix the partition count explicitly, so nothing is lost by it.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    branches of a plan read one computed result.  Never ``localCheckpoint``:
+    its blocks die with the executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
