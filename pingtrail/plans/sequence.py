@@ -41,6 +41,10 @@ _K = "__chunk"
 
 DEFAULT_CHUNK_US = US_PER_DAY
 
+# Groups up to this many rows are windowed whole (one sort per group in one
+# task); a larger group switches the operator to the chunked plan.
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
 # Logical plan nodes that are cheap to evaluate twice (a scan and row-wise work).
 _CHEAP_NODES = {"Project", "Filter", "Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range",
                 "SubqueryAlias", "View", "ResolvedHint", "Generate", "Sample", "RelationV2", "StreamingRelation"}
@@ -68,6 +72,19 @@ def reusable(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest ``keys`` group (one aggregate job, partial
+    aggregation; only the single number reaches the driver)."""
+    if not keys:
+        return df.count()
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return int(row[0] or 0)
+
+
+def _small_groups(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -> bool:
+    return max_group_rows is not None and largest_group(df, keys) <= max_group_rows
+
+
 def _order_cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -98,10 +115,16 @@ def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
-                chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+                chunk_us: int = DEFAULT_CHUNK_US, max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
-    timestamp column used for chunking (later order columns break ties)."""
-    d = _with_chunks(reusable(df), keys, order[0], chunk_us)
+    timestamp column used for chunking (later order columns break ties).
+    Groups larger than ``max_group_rows`` (measured first) use the chunked
+    plan; ``None`` always chunks."""
+    src = reusable(df)
+    if _small_groups(src, keys, max_group_rows):
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order)) if keys else Window.orderBy(*_order_cols(order))
+        return src.withColumn(out, F.row_number().over(w))
+    d = _with_chunks(src, keys, order[0], chunk_us)
     sizes = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -112,11 +135,21 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
 
 
 def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], *,
-                 row_number: str | None = None, chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+                 row_number: str | None = None, chunk_us: int = DEFAULT_CHUNK_US,
+                 max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """Add ``lead(src)`` per group for each ``{out_name: src}`` in ``cols``
     (NULL on a group's last row), and optionally a ``row_number`` column.
-    ``order`` are column names; ``order[0]`` is the timestamp used for chunks."""
-    d = _with_chunks(reusable(df), keys, order[0], chunk_us)
+    ``order`` are column names; ``order[0]`` is the timestamp used for chunks.
+    Groups larger than ``max_group_rows`` (measured first) use the chunked
+    plan; ``None`` always chunks."""
+    src = reusable(df)
+    if _small_groups(src, keys, max_group_rows):
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+        new = {name: F.lead(c).over(w) for name, c in cols.items()}
+        if row_number:
+            new[row_number] = F.row_number().over(w)
+        return src.withColumns(new)
+    d = _with_chunks(src, keys, order[0], chunk_us)
     srcs = list(dict.fromkeys(cols.values()))
     first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                          *[F.col(s).alias(s) for s in srcs])

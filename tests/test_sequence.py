@@ -49,10 +49,12 @@ def test_chunked_windows_equal_plain_windows(spark):
     expect = _plain(df, 3600, "null")
     for chunk in (MIN_US * 7, US_PER_HOUR, US_PER_HOUR * 24, US_PER_HOUR * 24 * 365):
         order = ["t", "s", "i"]
-        got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk)
-        assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
-        got = number_rows(df, ["k"], order, out="rn", chunk_us=chunk)
-        assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
+        for bound in (None, 0, 10**9):   # chunked always / chunked after measuring / whole groups
+            got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk,
+                               max_group_rows=bound)
+            assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
+            got = number_rows(df, ["k"], order, out="rn", chunk_us=chunk, max_group_rows=bound)
+            assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
 
 
 def test_bucketed_sessions_equal_plain_windows(spark):
@@ -106,6 +108,6 @@ def test_hot_group_is_split_across_tasks(spark):
 
 def test_global_numbering_without_keys(spark):
     df = _data(spark, n=200)
-    got = number_rows(df, [], ["t", "s", "i"], out="rn", chunk_us=US_PER_HOUR)
+    got = number_rows(df, [], ["t", "s", "i"], out="rn", chunk_us=US_PER_HOUR, max_group_rows=None)
     expect = df.withColumn("rn", F.row_number().over(Window.orderBy("t", "s", "i")))
     assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
