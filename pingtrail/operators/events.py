@@ -128,12 +128,16 @@ def resident_hours(bins: DataFrame, *, min_per_hour: int = 2, event_filter: str
     events that pass :func:`hourly_residency` (a semi join on the event key)."""
     if event_filter not in ("none", "semi"):
         raise ValueError("event_filter must be 'none' or 'semi'")
-    b = bins.where(F.col("dets_in_hour") >= min_per_hour)
+    b = bins
     if event_filter == "semi":
-        ek = ["tag_id", "scientific_name", "protection", "event_id"]
-        ok = hourly_residency(bins, min_hours=min_hours, min_per_hour=min_per_hour).select(*ek)
-        cond = [b[k].eqNullSafe(ok[k]) for k in ek]
-        b = b.join(ok, cond, "left_semi")
+        # the event test of hourly_residency, as window aggregates over each
+        # event's bins: the bins are read once, no join back
+        ew = Window.partitionBy("tag_id", "scientific_name", "protection", "event_id")
+        b = b.withColumns({"__end": F.max("hour_end").over(ew), "__start": F.min("hour_start").over(ew),
+                           "__min": F.min("dets_in_hour").over(ew)})
+        span_h = diff_us("__end", "__start") / F.lit(float(US_PER_HOUR))
+        b = b.where((span_h >= F.lit(float(min_hours))) & (F.col("__min") >= min_per_hour))
+    b = b.where(F.col("dets_in_hour") >= min_per_hour)
     return b.select("tag_id", "scientific_name", "protection", "event_id", "hour_bin",
                     F.hour("hour_bin").alias("hour_of_day"), "dets_in_hour")
 
