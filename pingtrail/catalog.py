@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, LongType, StringType, StructField, StructType
 
-from pingtrail.functions.time import US_PER_DAY
+from pingtrail.functions.time import parse_dmy_hm
 from pingtrail.operators import diel, events, movement, range_test, residency, tidy, timeline
 from pingtrail.session import scratch_path
 from pingtrail.sources import tables
@@ -103,8 +103,6 @@ def q_parse_detections(spark, sf):
     """Detections written as the reference's CSV (row index, day-first text
     times, original header), read back with a schema, first column dropped,
     names cleaned and times parsed."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
     raw = tables.detections(spark, sf, N_TAGS, N_STATIONS)
     t = F.col("date_time")
     text = F.format_string("%02d/%02d/%04d %02d:%02d", F.dayofmonth(t), F.month(t), F.year(t), F.hour(t), F.minute(t))
@@ -115,7 +113,6 @@ def q_parse_detections(spark, sf):
     schema = StructType([StructField(DETECTIONS_CSV_HEADER[0], LongType())] +
                         [StructField(c, StringType()) for c in DETECTIONS_CSV_HEADER[1:]])
     df = read_delimited(spark, path, schema, sep=",", drop_first=True, clean_names=True)
-    from pingtrail.functions.time import parse_dmy_hm
     return df.select(parse_dmy_hm("date_time").alias("datetime"), "transmitter", "receiver", "station_name",
                      "scientific_name")
 
@@ -324,5 +321,3 @@ def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: detections -> tidy -> station residency events."""
     return events.residency_events(tidy_for(spark, sf_dir, ENTRY_TAGS, ENTRY_STATIONS), min_days=MIN_DAYS)
 
-
-__all__ = ["QUERIES", "US_PER_DAY", "entry_query"]

@@ -8,6 +8,8 @@ identical in every session zone.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ US_PER_HOUR = 3_600 * US_PER_SEC
 US_PER_DAY = 86_400 * US_PER_SEC
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-_EPOCH_DATE = __import__("datetime").date(1970, 1, 1)
+_EPOCH_DATE = datetime.date(1970, 1, 1)
 
 
 def _c(col) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingtrail.functions.time import US_PER_DAY, floor_time, to_ntz
+from pingtrail.functions.time import floor_time, to_ntz
 from pingtrail.plans.joins import bounded_broadcast
 
 # Fixed values of the test adapter.
@@ -47,7 +47,7 @@ def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     k = F.col("n_nationkey").cast("double")
     return (
-        nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+        nation.join(bounded_broadcast(region), nation.n_regionkey == region.r_regionkey)
         .where(F.col("n_nationkey") != UNMATCHED_STATION_KEY)
         .select(
             F.col("n_name").alias("station_name"),
@@ -146,8 +146,3 @@ def range_schedule(spark: SparkSession, rows=RANGE_SCHEDULE) -> DataFrame:
         "expected", "priority",
     )
 
-
-__all__ = [
-    "US_PER_DAY", "detections", "detections_multi_year", "range_raw", "range_schedule",
-    "receivers", "table", "tags",
-]

@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from pingtrail.operators.range_test import (
     fit_range, range_by_distance, range_curve, range_hourly, range_thresholds, with_expected,

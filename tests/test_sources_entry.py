@@ -1,6 +1,3 @@
-import os
-
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pingtrail.session import scratch_path
