@@ -73,6 +73,9 @@ def main():
     q["movement_base_x25"] = _time(lambda: _noop(movement.movement_base(big_stage)), repeat)
     q["residency_events_x25"] = _time(
         lambda: _noop(events.residency_events(big_stage, min_days=catalog.MIN_DAYS)), repeat)
+    # the plan a hot tag gets (beyond the group-size bound): always chunked
+    q["movement_base_x25_chunked"] = _time(
+        lambda: _noop(movement.movement_base(big_stage, max_group_rows=None)), repeat)
     for name in ("tidy_detections", "hourly_residency", "monthly_days", "abacus", "range_model"):
         fn = catalog.QUERIES[name]
         q[name] = _time(lambda fn=fn: _noop(fn(spark, sf_dir)), repeat)

@@ -61,7 +61,8 @@ def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float,
     b = b.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
     cols = [*ek, "start_datetime", "end_datetime", "n_detections", "duration_days"]
     if per == "event":
-        return b.select(*cols, *carried).distinct()
+        # the group key stays in the distinct: the rows are already partitioned by it
+        return b.select("__grp", *cols, *carried).distinct().drop("__grp")
     # per detection: every detection of a bucket of a kept event
     bucket_map = b.select("__grp", "__bucket", *cols[2:]).distinct()
     width = max(int(round(max_gap_secs * 1_000_000)), 1)
