@@ -111,7 +111,7 @@ def _bucket(us_col: str, width_us: int) -> Column:
 
 def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame:
     d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
-    return d.withColumn(_K, _bucket("__us", chunk_us))
+    return d.withColumn(_K, _bucket("__us", chunk_us)).drop("__us")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
@@ -131,7 +131,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
     rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_G, _K).orderBy(*_order_cols(order))))
     return (rows.join(offsets, [_G, _K], "inner")
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
-            .drop(_G, _K, "__us", "__local", "__off"))
+            .drop(_G, _K, "__local", "__off"))
 
 
 def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], *,
@@ -160,20 +160,20 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
         carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summary = summary.select(_G, _K, *[c.alias(n) for n, c in carried.items()])
 
-    rows = d
     w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
-    packed = F.struct(*[F.col(s).alias(s) for s in srcs])
-    rows = rows.withColumn("__nxt", F.lead(packed).over(w))
+    local = {f"__nxt_{i}": F.lead(src).over(w) for i, src in enumerate(srcs)}
+    local["__has_next"] = F.lead(F.lit(True)).over(w).isNotNull()
     if row_number:
-        rows = rows.withColumn("__local", F.row_number().over(w))
-    out = rows.join(summary, [_G, _K], "inner")
+        local["__local"] = F.row_number().over(w)
+    out = d.withColumns(local).join(summary, [_G, _K], "inner")
     # the next row is in this chunk, else it is the first row of the next chunk
-    new_cols = {name: F.when(F.col("__nxt").isNotNull(), F.col("__nxt").getField(src))
+    new_cols = {name: F.when(F.col("__has_next"), F.col(f"__nxt_{srcs.index(src)}"))
                 .otherwise(F.col("__next_first").getField(src))
                 for name, src in cols.items()}
     if row_number:
         new_cols[row_number] = (F.col("__off") + F.col("__local")).cast("int")
-    return out.withColumns(new_cols).drop(_G, _K, "__us", "__nxt", "__next_first", "__off", "__local")
+    return out.withColumns(new_cols).drop(_G, _K, "__has_next", "__next_first", "__off", "__local",
+                                          *[f"__nxt_{i}" for i in range(len(srcs))])
 
 
 def bucket_events(df: DataFrame, keys: Sequence[str], time_col: str, max_gap_secs: float, *,
