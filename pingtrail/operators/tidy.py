@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pingtrail.functions.text import trailing_digits
-from pingtrail.functions.time import epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
+from pingtrail.functions.time import US_PER_HOUR, epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
 from pingtrail.plans.joins import bounded_broadcast
 from pingtrail.plans.quantiles import exact_quantiles
 
@@ -113,7 +113,7 @@ def six_number(df: DataFrame, col: str) -> DataFrame:
     Exact and distributed (:func:`pingtrail.plans.quantiles.exact_quantiles`);
     quantiles and the mean are floored to whole microseconds, the mean is
     summed exactly in decimal."""
-    q = exact_quantiles(df.select(epoch_us(col).alias("__us")), "__us", [0.25, 0.5, 0.75], 60_000_000)
+    q = exact_quantiles(df.select(epoch_us(col).alias("__us")), "__us", [0.25, 0.5, 0.75], US_PER_HOUR)
     return q.select(
         from_epoch_us("min").alias("min"),
         from_epoch_us(F.floor("q_0")).alias("q1"),
