@@ -52,21 +52,24 @@ def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,
 
     Extra detection columns pass through (and take part in the NULL filter).
     """
-    rx = receivers.select("station_name", *RECEIVER_RENAMES).dropDuplicates()
-    tg = tags.select("transmitter", "sitio_captura", "sitio_liberacion").dropDuplicates()
+    rx_rows = receivers.select("station_name", *RECEIVER_RENAMES)
+    tg_rows = tags.select("transmitter", "sitio_captura", "sitio_liberacion")
+    # identical metadata rows would only repeat detections; the size check
+    # counts the rows before de-duplication (an upper bound, no shuffle)
+    rx, tg = rx_rows.dropDuplicates(), tg_rows.dropDuplicates()
     d = det.drop(*[c for c in drop if c in det.columns]).withColumnRenamed(datetime_col, "datetime")
-    d = d.join(bounded_broadcast(rx), "station_name", "inner").withColumnsRenamed(RECEIVER_RENAMES)
+    d = d.join(bounded_broadcast(rx, bound_by=rx_rows), "station_name", "inner").withColumnsRenamed(RECEIVER_RENAMES)
     checked = [c for c in d.columns if c != row_order]
     d = _complete(d, checked)
-    d = d.join(bounded_broadcast(tg), "transmitter", "inner")
+    d = d.join(bounded_broadcast(tg, bound_by=tg_rows), "transmitter", "inner")
     parsed = parse_dmy_hm("datetime") if isinstance(d.schema["datetime"].dataType, StringType) else to_ntz("datetime")
     d = d.withColumn("datetime", parsed)
     d = d.withColumns({"hour": F.hour("datetime"), "minute": F.minute("datetime")})
     d = _complete(d, [c for c in d.columns if c != row_order])
     keys = ["transmitter", "datetime", "station_name"]
     others = [c for c in d.columns if c not in keys]
-    order = [F.col(row_order)] if row_order else []
-    order += [F.col(c) for c in others if c != row_order]
+    # file order decides; without a row index every other column breaks ties
+    order = [F.col(row_order)] if row_order else [F.col(c) for c in others]
     w = Window.partitionBy(*keys).orderBy(*order)
     d = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
     if row_order:

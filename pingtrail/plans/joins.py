@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      bound_by: DataFrame | None = None) -> DataFrame:
     """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``
     unchanged (the join then shuffles, and AQE may still broadcast at run time
-    from measured sizes)."""
-    n = df.limit(max_rows + 1).count()
+    from measured sizes).  ``bound_by`` is a table with at least as many rows
+    as ``df`` that is cheaper to count (e.g. ``df`` before a de-duplication)."""
+    n = (bound_by if bound_by is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
