@@ -125,11 +125,11 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order)) if keys else Window.orderBy(*_order_cols(order))
         return src.withColumn(out, F.row_number().over(w))
     d = _with_chunks(src, keys, order[0], chunk_us)
-    sizes = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_G, _K).orderBy(*_order_cols(order))))
-    return (rows.join(offsets, [_G, _K], "inner")
+    rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_K, _G).orderBy(*_order_cols(order))))
+    return (rows.join(offsets, [_K, _G], "inner")
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
             .drop(_G, _K, "__local", "__off"))
 
@@ -153,19 +153,19 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     srcs = list(dict.fromkeys(cols.values()))
     first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                          *[F.col(s).alias(s) for s in srcs])
-    summary = d.groupBy(_G, _K).agg(F.count(F.lit(1)).alias("__n"), F.min(first_key).alias("__first"))
+    summary = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"), F.min(first_key).alias("__first"))
     ws = Window.partitionBy(_G).orderBy(_K)
     carried = {"__next_first": F.lead("__first").over(ws)}
     if row_number:
         carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summary = summary.select(_G, _K, *[c.alias(n) for n, c in carried.items()])
 
-    w = Window.partitionBy(_G, _K).orderBy(*_order_cols(order))
+    w = Window.partitionBy(_K, _G).orderBy(*_order_cols(order))
     local = {f"__nxt_{i}": F.lead(src).over(w) for i, src in enumerate(srcs)}
     local["__has_next"] = F.lead(F.lit(True)).over(w).isNotNull()
     if row_number:
         local["__local"] = F.row_number().over(w)
-    out = d.withColumns(local).join(summary, [_G, _K], "inner")
+    out = d.withColumns(local).join(summary, [_K, _G], "inner")
     # the next row is in this chunk, else it is the first row of the next chunk
     new_cols = {name: F.when(F.col("__has_next"), F.col(f"__nxt_{srcs.index(src)}"))
                 .otherwise(F.col("__next_first").getField(src))
