@@ -250,6 +250,20 @@ def q_tag_roses(spark, sf):
     return load_stage(spark, path, roses.schema).select(*roses.columns)
 
 
+def q_residency_station_frequency(spark, sf):
+    return tidy.frequency(events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS), "station_name")
+
+
+def q_range_datetime_summary(spark, sf):
+    return tidy.six_number(range_test.range_detections(tables.range_raw(spark, sf), zone="UTC"), "datetime")
+
+
+def q_mean_residency_summary(spark, sf):
+    m = residency.monthly_days(days_multi_year(spark, sf), years="distinct")
+    means = residency.mean_residency(m, STATION_KEYS, se="tags")
+    return round_doubles(tidy.numeric_summary(means, "mean_days_present"), STAT_PLACES)
+
+
 def q_range_hourly(spark, sf):
     return range_test.range_hourly(tables.range_raw(spark, sf), zone="UTC")
 
@@ -308,6 +322,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rose_resident_hours": q_rose_resident_hours,
     "abacus": q_abacus,
     "tag_roses": q_tag_roses,
+    "residency_station_frequency": q_residency_station_frequency,
+    "range_datetime_summary": q_range_datetime_summary,
+    "mean_residency_summary": q_mean_residency_summary,
     "range_hourly": q_range_hourly,
     "range_expected": q_range_expected,
     "range_by_distance": q_range_by_distance,

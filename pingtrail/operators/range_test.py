@@ -15,17 +15,21 @@ from pingtrail.plans.joins import bounded_broadcast
 from pingtrail.plans.sequence import reusable
 
 
-def range_hourly(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
-    """Detections per local clock hour, receiver, transmitter and distance.
-
-    ``date_utc`` (``dd-mm-yy``) + ``time_utc`` (``HH:MM:SS``) are read as UTC and
-    shown in ``zone``; ``distance`` text ("150 metros") becomes a number."""
+def range_detections(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
+    """Range-test rows with ``datetime_utc`` (``date_utc`` ``dd-mm-yy`` +
+    ``time_utc`` ``HH:MM:SS``, read as UTC), ``datetime`` (shown in ``zone``),
+    ``hour_time`` (local clock hour) and numeric ``distance`` ("150 metros")."""
     d = raw.withColumn("datetime_utc", parse_date_time("date_utc", "time_utc"))
     d = d.withColumn("datetime", shift_zone("datetime_utc", zone))
-    d = d.withColumns({
+    return d.withColumns({
         "hour_time": floor_time("datetime", US_PER_HOUR),
         "distance": parse_number("distance"),
     })
+
+
+def range_hourly(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
+    """Detections per local clock hour, receiver, transmitter and distance."""
+    d = range_detections(raw, zone)
     return d.groupBy("hour_time", "receiver", "transmitter", "distance").agg(F.count(F.lit(1)).alias("n_det"))
 
 

@@ -127,6 +127,15 @@ def six_number(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def numeric_summary(df: DataFrame, col: str, chunk_width: float = 1.0) -> DataFrame:
+    """Min, quartiles (linear interpolation), mean and max of a numeric column
+    (NULL and NaN ignored), exact and distributed like :func:`six_number`."""
+    q = exact_quantiles(df.select(F.col(col).cast("double").alias("__v")), "__v", [0.25, 0.5, 0.75], chunk_width)
+    return q.select(
+        F.col("min").alias("min"), F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
+        (F.col("sum") / F.col("n")).alias("mean"), F.col("q_2").alias("q3"), F.col("max").alias("max"))
+
+
 def station_counts(df: DataFrame, count_col: str = "num_det", drop_incomplete: bool = False) -> DataFrame:
     """Rows per (``station_name``, ``latitude``, ``longitude``)."""
     out = df.groupBy("station_name", "latitude", "longitude").agg(F.count(F.lit(1)).alias(count_col))

@@ -139,6 +139,28 @@ SELECT {k}, round(m, {places}) AS mean_days_present, round(sd, {places}) AS sd_d
 FROM agg"""
 
 
+def _mean_summary(places: int = C.STAT_PLACES) -> str:
+    k = ", ".join(C.STATION_KEYS)
+    return _monthly("distinct") + f""",
+agg AS (SELECT {k}, avg(days_per_year) AS m FROM monthly GROUP BY {k})
+SELECT round(min(m), {places}) AS "min", round(quantile_cont(m, 0.25), {places}) AS q1,
+       round(quantile_cont(m, 0.5), {places}) AS median, round(avg(m), {places}) AS mean,
+       round(quantile_cont(m, 0.75), {places}) AS q3, round(max(m), {places}) AS "max"
+FROM agg WHERE m IS NOT NULL AND NOT isnan(m)"""
+
+
+def _six_number_sql(ctes: str, source: str) -> str:
+    return ctes + f""",
+u AS (SELECT epoch_us(datetime) AS us FROM {source} WHERE datetime IS NOT NULL)
+SELECT make_timestamp(min(us)) AS "min",
+       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.25)) AS BIGINT)) AS q1,
+       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.5)) AS BIGINT)) AS median,
+       make_timestamp(CAST(sum(CAST(us AS HUGEINT)) // count(*) AS BIGINT)) AS mean,
+       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.75)) AS BIGINT)) AS q3,
+       make_timestamp(max(us)) AS "max"
+FROM u"""
+
+
 def _hourly() -> str:
     return tidy_ctes() + f""",
 h_us AS (SELECT *, epoch_us(datetime) AS us FROM tidy),
@@ -242,15 +264,7 @@ def oracle_sql() -> dict[str, str]:
     q["missing_cells"] = _missing()
     q["distinct_species"] = tidy + "\nSELECT DISTINCT scientific_name FROM tidy"
     q["station_frequency"] = _movement() + "\nSELECT station_name, count(*) AS n FROM legs WHERE station_name IS NOT NULL GROUP BY station_name"
-    q["datetime_summary"] = tidy + """,
-u AS (SELECT epoch_us(datetime) AS us FROM tidy WHERE datetime IS NOT NULL)
-SELECT make_timestamp(min(us)) AS "min",
-       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.25)) AS BIGINT)) AS q1,
-       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.5)) AS BIGINT)) AS median,
-       make_timestamp(CAST(sum(CAST(us AS HUGEINT)) // count(*) AS BIGINT)) AS mean,
-       make_timestamp(CAST(floor(quantile_cont(CAST(us AS DOUBLE), 0.75)) AS BIGINT)) AS q3,
-       make_timestamp(max(us)) AS "max"
-FROM u"""
+    q["datetime_summary"] = _six_number_sql(tidy, "tidy")
     q["station_counts"] = tidy + "\nSELECT station_name, latitude, longitude, count(*) AS num_det FROM tidy GROUP BY ALL"
     q["movement_base"] = _movement() + "\nSELECT * FROM mb"
     q["movement_legs"] = _movement() + "\nSELECT * FROM legs"
@@ -298,6 +312,11 @@ tr AS (SELECT tag_id, protection, greatest(hour_of_day - 1, 0) AS bin_start, cou
               min(scientific_name) AS sp FROM rh GROUP BY ALL)
 SELECT tag_id, protection, bin_start, n, bin_start + 1 AS bin_end, printf('%02d:00', bin_start) AS bin_label,
        min(sp) OVER (PARTITION BY tag_id) AS species FROM tr"""
+    q["residency_station_frequency"] = ev + """
+SELECT station_name, count(*) AS n FROM r_events WHERE station_name IS NOT NULL GROUP BY station_name"""
+    q["range_datetime_summary"] = _six_number_sql(
+        "WITH rdt AS (SELECT date_trunc('second', ts) AS datetime FROM events)", "rdt")
+    q["mean_residency_summary"] = _mean_summary()
     q["range_hourly"] = _range() + "\nSELECT * FROM rh"
     q["range_expected"] = _range() + "\nSELECT * FROM rates"
     q["range_by_distance"] = _range() + "\nSELECT * FROM bd"

@@ -15,20 +15,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pingtrail.session import materialize
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width: int) -> DataFrame:
-    """One row: ``n``, ``min``, ``max``, ``sum`` (decimal) of the long column
-    ``col`` and a double ``q_<i>`` per probability (NULLs ignored)."""
-    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width: float) -> DataFrame:
+    """One row: ``n``, ``min``, ``max``, ``sum`` of the numeric column ``col``
+    (integers summed exactly in decimal) and a double ``q_<i>`` per
+    probability (NULLs and NaN ignored)."""
+    ok = F.col(col).isNotNull()
+    if not isinstance(df.schema[col].dataType, IntegralType):
+        ok = ok & ~F.isnan(F.col(col))
+    hist = df.where(ok).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     hist = hist.withColumn("k", F.floor(F.col("v") / F.lit(float(chunk_width))).cast("long"))
     # read twice below (chunk counts, opened chunks): computed once
     hist = materialize(hist)
+    integral = isinstance(df.schema[col].dataType, IntegralType)
+    weighted = (F.col("v").cast("decimal(20,0)") if integral else F.col("v")) * F.col("c")
     chunks = hist.groupBy("k").agg(
-        F.sum("c").alias("nk"), F.min("v").alias("mink"), F.max("v").alias("maxk"),
-        F.sum(F.col("v").cast("decimal(20,0)") * F.col("c")).alias("sk"))
+        F.sum("c").alias("nk"), F.min("v").alias("mink"), F.max("v").alias("maxk"), F.sum(weighted).alias("sk"))
     # running counts over the chunk table (one row per non-empty chunk)
     every = Window.partitionBy(F.lit(0))
     before = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,9 +56,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width
     found = sel.join(F.broadcast(wanted), "k", "inner").where(
         (F.col("pos") - F.col("off") < F.col("cend")) & (F.col("pos") - F.col("off") >= F.col("cend") - F.col("c")))
     # one row: totals plus the two neighbours of every quantile, through a union (no join)
-    none_l = F.lit(None).cast("long")
-    rows = totals.select("n", "min", "max", "sum", F.lit(-1).alias("i"), F.lit(-1).alias("j"), none_l.alias("v"))
-    rows = rows.unionByName(found.select(none_l.alias("n"), none_l.alias("min"), none_l.alias("max"),
+    vtype = df.schema[col].dataType
+    none_l, none_v = F.lit(None).cast("long"), F.lit(None).cast(vtype)
+    rows = totals.select("n", "min", "max", "sum", F.lit(-1).alias("i"), F.lit(-1).alias("j"), none_v.alias("v"))
+    rows = rows.unionByName(found.select(none_l.alias("n"), none_v.alias("min"), none_v.alias("max"),
                                          F.lit(None).cast(totals.schema["sum"].dataType).alias("sum"), "i", "j", "v"))
     pick = {(i, j): F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"v_{i}_{j}")
             for i in range(len(probs)) for j in (0, 1)}
