@@ -4,12 +4,15 @@ A plain ``Window.partitionBy(tag).orderBy(time)`` sends every row of a tag to
 one task; with one tag holding a third of the data that task gets a third of
 the data.  Two plan shapes avoid it:
 
-* **Chunked windows** (row numbers, leads): rows are windowed per (group,
-  time chunk).  What crosses a chunk boundary (row counts, the first row of
-  the next chunk) comes from an aggregate per (group, chunk), computed with
-  map-side partial aggregation; a small window over that summary (one row per
-  group and chunk) carries it forward, and it is joined back on (group,
-  chunk), the key the windowed rows are already partitioned by.
+* **Chunked windows** (row numbers, leads): the largest group is measured
+  first (one partial aggregate, one number to the driver).  Up to
+  ``max_group_rows`` a plain per-group window is used.  Beyond it, rows are
+  windowed per (group, time chunk).  What crosses a chunk boundary (row
+  counts, the first row of the next chunk) comes from an aggregate per
+  (group, chunk), computed with map-side partial aggregation; a small window
+  over that summary (one row per group and chunk) carries it forward, and it
+  is joined back on (group, chunk), the key the windowed rows are already
+  partitioned by.
 * **Gap buckets** (gap-and-island event ids): in time buckets as wide as the
   gap limit two consecutive detections are never more than the limit apart,
   so an event can only start at a bucket's first detection.  Event ids are
