@@ -126,7 +126,8 @@ def resident_hours(bins: DataFrame, *, min_per_hour: int = 2, event_filter: str
     """Hour bins with at least ``min_per_hour`` detections, with ``hour_of_day``.
 
     ``event_filter='none'`` keeps every such bin; ``'semi'`` keeps only bins of
-    events that pass :func:`hourly_residency` (a semi join on the event key)."""
+    events that pass :func:`hourly_residency` (the semi-join intent, computed
+    as window aggregates over each event's bins)."""
     if event_filter not in ("none", "semi"):
         raise ValueError("event_filter must be 'none' or 'semi'")
     b = bins
