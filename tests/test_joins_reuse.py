@@ -1,0 +1,32 @@
+from pyspark.sql import functions as F
+
+from pingtrail.plans.joins import bounded_broadcast
+from pingtrail.plans.sequence import largest_group, reusable
+from pingtrail.session import scratch_path
+from pingtrail.sources.stages import load_stage, save_stage
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_broadcast_only_under_the_bound(spark):
+    small = spark.range(10).withColumnRenamed("id", "k")
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    assert "broadcast" in _plan(big.join(bounded_broadcast(small, max_rows=10), "k")).lower()
+    assert "broadcast" not in _plan(big.join(bounded_broadcast(small, max_rows=9), "k")).lower()
+    # the bound may be checked on a larger, cheaper table (rows before a de-duplication)
+    dup = small.union(small)
+    assert "broadcast" not in _plan(big.join(bounded_broadcast(dup.distinct(), 10, bound_by=dup), "k")).lower()
+
+
+def test_reusable_keeps_scans_and_checkpoints_derived_tables(spark):
+    df = spark.range(100).withColumn("g", F.col("id") % 7)
+    stage = load_stage(spark, save_stage(df, scratch_path(spark, "reuse")))
+    scan = stage.where("g > 1").select("id")
+    assert reusable(scan) is scan
+    derived = df.groupBy("g").count()
+    kept = reusable(derived)
+    assert kept is not derived and "LogicalRDD" in _plan(kept)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, derived.collect()))
+    assert largest_group(df, ["g"]) == 15 and largest_group(df, []) == 100
