@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.functions.time import US_PER_DAY, epoch_us
+from pingtrail.plans.joins import bounded_broadcast
 from pingtrail.session import materialize
 
 _G = "__grp"
@@ -84,10 +85,6 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def _small_groups(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -> bool:
-    return max_group_rows is not None and largest_group(df, keys) <= max_group_rows
-
-
 def _order_cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -117,16 +114,48 @@ def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame
     return d.withColumn(_K, _bucket("__us", chunk_us)).drop("__us")
 
 
+def split_hot_groups(src: DataFrame, keys: Sequence[str], max_group_rows: int | None):
+    """(rows of ordinary groups, rows of hot groups); either may be None.
+
+    The largest group is measured first (one number to the driver).  Only if
+    it exceeds ``max_group_rows`` are the hot group keys computed (at most
+    rows / max_group_rows of them, checkpointed) and used in size-checked
+    broadcast semi/anti joins to route rows.  ``None`` sends all rows to the
+    chunked plan."""
+    if max_group_rows is None:
+        return None, src
+    if largest_group(src, keys) <= max_group_rows:
+        return src, None
+    sizes = src.groupBy(_group(keys).alias(_G)).agg(F.count(F.lit(1)).alias("__n"))
+    hot = bounded_broadcast(materialize(sizes.where(F.col("__n") > max_group_rows).select(_G)))
+    tagged = src.withColumn(_G, _group(keys))
+    return (tagged.join(hot, _G, "left_anti").drop(_G), tagged.join(hot, _G, "left_semi").drop(_G))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
                 chunk_us: int = DEFAULT_CHUNK_US, max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
     timestamp column used for chunking (later order columns break ties).
     Groups larger than ``max_group_rows`` (measured first) use the chunked
-    plan; ``None`` always chunks."""
-    src = reusable(df)
-    if _small_groups(src, keys, max_group_rows):
+    plan, the others a plain window; ``None`` chunks every group."""
+    cold, hot = split_hot_groups(reusable(df), keys, max_group_rows)
+    parts = []
+    if cold is not None:
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order)) if keys else Window.orderBy(*_order_cols(order))
-        return src.withColumn(out, F.row_number().over(w))
+        parts.append(cold.withColumn(out, F.row_number().over(w)))
+    if hot is not None:
+        parts.append(_number_rows_chunked(hot, keys, order, out, chunk_us))
+    return _union(parts)
+
+
+def _number_rows_chunked(src: DataFrame, keys, order, out: str, chunk_us: int) -> DataFrame:
     d = _with_chunks(src, keys, order[0], chunk_us)
     sizes = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
@@ -144,14 +173,22 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     (NULL on a group's last row), and optionally a ``row_number`` column.
     ``order`` are column names; ``order[0]`` is the timestamp used for chunks.
     Groups larger than ``max_group_rows`` (measured first) use the chunked
-    plan; ``None`` always chunks."""
-    src = reusable(df)
-    if _small_groups(src, keys, max_group_rows):
+    plan, the others a plain window; ``None`` chunks every group."""
+    cold, hot = split_hot_groups(reusable(df), keys, max_group_rows)
+    parts = []
+    if cold is not None:
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
         new = {name: F.lead(c).over(w) for name, c in cols.items()}
         if row_number:
             new[row_number] = F.row_number().over(w)
-        return src.withColumns(new)
+        parts.append(cold.withColumns(new))
+    if hot is not None:
+        parts.append(_lead_chunked(hot, keys, order, cols, row_number, chunk_us))
+    return _union(parts)
+
+
+def _lead_chunked(src: DataFrame, keys, order, cols: dict[str, str], row_number: str | None,
+                  chunk_us: int) -> DataFrame:
     d = _with_chunks(src, keys, order[0], chunk_us)
     srcs = list(dict.fromkeys(cols.values()))
     first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],

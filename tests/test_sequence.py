@@ -49,7 +49,8 @@ def test_chunked_windows_equal_plain_windows(spark):
     expect = _plain(df, 3600, "null")
     for chunk in (MIN_US * 7, US_PER_HOUR, US_PER_HOUR * 24, US_PER_HOUR * 24 * 365):
         order = ["t", "s", "i"]
-        for bound in (None, 0, 10**9):   # chunked always / chunked after measuring / whole groups
+        # all chunked / all measured hot / only the hot group chunked / whole groups
+        for bound in (None, 0, 200, 10**9):
             got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk,
                                max_group_rows=bound)
             assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
@@ -98,6 +99,17 @@ def test_hourly_bins_equal_per_row_path(spark):
     assert sorted(map(repr, got.select(*sel).collect())) == sorted(map(repr, plain.select(*sel).collect()))
 
 
+def test_only_hot_groups_take_the_chunked_plan(spark):
+    from pingtrail.plans.sequence import split_hot_groups
+    df = _data(spark)
+    sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    assert sizes["hot"] > 200 and all(v <= 200 for k, v in sizes.items() if k != "hot")
+    cold, hot = split_hot_groups(df, ["k"], 200)
+    assert {r.k for r in hot.select("k").distinct().collect()} == {"hot"}
+    assert cold.count() + hot.count() == df.count()
+    assert cold.where(F.col("k").isNull()).count() == sizes[None]
+
+
 def test_hot_group_is_split_across_tasks(spark):
     """A group holding most rows lands in many (group, chunk) window partitions."""
     df = _data(spark, n=800)

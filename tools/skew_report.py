@@ -81,10 +81,11 @@ def run(path: str, schema, plan: str, partitions: int = 32) -> dict:
 
     stage = spark.read.schema(schema).parquet(path)
     t = time.perf_counter()
+    bounds = {"whole-group": 10**12, "chunked": None, "hot-only-chunked": 10_000}
     if plan == "residency-buckets":
         out = events.residency_events(stage, min_days=1.0)
     else:
-        out = movement.movement_base(stage, max_group_rows=None if plan == "chunked" else 10**12)
+        out = movement.movement_base(stage, max_group_rows=bounds[plan])
     out.write.format("noop").mode("overwrite").save()
     secs = time.perf_counter() - t
     spark.stop()
@@ -96,5 +97,5 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     path, schema, n, n_hot = prepare(sf)
     print(json.dumps({"rows": n, "hot_tag_rows": n_hot}))
-    for plan in ("whole-group", "chunked", "residency-buckets"):
+    for plan in ("whole-group", "chunked", "hot-only-chunked", "residency-buckets"):
         print(json.dumps(run(path, schema, plan)))
