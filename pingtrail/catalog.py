@@ -117,6 +117,39 @@ def q_parse_detections(spark, sf):
                      "scientific_name")
 
 
+RECEIVER_CSV_HEADER = ["station_name", "station_latitude", "station_longitude", "installation_name",
+                       "substrate_general"]
+TAG_CSV_HEADER = ["Transmitter", "Sitio Captura", "Sitio Liberacion"]
+
+
+def q_csv_tidy_detections(spark, sf):
+    """The three input files of the reference's first step, written from the
+    driver's tables (detections and receivers with ``,``; tag info with ``;``,
+    padded values and unclean headers) and read back through
+    :func:`read_delimited`; then tidied."""
+    raw = tables.detections(spark, sf, N_TAGS, N_STATIONS)
+    t = F.col("date_time")
+    text = F.format_string("%02d/%02d/%04d %02d:%02d", F.dayofmonth(t), F.month(t), F.year(t), F.hour(t), F.minute(t))
+    det_path, rx_path, tag_path = (scratch_path(spark, n) for n in ("det-csv", "rx-csv", "tag-csv"))
+    (raw.select(F.col("row_id"), text, text, "transmitter", "receiver", "station_name", "scientific_name")
+     .toDF(*DETECTIONS_CSV_HEADER).write.mode("overwrite").option("header", "true").csv(det_path))
+    tables.receivers(spark, sf).toDF(*RECEIVER_CSV_HEADER).write.mode("overwrite").option("header", "true").csv(rx_path)
+    pad = lambda c: F.concat(F.lit("  "), F.col(c), F.lit(" "))
+    (tables.tags(spark, sf).select(pad("transmitter"), pad("sitio_captura"), pad("sitio_liberacion"))
+     .toDF(*TAG_CSV_HEADER).write.mode("overwrite").option("header", "true").option("sep", ";").csv(tag_path))
+    det = read_delimited(spark, det_path, StructType(
+        [StructField(DETECTIONS_CSV_HEADER[0], LongType())] +
+        [StructField(c, StringType()) for c in DETECTIONS_CSV_HEADER[1:]]), clean_names=True)
+    det = det.withColumnRenamed("x1", "row_id")
+    rx = read_delimited(spark, rx_path, StructType(
+        [StructField("station_name", StringType()), StructField("station_latitude", DoubleType()),
+         StructField("station_longitude", DoubleType()), StructField("installation_name", StringType()),
+         StructField("substrate_general", StringType())]))
+    tg = read_delimited(spark, tag_path, StructType([StructField(c, StringType()) for c in TAG_CSV_HEADER]),
+                        sep=";", trim=True, clean_names=True)
+    return tidy.tidy_detections(det, rx, tg)
+
+
 def q_stage_roundtrip(spark, sf):
     df = tidy_for(spark, sf)
     path = save_stage(df, scratch_path(spark, "tidy-stage"))
@@ -292,6 +325,7 @@ def q_range_thresholds(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_detections": q_parse_detections,
+    "csv_tidy_detections": q_csv_tidy_detections,
     "stage_roundtrip": q_stage_roundtrip,
     "tidy_detections": q_tidy,
     "missing_cells": q_missing_cells,

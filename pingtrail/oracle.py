@@ -259,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
     q = {}
     q["parse_detections"] = (
         f"WITH {_raw_events(C.N_TAGS, C.N_STATIONS)} SELECT datetime, transmitter, receiver, station_name, scientific_name FROM raw")
+    q["csv_tidy_detections"] = tidy + "\nSELECT * FROM tidy"
     q["stage_roundtrip"] = tidy + "\nSELECT * FROM tidy"
     q["tidy_detections"] = tidy + "\nSELECT * FROM tidy"
     q["missing_cells"] = _missing()
