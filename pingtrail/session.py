@@ -42,16 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
 
     Read from the session (or the context's checkpoint directory); only when it
     is unset (local tests) a folder is created and registered, so that
-    ``checkpoint()`` and staged tables use the same place.
+    ``checkpoint()`` and staged tables use the same place.  Works without a
+    JVM handle too (Spark Connect), from the session conf alone.
     """
     found = _context_checkpoint_dir(spark)
     if found:
         return found
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        try:
+            conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # Spark Connect: no context
+            conf = None
     if not conf:
         conf = tempfile.mkdtemp(prefix="pingtrail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
+    try:
+        spark.sparkContext.setCheckpointDir(conf)
+    except Exception:  # Spark Connect: the server reads the conf
+        return conf
     return _context_checkpoint_dir(spark) or conf
 
 
