@@ -50,7 +50,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "5"))
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="pingtrail-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="pingtrail-bench",
+                          memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
 
     tidy = catalog.tidy_for(spark, sf_dir, BENCH_TAGS, BENCH_STATIONS)

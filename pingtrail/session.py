@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pingtrail") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pingtrail",
+                  memory: str = "8g") -> SparkSession:
     """Session used by tests and the bench.  On a cluster, build your own session;
     every operator works on whatever session its inputs belong to."""
     return (
@@ -21,7 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pin
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", memory)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
