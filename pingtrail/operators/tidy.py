@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from pingtrail.functions.text import trailing_digits
 from pingtrail.functions.time import US_PER_HOUR, epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
-from pingtrail.plans.joins import bounded_broadcast
+from pingtrail.plans.joins import bounded_broadcasts
 from pingtrail.plans.quantiles import exact_quantiles
 
 RECEIVER_RENAMES = {
@@ -56,12 +56,12 @@ def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,
     tg_rows = tags.select("transmitter", "sitio_captura", "sitio_liberacion")
     # identical metadata rows would only repeat detections; the size check
     # counts the rows before de-duplication (an upper bound, no shuffle)
-    rx, tg = rx_rows.dropDuplicates(), tg_rows.dropDuplicates()
+    rx, tg = bounded_broadcasts([rx_rows.dropDuplicates(), tg_rows.dropDuplicates()], bound_by=[rx_rows, tg_rows])
     d = det.drop(*[c for c in drop if c in det.columns]).withColumnRenamed(datetime_col, "datetime")
-    d = d.join(bounded_broadcast(rx, bound_by=rx_rows), "station_name", "inner").withColumnsRenamed(RECEIVER_RENAMES)
+    d = d.join(rx, "station_name", "inner").withColumnsRenamed(RECEIVER_RENAMES)
     checked = [c for c in d.columns if c != row_order]
     d = _complete(d, checked)
-    d = d.join(bounded_broadcast(tg, bound_by=tg_rows), "transmitter", "inner")
+    d = d.join(tg, "transmitter", "inner")
     parsed = parse_dmy_hm("datetime") if isinstance(d.schema["datetime"].dataType, StringType) else to_ntz("datetime")
     d = d.withColumn("datetime", parsed)
     d = d.withColumns({"hour": F.hour("datetime"), "minute": F.minute("datetime")})

@@ -20,6 +20,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
+def bounded_broadcasts(tables: list[DataFrame], max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       bound_by: list[DataFrame | None] | None = None) -> list[DataFrame]:
+    """:func:`bounded_broadcast` for several lookup tables, all counted in one
+    job (a union of row-limited probes)."""
+    bound_by = bound_by or [None] * len(tables)
+    probes = [(b if b is not None else t).limit(max_rows + 1).select(F.lit(i).alias("__i"))
+              for i, (t, b) in enumerate(zip(tables, bound_by))]
+    union = probes[0]
+    for p in probes[1:]:
+        union = union.unionByName(p)
+    counts = {r["__i"]: r["n"] for r in union.groupBy("__i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [F.broadcast(t) if counts.get(i, 0) <= max_rows else t for i, t in enumerate(tables)]
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join a (usually) small lookup table to a large one; broadcast when the

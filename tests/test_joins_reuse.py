@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pingtrail.plans.joins import bounded_broadcast
+from pingtrail.plans.joins import bounded_broadcast, bounded_broadcasts
 from pingtrail.plans.sequence import largest_group, reusable
 from pingtrail.session import scratch_path
 from pingtrail.sources.stages import load_stage, save_stage
@@ -20,6 +20,12 @@ def test_broadcast_only_under_the_bound(spark):
     assert "broadcast" not in _plan(big.join(bounded_broadcast(dup.distinct(), 10, bound_by=dup), "k")).lower()
 
 
+def test_several_checks_in_one_job(spark):
+    small, mid = spark.range(5), spark.range(50)
+    a, b = bounded_broadcasts([small, mid], max_rows=10)
+    assert "broadcast" in _plan(a).lower() and "broadcast" not in _plan(b).lower()
+
+
 def test_reusable_keeps_scans_and_checkpoints_derived_tables(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 7)
     stage = load_stage(spark, save_stage(df, scratch_path(spark, "reuse")))
