@@ -22,8 +22,10 @@ def test_broadcast_only_under_the_bound(spark):
 
 def test_several_checks_in_one_job(spark):
     small, mid = spark.range(5), spark.range(50)
+    big = spark.range(1000)
     a, b = bounded_broadcasts([small, mid], max_rows=10)
-    assert "broadcast" in _plan(a).lower() and "broadcast" not in _plan(b).lower()
+    assert "broadcast" in _plan(big.join(a, "id")).lower()
+    assert "broadcast" not in _plan(big.join(b, "id")).lower()
 
 
 def test_reusable_keeps_scans_and_checkpoints_derived_tables(spark):
