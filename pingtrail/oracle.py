@@ -217,24 +217,30 @@ bd AS (SELECT distance, CAST(sum(n_det) AS BIGINT) AS total_detections, sum(dete
 
 
 def _model(steps: int = 14) -> str:
+    """Unrolled Newton iteration for the grouped logit, from b = 0; each step's
+    coefficients enter the next as scalar subqueries."""
     parts = [_range(), ",\nfit_in AS (SELECT distance AS x, tasa_detec AS y, total_expected AS n FROM bd WHERE distance IS NOT NULL),",
              "it0 AS (SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1)"]
+
+    def mu(k):
+        return f"1 / (1 + exp(-((SELECT b0 FROM it{k}) + (SELECT b1 FROM it{k}) * x)))"
+
     for k in range(1, steps + 1):
         parts.append(f""",
-it{k} AS (SELECT b0 + (sxx * g0 - sx * g1) / (s * sxx - sx * sx) AS b0,
-                b1 + (s * g1 - sx * g0) / (s * sxx - sx * sx) AS b1
-         FROM (SELECT p.b0, p.b1,
-                      sum(n * mu * (1 - mu)) AS s, sum(n * mu * (1 - mu) * x) AS sx, sum(n * mu * (1 - mu) * x * x) AS sxx,
-                      sum(n * (y - mu)) AS g0, sum(n * (y - mu) * x) AS g1
-               FROM (SELECT f.*, p.b0, p.b1, 1 / (1 + exp(-(p.b0 + p.b1 * f.x))) AS mu FROM fit_in f, it{k - 1} p) p
-               GROUP BY p.b0, p.b1))""")
+s{k} AS (SELECT sum(n * m * (1 - m)) AS s, sum(n * m * (1 - m) * x) AS sx, sum(n * m * (1 - m) * x * x) AS sxx,
+               sum(n * (y - m)) AS g0, sum(n * (y - m) * x) AS g1
+        FROM (SELECT x, y, n, {mu(k - 1)} AS m FROM fit_in)),
+it{k} AS (SELECT (SELECT b0 FROM it{k - 1}) + (sxx * g0 - sx * g1) / (s * sxx - sx * sx) AS b0,
+                (SELECT b1 FROM it{k - 1}) + (s * g1 - sx * g0) / (s * sxx - sx * sx) AS b1
+         FROM s{k})""")
     parts.append(f""",
-model AS (SELECT b0, b1, sxx / (s * sxx - sx * sx) AS v00, -sx / (s * sxx - sx * sx) AS v01, s / (s * sxx - sx * sx) AS v11,
+fin AS (SELECT sum(n * m * (1 - m)) AS s, sum(n * m * (1 - m) * x) AS sx, sum(n * m * (1 - m) * x * x) AS sxx,
+               max(x) AS max_distance
+        FROM (SELECT x, y, n, {mu(steps)} AS m FROM fit_in)),
+model AS (SELECT (SELECT b0 FROM it{steps}) AS b0, (SELECT b1 FROM it{steps}) AS b1,
+                 sxx / (s * sxx - sx * sx) AS v00, -sx / (s * sxx - sx * sx) AS v01, s / (s * sxx - sx * sx) AS v11,
                  max_distance
-          FROM (SELECT p.b0, p.b1, sum(n * mu * (1 - mu)) AS s, sum(n * mu * (1 - mu) * x) AS sx,
-                       sum(n * mu * (1 - mu) * x * x) AS sxx, max(x) AS max_distance
-                FROM (SELECT f.*, p.b0, p.b1, 1 / (1 + exp(-(p.b0 + p.b1 * f.x))) AS mu FROM fit_in f, it{steps} p) p
-                GROUP BY p.b0, p.b1))""")
+          FROM fin)""")
     return "".join(parts)
 
 
@@ -326,10 +332,12 @@ SELECT station_name, count(*) AS n FROM r_events WHERE station_name IS NOT NULL
 SELECT round(b0, {mp}) AS b0, round(b1, {mp}) AS b1, {_round_all(["v00", "v01", "v11"], C.COV_PLACES)},
        round(max_distance, {mp}) AS max_distance FROM model"""
     q["range_curve"] = _model() + f""",
-grid AS (SELECT i, max_distance * i / CAST({C.CURVE_POINTS - 1} AS DOUBLE) AS distance, b0, b1, v00, v01, v11
-         FROM model, range(0, {C.CURVE_POINTS}) AS r(i)),
-pred AS (SELECT CAST(i AS INTEGER) AS i, distance, b0 + b1 * distance AS fit_link,
-                sqrt(v00 + 2 * distance * v01 + distance * distance * v11) AS se_link FROM grid),
+grid AS (SELECT i, (SELECT max_distance FROM model) * i / CAST({C.CURVE_POINTS - 1} AS DOUBLE) AS distance
+         FROM range(0, {C.CURVE_POINTS}) AS r(i)),
+pred AS (SELECT CAST(i AS INTEGER) AS i, distance,
+                (SELECT b0 FROM model) + (SELECT b1 FROM model) * distance AS fit_link,
+                sqrt((SELECT v00 FROM model) + 2 * distance * (SELECT v01 FROM model)
+                     + distance * distance * (SELECT v11 FROM model)) AS se_link FROM grid),
 band AS (SELECT *, fit_link - {C.CURVE_Z} * se_link AS lwr_link, fit_link + {C.CURVE_Z} * se_link AS upr_link FROM pred)
 SELECT i, {_round_all(["distance", "fit_link", "se_link", "lwr_link", "upr_link"], mp)},
        round(1 / (1 + exp(-fit_link)), {mp}) AS predicted_prob, round(1 / (1 + exp(-lwr_link)), {mp}) AS lwr,
@@ -338,5 +346,6 @@ FROM band"""
     probs = " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS p" for p in C.THRESHOLD_PROBS)
     q["range_thresholds"] = _model() + f""",
 probs AS ({probs})
-SELECT p, round((ln(p / (1 - p)) - b0) / b1, {mp - 3}) AS distance FROM probs, model"""
+SELECT p, round((ln(p / (1 - p)) - (SELECT b0 FROM model)) / (SELECT b1 FROM model), {mp - 3}) AS distance
+FROM probs"""
     return q
