@@ -7,7 +7,10 @@ from tools.oracle_check import digest, duck
 SF = "/root/testdata/sf0.001"
 CORE = ["tidy_detections", "movement_base", "movement_legs", "residency_events", "residency_event_rows",
         "hourly_event_ids", "hour_bins", "abacus", "monthly_days", "mean_residency_station", "range_by_distance",
-        "range_model", "datetime_summary", "missing_cells"]
+        "range_model", "datetime_summary", "missing_cells",
+        # file round trips, partitioned writes, variants and model outputs
+        "parse_detections", "csv_tidy_detections", "rose_partitions", "tag_roses", "resident_hours_semi",
+        "days_per_year", "unique_tags_stacked", "mean_residency_summary", "range_curve", "range_thresholds"]
 
 
 @pytest.fixture(scope="module")
