@@ -15,3 +15,14 @@ def test_exact_quantiles_match_numpy(spark):
         assert r.n == n and r["min"] == min(vals) and r["max"] == max(vals) and int(r["sum"]) == sum(vals)
         for i, p in enumerate(probs):
             assert abs(r[f"q_{i}"] - float(np.quantile(np.array(vals, dtype=float), p))) < 1e-6, (n, p)
+
+
+def test_numeric_summary_ignores_null_and_nan(spark):
+    from pingtrail.operators.tidy import numeric_summary
+    vals = [0.5, 2.25, 2.25, 7.0, 10.125, -3.5]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "x double")
+    r = numeric_summary(df, "x", chunk_width=2.0).collect()[0]
+    a = np.array(vals)
+    assert r["min"] == a.min() and r["max"] == a.max() and abs(r["mean"] - a.mean()) < 1e-12
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(r[name] - float(np.quantile(a, p))) < 1e-12
