@@ -9,11 +9,12 @@ an unrolled Newton iteration instead of Spark ML.  Views ``events``,
 from __future__ import annotations
 
 from pingtrail import catalog as C
+from pingtrail.functions.time import MONTH_ABBREVIATIONS
 from pingtrail.sources import tables as TB
 
 US_DAY = 86_400_000_000
 US_HOUR = 3_600_000_000
-MONTHS = "['" + "','".join(["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]) + "']"
+MONTHS = "['" + "','".join(MONTH_ABBREVIATIONS) + "']"
 
 
 def _stations() -> str:
