@@ -17,13 +17,17 @@ US_HOUR = 3_600_000_000
 MONTHS = "['" + "','".join(MONTH_ABBREVIATIONS) + "']"
 
 
+def _substrate_whens() -> str:
+    return " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(TB.SUBSTRATES))
+
+
 def _stations() -> str:
     return f"""stations AS (
   SELECT n_name AS station_name,
          CAST({TB.STATION_LAT0} AS DOUBLE) - CAST(n_nationkey AS DOUBLE) / 100 AS latitude,
          CAST({TB.STATION_LON0} AS DOUBLE) - CAST(n_nationkey AS DOUBLE) / 100 AS longitude,
          r_name AS protection,
-         CASE n_nationkey % 3 WHEN 0 THEN 'rock' WHEN 1 THEN 'sand' ELSE 'kelp' END AS substrate
+         CASE n_nationkey % {len(TB.SUBSTRATES)} {_substrate_whens()} END AS substrate
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> {TB.UNMATCHED_STATION_KEY}),
 tagmeta AS (
   SELECT CASE WHEN c_custkey = {TB.SYNC_TAG_KEY} THEN '{TB.SYNC_TRANSMITTER}'

@@ -55,7 +55,7 @@ def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(STATION_LON0) - k / 100).alias("station_longitude"),
             F.col("r_name").alias("installation_name"),
             F.element_at(F.array(*[F.lit(s) for s in SUBSTRATES]),
-                         (F.col("n_nationkey") % 3 + 1).cast("int")).alias("substrate_general"),
+                         (F.col("n_nationkey") % len(SUBSTRATES) + 1).cast("int")).alias("substrate_general"),
         )
     )
 
