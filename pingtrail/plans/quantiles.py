@@ -1,12 +1,12 @@
-"""Exact quantiles of a long column without holding its values in one task.
+"""Exact quantiles of a numeric column without holding its values in one task.
 
 ``percentile`` keeps a map of every distinct value in the final task, which
 grows with the data for microsecond timestamps.  Here the work is spread
-out: a histogram of distinct values (partial aggregation), value chunks of
-fixed width with their counts, a running count over the chunk table (one row
-per non-empty chunk), and only the chunks that hold the wanted ranks are
-opened to find the values.  Interpolation is linear between the values at
-ranks floor((n-1)p) and ceil((n-1)p) (0-based).
+out: counts per value chunk of fixed width (partial aggregation), a running
+count over the chunk table (one row per non-empty chunk), and only the chunks
+that hold the wanted ranks are read again and histogrammed to find the
+values.  Interpolation is linear between the values at ranks
+floor((n-1)p) and ceil((n-1)p) (0-based).
 """
 
 from __future__ import annotations
@@ -17,28 +17,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from pingtrail.plans.sequence import reusable
 from pingtrail.session import materialize
 
 
+_NO_CHUNK = -(2**63)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width: float) -> DataFrame:
     """One row: ``n``, ``min``, ``max``, ``sum`` of the numeric column ``col``
     (integers summed exactly in decimal) and a double ``q_<i>`` per
-    probability (NULLs and NaN ignored)."""
-    ok = F.col(col).isNotNull()
-    if not isinstance(df.schema[col].dataType, IntegralType):
-        ok = ok & ~F.isnan(F.col(col))
-    hist = df.where(ok).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.withColumn("k", F.floor(F.col("v") / F.lit(float(chunk_width))).cast("long"))
-    # read twice below (chunk counts, opened chunks): computed once
-    hist = materialize(hist)
+    probability (NULLs and NaN ignored).
+
+    Two passes over ``df`` (checkpointed first unless it is a plain scan): a
+    partial aggregate per value chunk (the small chunk table is checkpointed),
+    then a histogram of only the chunks that hold the wanted ranks (at most
+    two per probability)."""
     integral = isinstance(df.schema[col].dataType, IntegralType)
-    weighted = (F.col("v").cast("decimal(20,0)") if integral else F.col("v")) * F.col("c")
-    chunks = hist.groupBy("k").agg(
-        F.sum("c").alias("nk"), F.min("v").alias("mink"), F.max("v").alias("maxk"), F.sum(weighted).alias("sk"))
+    # NULL/NaN handled as values, not filters: a filter on a computed column
+    # would be pushed below the projection and copy the whole expression
+    v = F.col(col) if integral else F.when(~F.isnan(F.col(col)), F.col(col))
+    src = reusable(df.select(col)).select(v.alias("v"))
+    # a non-null chunk key: joins on it add no inferred NULL filter either
+    src = src.withColumn("k", F.coalesce(F.floor(F.col("v") / F.lit(float(chunk_width))).cast("long"),
+                                         F.lit(_NO_CHUNK)))
+    weighted = F.col("v").cast("decimal(20,0)") if integral else F.col("v")
+    chunks = src.groupBy("k").agg(
+        F.count("v").alias("nk"), F.min("v").alias("mink"), F.max("v").alias("maxk"), F.sum(weighted).alias("sk"))
+    # drop the NULL chunk by its count (a filter on the key would be pushed
+    # below the aggregate and copy the value expression into the scan)
+    chunks = chunks.where(F.col("nk") > 0)
     # running counts over the chunk table (one row per non-empty chunk)
     every = Window.partitionBy(F.lit(0))
     before = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumns({"off": F.coalesce(F.sum("nk").over(before), F.lit(0)), "n": F.sum("nk").over(every)})
+    # the chunk table (one row per chunk) feeds three branches: computed once
+    chunks = materialize(chunks)
     totals = chunks.agg(F.max("n").alias("n"), F.min("mink").alias("min"), F.max("maxk").alias("max"),
                         F.sum("sk").alias("sum"))
     # wanted 0-based ranks: floor and ceil of (n-1)p, located in their chunk
@@ -49,11 +63,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width
         for i, p in enumerate(probs) for j in (0, 1)])
     wanted = chunks.select("k", "off", "nk", F.inline(targets)).where(
         (F.col("pos") >= F.col("off")) & (F.col("pos") < F.col("off") + F.col("nk")))
-    # open only those chunks (at most two per probability: a proven broadcast bound)
-    sel = hist.join(F.broadcast(wanted.select("k").distinct()), "k", "left_semi")
-    sel = sel.withColumn("cend", F.sum("c").over(
+    # histogram of the opened chunks only (at most two per probability: a proven broadcast bound)
+    sel = src.join(F.broadcast(wanted.select("k").distinct()), "k", "left_semi")
+    hist = sel.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    hist = hist.withColumn("cend", F.sum("c").over(
         Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = sel.join(F.broadcast(wanted), "k", "inner").where(
+    found = hist.join(F.broadcast(wanted), "k", "inner").where(
         (F.col("pos") - F.col("off") < F.col("cend")) & (F.col("pos") - F.col("off") >= F.col("cend") - F.col("c")))
     # one row: totals plus the two neighbours of every quantile, through a union (no join)
     vtype = df.schema[col].dataType
