@@ -92,36 +92,46 @@ def _digit_runs(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit("[0-9]+"), 0)
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a one-element ``transform``
+    binds it to a lambda variable, so repeated uses inside ``body`` (and copies
+    of the whole expression that the optimizer pushes into filters) do not
+    re-run it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_dmy_hm(col) -> Column:
     """Day-month-year hour:minute text -> NTZ timestamp; NULL when it does not parse.
 
     Any run of non-digits separates fields ("03/01/2024 10:05", "3-1-24 10.05").
     """
-    parts = _digit_runs(col)
-    ts = F.try_make_timestamp_ntz(
-        _year_from_text(F.get(parts, 2)),
-        F.get(parts, 1).try_cast("int"),
-        F.get(parts, 0).try_cast("int"),
-        F.get(parts, 3).try_cast("int"),
-        F.get(parts, 4).try_cast("int"),
-        F.lit(0),
-    )
-    return F.when(F.size(parts) == 5, ts)
+    def build(parts):
+        ts = F.try_make_timestamp_ntz(
+            _year_from_text(F.get(parts, 2)),
+            F.get(parts, 1).try_cast("int"),
+            F.get(parts, 0).try_cast("int"),
+            F.get(parts, 3).try_cast("int"),
+            F.get(parts, 4).try_cast("int"),
+            F.lit(0),
+        )
+        return F.when(F.size(parts) == 5, ts)
+    return _bind(_digit_runs(col), build)
 
 
 def parse_date_time(date_col, time_col) -> Column:
     """``dd-mm-yy`` + ``HH:MM:SS`` text -> NTZ timestamp (NULL when invalid)."""
-    d = _digit_runs(date_col)
-    t = _digit_runs(time_col)
-    ts = F.try_make_timestamp_ntz(
-        _year_from_text(F.get(d, 2)),
-        F.get(d, 1).try_cast("int"),
-        F.get(d, 0).try_cast("int"),
-        F.get(t, 0).try_cast("int"),
-        F.get(t, 1).try_cast("int"),
-        F.get(t, 2).try_cast("int"),
-    )
-    return F.when((F.size(d) == 3) & (F.size(t) == 3), ts)
+    def build(parts):
+        d, t = parts.getField("d"), parts.getField("t")
+        ts = F.try_make_timestamp_ntz(
+            _year_from_text(F.get(d, 2)),
+            F.get(d, 1).try_cast("int"),
+            F.get(d, 0).try_cast("int"),
+            F.get(t, 0).try_cast("int"),
+            F.get(t, 1).try_cast("int"),
+            F.get(t, 2).try_cast("int"),
+        )
+        return F.when((F.size(d) == 3) & (F.size(t) == 3), ts)
+    return _bind(F.struct(_digit_runs(date_col).alias("d"), _digit_runs(time_col).alias("t")), build)
 
 
 # English month abbreviations, January first (locale-free labels).
