@@ -55,3 +55,19 @@ def test_glm_matches_newton_and_curve(spark):
         assert abs(r.predicted_prob - 1 / (1 + math.exp(-(m.b0 + m.b1 * r.distance)))) < 1e-12
     th = {round(r.p, 2): r.distance for r in range_thresholds(fit_range(bd)).collect()}
     assert abs(th[0.5] - (-m.b0 / m.b1)) < 1e-6 * abs(th[0.5])
+
+
+def test_local_hours_after_zone_shift(spark):
+    from pingtrail.operators.range_test import range_detections
+    raw = spark.createDataFrame([("16-12-21", "20:00:05", "R", "T", "150 metros"),
+                                 ("16-12-21", "20:59:59", "R", "T", "150 metros"),
+                                 ("21-06-21", "03:30:00", "R", "T", "0 metros")],
+                                "date_utc string, time_utc string, receiver string, transmitter string, distance string")
+    got = sorted((str(r.datetime), str(r.hour_time), r.distance)
+                 for r in range_detections(raw, zone="America/Santiago").collect())
+    # summer time (UTC-3) in December, standard time (UTC-4) in June
+    assert got == [("2021-06-20 23:30:00", "2021-06-20 23:00:00", 0.0),
+                   ("2021-12-16 17:00:05", "2021-12-16 17:00:00", 150.0),
+                   ("2021-12-16 17:59:59", "2021-12-16 17:00:00", 150.0)]
+    hourly = range_hourly(raw, zone="America/Santiago")
+    assert sorted(r.n_det for r in hourly.collect()) == [1, 2]
