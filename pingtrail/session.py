@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,13 +37,20 @@ def _context_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def _master(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.master
+    except Exception:  # Spark Connect: no context; the server is a cluster
+        return spark.conf.get("spark.master", "connect")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session (or the context's checkpoint directory); only when it
-    is unset (local tests) a folder is created and registered, so that
-    ``checkpoint()`` and staged tables use the same place.  Works without a
-    JVM handle too (Spark Connect), from the session conf alone.
+    Read from the session (or the context's checkpoint directory).  Only a
+    ``local[...]`` session, where driver and executors are one process, gets a
+    temporary folder when the setting is missing; on a cluster a missing
+    setting is an error, because each executor would write to its own disk.
     """
     found = _context_checkpoint_dir(spark)
     if found:
@@ -56,6 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # Spark Connect: no context
             conf = None
     if not conf:
+        master = _master(spark)
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(
+                f"spark.checkpoint.dir is not set and the master is {master!r}: "
+                "set it to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="pingtrail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     try:
@@ -78,12 +89,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/pingtrail/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.replace("file:", "")) or ".", exist_ok=True)
