@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingtrail.llm import packing, token_files
+from pingtrail.llm import decontaminate, packing, simhash, token_files, url_filter
 from pingtrail.llm.shared import scratch_path, table
 
 #: Ids of the tokenizer files, by their contracts.
@@ -23,15 +23,36 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), WORD_END_ID)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rules of the contract.
+URL_RULES = [url_filter.Rule(*r) for r in (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"))]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
                                            tokenizer("byte_bpe_50k.json"), BYTE_END_ID)
     return token_files.read_token_files(spark, folder)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op9_token_files": op9_token_files,
+    "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

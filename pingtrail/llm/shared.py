@@ -59,3 +59,12 @@ def commit_file(uri: str, chunks) -> None:
         for chunk in chunks:
             out.write(chunk)
     store.move(tmp, path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is computed once,
+    and a lost executor costs no more than the rows that it was working on."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
