@@ -75,6 +75,13 @@ def _blocks(fp: Column, radius: int) -> Column:
         for n, (a, b) in enumerate(zip(edges[:-1], edges[1:]))])
 
 
+def _occurrences(column: str) -> Column:
+    """Each shingle of an array with the number of its occurrence, as one hash."""
+    a = F.col(column)
+    repeated = F.transform(a, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(a, F.lit(1), i + 1), lambda y: y == x))))
+    return F.when(F.size(F.array_distinct(a)) == F.size(a), F.transform(a, lambda x: F.xxhash64(x, F.lit(1)))).otherwise(repeated)
+
+
 def _join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with the ``shingles`` of ``other``; NULL keys are equal."""
     other = other.select(*[F.col(c).alias(f"_{c}") for c in keys], "shingles")
@@ -107,7 +114,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
     regions = stored(regions.withColumn("id", F.xxhash64("content")), "regions")
 
     own = ["key", "at", "w", "id", "shift"]
-    windows = regions.withColumn("shift", F.explode(F.sequence(-slack, slack)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    windows = regions.repartition(tasks, "key", "at").withColumn("shift", F.explode(F.sequence(-slack, slack)))
     begin = F.greatest(F.col("lead") + F.col("shift"), F.lit(0))
     stop = F.least(F.col("lead") + F.col("shift") + F.col("w"), F.size("content"))
     windows = windows.where(stop > begin).select(
@@ -120,14 +128,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
         F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     pairs = stored(met.select(*own, "item").distinct(), "pairs")
 
-    # numbers of each shingle on both sides of a pair
-    side = lambda df, n: df.select(*own, "item", F.explode("shingles").alias("h"), *n)
-    here, there = [F.lit(1).alias("x"), F.lit(0).alias("y")], [F.lit(0).alias("x"), F.lit(1).alias("y")]
-    left = side(_join(pairs, windows, own), here)
-    right = side(_join(pairs, items.select(F.col("key").alias("item"), "w", "shingles"), ["item", "w"]), there)
-    counted = left.unionByName(right).groupBy(*own, "item", "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    like = counted.groupBy(*own, "item").agg(
-        (F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("similarity"))
+    # the k-th occurrence of a shingle as an element of its own: multisets compare as sets
+    both = _join(_join(pairs, windows, own).withColumn("here", _occurrences("shingles")).drop("shingles"),
+                 items.select(F.col("key").alias("item"), "w", "shingles"), ["item", "w"])
+    both = both.withColumn("there", _occurrences("shingles"))
+    like = both.withColumn("similarity", F.size(F.array_intersect("here", "there")) / F.size(F.array_union("here", "there")))
     best = like.where(F.col("similarity") >= similarity).groupBy("key", "item").agg(
         F.max(F.struct("similarity", (-F.col("at") - F.col("shift")).alias("before"), F.col("w"))).alias("best"))
     return best.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), (-F.col("best.before")).alias("start"),

@@ -68,3 +68,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sample_by_hash(rows: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
+    """At most ``bound`` of ``rows``, those whose keys have the smallest hashes."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(bound)
+
+
+def lookup_texts(docs: DataFrame, keys: DataFrame, bound: int) -> DataFrame:
+    """``doc_id``, ``text`` of ``docs`` with the other columns of ``keys``, which
+    has at most ``bound`` rows (so it is sent to all tasks)."""
+    if bound > 100_000:
+        raise ValueError("too many keys to send to all tasks")
+    return texts(docs).join(F.broadcast(keys), "doc_id")

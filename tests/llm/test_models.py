@@ -1,0 +1,86 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pingtrail.llm import quality, toxicity
+from pingtrail.llm.queries import op1_quality_classifier, op2_toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def joined(spark, query, label):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col(label).alias("y"))
+    return query(spark, SF).join(labels, "doc_id").where("held_out").collect()
+
+
+def test_quality_on_the_held_out_fold(spark):
+    rows = joined(spark, op1_quality_classifier, "quality")
+    assert len(rows) > 50 and sum(r.predicted == r.y for r in rows) >= 0.97 * len(rows)
+    good, bad = ([r.score for r in rows if r.y == y] for y in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.99
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    rows = joined(spark, op2_toxicity, "toxic")
+    toxic, clean = ([r.severity for r in rows if r.y == y] for y in (1, 0))
+    assert np.mean([[t > c for c in clean] for t in toxic]) > 0.95
+    assert all(r.toxic == (r.grade > 0) and 0 <= r.severity <= 3 for r in rows)
+
+
+def test_held_out_rows_teach_nothing(spark, docs_of):
+    """Changing all labels of the held-out fold changes no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    flipped = labels.withColumns({c: F.when(held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    a, b = quality.train(docs, labels), quality.train(docs, flipped)
+    assert np.array_equal(a.w1, b.w1) and a.b2 == b.b2
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
+    assert a.index == b.index and np.allclose(a.weights, b.weights)
+    got = {r.doc_id: r.held_out for r in quality.score(docs, None).collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in got.items())
+
+
+@pytest.mark.parametrize("labelled", [[], [(1, 1, 0)], [(None, 1, 1), (2, None, None), (3, 1, 1), (3, 0, 0)]])
+def test_few_labels_odd_rows_and_empty_tables(spark, docs_of, labelled):
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    docs = docs_of([None, "", "a" * 200_000, "word " * 50_000, "x", "x"], [None, 1, 2, 3, 4, 4])
+    rows = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(rows) == 6 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 4}) == 1
+    rows = toxicity.grade(docs, toxicity.train(docs, labels)).collect()
+    assert len(rows) == 6 and all(r.severity == 0 and r.toxic == 0 for r in rows)
+    empty = docs_of([])
+    assert quality.score(empty, quality.train(empty, labels)).count() == 0
+    assert toxicity.grade(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def test_rejected_rows_go_and_columns_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("own"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    want = {r.doc_id for r in op1_quality_classifier(spark, SF).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+
+
+def test_nonnegative_risk_finds_classes_without_negatives():
+    rng = np.random.default_rng(0)
+    good = lambda n: rng.normal(1.5, 1, (n, 3))
+    unlabelled = np.vstack([good(1400), rng.normal(-1.5, 1, (600, 3))])
+    model = quality.fit(good(500), unlabelled, 0.7, steps=300)
+    right = np.concatenate([model.score(unlabelled[:1400]) >= 0.5, model.score(unlabelled[1400:]) < 0.5])
+    assert right.mean() > 0.95
+
+
+def test_cumulative_links_share_weights():
+    rng = np.random.default_rng(1)
+    x = rng.poisson(0.7, (1500, 4)).astype(float)
+    truth = x @ np.array([1.0, 2.0, 0.0, -1.0])
+    grades = np.digitize(truth + rng.logistic(0, 0.1, len(x)), [1, 2.5, 4])
+    model = toxicity.fit(x, grades, {}, steps=800)
+    assert np.all(np.diff(model.thresholds) > 0)
+    p = model.at_least(x @ model.weights)
+    assert np.all(np.diff(p, axis=1) <= 0) and np.corrcoef(p.sum(1), grades)[0, 1] > 0.9
