@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingtrail.llm import decontaminate, packing, quality, simhash, token_files, toxicity, url_filter
+from pingtrail.llm import chat, decontaminate, iblt, packing, quality, simhash, token_files, toxicity, url_filter
 from pingtrail.llm.shared import scratch_path, table
 
 #: Ids of the tokenizer files, by their contracts.
@@ -37,6 +37,21 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The conversation that the contract adds, a user's and an assistant's turn.
+ADDED_CONVERSATION, ADDED_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(ADDED_CONVERSATION, n, role, ADDED_TEXT) for n, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(added, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract.
 URL_RULES = [url_filter.Rule(*r) for r in (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -62,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
