@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingtrail.llm import chat, decontaminate, iblt, packing, quality, simhash, token_files, toxicity, url_filter
+from pingtrail.llm import chat, decontaminate, iblt, line_dedup, packing, quality, simhash, token_files, toxicity, url_filter
 from pingtrail.llm.shared import scratch_path, table
 
 #: Ids of the tokenizer files, by their contracts.
@@ -62,6 +62,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summarise(line_dedup.decide(table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
                                            tokenizer("byte_bpe_50k.json"), BYTE_END_ID)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
