@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pingtrail.llm.shared import stored
+from pingtrail.llm.shared import column_safe, stored
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 19, 64
 #: Rows (32 bytes each) up to which the benchmark's shingles are sent to all tasks; beyond it the join is shuffled.
@@ -43,8 +43,8 @@ def _shingles(words: Column, k: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def _read(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    df = df.select(F.col(key).cast("long").alias("key"), _word_hashes(F.col(text).cast("string")).alias("words"))
+def _read(df: DataFrame, key: str, k: int) -> DataFrame:
+    df = df.select(F.col(key).cast("long").alias("key"), _word_hashes(F.col("text").cast("string")).alias("words"))
     return df.withColumn("shingles", _shingles(F.col("words"), k))
 
 
@@ -89,8 +89,7 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
-          radius: int = RADIUS, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text",
-          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+          radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id``, ``item_id``, ``start`` (word, from 0; below 0 if the item's
     beginning would stand before the document), ``n_words``, ``similarity``: for
     each document and item the most similar window, the first of equal ones.
@@ -98,14 +97,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
     Texts without words (NULL, empty) match nothing.  An item of fewer than
     ``shingle`` words is one shingle: it matches a document that consists of it.
     Rows with equal keys count as one document; other columns are ignored."""
-    items = _read(benchmark, item_key, text, shingle).where(F.size("words") > 0)
+    items = _read(benchmark, "item_id", shingle).where(F.size("words") > 0)
     items = stored(items.distinct().withColumn("w", F.size("words")), "items")
     anchors = items.select("w", F.posexplode("shingles").alias("off", "h")).distinct()
     if anchors.count() <= broadcast_rows:
         anchors = F.broadcast(anchors)
 
     # outer: an inner explode would add a filter that computes the shingles twice; the join drops NULL
-    places = _read(docs, doc_key, text, shingle).select("key", "words", F.posexplode_outer("shingles").alias("pos", "h"))
+    places = _read(docs, "doc_id", shingle).select("key", "words", F.posexplode_outer("shingles").alias("pos", "h"))
     slack = F.floor(F.greatest(F.col("w") - shingle + 1, F.lit(1)) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     at = F.col("pos") - F.col("off")
     first, end = F.greatest(at - slack, F.lit(0)), F.least(at + F.col("w") + slack, F.size("words"))
@@ -135,12 +134,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
     like = both.withColumn("similarity", F.size(F.array_intersect("here", "there")) / F.size(F.array_union("here", "there")))
     best = like.where(F.col("similarity") >= similarity).groupBy("key", "item").agg(
         F.max(F.struct("similarity", (-F.col("at") - F.col("shift")).alias("before"), F.col("w"))).alias("best"))
-    return best.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), (-F.col("best.before")).alias("start"),
+    return best.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("best.before")).alias("start"),
                        F.col("best.w").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
+@column_safe
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item, all columns kept."""
-    key = options.get("doc_key", "doc_id")
-    found = stored(leaks(docs, benchmark, **options).select(F.col(key).alias("_leaked")).distinct(), "leaked")
-    return docs.join(found, docs[key].cast("long") == found["_leaked"], "left_anti")
+    found = stored(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_leaked"]), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingtrail.llm.shared import stored, texts
+from pingtrail.llm.shared import column_safe, stored, texts
 
 SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
@@ -251,6 +251,7 @@ def summarise(decisions: DataFrame) -> DataFrame:
         F.sum(F.col("removed").cast("long")).alias("n_removed"), gone.alias("removed"))
 
 
+@column_safe
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts, all columns
     and rows kept (a text may end up empty)."""
@@ -260,5 +261,4 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     kept = F.array_join(F.transform(left, lambda n: F.get(parts, n)), "\n")
     both = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_id"], "left")
-    return both.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return both.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))

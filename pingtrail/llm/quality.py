@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingtrail.llm.shared import held_out, lookup_texts, sample_by_hash, texts
+from pingtrail.llm.shared import column_safe, held_out, lookup_texts, sample_by_hash, texts
 
 #: Bounds of the samples the network is fitted on.
 POSITIVES, UNLABELLED = 8_000, 16_000
@@ -76,101 +76,31 @@ class Model:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((np.clip((x - self.mean) / self.scale, -8, 8)) @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.logit(x))
-
-
-def _sigmoid(z):
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = STEPS, seed: int = 5) -> Model:
-    """Minimise the non-negative risk with Adam.  Where the estimated risk of
-    negatives falls below 0, the step goes the other way on that part."""
-    every = np.vstack([unlabelled, positive])
-    mean, scale = every.mean(0), every.std(0) + 1e-6
-    norm = lambda x: np.clip((x - mean) / scale, -8, 8)
-    x = np.vstack([norm(positive), norm(unlabelled)])
-    n_p, n_u = len(positive), len(unlabelled)
-    rng = np.random.default_rng(seed)
-    theta = [rng.normal(0, 0.3, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN),
-             np.array(np.log(prior / (1 - prior)))]
-    first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    for step in range(1, steps + 1):
-        h = np.tanh(x @ theta[0] + theta[1])
-        z = h @ theta[2] + theta[3]
-        up, down = _sigmoid(z) - 1, _sigmoid(z)  # slopes of the losses for a good and for a bad text
-        loss_down = np.logaddexp(0, z)
-        negative = loss_down[n_p:].mean() - prior * loss_down[:n_p].mean()
-        slope_negative = np.concatenate([-prior * down[:n_p] / n_p, down[n_p:] / n_u])
-        slope = np.zeros(len(x)) if negative < 0 else slope_negative
-        if negative < 0:
-            slope = -slope_negative
-        else:
-            slope[:n_p] += prior * up[:n_p] / n_p
-        inner = np.outer(slope, theta[2]) * (1 - h * h)
-        grads = [x.T @ inner + DECAY * theta[0], inner.sum(0), h.T @ slope + DECAY * theta[2], slope.sum()]
-        rate = RATE * (1 - step / (steps + 1))
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            theta[k] = theta[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3]))
-
-
-def _feature_rows(rows: DataFrame) -> np.ndarray:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"x": pa.array(map(features, batch.column("text").to_pylist()),
-                                                            pa.list_(pa.float64()))})
-
-    found = [r.x for r in rows.select("text").mapInArrow(run, "x array<double>").collect()]
-    return np.array(found, "f8").reshape(-1, len(FEATURES))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model from rows outside the held-out fold; None if they have no
-    positive.  NULL ids and labels are no labels; an id labelled twice with
-    different labels is none either."""
-    known = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.min("quality").alias("low"), F.max("quality").alias("high")).where("doc_id is not null and low = high")
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("good")).first()
-    good = sample_by_hash(known.where("high = 1").select("doc_id"), positives)
-    p = _feature_rows(lookup_texts(docs, good, positives))
-    free = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    u = _feature_rows(lookup_texts(docs, sample_by_hash(free, unlabelled), unlabelled))
-    if not len(p) or not len(u):
-        return None
-    return fit(p, u, (total.good + 1) / (total.n + 2))
-
-
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of each row (1 if the
-    score reaches the threshold).  Without a model every score is 0.5.  ``keep``
-    names columns of ``docs`` to return in front of them instead of ``doc_id``."""
+    score reaches the threshold).  Without a model every score is 0.5.  NULL
+    texts are empty; other columns are ignored."""
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with ``score``."""
     def run(batches):
         for batch in batches:
             if model is None:
                 values = np.full(batch.num_rows, 0.5)
             else:
-                x = np.array([features(t or "") for t in batch.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
+                x = np.array([features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
                 values = model.score(x)
-            own = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in own], pa.array(values, pa.float64())],
-                                             names=[*own, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
+                                             names=[*batch.schema.names, "score"])
 
-    own = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]))
-    rows = docs.select(*own.columns, F.col("text").cast("string").alias("_text")) if keep else docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    scored = rows.mapInArrow(run, f"{fields}, score double")
-    return scored if keep else scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                                             (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
 
 
+@column_safe
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that the model rejects, all columns kept."""
-    names = [f"c{n}" for n in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    kept = score(plain, train(docs, labels), keep=names).where(F.col("score") >= threshold)
-    return kept.select(*names).toDF(*docs.columns)
+    return _scored(docs, train(docs, labels)).where(F.col("score") >= threshold).drop("score")

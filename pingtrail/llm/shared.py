@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import pyarrow as pa
@@ -81,3 +82,14 @@ def lookup_texts(docs: DataFrame, keys: DataFrame, bound: int) -> DataFrame:
     if bound > 100_000:
         raise ValueError("too many keys to send to all tasks")
     return texts(docs).join(F.broadcast(keys), "doc_id")
+
+
+def column_safe(operator):
+    """``operator(docs, ...)`` for an operator that returns the columns of
+    ``docs``: it sees those it does not read under names that no other has."""
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        read = {"doc_id", "text"}
+        names = [c if c in read else f"other{n}" for n, c in enumerate(docs.columns)]
+        return operator(docs.toDF(*names), *args, **options).select(*names).toDF(*docs.columns)
+    return run

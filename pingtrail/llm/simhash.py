@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.llm.components import connected_components
-from pingtrail.llm.shared import stored, texts, utf8
+from pingtrail.llm.shared import column_safe, stored, utf8
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 #: Bytes of a text whose words are held at a time.
@@ -64,15 +64,20 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of each row of
-    ``docs``; a NULL text is an empty one, other columns are ignored."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """``doc_id``, long columns ``more`` of ``docs`` and ``fp`` (the fingerprint as
+    a signed long) of each row; a NULL text is an empty one."""
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in utf8(batch.column("_text"))], "<u8")
+            names = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view("<i8"))],
+                                             names=[*names, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more,
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*own.columns, "fp")))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -89,6 +94,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def _components(prints: DataFrame, radius: int, first: Column, name: str) -> DataFrame:
+    """``fp`` and ``name``: the smallest ``first`` that links reach from it."""
+    own = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    roots = connected_components(links(own.select("fp"), radius))
+    named = own.join(roots, own.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("first").alias(name)), "root").select("fp", name)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the
     smallest doc_id that links reach) of each row of ``docs``.
@@ -97,10 +110,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     A NULL doc_id never names a component; a component of such rows alone has
     none.  An empty table gives no rows."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    own = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = connected_components(links(own.select("fp"), radius))
-    named = own.join(roots, own.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.join(names, "root").select("fp", "component_id")
+    found = _components(prints, radius, F.col("doc_id"), "component_id")
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                                            "component_id")
+
+
+@column_safe
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of ``docs``, all columns kept: the one with the
+    smallest doc_id (NULL comes last; of equal ids the smallest hash of the
+    text, of equal rows any)."""
+    row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)),
+           F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    prints = stored(fingerprints(docs, shingle, row[1].alias("hash")), "fingerprints")
+    one = F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("id"), "hash")
+    kept = _components(prints, radius, one, "kept").select("kept.*").distinct()
+    kept = stored(kept.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")), "kept")
+    own = docs.join(kept, (row[0] == kept["_id"]) & (row[1] == kept["_hash"]))
+    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    return own.withColumn("_number", number).where("_number = 1")
