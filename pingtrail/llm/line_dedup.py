@@ -1,6 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's tokens are the set of its lower-cased words (between white space).
+A line's tokens are the set of its words (between ASCII white space, A-Z
+lower-cased).
 Lines with equal sets are one *class*, whose first line is the one with the
 smallest (doc_id, line).  Two classes match if the Jaccard similarity of their
 sets reaches the threshold t.  A line is removed if an earlier line matches it:
@@ -14,7 +15,9 @@ lines share is right).  Matching sets of sizes m <= n must
 * share a token of their prefixes, the size - ceil(t * size) + 1 rarest ones,
 * have m >= t * n, and
 * share at least t / (1 + t) * (m + n) tokens, which the places of the shared
-  prefix token bound from above.
+  prefix token bound from above, and
+* so differ in at most (1 - t) / (1 + t) * (m + n) tokens, each of which flips
+  one bit of a 128-bit parity map of the set: the maps differ in no more bits.
 
 What passes is verified on the whole sets.
 """
@@ -67,7 +70,7 @@ def _tokens(lines: pa.Array):
     """Words of lines: (line of each word, its code, hash of each code)."""
     from xxhash import xxh64_intdigest
 
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(lines))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(lines))
     words = lists.flatten().dictionary_encode()
     line = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     table = words.dictionary.cast(pa.large_binary()).to_pylist()
@@ -97,7 +100,7 @@ def token_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 def _sets(lines: pa.Array, counts: np.ndarray):
     """The token set of each line, rarest first: (sizes, tokens of all lines
-    one after another, two 64-bit digests of each set)."""
+    one after another, two 64-bit digests and the parity map of each set)."""
     line, codes, hashes = _tokens(lines)
     order = np.lexsort((hashes, counts[(hashes % np.uint64(len(counts))).astype("i8")]))
     rank = np.empty(len(order), "i8")
@@ -112,6 +115,10 @@ def _sets(lines: pa.Array, counts: np.ndarray):
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype="u8")])
             ends = np.cumsum(sizes)
             digests.append(sums[ends] - sums[ends - sizes])
+    for half in (0, 1):  # seven bits of a token's hash choose its bit
+        bit = np.where((tokens >> np.uint64(57)) & np.uint64(1) == half, np.uint64(1) << (tokens >> np.uint64(58)), np.uint64(0))
+        flips = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit)])
+        digests.append(flips[ends] ^ flips[ends - sizes])
     return sizes, tokens, *digests
 
 
@@ -121,42 +128,45 @@ def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """A row per line with tokens: ``doc_id``, ``line`` (from 0), ``a``, ``b``
-    (digests of its set), ``size``, ``prefix`` (32-bit hashes of the rarest
-    tokens); one row with size 0 for a document without such lines."""
+    (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (32-bit
+    hashes of the rarest tokens); one row with size 0 for a document without such lines."""
     def run(batches):
         for batch in _portions(batches):
             row, number, lines = _lines(batch.column("text"))
-            sizes, tokens, a, b = _sets(lines, counts)
+            sizes, tokens, *digests = _sets(lines, counts)
             starts = np.cumsum(sizes) - sizes
             length = _prefix(sizes, similarity)
             within = np.arange(len(tokens)) - np.repeat(starts, sizes)
-            short = (tokens[within < np.repeat(length, sizes)] >> np.uint64(32)).astype("u4").view("i4")
+            short = (tokens[within < np.repeat(length, sizes)] & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
             offsets = np.concatenate([[0], np.cumsum(length)])
             keep = sizes > 0
             bare = np.setdiff1d(np.arange(batch.num_rows), row[keep])
             ids = batch.column("doc_id").to_numpy()
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets[1:][keep]]), pa.int32()), pa.array(short))
-            kinds = "doc_id", "line", "a", "b", "size", "prefix"
+            kinds = "doc_id", "line", "a", "b", "p", "q", "size", "prefix"
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[row[keep]]), pa.array(number[keep].astype("i4")), pa.array(a[keep].view("i8")),
-                pa.array(b[keep].view("i8")), pa.array(sizes[keep].astype("i4")), prefix], names=kinds)
+                pa.array(ids[row[keep]]), pa.array(number[keep].astype("i4")),
+                *(pa.array(d[keep].view("i8")) for d in digests), pa.array(sizes[keep].astype("i4")), prefix],
+                names=kinds)
             none = np.zeros(len(bare), "i8")
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[bare]), pa.array(none.astype("i4") - 1), pa.array(none), pa.array(none), pa.array(none.astype("i4")),
+                pa.array(ids[bare]), pa.array(none.astype("i4") - 1), *[pa.array(none)] * 4, pa.array(none.astype("i4")),
                 pa.array([[]] * len(bare), pa.list_(pa.int32()))], names=kinds)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, line int, a long, b long, size int, prefix array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id long, line int, a long, b long, p long, q long, size int, prefix array<int>")
 
 
 def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``x`` < ``y`` of digests ``a`` that pass the filters, from
-    ``classes`` (``a``, ``size``, ``prefix``)."""
-    index = classes.select("a", "size", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "a", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
+    ``classes`` (``a``, ``p``, ``q``, ``size``, ``prefix``)."""
+    index = classes.select("a", "size", "p", "q", F.posexplode("prefix").alias("pos", "token"))
+    index = index.select("token", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
     size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
     rest = lambda s: size(s) - F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1))
     shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
-    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.a") < F.col("r.a"))
+    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
+    differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
+    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.a") < F.col("r.a")) & (apart <= differ)
                                 & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
                                 & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
     return met.select(F.col("l.a").alias("x"), F.col("r.a").alias("y")).distinct()
@@ -189,7 +199,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
             hit = np.flatnonzero((bitmap[slots >> 6] >> (slots & 63)) & 1)
             if not len(hit):
                 continue
-            sizes, tokens, a, b = _sets(lines.take(pa.array(hit)), none)
+            sizes, tokens, a, b, *_ = _sets(lines.take(pa.array(hit)), none)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             yield pa.RecordBatch.from_arrays([
                 pa.array(batch.column("doc_id").to_numpy()[row[hit]]), pa.array(number[hit].astype("i4")), pa.array(a.view("i8")),
@@ -210,8 +220,8 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same place are one line)."""
     lines = stored(line_table(docs, token_counts(docs), similarity), "lines")
     first = F.min(F.struct("doc_id", "line", "prefix")).alias("first")
-    classes = lines.where("size > 0").groupBy("a", "b", "size").agg(first)
-    classes = stored(classes.select("a", "b", "size", "first.*"), "classes")
+    classes = lines.where("size > 0").groupBy("a", "b", "p", "q", "size").agg(first)
+    classes = stored(classes.select("a", "b", "p", "q", "size", "first.*"), "classes")
     pairs = stored(candidates(classes, similarity), "candidates")
 
     named = classes.select("a", "b", "doc_id", "line")

@@ -7,7 +7,7 @@ from pingtrail.llm import line_dedup
 
 def brute(rows, t=0.8):
     """(doc_id, line): removed, by comparing all pairs of lines."""
-    lines = {(i, n): frozenset(x.lower().split()) for i, text in rows for n, x in enumerate((text or "").split("\n"))}
+    lines = {(i, n): frozenset(x.encode().lower().split()) for i, text in rows for n, x in enumerate((text or "").split("\n"))}
     lines = {k: v for k, v in lines.items() if v}
     return {k: any(o < k and len(s & v) >= t * len(s | v) - 1e-9 for o, s in lines.items()) for k, v in lines.items()}
 
