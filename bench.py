@@ -28,7 +28,6 @@ from pingtrail.operators import events, movement  # noqa: E402
 from pingtrail.session import local_session, scratch_path  # noqa: E402
 from pingtrail.sources.stages import load_stage, save_stage  # noqa: E402
 
-BENCH_TAGS, BENCH_STATIONS = 50, 25
 COPIES = 25
 
 
@@ -54,7 +53,7 @@ def main():
                           memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
 
-    tidy = catalog.tidy_for(spark, sf_dir, BENCH_TAGS, BENCH_STATIONS)
+    tidy = catalog.tidy_for(spark, sf_dir)
     stage = save_stage(tidy, scratch_path(spark, "bench-tidy"))
     tidy_stage = load_stage(spark, stage, tidy.schema)
     copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("__copy")
@@ -70,10 +69,10 @@ def main():
     q = {}
     q["movement_base"] = _time(lambda: _noop(movement.movement_base(tidy_stage)), repeat)
     q["residency_events"] = _time(
-        lambda: _noop(events.residency_events(tidy_stage, min_days=catalog.MIN_DAYS)), repeat)
+        lambda: _noop(events.residency_events(tidy_stage, min_days=catalog.MIN_DAYS, max_gap_secs=catalog.STATION_GAP_SECS)), repeat)
     q["movement_base_x25"] = _time(lambda: _noop(movement.movement_base(big_stage)), repeat)
     q["residency_events_x25"] = _time(
-        lambda: _noop(events.residency_events(big_stage, min_days=catalog.MIN_DAYS)), repeat)
+        lambda: _noop(events.residency_events(big_stage, min_days=catalog.MIN_DAYS, max_gap_secs=catalog.STATION_GAP_SECS)), repeat)
     # the plan a hot tag gets (beyond the group-size bound): always chunked
     q["movement_base_x25_chunked"] = _time(
         lambda: _noop(movement.movement_base(big_stage, max_group_rows=None)), repeat)

@@ -18,11 +18,12 @@ from pingtrail.sources import tables
 from pingtrail.sources.delimited import read_delimited
 from pingtrail.sources.stages import load_stage, save_stage
 
-# Adapter parameters (tags, stations): ties, exact-gap rows and hourly events
-# all occur at sf0.01 with these.
-N_TAGS, N_STATIONS = 10, 25
-ENTRY_TAGS, ENTRY_STATIONS = 50, 5
+# With a tag per user a tag has tens of pings: a three-day gap and hourly events
+# of a quarter of an hour select events at every scale.
+STATION_GAP_SECS = 3 * 86_400
 MIN_DAYS = 1.0
+MIN_HOURS, MIN_PER_HOUR = 0.25, 1
+ENTRY_STATIONS = 5
 MULTI_YEAR_GAP_SECS = 10 * 86_400
 
 # Decimal places for floating results computed in a different order by the
@@ -46,9 +47,9 @@ def round_doubles(df: DataFrame, places: int, only=None) -> DataFrame:
 
 # --- shared stages -------------------------------------------------------------
 
-def tidy_for(spark: SparkSession, sf_dir: str, n_tags: int = N_TAGS, n_stations: int = N_STATIONS) -> DataFrame:
+def tidy_for(spark: SparkSession, sf_dir: str, n_stations: int = tables.N_STATIONS) -> DataFrame:
     return tidy.tidy_detections(
-        tables.detections(spark, sf_dir, n_tags, n_stations),
+        tables.detections(spark, sf_dir, n_stations),
         tables.receivers(spark, sf_dir),
         tables.tags(spark, sf_dir),
     )
@@ -103,7 +104,7 @@ def q_parse_detections(spark, sf):
     """Detections written as the reference's CSV (row index, day-first text
     times, original header), read back with a schema, first column dropped,
     names cleaned and times parsed."""
-    raw = tables.detections(spark, sf, N_TAGS, N_STATIONS)
+    raw = tables.detections(spark, sf)
     t = F.col("date_time")
     text = F.format_string("%02d/%02d/%04d %02d:%02d", F.dayofmonth(t), F.month(t), F.year(t), F.hour(t), F.minute(t))
     csv = raw.select(F.col("row_id"), text, text, "transmitter", "receiver", "station_name", "scientific_name")
@@ -127,7 +128,7 @@ def q_csv_tidy_detections(spark, sf):
     driver's tables (detections and receivers with ``,``; tag info with ``;``,
     padded values and unclean headers) and read back through
     :func:`read_delimited`; then tidied."""
-    raw = tables.detections(spark, sf, N_TAGS, N_STATIONS)
+    raw = tables.detections(spark, sf)
     t = F.col("date_time")
     text = F.format_string("%02d/%02d/%04d %02d:%02d", F.dayofmonth(t), F.month(t), F.year(t), F.hour(t), F.minute(t))
     det_path, rx_path, tag_path = (scratch_path(spark, n) for n in ("det-csv", "rx-csv", "tag-csv"))
@@ -146,7 +147,7 @@ def q_csv_tidy_detections(spark, sf):
          StructField("station_longitude", DoubleType()), StructField("installation_name", StringType()),
          StructField("substrate_general", StringType())]))
     tg = read_delimited(spark, tag_path, StructType([StructField(c, StringType()) for c in TAG_CSV_HEADER]),
-                        sep=";", trim=True, clean_names=True)
+                        sep=";", clean_names=True)
     return tidy.tidy_detections(det, rx, tg)
 
 
@@ -193,11 +194,12 @@ def q_movement_station_counts(spark, sf):
 
 
 def q_residency_events(spark, sf):
-    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS)
+    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS)
 
 
 def q_residency_event_rows(spark, sf):
-    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, per="detection")
+    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS,
+                                   per="detection")
 
 
 def q_residency_days(spark, sf):
@@ -235,6 +237,16 @@ def q_unique_tags(spark, sf):
     return residency.unique_tags(days_multi_year(spark, sf))
 
 
+def q_unique_tags_stacked_station(spark, sf):
+    return residency.stacked_totals(residency.unique_tags(days_multi_year(spark, sf)), STATION_KEYS)
+
+
+def q_station_points(spark, sf):
+    points = tidy.as_points(tidy.station_counts(tidy_for(spark, sf)))
+    return points.select("station_name", F.col("geometry.lon").alias("longitude"),
+                         F.col("geometry.lat").alias("latitude"), "num_det")
+
+
 def q_unique_tags_stacked(spark, sf):
     return residency.stacked_totals(residency.unique_tags(days_multi_year(spark, sf)))
 
@@ -258,19 +270,20 @@ def q_hour_bins(spark, sf):
 
 
 def q_hourly_residency(spark, sf):
-    return events.hourly_residency(_bins(spark, sf))
+    return events.hourly_residency(_bins(spark, sf), min_hours=MIN_HOURS, min_per_hour=MIN_PER_HOUR)
 
 
 def q_resident_hours(spark, sf):
-    return events.resident_hours(_bins(spark, sf), event_filter="none")
+    return events.resident_hours(_bins(spark, sf), min_per_hour=MIN_PER_HOUR, event_filter="none")
 
 
 def q_resident_hours_semi(spark, sf):
-    return events.resident_hours(_bins(spark, sf), event_filter="semi")
+    return events.resident_hours(_bins(spark, sf), min_per_hour=MIN_PER_HOUR, event_filter="semi",
+                                 min_hours=MIN_HOURS)
 
 
 def q_rose_resident_hours(spark, sf):
-    return diel.rose_resident_hours(events.resident_hours(_bins(spark, sf)))
+    return diel.rose_resident_hours(events.resident_hours(_bins(spark, sf), min_per_hour=MIN_PER_HOUR))
 
 
 def q_abacus(spark, sf):
@@ -278,13 +291,13 @@ def q_abacus(spark, sf):
 
 
 def q_tag_roses(spark, sf):
-    roses = diel.tag_roses(events.resident_hours(_bins(spark, sf)))
+    roses = diel.tag_roses(events.resident_hours(_bins(spark, sf), min_per_hour=MIN_PER_HOUR))
     path = diel.write_roses(roses, scratch_path(spark, "tag-roses"), "tag_id")
     return load_stage(spark, path, roses.schema).select(*roses.columns)
 
 
 def q_residency_station_frequency(spark, sf):
-    return tidy.frequency(events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS), "station_name")
+    return tidy.frequency(events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS), "station_name")
 
 
 def q_range_datetime_summary(spark, sf):
@@ -347,6 +360,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_residency_station_se_rows": q_mean_residency_station_se_rows,
     "unique_tags": q_unique_tags,
     "unique_tags_stacked": q_unique_tags_stacked,
+    "unique_tags_stacked_station": q_unique_tags_stacked_station,
+    "station_points": q_station_points,
     "rose_partitions": q_rose_partitions,
     "hourly_event_ids": q_hourly_event_ids,
     "hour_bins": q_hour_bins,
@@ -370,5 +385,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: detections -> tidy -> station residency events."""
-    return events.residency_events(tidy_for(spark, sf_dir, ENTRY_TAGS, ENTRY_STATIONS), min_days=MIN_DAYS)
+    return events.residency_events(tidy_for(spark, sf_dir, ENTRY_STATIONS), min_days=MIN_DAYS,
+                                   max_gap_secs=STATION_GAP_SECS)
 

@@ -46,5 +46,5 @@ def trailing_digits(col, min_len: int = 4, max_len: int = 5) -> Column:
 def parse_number(col) -> Column:
     """First number inside a text ("150 metros" -> 150.0, "1,250 m" -> 1250.0); NULL if none."""
     c = F.col(col) if isinstance(col, str) else col
-    token = F.regexp_substr(c, F.lit(r"-?[0-9][0-9,]*[.]?[0-9]*"))
+    token = F.regexp_substr(c, F.lit(r"-?(?:[0-9][0-9,]*(?:[.][0-9]*)?|[.][0-9]+)"))
     return F.regexp_replace(token, ",", "").try_cast("double")

@@ -81,7 +81,7 @@ def hourly_bins(df: DataFrame, keys=("tag_id", "protection"), max_gap_secs: floa
     extra = [c for c in ("scientific_name", "hour_bin") if c not in keys]
     b = bucket_events(d, keys, "datetime", max_gap_secs, first_gap="null", extra_keys=extra, aggs=[
         F.count(F.lit(1)).alias("__n"), F.min("datetime").alias("__s"), F.max("datetime").alias("__e")])
-    return b.groupBy("tag_id", "scientific_name", "protection", "event_id", "hour_bin").agg(
+    return b.groupBy(*dict.fromkeys([*keys, "scientific_name", "event_id", "hour_bin"])).agg(
         F.sum("__n").cast("long").alias("dets_in_hour"),
         F.min("__s").alias("hour_start"),
         F.max("__e").alias("hour_end"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pingtrail.functions.text import parse_number
 from pingtrail.functions.time import US_PER_HOUR, epoch_us, floor_time, parse_date_time, shift_zone
-from pingtrail.plans.joins import bounded_broadcast
 from pingtrail.plans.sequence import reusable
 
 
@@ -28,9 +27,12 @@ def range_detections(raw: DataFrame, zone: str = "America/Santiago") -> DataFram
 
 
 def range_hourly(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
-    """Detections per local clock hour, receiver, transmitter and distance."""
-    d = range_detections(raw, zone)
-    return d.groupBy("hour_time", "receiver", "transmitter", "distance").agg(F.count(F.lit(1)).alias("n_det"))
+    """Detections per hour, receiver, transmitter and distance; ``hour_time`` is
+    the hour's local clock label.  Hours are instants: the two that share a
+    label when clocks go back are two rows."""
+    d = range_detections(raw, zone).withColumn("__instant", floor_time("datetime_utc", US_PER_HOUR))
+    return d.groupBy("__instant", "hour_time", "receiver", "transmitter", "distance").agg(
+        F.count(F.lit(1)).alias("n_det")).drop("__instant")
 
 
 def _hour_index(col) -> F.Column:
@@ -41,11 +43,10 @@ def schedule_hours(schedule: DataFrame) -> DataFrame:
     """Expand closed schedule windows to the whole hours they cover:
     (``__h`` hour index, ``hour_time``, ``expected``); where windows overlap the
     first one wins."""
-    s = schedule.select(
-        F.explode(F.sequence(
-            F.ceil(epoch_us("window_start") / F.lit(float(US_PER_HOUR))).cast("long"),
-            F.floor(epoch_us("window_end") / F.lit(float(US_PER_HOUR))).cast("long"),
-        )).alias("__h"), "expected", "priority")
+    first = F.ceil(epoch_us("window_start") / F.lit(float(US_PER_HOUR))).cast("long")
+    last = F.floor(epoch_us("window_end") / F.lit(float(US_PER_HOUR))).cast("long")
+    # a window without a whole hour covers none (a sequence would count down)
+    s = schedule.where(first <= last).select(F.explode(F.sequence(first, last)).alias("__h"), "expected", "priority")
     best = s.groupBy("__h").agg(F.min_by("expected", "priority").alias("expected"))
     return best.select("__h", "expected")
 
@@ -60,13 +61,12 @@ def with_expected(hourly: DataFrame, schedule: DataFrame, *, require_rows: bool
     expectation, or with more detections than expected are dropped.
 
     The time-window lookup is an equi-join on the hour index against the
-    expanded schedule (broadcast when its hour count is small), not a range
-    join.  The key is never NULL, so the optimizer adds no NULL filter that
+    expanded schedule, not a range join.  The key is never NULL, so the optimizer adds no NULL filter that
     would copy the whole time parsing into the scan."""
     hours = schedule_hours(schedule).withColumnRenamed("expected", "detec_esperadas")
     h = hourly.withColumn("__h", F.coalesce(_hour_index("hour_time"), F.lit(_NO_HOUR)))
     out = (
-        h.join(bounded_broadcast(hours), "__h", "inner").drop("__h")
+        h.join(hours, "__h", "inner").drop("__h")
         .where(F.col("detec_esperadas").isNotNull() & (F.col("detec_esperadas") > 0))
         .where(F.col("n_det") <= F.col("detec_esperadas"))
         .withColumn("tasa_detec", F.col("n_det") / F.col("detec_esperadas"))
@@ -136,7 +136,7 @@ def range_curve(model: DataFrame, n: int = 200, z: float = 1.96) -> DataFrame:
     link scale, on ``n`` evenly spaced distances from 0 to the largest
     observed distance.  The grid is generated from the one-row model table."""
     g = model.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    x = F.col("max_distance") * F.col("i") / F.lit(float(n - 1))
+    x = F.col("max_distance") * F.col("i") / F.lit(float(max(n - 1, 1)))
     g = g.withColumn("distance", x)
     fit = F.col("b0") + F.col("b1") * F.col("distance")
     se = F.sqrt(F.col("v00") + F.lit(2.0) * F.col("distance") * F.col("v01") + F.col("distance") ** 2 * F.col("v11"))

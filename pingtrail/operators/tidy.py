@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType
 
 from pingtrail.functions.text import trailing_digits
 from pingtrail.functions.time import US_PER_HOUR, epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
-from pingtrail.plans.joins import bounded_broadcasts
 from pingtrail.plans.quantiles import exact_quantiles
 
 RECEIVER_RENAMES = {
@@ -43,7 +42,7 @@ def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,
       ``installation_name``, ``substrate_general``) join by ``station_name``;
       tags (``transmitter``, ``sitio_captura``, ``sitio_liberacion``) by
       ``transmitter``.  Rows with any NULL are dropped afterwards, so both joins
-      are inner joins; the lookups are broadcast when proven small.
+      are inner joins; adaptive execution broadcasts a lookup by its measured size.
     * ``datetime`` is parsed from day-month-year text if it is a string;
       ``hour`` and ``minute`` are added.
     * one row is kept per (``transmitter``, ``datetime``, ``station_name``): the
@@ -54,9 +53,8 @@ def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,
     """
     rx_rows = receivers.select("station_name", *RECEIVER_RENAMES)
     tg_rows = tags.select("transmitter", "sitio_captura", "sitio_liberacion")
-    # identical metadata rows would only repeat detections; the size check
-    # counts the rows before de-duplication (an upper bound, no shuffle)
-    rx, tg = bounded_broadcasts([rx_rows.dropDuplicates(), tg_rows.dropDuplicates()], bound_by=[rx_rows, tg_rows])
+    # identical metadata rows would only repeat detections
+    rx, tg = rx_rows.dropDuplicates(), tg_rows.dropDuplicates()
     d = det.drop(*[c for c in drop if c in det.columns]).withColumnRenamed(datetime_col, "datetime")
     d = d.join(rx, "station_name", "inner").withColumnsRenamed(RECEIVER_RENAMES)
     checked = [c for c in d.columns if c != row_order]
@@ -68,8 +66,9 @@ def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,
     d = _complete(d, [c for c in d.columns if c != row_order])
     keys = ["transmitter", "datetime", "station_name"]
     others = [c for c in d.columns if c not in keys]
-    # file order decides; without a row index every other column breaks ties
-    order = [F.col(row_order)] if row_order else [F.col(c) for c in others]
+    # file order decides; the other columns break ties (a station or tag with two different
+    # metadata rows makes copies of a detection, without a row index there is no file order)
+    order = [F.col(c) for c in ([row_order] if row_order else []) + [c for c in others if c != row_order]]
     w = Window.partitionBy(*keys).orderBy(*order)
     d = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
     if row_order:

@@ -28,33 +28,33 @@ def _stations() -> str:
          CAST({TB.STATION_LON0} AS DOUBLE) - CAST(n_nationkey AS DOUBLE) / 100 AS longitude,
          r_name AS protection,
          CASE n_nationkey % {len(TB.SUBSTRATES)} {_substrate_whens()} END AS substrate
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> {TB.UNMATCHED_STATION_KEY}),
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
 tagmeta AS (
   SELECT CASE WHEN c_custkey = {TB.SYNC_TAG_KEY} THEN '{TB.SYNC_TRANSMITTER}'
               ELSE '{TB.TRANSMITTER_PREFIX}' || CAST(10000 + c_custkey AS VARCHAR) END AS transmitter,
          'CAP_' || CAST(c_nationkey % 3 AS VARCHAR) AS sitio_captura,
          'LIB_' || CAST(c_nationkey % 4 AS VARCHAR) AS sitio_liberacion
-  FROM customer WHERE c_custkey < {TB.N_TAG_ROWS} AND c_custkey <> {TB.UNMATCHED_TAG_KEY})"""
+  FROM customer)"""
 
 
-def _raw_events(t: int, s: int) -> str:
+def _raw_events(s: int = TB.N_STATIONS) -> str:
     return f"""raw AS (
   SELECT event_id AS row_id, date_trunc('minute', ts) AS datetime,
-         CASE WHEN user_id % {t} = {TB.SYNC_TAG_KEY} THEN '{TB.SYNC_TRANSMITTER}'
-              ELSE '{TB.TRANSMITTER_PREFIX}' || CAST(10000 + user_id % {t} AS VARCHAR) END AS transmitter,
+         CASE WHEN user_id = {TB.SYNC_TAG_KEY} THEN '{TB.SYNC_TRANSMITTER}'
+              ELSE '{TB.TRANSMITTER_PREFIX}' || CAST(10000 + user_id AS VARCHAR) END AS transmitter,
          event_type AS receiver,
          'NATION_' || CAST(CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % {s} AS VARCHAR) AS station_name,
          c_mktsegment AS scientific_name
-  FROM events JOIN customer ON c_custkey = user_id % {t})"""
+  FROM events JOIN customer ON c_custkey = user_id)"""
 
 
-def _raw_lineitem(t: int = 20) -> str:
+def _raw_lineitem() -> str:
     return f"""raw AS (
   SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(l_shipdate AS TIMESTAMP) AS datetime,
-         '{TB.TRANSMITTER_PREFIX}' || CAST(10000 + l_suppkey % {t} AS VARCHAR) AS transmitter,
+         '{TB.TRANSMITTER_PREFIX}' || CAST(10000 + l_suppkey AS VARCHAR) AS transmitter,
          'RX_' || CAST(l_linenumber AS VARCHAR) AS receiver,
          'NATION_' || CAST(l_linenumber AS VARCHAR) AS station_name,
-         'SPECIES_' || CAST(l_suppkey % {t} % 4 AS VARCHAR) AS scientific_name
+         'SPECIES_' || CAST(l_suppkey % 4 AS VARCHAR) AS scientific_name
   FROM lineitem)"""
 
 
@@ -77,8 +77,8 @@ tidy AS (
   QUALIFY row_number() OVER (PARTITION BY transmitter, datetime, station_name ORDER BY row_id) = 1)"""
 
 
-def tidy_ctes(t: int = C.N_TAGS, s: int = C.N_STATIONS) -> str:
-    return f"WITH {_stations()},\n{_raw_events(t, s)},\n{_TIDY}"
+def tidy_ctes() -> str:
+    return f"WITH {_stations()},\n{_raw_events()},\n{_TIDY}"
 
 
 def tidy_multi_year_ctes() -> str:
@@ -186,9 +186,9 @@ roll AS (SELECT tag_id, scientific_name, protection, event_id, min(hour_start) A
                 count(*) AS hours_covered, min(dets_in_hour) AS min_dets_per_hour,
                 CAST(epoch_us(max(hour_end)) - epoch_us(min(hour_start)) AS DOUBLE) / CAST({US_HOUR} AS DOUBLE) AS duration_hours
          FROM bins GROUP BY ALL),
-good AS (SELECT * FROM roll WHERE duration_hours >= 1 AND min_dets_per_hour >= 2),
+good AS (SELECT * FROM roll WHERE duration_hours >= {C.MIN_HOURS} AND min_dets_per_hour >= {C.MIN_PER_HOUR}),
 rh AS (SELECT tag_id, scientific_name, protection, event_id, hour_bin, CAST(hour(hour_bin) AS INTEGER) AS hour_of_day,
-              dets_in_hour FROM bins WHERE dets_in_hour >= 2)"""
+              dets_in_hour FROM bins WHERE dets_in_hour >= {C.MIN_PER_HOUR})"""
 
 
 def _movement() -> str:
@@ -197,7 +197,7 @@ mb_in AS (SELECT * EXCLUDE (minute, hour, receiver) FROM tidy WHERE tag_id IS NO
 mb AS (SELECT * EXCLUDE (transmitter),
               lead(station_name) OVER w AS next_location, lead(datetime) OVER w AS next_time,
               lead(station_name) OVER w AS next_station_name, lead(latitude) OVER w AS next_latitude,
-              lead(longitude) OVER w AS next_longitude, CAST(row_number() OVER w AS INTEGER) AS movement_id
+              lead(longitude) OVER w AS next_longitude, CAST(row_number() OVER w AS BIGINT) AS movement_id
        FROM mb_in WINDOW w AS (PARTITION BY tag_id ORDER BY datetime, station_name, transmitter)),
 legs AS (SELECT tag_id, datetime, station_name, latitude, longitude, 'departure' AS movement, movement_id FROM mb
          UNION ALL
@@ -266,10 +266,10 @@ def _missing() -> str:
 
 def oracle_sql() -> dict[str, str]:
     tidy = tidy_ctes()
-    ev = tidy + _residency(86_400)
+    ev = tidy + _residency(C.STATION_GAP_SECS)
     q = {}
     q["parse_detections"] = (
-        f"WITH {_raw_events(C.N_TAGS, C.N_STATIONS)} SELECT datetime, transmitter, receiver, station_name, scientific_name FROM raw")
+        f"WITH {_raw_events()} SELECT datetime, transmitter, receiver, station_name, scientific_name FROM raw")
     q["csv_tidy_detections"] = tidy + "\nSELECT * FROM tidy"
     q["stage_roundtrip"] = tidy + "\nSELECT * FROM tidy"
     q["tidy_detections"] = tidy + "\nSELECT * FROM tidy"
@@ -303,6 +303,10 @@ FROM (SELECT DISTINCT tag_id, station_name, protection, scientific_name, month F
 ut AS (SELECT station_name, protection, scientific_name, month, count(*) AS unique_tags
        FROM (SELECT DISTINCT tag_id, station_name, protection, scientific_name, month FROM days) GROUP BY ALL)
 SELECT protection, scientific_name, month, CAST(sum(unique_tags) AS BIGINT) AS total_unique_tags FROM ut GROUP BY ALL"""
+    q["unique_tags_stacked_station"] = q["unique_tags_stacked"].replace(
+        "SELECT protection, scientific_name, month, CAST", "SELECT station_name, protection, scientific_name, month, CAST")
+    q["station_points"] = tidy + """
+SELECT station_name, latitude, longitude, count(*) AS num_det FROM tidy GROUP BY ALL"""
     q["hourly_event_ids"] = _hourly() + "\nSELECT * FROM h_ids"
     q["hour_bins"] = _hourly() + "\nSELECT * FROM bins"
     q["hourly_residency"] = _hourly() + "\nSELECT * FROM good"
@@ -317,7 +321,7 @@ SELECT scientific_name, protection, greatest(hour_of_day - 1, 0) AS bin_start, c
 FROM rh GROUP BY ALL"""
     q["abacus"] = tidy + """,
 fd AS (SELECT tag_id, min(datetime) AS first_det FROM tidy WHERE tag_id IS NOT NULL GROUP BY tag_id),
-rk AS (SELECT tag_id, CAST(row_number() OVER (ORDER BY first_det, tag_id) AS INTEGER) AS tag_rank FROM fd)
+rk AS (SELECT tag_id, CAST(row_number() OVER (ORDER BY first_det, tag_id) AS BIGINT) AS tag_rank FROM fd)
 SELECT t.datetime, t.tag_id, t.protection, rk.tag_rank FROM tidy t LEFT JOIN rk ON t.tag_id = rk.tag_id"""
     q["tag_roses"] = _hourly() + """,
 tr AS (SELECT tag_id, protection, greatest(hour_of_day - 1, 0) AS bin_start, count(*) AS n,

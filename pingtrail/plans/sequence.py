@@ -42,6 +42,7 @@ from pingtrail.session import materialize
 
 _G = "__grp"
 _K = "__chunk"
+_NO_TIME = -(2**62)
 
 DEFAULT_CHUNK_US = US_PER_DAY
 
@@ -111,7 +112,8 @@ def _bucket(us_col: str, width_us: int) -> Column:
 
 def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame:
     d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
-    return d.withColumn(_K, _bucket("__us", chunk_us)).drop("__us")
+    # rows without a time are a chunk of their own, before all others (as NULLs sort)
+    return d.withColumn(_K, F.coalesce(_bucket("__us", chunk_us), F.lit(_NO_TIME))).drop("__us")
 
 
 def split_hot_groups(src: DataFrame, keys: Sequence[str], max_group_rows: int | None):
@@ -149,7 +151,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
     parts = []
     if cold is not None:
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order)) if keys else Window.orderBy(*_order_cols(order))
-        parts.append(cold.withColumn(out, F.row_number().over(w)))
+        parts.append(cold.withColumn(out, F.row_number().over(w).cast("long")))
     if hot is not None:
         parts.append(_number_rows_chunked(hot, keys, order, out, chunk_us))
     return _union(parts)
@@ -162,7 +164,7 @@ def _number_rows_chunked(src: DataFrame, keys, order, out: str, chunk_us: int) -
     offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_K, _G).orderBy(*_order_cols(order))))
     return (rows.join(offsets, [_K, _G], "inner")
-            .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
+            .withColumn(out, (F.col("__off") + F.col("__local")).cast("long"))
             .drop(_G, _K, "__local", "__off"))
 
 
@@ -180,7 +182,7 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
         new = {name: F.lead(c).over(w) for name, c in cols.items()}
         if row_number:
-            new[row_number] = F.row_number().over(w)
+            new[row_number] = F.row_number().over(w).cast("long")
         parts.append(cold.withColumns(new))
     if hot is not None:
         parts.append(_lead_chunked(hot, keys, order, cols, row_number, chunk_us))
@@ -211,7 +213,7 @@ def _lead_chunked(src: DataFrame, keys, order, cols: dict[str, str], row_number:
                 .otherwise(F.col("__next_first").getField(src))
                 for name, src in cols.items()}
     if row_number:
-        new_cols[row_number] = (F.col("__off") + F.col("__local")).cast("int")
+        new_cols[row_number] = (F.col("__off") + F.col("__local")).cast("long")
     return out.withColumns(new_cols).drop(_G, _K, "__has_next", "__next_first", "__off", "__local",
                                           *[f"__nxt_{i}" for i in range(len(srcs))])
 

@@ -10,11 +10,12 @@ from pingtrail.functions.text import clean_names as _clean_names
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, *, sep: str = ",",
-                   trim: bool = False, drop_first: bool = False, clean_names: bool = False,
-                   na_values=("NA",)) -> DataFrame:
+                   trim: bool = True, drop_first: bool = False, clean_names: bool = False,
+                   na_values=("NA",), escape_double: bool = True) -> DataFrame:
     """Read a header CSV with a declared schema (no inference).
 
-    Empty cells and ``NA`` become NULL (quoted empty strings too); ``trim``
+    A doubled quote inside a quoted cell is one quote (``escape_double=False``:
+    two); a backslash is an ordinary character.  Empty cells and ``NA`` become NULL (quoted empty strings too); ``trim``
     strips blanks around string values (also inside quotes); ``drop_first``
     drops the first column by position (a row index); ``clean_names``
     snake-cases the column names.
@@ -24,6 +25,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, *, sep: s
         .option("header", "true")
         .option("sep", sep)
         .option("mode", "PERMISSIVE")
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", str(trim).lower())
         .option("ignoreTrailingWhiteSpace", str(trim).lower())
     )
@@ -34,6 +36,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, *, sep: s
     for field in schema.fields:
         if isinstance(field.dataType, StringType):
             c = F.trim(F.col(field.name)) if trim else F.col(field.name)
+            c = c if escape_double else F.replace(c, F.lit('"'), F.lit('""'))
             c = F.when(c.isin(*na_values), None).otherwise(c) if na_values else c
             fixes[field.name] = F.nullif(c, F.lit(""))
     if fixes:

@@ -4,11 +4,12 @@ The reference reads three CSV files (detections, receiver info, tag info) and a
 range-test CSV.  Here the same shapes are derived by Spark from the given
 tables, so the work grows with them:
 
-* detections: ``events`` (one row per ping) joined to ``customer`` for species;
-  ``T`` tags (``user_id % T``), ``S`` stations (``props`` number ``% S``);
-* receivers: ``nation`` x ``region`` (one station left out on purpose);
-* tags: the first 50 customers (one left out, one with a non-numeric code);
-* multi-year detections: ``lineitem`` (ship dates span several years);
+* detections: ``events`` (one row per ping, tag ``user_id``) joined to
+  ``customer`` for species; stations are the nations (``props`` number modulo
+  their number);
+* receivers: ``nation`` x ``region``;
+* tags: all customers (one with a non-numeric code);
+* multi-year detections: ``lineitem`` (tag ``l_suppkey``; ship dates span several years);
 * range test: ``events`` with a distance text derived from ``value``.
 """
 
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingtrail.functions.time import floor_time, to_ntz
-from pingtrail.plans.joins import bounded_broadcast
 
 # Fixed values of the test adapter.
 TRANSMITTER_PREFIX = "A69-1602-"
@@ -26,14 +26,22 @@ SYNC_TRANSMITTER = "A69-1602-SYNC"
 RANGE_TRANSMITTER = "A69-1602-RANGE"
 SUBSTRATES = ["rock", "sand", "kelp"]
 STATION_LAT0, STATION_LON0 = -33.5, -71.6
-UNMATCHED_STATION_KEY = 24
 SYNC_TAG_KEY = 7
-UNMATCHED_TAG_KEY = 9
-N_TAG_ROWS = 50
+N_STATIONS = 25  # rows of nation, at every scale
+
+# The columns read from each table: declared, so that opening one starts no job.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "lineitem": "l_orderkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _transmitter(code: F.Column) -> F.Column:
@@ -47,8 +55,7 @@ def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     k = F.col("n_nationkey").cast("double")
     return (
-        nation.join(bounded_broadcast(region), nation.n_regionkey == region.r_regionkey)
-        .where(F.col("n_nationkey") != UNMATCHED_STATION_KEY)
+        nation.join(region, nation.n_regionkey == region.r_regionkey)
         .select(
             F.col("n_name").alias("station_name"),
             (F.lit(STATION_LAT0) - k / 100).alias("station_latitude"),
@@ -64,8 +71,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag metadata in the shape of the (cleaned) tag-info CSV."""
     c = table(spark, sf_dir, "customer")
     return (
-        c.where((F.col("c_custkey") < N_TAG_ROWS) & (F.col("c_custkey") != UNMATCHED_TAG_KEY))
-        .select(
+        c.select(
             _transmitter(F.col("c_custkey")).alias("transmitter"),
             F.concat(F.lit("CAP_"), (F.col("c_nationkey") % 3).cast("string")).alias("sitio_captura"),
             F.concat(F.lit("LIB_"), (F.col("c_nationkey") % 4).cast("string")).alias("sitio_liberacion"),
@@ -73,16 +79,13 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detections(spark: SparkSession, sf_dir: str, n_tags: int = 10, n_stations: int = 25) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, n_stations: int = N_STATIONS) -> DataFrame:
     """Raw detections (``row_id`` keeps file order): one row per ``events`` row
     whose tag code has a customer row."""
     ev = table(spark, sf_dir, "events")
-    code = F.col("user_id") % n_tags
-    species = (
-        table(spark, sf_dir, "customer")
-        .where((F.col("c_custkey") > -n_tags) & (F.col("c_custkey") < n_tags))
-        .select(F.col("c_custkey").alias("__code"), F.col("c_mktsegment").alias("scientific_name"))
-    )
+    code = F.col("user_id")
+    species = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("__code"), F.col("c_mktsegment").alias("scientific_name"))
     station_no = F.regexp_extract(F.col("props"), "[0-9]+", 0).try_cast("int") % n_stations
     raw = ev.select(
         F.col("event_id").alias("row_id"),
@@ -93,16 +96,16 @@ def detections(spark: SparkSession, sf_dir: str, n_tags: int = 10, n_stations: i
         code.alias("__code"),
     )
     return (
-        raw.join(bounded_broadcast(species), "__code", "inner")
+        raw.join(species, "__code", "inner")
         .select("row_id", "date_time", "transmitter", "receiver", "station_name", "scientific_name")
     )
 
 
-def detections_multi_year(spark: SparkSession, sf_dir: str, n_tags: int = 20) -> DataFrame:
+def detections_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw detections spanning several years, from ``lineitem`` ship dates:
-    tag ``l_suppkey % n_tags``, station ``l_linenumber``."""
+    tag ``l_suppkey``, station ``l_linenumber``."""
     li = table(spark, sf_dir, "lineitem")
-    code = F.col("l_suppkey") % n_tags
+    code = F.col("l_suppkey")
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
         to_ntz(F.col("l_shipdate")).alias("date_time"),

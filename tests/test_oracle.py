@@ -10,7 +10,8 @@ CORE = ["tidy_detections", "movement_base", "movement_legs", "residency_events",
         "range_model", "datetime_summary", "missing_cells",
         # file round trips, partitioned writes, variants and model outputs
         "parse_detections", "csv_tidy_detections", "rose_partitions", "tag_roses", "resident_hours_semi",
-        "days_per_year", "unique_tags_stacked", "mean_residency_summary", "range_curve", "range_thresholds"]
+        "days_per_year", "unique_tags_stacked", "mean_residency_summary", "range_curve", "range_thresholds", "unique_tags_stacked_station",
+        "station_points", "hourly_residency", "resident_hours"]
 
 
 @pytest.fixture(scope="module")

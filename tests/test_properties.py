@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_event_ids_contiguous_and_gap_rule(spark):
-    tidy = catalog.tidy_for(spark, SF, 10, 5)
+    tidy = catalog.tidy_for(spark, SF, 5)
     ev = events.event_ids(tidy, ["tag_id", "protection"], 3600)
     g = F.struct("tag_id", "protection")
     per = ev.groupBy(g.alias("g")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"),
@@ -48,7 +48,7 @@ def test_legs_double_base_and_station_frequency(spark):
 
 
 def test_invariant_to_input_order_and_partitions(spark):
-    tidy = catalog.tidy_for(spark, SF, 10, 5)
+    tidy = catalog.tidy_for(spark, SF, 5)
     a = events.residency_events(tidy, min_days=0.0, min_detections=1)
     shuffled = tidy.repartition(13).sortWithinPartitions(F.rand(5))
     b = events.residency_events(shuffled, min_days=0.0, min_detections=1)
