@@ -30,9 +30,9 @@ _MARKS = ".,"
 _MARKED = re.compile(f" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{_MARKS}]")
 # Stretches a Python worker keeps, twice at most: the entries in use, and
 # those of the generation before them.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 # Characters of text that are encoded at a time (a longer text alone).
-STEP = 12_000_000
+STEP = 3_000_000
 # Stretches that the library encodes in one call.
 BATCH = 20_000
 

@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
 #: Characters of text that a task takes apart at a time.
-STEP = 4_000_000
+STEP = 1_000_000
 NULL_ID = -(2 ** 63)
 _EPS = 1e-9
 
