@@ -14,7 +14,14 @@ from pingtrail.session import materialize, scratch_path  # noqa: F401
 FOLDS = 5
 
 
+#: Rows that an operator's Python worker gets at a time, where the session has Spark's default (texts are long).
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
