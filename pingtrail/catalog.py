@@ -55,6 +55,23 @@ def tidy_for(spark: SparkSession, sf_dir: str, n_stations: int = tables.N_STATIO
     )
 
 
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """``build(spark, sf_dir)`` as a stage, written once per session and folder
+    (operators that read their input more than once start from it)."""
+    df = build(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        _STAGES[key] = save_stage(df, scratch_path(spark, name))
+    return load_stage(spark, _STAGES[key], df.schema)
+
+
+def tidy_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage(spark, sf_dir, "tidy", tidy_for)
+
+
 def tidy_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy.tidy_detections(
         tables.detections_multi_year(spark, sf_dir), tables.receivers(spark, sf_dir), tables.tags(spark, sf_dir))
@@ -70,7 +87,7 @@ def days_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark, sf):
-    return movement.movement_base(tidy_for(spark, sf))
+    return movement.movement_base(tidy_stage(spark, sf))
 
 
 def _legs(spark, sf):
@@ -78,7 +95,7 @@ def _legs(spark, sf):
 
 
 def _hourly_ids(spark, sf):
-    return events.event_ids(tidy_for(spark, sf), ["tag_id", "protection"], 3600)
+    return events.event_ids(tidy_stage(spark, sf), ["tag_id", "protection"], 3600)
 
 
 def _bins(spark, sf):
@@ -174,7 +191,7 @@ def q_station_frequency(spark, sf):
 
 
 def q_datetime_summary(spark, sf):
-    return tidy.six_number(tidy_for(spark, sf), "datetime")
+    return tidy.six_number(tidy_stage(spark, sf), "datetime")
 
 
 def q_station_counts(spark, sf):
@@ -198,7 +215,7 @@ def q_residency_events(spark, sf):
 
 
 def q_residency_event_rows(spark, sf):
-    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS,
+    return events.residency_events(tidy_stage(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS,
                                    per="detection")
 
 
@@ -287,7 +304,7 @@ def q_rose_resident_hours(spark, sf):
 
 
 def q_abacus(spark, sf):
-    return timeline.abacus(tidy_for(spark, sf))
+    return timeline.abacus(tidy_stage(spark, sf))
 
 
 def q_tag_roses(spark, sf):
@@ -304,9 +321,13 @@ def q_range_datetime_summary(spark, sf):
     return tidy.six_number(range_test.range_detections(tables.range_raw(spark, sf), zone="UTC"), "datetime")
 
 
-def q_mean_residency_summary(spark, sf):
+def _means(spark, sf):
     m = residency.monthly_days(days_multi_year(spark, sf), years="distinct")
-    means = residency.mean_residency(m, STATION_KEYS, se="tags")
+    return residency.mean_residency(m, STATION_KEYS, se="tags")
+
+
+def q_mean_residency_summary(spark, sf):
+    means = _stage(spark, sf, "mean-residency", _means)
     return round_doubles(tidy.numeric_summary(means, "mean_days_present"), STAT_PLACES)
 
 

@@ -33,14 +33,15 @@ def to_ntz(col) -> Column:
 def epoch_us(col) -> Column:
     """Microseconds since 1970-01-01 00:00 of an NTZ wall-clock timestamp.
 
-    Built from calendar fields (days since the epoch, hour, minute, seconds
-    with fraction), which are read without any zone; ``timestamp_diff`` on NTZ
-    values goes through the session zone and is off across DST gaps."""
+    Built from calendar fields (days since the epoch, hour, minute, second),
+    which are read without any zone; ``timestamp_diff`` on NTZ values goes
+    through the session zone and is off across DST gaps.  Only the fraction of
+    the second is taken through it: zones differ by whole seconds."""
     t = to_ntz(col)
     days = F.datediff(F.to_date(t), F.lit(_EPOCH_DATE)).cast("long")
     hm = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long")
-    sec_us = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
-    return days * US_PER_DAY + hm * US_PER_SEC + sec_us
+    fraction = F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(US_PER_SEC))
+    return days * US_PER_DAY + (hm + F.second(t)) * US_PER_SEC + fraction
 
 
 def from_epoch_us(col) -> Column:

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingtrail.functions.time import US_PER_DAY, US_PER_HOUR, diff_us, epoch_us, floor_time, round_ratio_half_up
-from pingtrail.plans.sequence import bucket_events, bucket_of, group_key, reusable, sessionize
+from pingtrail.functions.time import (US_PER_DAY, US_PER_HOUR, diff_us, epoch_us, floor_time, from_epoch_us,
+                                      round_ratio_half_up)
+from pingtrail.plans.sequence import bucket_events, bucket_of, group_key, sessionize
 
 EVENT_CARRIED = ["scientific_name", "protection", "substrate"]
 
@@ -40,33 +41,33 @@ def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float,
     Plan: detections are aggregated once per (tag, station, gap bucket) with
     map-side partial aggregation; events are numbered over the buckets and
     summarised from them.  No window runs over the detections.
+    ``per='detection'`` reads ``df`` a second time, so pass a stage.
     """
     if per not in ("event", "detection"):
         raise ValueError("per must be 'event' or 'detection'")
     keys = ["tag_id", "station_name"]
-    src = reusable(df) if per == "detection" else df
-    carried = [c for c in EVENT_CARRIED if c in src.columns]
-    b = bucket_events(src, keys, "datetime", max_gap_secs, first_gap="zero", extra_keys=carried, aggs=[
-        F.min("datetime").alias("__s"), F.max("datetime").alias("__e"), F.count(F.lit(1)).alias("__n")])
-    ek = [*keys, "event_id"]
-    # event totals as windows over the bucket table (already partitioned by group)
+    carried = [c for c in EVENT_CARRIED if c in df.columns]
+    b = bucket_events(df, keys, "datetime", max_gap_secs, first_gap="zero", extra_keys=carried,
+                      aggs=[F.count(F.lit(1)).alias("__n")])
+    if per == "event":  # buckets are already partitioned by the group: no shuffle
+        b = b.groupBy("__grp", "event_id", *carried).agg(
+            F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("__n"))
+    # totals of the event over its rows (carried-value combinations, or buckets)
     ew = Window.partitionBy("__grp", "event_id")
-    b = b.withColumns({
-        "start_datetime": F.min("__s").over(ew),
-        "end_datetime": F.max("__e").over(ew),
-        "n_detections": F.sum("__n").over(ew).cast("long"),
-    })
-    b = b.withColumn("__dur_us", diff_us("end_datetime", "start_datetime"))
-    b = b.withColumn("duration_days", round_ratio_half_up("__dur_us", US_PER_DAY, 2)).drop("__dur_us")
-    b = b.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
-    cols = [*ek, "start_datetime", "end_datetime", "n_detections", "duration_days"]
+    ev = b.withColumns({"__lo": F.min("__lo").over(ew), "__hi": F.max("__hi").over(ew),
+                           "n_detections": F.sum("__n").over(ew).cast("long")})
+    ev = ev.withColumn("__dur_us", F.col("__hi") - F.col("__lo"))
+    ev = ev.withColumn("duration_days", round_ratio_half_up("__dur_us", US_PER_DAY, 2))
+    ev = ev.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
+    ev = ev.withColumns({"tag_id": F.col("__grp.tag_id"), "station_name": F.col("__grp.station_name"),
+                         "start_datetime": from_epoch_us("__lo"), "end_datetime": from_epoch_us("__hi")})
+    cols = [*keys, "event_id", "start_datetime", "end_datetime", "n_detections", "duration_days"]
     if per == "event":
-        # the group key stays in the distinct: the rows are already partitioned by it
-        return b.select("__grp", *cols, *carried).distinct().drop("__grp")
+        return ev.select(*cols, *carried)
     # per detection: every detection of a bucket of a kept event
-    bucket_map = b.select("__grp", "__bucket", *cols[2:]).distinct()
+    bucket_map = ev.select("__grp", "__bucket", *cols[2:]).distinct()
     width = max(int(round(max_gap_secs * 1_000_000)), 1)
-    rows = src.withColumns({"__grp": group_key(keys), "__us": epoch_us("datetime")}).withColumn(
+    rows = df.withColumns({"__grp": group_key(keys), "__us": epoch_us("datetime")}).withColumn(
         "__bucket", bucket_of("__us", width))
     return rows.join(bucket_map, ["__grp", "__bucket"], "inner").select(*cols, *carried)
 

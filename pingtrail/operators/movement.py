@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingtrail.operators.tidy import _complete, station_counts
-from pingtrail.plans.sequence import DEFAULT_CHUNK_US, DEFAULT_MAX_GROUP_ROWS, lead_columns
+from pingtrail.plans.sequence import DEFAULT_CHUNK_ROWS, lead_columns
 
 LEAD_COLUMNS = {
     "next_location": "station_name",
@@ -17,20 +17,20 @@ LEAD_COLUMNS = {
 }
 
 
-def movement_base(tidy: DataFrame, chunk_us: int = DEFAULT_CHUNK_US,
-                  max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+def movement_base(tidy: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Per tag, in time order: the next station, time and position, and a
     ``movement_id`` (row number).  ``minute``, ``hour``, ``transmitter`` and
     ``receiver`` are dropped first and rows with any NULL (e.g. a NULL tag id)
     are removed.  Ties on time break by station, then transmitter.
 
-    The largest tag is measured first: tags up to ``max_group_rows`` rows are
-    windowed whole; a larger (hot) tag switches to the day-chunked plan."""
+    One plan serves all tags: time chunks of about ``chunk_rows`` rows at most
+    (:func:`pingtrail.plans.sequence.lead_columns`).  ``tidy`` is read three
+    times, so pass a stage."""
     d = tidy.drop("minute", "hour", "receiver")
     d = _complete(d, [c for c in d.columns if c != "transmitter"])
     order = ["datetime", "station_name", "transmitter"]
-    out = lead_columns(d, ["tag_id"], order, LEAD_COLUMNS, row_number="movement_id", chunk_us=chunk_us,
-                       max_group_rows=max_group_rows)
+    out = lead_columns(d, ["tag_id"], order, LEAD_COLUMNS, row_number="movement_id",
+                       chunk_rows=chunk_rows)
     return out.drop("transmitter")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pingtrail.functions.text import parse_number
 from pingtrail.functions.time import US_PER_HOUR, epoch_us, floor_time, parse_date_time, shift_zone
-from pingtrail.plans.sequence import reusable
+from pingtrail.session import materialize
 
 
 def range_detections(raw: DataFrame, zone: str = "America/Santiago") -> DataFrame:
@@ -116,7 +116,7 @@ def fit_range(by_distance: DataFrame, *, max_iter: int = 25, tol: float = 1e-8)
 
     # IRLS makes one pass per iteration: checkpoint the (one row per distance)
     # input so the upstream aggregation runs once, not once per iteration.
-    by_distance = reusable(by_distance.where(F.col("distance").isNotNull()))
+    by_distance = materialize(by_distance.where(F.col("distance").isNotNull()))
     data = by_distance
     data = VectorAssembler(inputCols=["distance"], outputCol="features").transform(
         data.withColumn("distance", F.col("distance").cast("double")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pingtrail.functions.text import trailing_digits
-from pingtrail.functions.time import US_PER_HOUR, epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
+from pingtrail.functions.time import epoch_us, from_epoch_us, parse_dmy_hm, to_ntz
 from pingtrail.plans.quantiles import exact_quantiles
 
 RECEIVER_RENAMES = {
@@ -115,7 +115,7 @@ def six_number(df: DataFrame, col: str) -> DataFrame:
     Exact and distributed (:func:`pingtrail.plans.quantiles.exact_quantiles`);
     quantiles and the mean are floored to whole microseconds, the mean is
     summed exactly in decimal."""
-    q = exact_quantiles(df.select(epoch_us(col).alias("__us")), "__us", [0.25, 0.5, 0.75], US_PER_HOUR)
+    q = exact_quantiles(df.select(epoch_us(col).alias("__us")), "__us", [0.25, 0.5, 0.75])
     return q.select(
         from_epoch_us("min").alias("min"),
         from_epoch_us(F.floor("q_0")).alias("q1"),
@@ -126,10 +126,10 @@ def six_number(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, col: str, chunk_width: float = 1.0) -> DataFrame:
+def numeric_summary(df: DataFrame, col: str) -> DataFrame:
     """Min, quartiles (linear interpolation), mean and max of a numeric column
     (NULL and NaN ignored), exact and distributed like :func:`six_number`."""
-    q = exact_quantiles(df.select(F.col(col).cast("double").alias("__v")), "__v", [0.25, 0.5, 0.75], chunk_width)
+    q = exact_quantiles(df.select(F.col(col).cast("double").alias("__v")), "__v", [0.25, 0.5, 0.75])
     return q.select(
         F.col("min").alias("min"), F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
         (F.col("sum") / F.col("n")).alias("mean"), F.col("q_2").alias("q3"), F.col("max").alias("max"))

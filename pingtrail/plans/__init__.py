@@ -1,5 +1,3 @@
-"""Reusable physical-plan shapes: skew-split ordered windows, gap buckets and
-checked broadcasts."""
+"""Reusable physical-plan shapes: chunked ordered windows and gap buckets."""
 
-from pingtrail.plans.joins import bounded_broadcast, join_small  # noqa: F401
-from pingtrail.plans.sequence import bucket_events, lead_columns, number_rows, reusable, sessionize  # noqa: F401
+from pingtrail.plans.sequence import bucket_events, lead_columns, number_rows, sessionize  # noqa: F401

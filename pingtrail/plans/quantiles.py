@@ -1,12 +1,13 @@
 """Exact quantiles of a numeric column without holding its values in one task.
 
 ``percentile`` keeps a map of every distinct value in the final task, which
-grows with the data for microsecond timestamps.  Here the work is spread
-out: counts per value chunk of fixed width (partial aggregation), a running
-count over the chunk table (one row per non-empty chunk), and only the chunks
-that hold the wanted ranks are read again and histogrammed to find the
-values.  Interpolation is linear between the values at ranks
-floor((n-1)p) and ceil((n-1)p) (0-based).
+grows with the data for microsecond timestamps.  Here the range of the values
+(a scalar subquery of the same query) is cut into 65,536 chunks of equal
+width, so the chunk table has a fixed bound: counts per chunk (partial
+aggregation), a running count over the chunk table, and only the chunks that
+hold the wanted ranks are read again and histogrammed to find the values.
+Interpolation is linear between the values at ranks floor((n-1)p) and
+ceil((n-1)p) (0-based).
 """
 
 from __future__ import annotations
@@ -17,42 +18,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from pingtrail.plans.sequence import reusable
-from pingtrail.session import materialize
 
+_NO_CHUNK = -1
+MAX_CHUNKS = 65_536
 
-_NO_CHUNK = -(2**63)
 
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunk_width: float) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """One row: ``n``, ``min``, ``max``, ``sum`` of the numeric column ``col``
     (integers summed exactly in decimal) and a double ``q_<i>`` per
     probability (NULLs and NaN ignored).
 
-    Two passes over ``df`` (checkpointed first unless it is a plain scan): a
-    partial aggregate per value chunk (the small chunk table is checkpointed),
-    then a histogram of only the chunks that hold the wanted ranks (at most
-    two per probability)."""
+    ``df`` is read three times (pass a stage): for the range of its values, by a
+    partial aggregate per value chunk (``max_chunks`` at most), and for a
+    histogram of only the chunks that hold the wanted ranks (at most two per
+    probability)."""
     integral = isinstance(df.schema[col].dataType, IntegralType)
     # NULL/NaN handled as values, not filters: a filter on a computed column
     # would be pushed below the projection and copy the whole expression
     v = F.col(col) if integral else F.when(~F.isnan(F.col(col)), F.col(col))
-    src = reusable(df.select(col)).select(v.alias("v"))
-    # a non-null chunk key: joins on it add no inferred NULL filter either
-    src = src.withColumn("k", F.coalesce(F.floor(F.col("v") / F.lit(float(chunk_width))).cast("long"),
-                                         F.lit(_NO_CHUNK)))
+    src = df.select(v.alias("v"))
+    ends = src.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    lo, width = ends.select("lo").scalar(), ends.select(((F.col("hi") - F.col("lo")) / max_chunks)).scalar()
+    # monotone in v, so chunks are disjoint ranges; a non-null chunk key: joins on
+    # it add no inferred NULL filter either
+    chunk = F.when(width > 0, F.least(F.floor((F.col("v") - lo) / width), F.lit(max_chunks - 1))).otherwise(0)
+    src = src.withColumn("k", F.when(F.col("v").isNull(), _NO_CHUNK).otherwise(chunk).cast("long"))
     weighted = F.col("v").cast("decimal(20,0)") if integral else F.col("v")
     chunks = src.groupBy("k").agg(
         F.count("v").alias("nk"), F.min("v").alias("mink"), F.max("v").alias("maxk"), F.sum(weighted).alias("sk"))
     # drop the NULL chunk by its count (a filter on the key would be pushed
     # below the aggregate and copy the value expression into the scan)
     chunks = chunks.where(F.col("nk") > 0)
-    # running counts over the chunk table (one row per non-empty chunk)
+    # running counts over the chunk table (one row per non-empty chunk, max_chunks at most)
     every = Window.partitionBy(F.lit(0))
     before = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumns({"off": F.coalesce(F.sum("nk").over(before), F.lit(0)), "n": F.sum("nk").over(every)})
-    # the chunk table (one row per chunk) feeds three branches: computed once
-    chunks = materialize(chunks)
     totals = chunks.agg(F.max("n").alias("n"), F.min("mink").alias("min"), F.max("maxk").alias("max"),
                         F.sum("sk").alias("sum"))
     # wanted 0-based ranks: floor and ceil of (n-1)p, located in their chunk

@@ -4,15 +4,15 @@ A plain ``Window.partitionBy(tag).orderBy(time)`` sends every row of a tag to
 one task; with one tag holding a third of the data that task gets a third of
 the data.  Two plan shapes avoid it:
 
-* **Chunked windows** (row numbers, leads): the largest group is measured
-  first (one partial aggregate, one number to the driver).  Up to
-  ``max_group_rows`` a plain per-group window is used.  Beyond it, rows are
-  windowed per (group, time chunk).  What crosses a chunk boundary (row
-  counts, the first row of the next chunk) comes from an aggregate per
-  (group, chunk), computed with map-side partial aggregation; a small window
-  over that summary (one row per group and chunk) carries it forward, and it
-  is joined back on (group, chunk), the key the windowed rows are already
-  partitioned by.
+* **Chunked windows** (row numbers, leads): rows are windowed per (group, time
+  chunk).  One chunk width serves all groups: it follows from the fullest
+  (group, day), a scalar subquery of the same query, so that no chunk of whole
+  days holds more than ``chunk_rows`` rows and a fuller day is cut evenly.
+  What crosses a chunk boundary (row counts, the first row of the next chunk)
+  comes from an aggregate per (group, chunk) with map-side partial
+  aggregation; a small window over that summary (one row per group and chunk)
+  carries it forward, and it is joined back on (group, chunk), the key the
+  windowed rows are already partitioned by.
 * **Gap buckets** (gap-and-island event ids): in time buckets as wide as the
   gap limit two consecutive detections are never more than the limit apart,
   so an event can only start at a bucket's first detection.  Event ids are
@@ -20,9 +20,9 @@ the data.  Two plan shapes avoid it:
   max time), a small window over buckets, and per-row results only where the
   caller asks for them.
 
-The summary branch reads the input a second time; when the input is not a
-plain scan (it has joins, aggregates, windows) it is checkpointed first in the
-shared folder, so that nothing upstream runs twice.
+Nothing runs while a plan is being defined.  The plans read their input two or
+three times, so pass a stage (``save_stage``/``load_stage``): a derived input
+would be computed once per read.
 
 Groups are keyed by ``struct(keys)``: a NULL key (e.g. a NULL tag id) forms one
 group, as in a window, and joins back without a null-safe rewrite.
@@ -30,60 +30,19 @@ group, as in a window, and joins back without a null-safe rewrite.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.functions.time import US_PER_DAY, epoch_us
-from pingtrail.plans.joins import bounded_broadcast
-from pingtrail.session import materialize
 
 _G = "__grp"
 _K = "__chunk"
 _NO_TIME = -(2**62)
 
-DEFAULT_CHUNK_US = US_PER_DAY
-
-# Groups up to this many rows are windowed whole (one sort per group in one
-# task); a larger group switches the operator to the chunked plan.
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-# Logical plan nodes that are cheap to evaluate twice (a scan and row-wise work).
-_CHEAP_NODES = {"Project", "Filter", "Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range",
-                "SubqueryAlias", "View", "ResolvedHint", "Generate", "Sample", "RelationV2", "StreamingRelation"}
-
-
-def _plan_nodes(df: DataFrame) -> set[str] | None:
-    try:
-        text = df._jdf.queryExecution().optimizedPlan().treeString()
-    except Exception:  # no JVM handle (e.g. Spark Connect)
-        return None
-    names = set()
-    for line in text.splitlines():
-        m = re.match(r"^[\s:|+\-]*([A-Za-z][A-Za-z0-9]*)", line)
-        if m:
-            names.add(m.group(1))
-    return names
-
-
-def reusable(df: DataFrame) -> DataFrame:
-    """``df`` itself when reading it twice only repeats a scan, else a
-    checkpoint of it (joins, aggregates and windows run once)."""
-    nodes = _plan_nodes(df)
-    if nodes is not None and nodes <= _CHEAP_NODES:
-        return df
-    return materialize(df)
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest ``keys`` group (one aggregate job, partial
-    aggregation; only the single number reaches the driver)."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
+# Rows that one task windows at most (of one group, as long as a day's rows are spread over the day).
+DEFAULT_CHUNK_ROWS = 2_000_000
 
 
 def _order_cols(order: Sequence) -> list[Column]:
@@ -110,55 +69,32 @@ def _bucket(us_col: str, width_us: int) -> Column:
     return ((us - F.pmod(us, F.lit(width_us))) / F.lit(float(width_us))).cast("long")
 
 
-def _with_chunks(df: DataFrame, keys, time_col: str, chunk_us: int) -> DataFrame:
+def _with_chunks(df: DataFrame, keys, time_col: str, chunk_rows: int) -> DataFrame:
+    """``df`` with its group and its time chunk.
+
+    With at most n rows of a group on one day, ``chunk_rows div n`` whole days
+    hold at most ``chunk_rows`` of them; if one day holds more, the chunk is
+    that share of a day (a microsecond at least)."""
+    if chunk_rows < 1:
+        raise ValueError("chunk_rows must be positive")
     d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
+    days = d.groupBy(_G, _bucket("__us", US_PER_DAY).alias("__day")).agg(F.count("__us").alias("__n"))
+    fullest = days.agg(F.greatest(F.max("__n"), F.lit(1)).alias("__n")).scalar()
+    share = F.floor(F.lit(float(US_PER_DAY)) * chunk_rows / fullest).cast("long")
+    # whole days, if the share reaches one: the bound is then exact
+    width = F.when(share >= US_PER_DAY, share - F.pmod(share, F.lit(US_PER_DAY))).otherwise(F.greatest(share, F.lit(1)))
+    us = F.col("__us")
     # rows without a time are a chunk of their own, before all others (as NULLs sort)
-    return d.withColumn(_K, F.coalesce(_bucket("__us", chunk_us), F.lit(_NO_TIME))).drop("__us")
-
-
-def split_hot_groups(src: DataFrame, keys: Sequence[str], max_group_rows: int | None):
-    """(rows of ordinary groups, rows of hot groups); either may be None.
-
-    The largest group is measured first (one number to the driver).  Only if
-    it exceeds ``max_group_rows`` are the hot group keys computed (at most
-    rows / max_group_rows of them, checkpointed) and used in size-checked
-    broadcast semi/anti joins to route rows.  ``None`` sends all rows to the
-    chunked plan."""
-    if max_group_rows is None:
-        return None, src
-    if largest_group(src, keys) <= max_group_rows:
-        return src, None
-    sizes = src.groupBy(_group(keys).alias(_G)).agg(F.count(F.lit(1)).alias("__n"))
-    hot = bounded_broadcast(materialize(sizes.where(F.col("__n") > max_group_rows).select(_G)))
-    tagged = src.withColumn(_G, _group(keys))
-    return (tagged.join(hot, _G, "left_anti").drop(_G), tagged.join(hot, _G, "left_semi").drop(_G))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return d.withColumn("__width", width.cast("long")).withColumn(
+        _K, F.coalesce(us - F.pmod(us, F.col("__width")), F.lit(_NO_TIME))).drop("__us", "__width")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
-                chunk_us: int = DEFAULT_CHUNK_US, max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
-    timestamp column used for chunking (later order columns break ties).
-    Groups larger than ``max_group_rows`` (measured first) use the chunked
-    plan, the others a plain window; ``None`` chunks every group."""
-    cold, hot = split_hot_groups(reusable(df), keys, max_group_rows)
-    parts = []
-    if cold is not None:
-        w = Window.partitionBy(*keys).orderBy(*_order_cols(order)) if keys else Window.orderBy(*_order_cols(order))
-        parts.append(cold.withColumn(out, F.row_number().over(w).cast("long")))
-    if hot is not None:
-        parts.append(_number_rows_chunked(hot, keys, order, out, chunk_us))
-    return _union(parts)
-
-
-def _number_rows_chunked(src: DataFrame, keys, order, out: str, chunk_us: int) -> DataFrame:
-    d = _with_chunks(src, keys, order[0], chunk_us)
+    timestamp column used for chunking (later order columns break ties).  Every
+    group is windowed in chunks of about ``chunk_rows`` rows at most."""
+    d = _with_chunks(df, keys, order[0], chunk_rows)
     sizes = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -169,29 +105,12 @@ def _number_rows_chunked(src: DataFrame, keys, order, out: str, chunk_us: int) -
 
 
 def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], *,
-                 row_number: str | None = None, chunk_us: int = DEFAULT_CHUNK_US,
-                 max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                 row_number: str | None = None, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add ``lead(src)`` per group for each ``{out_name: src}`` in ``cols``
     (NULL on a group's last row), and optionally a ``row_number`` column.
     ``order`` are column names; ``order[0]`` is the timestamp used for chunks.
-    Groups larger than ``max_group_rows`` (measured first) use the chunked
-    plan, the others a plain window; ``None`` chunks every group."""
-    cold, hot = split_hot_groups(reusable(df), keys, max_group_rows)
-    parts = []
-    if cold is not None:
-        w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
-        new = {name: F.lead(c).over(w) for name, c in cols.items()}
-        if row_number:
-            new[row_number] = F.row_number().over(w).cast("long")
-        parts.append(cold.withColumns(new))
-    if hot is not None:
-        parts.append(_lead_chunked(hot, keys, order, cols, row_number, chunk_us))
-    return _union(parts)
-
-
-def _lead_chunked(src: DataFrame, keys, order, cols: dict[str, str], row_number: str | None,
-                  chunk_us: int) -> DataFrame:
-    d = _with_chunks(src, keys, order[0], chunk_us)
+    Every group is windowed in chunks of about ``chunk_rows`` rows at most."""
+    d = _with_chunks(df, keys, order[0], chunk_rows)
     srcs = list(dict.fromkeys(cols.values()))
     first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                          *[F.col(s).alias(s) for s in srcs])
@@ -270,7 +189,7 @@ def sessionize(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gap
     Event ids come from :func:`bucket_events`; the rows are windowed only per
     (group, gap bucket) for the in-bucket gaps.
     """
-    src = reusable(df)
+    src = df
     limit_us = int(round(max_gap_secs * 1_000_000))
     width = max(limit_us, 1)
     ev = bucket_events(src, keys, order[0], max_gap_secs, first_gap=first_gap).select(

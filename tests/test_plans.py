@@ -48,3 +48,14 @@ def test_scans_are_pruned(spark):
     schema = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     events_schema = [s for s in schema if "user_id" in s]
     assert events_schema and all("value" not in s for s in events_schema)
+
+
+def test_no_job_runs_while_a_query_is_defined(spark):
+    catalog.tidy_stage(spark, SF)  # written once per session and folder
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("movement_base", "movement_legs", "abacus", "hourly_event_ids", "datetime_summary",
+                 "residency_event_rows", "residency_events", "monthly_days"):
+        spark.sparkContext.setJobGroup(f"define-{name}", name)
+        catalog.QUERIES[name](spark, SF)
+        assert len(tracker.getJobIdsForGroup(f"define-{name}")) == 0, name
+    spark.sparkContext.setJobGroup("other", "other")

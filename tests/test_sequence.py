@@ -7,11 +7,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pingtrail.functions.time import US_PER_HOUR, epoch_us
+from pingtrail.functions.time import epoch_us
 from pingtrail.plans.sequence import lead_columns, number_rows, sessionize
 
-MIN_US = 60 * 10**6
-
 
 def _data(spark, n=600, seed=7):
     rnd = random.Random(seed)
@@ -47,15 +45,13 @@ def _sorted(df, cols):
 def test_chunked_windows_equal_plain_windows(spark):
     df = _data(spark)
     expect = _plain(df, 3600, "null")
-    for chunk in (MIN_US * 7, US_PER_HOUR, US_PER_HOUR * 24, US_PER_HOUR * 24 * 365):
-        order = ["t", "s", "i"]
-        # all chunked / all measured hot / only the hot group chunked / whole groups
-        for bound in (None, 0, 200, 10**9):
-            got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_us=chunk,
-                               max_group_rows=bound)
-            assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
-            got = number_rows(df, ["k"], order, out="rn", chunk_us=chunk, max_group_rows=bound)
-            assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
+    order = ["t", "s", "i"]
+    # minutes, hours, days and the whole table per chunk
+    for rows in (1, 3, 20, 10**9):
+        got = lead_columns(df, ["k"], order, {"nt": "t", "ns": "s"}, row_number="rn", chunk_rows=rows)
+        assert _sorted(got, ["i", "rn", "nt", "ns"]) == _sorted(expect, ["i", "rn", "nt", "ns"])
+        got = number_rows(df, ["k"], order, out="rn", chunk_rows=rows)
+        assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
 
 
 def test_bucketed_sessions_equal_plain_windows(spark):
@@ -99,27 +95,33 @@ def test_hourly_bins_equal_per_row_path(spark):
     assert sorted(map(repr, got.select(*sel).collect())) == sorted(map(repr, plain.select(*sel).collect()))
 
 
-def test_only_hot_groups_take_the_chunked_plan(spark):
-    from pingtrail.plans.sequence import split_hot_groups
-    df = _data(spark)
-    sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
-    assert sizes["hot"] > 200 and all(v <= 200 for k, v in sizes.items() if k != "hot")
-    cold, hot = split_hot_groups(df, ["k"], 200)
-    assert {r.k for r in hot.select("k").distinct().collect()} == {"hot"}
-    assert cold.count() + hot.count() == df.count()
-    assert cold.where(F.col("k").isNull()).count() == sizes[None]
+def _chunk_sizes(df, chunk_rows):
+    from pingtrail.plans.sequence import _with_chunks
+    return [r["count"] for r in _with_chunks(df, ["k"], "t", chunk_rows).groupBy("__grp", "__chunk").count().collect()]
 
 
-def test_hot_group_is_split_across_tasks(spark):
-    """A group holding most rows lands in many (group, chunk) window partitions."""
+def test_chunks_are_bounded_in_rows(spark):
     df = _data(spark, n=800)
-    chunks = (df.where(F.col("k") == "hot")
-              .select(F.floor(epoch_us("t") / F.lit(float(US_PER_HOUR * 24))).alias("c")).distinct().count())
-    assert chunks > 10
+    fullest = df.groupBy("k", F.to_date("t")).count().agg(F.max("count")).first()[0]
+    # whole days: the bound is exact
+    assert max(_chunk_sizes(df, 3 * fullest)) <= 3 * fullest
+    assert _chunk_sizes(df, 10**9) and len(_chunk_sizes(df, 10**9)) == 4
+    # one tag with a hot day: the day is cut, evenly spread rows stay at the bound
+    day = spark.range(10_000).select(F.lit("hot").alias("k"), F.timestamp_add(
+        "MILLISECOND", F.col("id") * 8640, F.expr("TIMESTAMP_NTZ'2024-05-01 00:00:00'")).alias("t"))
+    sizes = _chunk_sizes(day, 500)
+    assert sum(sizes) == 10_000 and max(sizes) <= 501 and len(sizes) >= 19
+    # rows at one instant can't be cut by time, and are all kept
+    tie = spark.range(50).select(F.lit("x").alias("k"), F.expr("TIMESTAMP_NTZ'2024-05-01 00:00:00'").alias("t"), "id")
+    got = number_rows(tie, ["k"], ["t", "id"], out="n", chunk_rows=5)
+    assert sorted(r.n for r in got.collect()) == list(range(1, 51))
 
 
 def test_global_numbering_without_keys(spark):
     df = _data(spark, n=200)
-    got = number_rows(df, [], ["t", "s", "i"], out="rn", chunk_us=US_PER_HOUR, max_group_rows=None)
+    got = number_rows(df, [], ["t", "s", "i"], out="rn", chunk_rows=10)
     expect = df.withColumn("rn", F.row_number().over(Window.orderBy("t", "s", "i")))
     assert _sorted(got, ["i", "rn"]) == _sorted(expect, ["i", "rn"])
+    none = df.where("false")
+    assert number_rows(none, ["k"], ["t"]).collect() == []
+    assert lead_columns(none, ["k"], ["t"], {"nt": "t"}, row_number="rn").collect() == []

@@ -37,13 +37,12 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
-    tidy = catalog.tidy_for(spark, sf, 50, 25)
+    tidy = catalog.tidy_for(spark, sf)
     stage = load_stage(spark, save_stage(tidy, scratch_path(spark, "plans-tidy")), tidy.schema)
     items = [
         ("tidy_detections (from the raw tables)", catalog.QUERIES["tidy_detections"](spark, sf)),
         ("residency_events (on a tidy stage)", events.residency_events(stage, min_days=1.0)),
-        ("movement_base (on a tidy stage; tags under the group bound)", movement.movement_base(stage)),
-        ("movement_base, chunked plan (what a hot tag gets)", movement.movement_base(stage, max_group_rows=None)),
+        ("movement_base (on a tidy stage)", movement.movement_base(stage)),
         ("hour_bins (from the raw tables)", catalog.QUERIES["hour_bins"](spark, sf)),
         ("range_expected (from the raw tables)", catalog.QUERIES["range_expected"](spark, sf)),
     ]

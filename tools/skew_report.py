@@ -1,5 +1,5 @@
 """Hot-tag report: one tag gets a third of the detections; movement_base runs on
-the whole-group plan and on the chunked plan, residency_events on its bucket
+chunks too large to cut anything and on small chunks, residency_events on its bucket
 plan; Spark's event log (written to a fresh scratch folder) gives the largest
 number of shuffle records one task read.
 
@@ -58,7 +58,7 @@ def prepare(sf_dir: str) -> tuple[str, object, int, int]:
     from pingtrail.sources.stages import save_stage
 
     spark = _session("skew-prepare", {"spark.sql.shuffle.partitions": "8"})
-    tidy = catalog.tidy_for(spark, sf_dir, 50, 25)
+    tidy = catalog.tidy_for(spark, sf_dir)
     hot = tidy.withColumn("tag_id", F.when(F.abs(F.hash("transmitter", "datetime")) % 3 == 0, F.lit("HOT"))
                           .otherwise(F.col("tag_id")))
     path = save_stage(hot, scratch_path(spark, "hot"))
@@ -81,11 +81,11 @@ def run(path: str, schema, plan: str, partitions: int = 32) -> dict:
 
     stage = spark.read.schema(schema).parquet(path)
     t = time.perf_counter()
-    bounds = {"whole-group": 10**12, "chunked": None, "hot-only-chunked": 10_000}
+    bounds = {"whole-group": 10**12, "chunked": 5_000}
     if plan == "residency-buckets":
         out = events.residency_events(stage, min_days=1.0)
     else:
-        out = movement.movement_base(stage, max_group_rows=bounds[plan])
+        out = movement.movement_base(stage, chunk_rows=bounds[plan])
     out.write.format("noop").mode("overwrite").save()
     secs = time.perf_counter() - t
     spark.stop()
@@ -97,5 +97,5 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     path, schema, n, n_hot = prepare(sf)
     print(json.dumps({"rows": n, "hot_tag_rows": n_hot}))
-    for plan in ("whole-group", "chunked", "hot-only-chunked", "residency-buckets"):
+    for plan in ("whole-group", "chunked", "residency-buckets"):
         print(json.dumps(run(path, schema, plan)))
