@@ -5,14 +5,17 @@ one task; with one tag holding a third of the data that task gets a third of
 the data.  Two plan shapes avoid it:
 
 * **Chunked windows** (row numbers, leads): rows are windowed per (group, time
-  chunk).  One chunk width serves all groups: it follows from the fullest
-  (group, day), a scalar subquery of the same query, so that no chunk of whole
-  days holds more than ``chunk_rows`` rows and a fuller day is cut evenly.
+  chunk).  One chunk width serves all groups: all time if the largest group
+  has at most ``chunk_rows`` rows, else it follows from the fullest (group,
+  day), so that no chunk of whole days holds more than ``chunk_rows`` rows and
+  a fuller day is cut evenly.  Both sizes are scalar subqueries of the query.
   What crosses a chunk boundary (row counts, the first row of the next chunk)
   comes from an aggregate per (group, chunk) with map-side partial
   aggregation; a small window over that summary (one row per group and chunk)
   carries it forward, and it is joined back on (group, chunk), the key the
-  windowed rows are already partitioned by.
+  windowed rows are already partitioned by.  If no group is cut, nothing
+  crosses a boundary: the summary is empty and adaptive execution drops the
+  join.
 * **Gap buckets** (gap-and-island event ids): in time buckets as wide as the
   gap limit two consecutive detections are never more than the limit apart,
   so an event can only start at a bucket's first detection.  Event ids are
@@ -39,6 +42,7 @@ from pingtrail.functions.time import US_PER_DAY, epoch_us
 
 _G = "__grp"
 _K = "__chunk"
+_H = "__hash"  # first key of the chunk sorts: a long, so most rows compare by its prefix alone
 _NO_TIME = -(2**62)
 
 # Rows that one task windows at most (of one group, as long as a day's rows are spread over the day).
@@ -69,8 +73,9 @@ def _bucket(us_col: str, width_us: int) -> Column:
     return ((us - F.pmod(us, F.lit(width_us))) / F.lit(float(width_us))).cast("long")
 
 
-def _with_chunks(df: DataFrame, keys, time_col: str, chunk_rows: int) -> DataFrame:
-    """``df`` with its group and its time chunk.
+def _with_chunks(df: DataFrame, keys, time_col: str, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its group and its time chunk, and the same rows for the
+    summary of the chunks (none if no group is cut).
 
     With at most n rows of a group on one day, ``chunk_rows div n`` whole days
     hold at most ``chunk_rows`` of them; if one day holds more, the chunk is
@@ -78,15 +83,21 @@ def _with_chunks(df: DataFrame, keys, time_col: str, chunk_rows: int) -> DataFra
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
     d = df.withColumns({_G: _group(keys), "__us": epoch_us(time_col)})
-    days = d.groupBy(_G, _bucket("__us", US_PER_DAY).alias("__day")).agg(F.count("__us").alias("__n"))
-    fullest = days.agg(F.greatest(F.max("__n"), F.lit(1)).alias("__n")).scalar()
+    sizes = d.groupBy(_G).agg(F.count(F.lit(1)).alias("__n"))
+    cut = sizes.agg(F.coalesce(F.max("__n") > chunk_rows, F.lit(False)).alias("__cut")).scalar()
+    days = d.where(cut).groupBy(_G, _bucket("__us", US_PER_DAY).alias("__day")).agg(F.count("__us").alias("__n"))
+    # NULL, and so is the width, if no group is cut
+    fullest = days.agg(F.max(F.greatest(F.col("__n"), F.lit(1))).alias("__n")).scalar()
     share = F.floor(F.lit(float(US_PER_DAY)) * chunk_rows / fullest).cast("long")
     # whole days, if the share reaches one: the bound is then exact
-    width = F.when(share >= US_PER_DAY, share - F.pmod(share, F.lit(US_PER_DAY))).otherwise(F.greatest(share, F.lit(1)))
+    width = F.when(share < 1, 1).when(share < US_PER_DAY, share).otherwise(share - F.pmod(share, F.lit(US_PER_DAY)))
     us = F.col("__us")
     # rows without a time are a chunk of their own, before all others (as NULLs sort)
-    return d.withColumn("__width", width.cast("long")).withColumn(
-        _K, F.coalesce(us - F.pmod(us, F.col("__width")), F.lit(_NO_TIME))).drop("__us", "__width")
+    chunk = F.coalesce(us - F.pmod(us, F.col("__width")), F.lit(_NO_TIME))
+    d = d.withColumn("__width", width.cast("long")).withColumn(
+        _K, F.when(F.col("__width").isNull(), F.lit(0)).otherwise(chunk)).drop("__us", "__width")
+    d = d.withColumn(_H, F.xxhash64(_G, _K))
+    return d, d.where(cut)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str = "row_number",
@@ -94,14 +105,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, *, out: str
     """``row_number() over (partition by keys order by order)``; ``order[0]`` is a
     timestamp column used for chunking (later order columns break ties).  Every
     group is windowed in chunks of about ``chunk_rows`` rows at most."""
-    d = _with_chunks(df, keys, order[0], chunk_rows)
-    sizes = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"))
+    d, cut = _with_chunks(df, keys, order[0], chunk_rows)
+    sizes = cut.groupBy(_H, _K, _G).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(_G).orderBy(_K).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_K, _G).orderBy(*_order_cols(order))))
-    return (rows.join(offsets, [_K, _G], "inner")
-            .withColumn(out, (F.col("__off") + F.col("__local")).cast("long"))
-            .drop(_G, _K, "__local", "__off"))
+    offsets = sizes.select(_H, _G, _K, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    rows = d.withColumn("__local", F.row_number().over(Window.partitionBy(_H, _K, _G).orderBy(*_order_cols(order))))
+    return (rows.join(offsets, [_H, _K, _G], "left")
+            .withColumn(out, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("long"))
+            .drop(_H, _G, _K, "__local", "__off"))
 
 
 def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], *,
@@ -110,30 +121,30 @@ def lead_columns(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     (NULL on a group's last row), and optionally a ``row_number`` column.
     ``order`` are column names; ``order[0]`` is the timestamp used for chunks.
     Every group is windowed in chunks of about ``chunk_rows`` rows at most."""
-    d = _with_chunks(df, keys, order[0], chunk_rows)
+    d, cut = _with_chunks(df, keys, order[0], chunk_rows)
     srcs = list(dict.fromkeys(cols.values()))
     first_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                          *[F.col(s).alias(s) for s in srcs])
-    summary = d.groupBy(_K, _G).agg(F.count(F.lit(1)).alias("__n"), F.min(first_key).alias("__first"))
+    summary = cut.groupBy(_H, _K, _G).agg(F.count(F.lit(1)).alias("__n"), F.min(first_key).alias("__first"))
     ws = Window.partitionBy(_G).orderBy(_K)
     carried = {"__next_first": F.lead("__first").over(ws)}
     if row_number:
         carried["__off"] = F.coalesce(F.sum("__n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summary = summary.select(_G, _K, *[c.alias(n) for n, c in carried.items()])
+    summary = summary.select(_H, _G, _K, *[c.alias(n) for n, c in carried.items()])
 
-    w = Window.partitionBy(_K, _G).orderBy(*_order_cols(order))
+    w = Window.partitionBy(_H, _K, _G).orderBy(*_order_cols(order))
     local = {f"__nxt_{i}": F.lead(src).over(w) for i, src in enumerate(srcs)}
     local["__has_next"] = F.lead(F.lit(True)).over(w).isNotNull()
     if row_number:
         local["__local"] = F.row_number().over(w)
-    out = d.withColumns(local).join(summary, [_K, _G], "inner")
+    out = d.withColumns(local).join(summary, [_H, _K, _G], "left")
     # the next row is in this chunk, else it is the first row of the next chunk
     new_cols = {name: F.when(F.col("__has_next"), F.col(f"__nxt_{srcs.index(src)}"))
                 .otherwise(F.col("__next_first").getField(src))
                 for name, src in cols.items()}
     if row_number:
-        new_cols[row_number] = (F.col("__off") + F.col("__local")).cast("long")
-    return out.withColumns(new_cols).drop(_G, _K, "__has_next", "__next_first", "__off", "__local",
+        new_cols[row_number] = (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("long")
+    return out.withColumns(new_cols).drop(_H, _G, _K, "__has_next", "__next_first", "__off", "__local",
                                           *[f"__nxt_{i}" for i in range(len(srcs))])
 
 

@@ -97,7 +97,7 @@ def test_hourly_bins_equal_per_row_path(spark):
 
 def _chunk_sizes(df, chunk_rows):
     from pingtrail.plans.sequence import _with_chunks
-    return [r["count"] for r in _with_chunks(df, ["k"], "t", chunk_rows).groupBy("__grp", "__chunk").count().collect()]
+    return [r["count"] for r in _with_chunks(df, ["k"], "t", chunk_rows)[0].groupBy("__grp", "__chunk").count().collect()]
 
 
 def test_chunks_are_bounded_in_rows(spark):
