@@ -43,8 +43,13 @@ def _shingles(words: Column, k: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def _read(df: DataFrame, key: str, k: int) -> DataFrame:
-    df = df.select(F.col(key).cast("long").alias("key"), _word_hashes(F.col("text").cast("string")).alias("words"))
+def _text_hash() -> Column:
+    """Beside the id this names a document: ids may be NULL or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _read(df: DataFrame, key: str, k: int, *more: Column) -> DataFrame:
+    df = df.select(F.col(key).cast("long").alias("key"), *more, _word_hashes(F.col("text").cast("string")).alias("words"))
     return df.withColumn("shingles", _shingles(F.col("words"), k))
 
 
@@ -88,15 +93,9 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).drop(*[f"_{c}" for c in keys])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
           radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``start`` (word, from 0; below 0 if the item's
-    beginning would stand before the document), ``n_words``, ``similarity``: for
-    each document and item the most similar window, the first of equal ones.
-
-    Texts without words (NULL, empty) match nothing.  An item of fewer than
-    ``shingle`` words is one shingle: it matches a document that consists of it.
-    Rows with equal keys count as one document; other columns are ignored."""
+    """The rows of :func:`leaks` with ``text_hash``."""
     items = _read(benchmark, "item_id", shingle).where(F.size("words") > 0)
     items = stored(items.distinct().withColumn("w", F.size("words")), "items")
     anchors = items.select("w", F.posexplode("shingles").alias("off", "h")).distinct()
@@ -104,15 +103,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
         anchors = F.broadcast(anchors)
 
     # outer: an inner explode would add a filter that computes the shingles twice; the join drops NULL
-    places = _read(docs, "doc_id", shingle).select("key", "words", F.posexplode_outer("shingles").alias("pos", "h"))
+    places = _read(docs, "doc_id", shingle, _text_hash().alias("hash")).select("key", "hash", "words", F.posexplode_outer("shingles").alias("pos", "h"))
     slack = F.floor(F.greatest(F.col("w") - shingle + 1, F.lit(1)) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     at = F.col("pos") - F.col("off")
     first, end = F.greatest(at - slack, F.lit(0)), F.least(at + F.col("w") + slack, F.size("words"))
-    regions = places.join(anchors, "h").select("key", "w", at.alias("at"), (at - first).alias("lead"),
+    regions = places.join(anchors, "h").select("key", "hash", "w", at.alias("at"), (at - first).alias("lead"),
                                                F.slice("words", first + 1, end - first).alias("content")).distinct()
     regions = stored(regions.withColumn("id", F.xxhash64("content")), "regions")
 
-    own = ["key", "at", "w", "id", "shift"]
+    own = ["key", "hash", "at", "w", "id", "shift"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
     windows = regions.repartition(tasks, "key", "at").withColumn("shift", F.explode(F.sequence(-slack, slack)))
     begin = F.greatest(F.col("lead") + F.col("shift"), F.lit(0))
@@ -132,14 +131,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, simi
                  items.select(F.col("key").alias("item"), "w", "shingles"), ["item", "w"])
     both = both.withColumn("there", _occurrences("shingles"))
     like = both.withColumn("similarity", F.size(F.array_intersect("here", "there")) / F.size(F.array_union("here", "there")))
-    best = like.where(F.col("similarity") >= similarity).groupBy("key", "item").agg(
+    best = like.where(F.col("similarity") >= similarity).groupBy("key", "hash", "item").agg(
         F.max(F.struct("similarity", (-F.col("at") - F.col("shift")).alias("before"), F.col("w"))).alias("best"))
-    return best.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("best.before")).alias("start"),
+    return best.select(F.col("key").alias("doc_id"), F.col("hash").alias("text_hash"), F.col("item").alias("item_id"), (-F.col("best.before")).alias("start"),
                        F.col("best.w").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``item_id``, ``start`` (word, from 0; below 0 if the item's
+    beginning would stand before the document), ``n_words``, ``similarity``: for
+    each document and item the most similar window, the first of equal ones.
+
+    Texts without words (NULL, empty) match nothing.  An item of fewer than
+    ``shingle`` words is one shingle: it matches a document that consists of it.
+    A document is a row's id and text: different texts under one id, or under
+    NULL, are documents of their own.  Other columns are ignored."""
+    return _leaks(docs, benchmark, **options).drop("text_hash")
+
+
 @column_safe
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item, all columns kept."""
-    found = stored(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_leaked"]), "left_anti")
+    found = _leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_hash"))
+    found = stored(found.distinct(), "leaked")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_leaked"]) & (_text_hash() == found["_hash"]), "left_anti")

@@ -99,3 +99,14 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame([(1, "a " + item), (2, "clean"), (None, "clean"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert sorted((r.doc_id or 0) for r in decontaminate.decontaminate(docs, bench).collect()) == [0, 2, 3]
+
+
+def test_clean_documents_beside_a_leaked_one_with_their_id_stay(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(7, "a " + item), (7, "clean"), (None, "b " + item), (None, "clean too"), (None, None), (8, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "clean"), ("None", "None"), ("None", "clean too")]
+    found = decontaminate.leaks(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.start) for r in found) == [("7", 1), ("8", 0), ("None", 1)]
