@@ -3,7 +3,7 @@
 A line's tokens are the set of its words (between ASCII white space, A-Z
 lower-cased).
 Lines with equal sets are one *class*, whose first line is the one with the
-smallest (doc_id, line).  Two classes match if the Jaccard similarity of their
+smallest (doc_id, text_hash, line).  Two classes match if the Jaccard similarity of their
 sets reaches the threshold t.  A line is removed if an earlier line matches it:
 all but the first line of a class go, and that one goes too if the class
 matches one whose first line is earlier.
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingtrail.llm.shared import column_safe, stored, texts
@@ -41,8 +41,13 @@ NULL_ID = -(2 ** 63)
 _EPS = 1e-9
 
 
+def _text_hash() -> Column:
+    """Beside the id this names a document: ids may be NULL or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    return texts(docs).withColumns({"doc_id": F.coalesce("doc_id", F.lit(NULL_ID)), "text_hash": _text_hash()})
 
 
 def _portions(batches):
@@ -127,7 +132,7 @@ def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per line with tokens: ``doc_id``, ``line`` (from 0), ``a``, ``b``
+    """A row per line with tokens: ``doc_id``, ``text_hash``, ``line`` (from 0), ``a``, ``b``
     (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (32-bit
     hashes of the rarest tokens); one row with size 0 for a document without such lines."""
     def run(batches):
@@ -141,19 +146,19 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
             offsets = np.concatenate([[0], np.cumsum(length)])
             keep = sizes > 0
             bare = np.setdiff1d(np.arange(batch.num_rows), row[keep])
-            ids = batch.column("doc_id").to_numpy()
+            ids, texts_ = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets[1:][keep]]), pa.int32()), pa.array(short))
-            kinds = "doc_id", "line", "a", "b", "p", "q", "size", "prefix"
+            kinds = "doc_id", "text_hash", "line", "a", "b", "p", "q", "size", "prefix"
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[row[keep]]), pa.array(number[keep].astype("i4")),
+                pa.array(ids[row[keep]]), pa.array(texts_[row[keep]]), pa.array(number[keep].astype("i4")),
                 *(pa.array(d[keep].view("i8")) for d in digests), pa.array(sizes[keep].astype("i4")), prefix],
                 names=kinds)
             none = np.zeros(len(bare), "i8")
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[bare]), pa.array(none.astype("i4") - 1), *[pa.array(none)] * 4, pa.array(none.astype("i4")),
+                pa.array(ids[bare]), pa.array(texts_[bare]), pa.array(none.astype("i4") - 1), *[pa.array(none)] * 4, pa.array(none.astype("i4")),
                 pa.array([[]] * len(bare), pa.list_(pa.int32()))], names=kinds)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, line int, a long, b long, p long, q long, size int, prefix array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<int>")
 
 
 def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -173,9 +178,9 @@ def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size of the hashes of (``doc_id``, ``line``)."""
-    slot = F.pmod(F.xxhash64("doc_id", "line"), F.lit(bits))
-    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {bits}) % 64 as int))").alias("m"))
+    """A bitmap of fixed size of the hashes of (``doc_id``, ``text_hash``, ``line``)."""
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash", "line"), F.lit(bits))
+    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, text_hash, line), {bits}) % 64 as int))").alias("m"))
     got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     out = np.zeros(bits // 64, "i8")
     out[got["w"].to_numpy("i8")] = got["m"].to_numpy("i8")
@@ -183,14 +188,14 @@ def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``a``, ``b``, ``tokens`` of the lines ``wanted`` (``doc_id``, ``line``, ``a``,
-    ``b``).  Their hashes go to all tasks as a bitmap of fixed size, so that only
+    """``a``, ``b``, ``tokens`` of the lines ``wanted`` (``doc_id``, ``text_hash``,
+    ``line``, ``a``, ``b``).  Their hashes go to all tasks as a bitmap of fixed size, so that only
     such lines (and a few others) are taken apart and shuffled."""
     bitmap = _filter_of(wanted, bits)
     none = np.ones(1, "i8")
-    rows = _rows(docs).select("doc_id", "text", F.transform(
+    rows = _rows(docs).select("doc_id", "text_hash", "text", F.transform(
         F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1),
-        lambda n: F.pmod(F.xxhash64("doc_id", n), F.lit(bits))).alias("slots"))
+        lambda n: F.pmod(F.xxhash64("doc_id", "text_hash", n), F.lit(bits))).alias("slots"))
 
     def run(batches):
         for batch in _portions(batches):
@@ -202,29 +207,30 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
             sizes, tokens, a, b, *_ = _sets(lines.take(pa.array(hit)), none)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(batch.column("doc_id").to_numpy()[row[hit]]), pa.array(number[hit].astype("i4")), pa.array(a.view("i8")),
-                pa.array(b.view("i8")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view("i8")))],
-                names=["doc_id", "line", "a", "b", "tokens"])
+                *(pa.array(batch.column(c).to_numpy()[row[hit]]) for c in ("doc_id", "text_hash")), pa.array(number[hit].astype("i4")),
+                pa.array(a.view("i8")), pa.array(b.view("i8")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view("i8")))],
+                names=["doc_id", "text_hash", "line", "a", "b", "tokens"])
 
-    found = rows.mapInArrow(run, "doc_id long, line int, a long, b long, tokens array<long>")
-    return found.join(wanted, ["doc_id", "line", "a", "b"]).select("a", "b", "tokens").dropDuplicates(["a", "b"])
+    found = rows.mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, tokens array<long>")
+    return found.join(wanted, ["doc_id", "text_hash", "line", "a", "b"]).select("a", "b", "tokens").dropDuplicates(["a", "b"])
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per line with tokens: ``doc_id``, ``line``, ``first_doc``,
-    ``first_line`` (of its class), ``n_links`` (other classes that it matches)
-    and ``removed``; and one with line -1 for a document without such lines.
+    """A row per line with tokens: ``doc_id``, ``text_hash``, ``line``,
+    ``first_doc``, ``first_hash``, ``first_line`` (of its class), ``n_links``
+    (other classes that it matches) and ``removed``; and one with line -1 for a
+    document without such lines.
 
     Lines without tokens are never removed.  A NULL text has none, a NULL doc_id
-    sorts first; rows with equal ids are one document (their equal lines at the
-    same place are one line)."""
+    sorts first.  A document is a row's id and text: different texts under one id,
+    or under NULL, are documents of their own, and equal rows are one."""
     lines = stored(line_table(docs, token_counts(docs), similarity), "lines")
-    first = F.min(F.struct("doc_id", "line", "prefix")).alias("first")
+    first = F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first")
     classes = lines.where("size > 0").groupBy("a", "b", "p", "q", "size").agg(first)
     classes = stored(classes.select("a", "b", "p", "q", "size", "first.*"), "classes")
     pairs = stored(candidates(classes, similarity), "candidates")
 
-    named = classes.select("a", "b", "doc_id", "line")
+    named = classes.select("a", "b", "doc_id", "text_hash", "line")
     ends = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
     wanted = stored(named.join(ends, "a", "left_semi"), "wanted")
     sets = stored(_sets_of(docs, wanted).join(wanted, ["a", "b"]), "sets")
@@ -233,42 +239,48 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     either = F.size("x_tokens") + F.size("y_tokens") - shared
     met = met.where(shared >= F.lit(similarity) * either - F.lit(_EPS))
-    later = F.struct("x_doc_id", "x_line") > F.struct("y_doc_id", "y_line")
+    later = F.struct("x_doc_id", "x_text_hash", "x_line") > F.struct("y_doc_id", "y_text_hash", "y_line")
     linked = met.select(F.explode(F.array(
         F.struct(F.col("x_a").alias("a"), F.col("x_b").alias("b"), later.alias("late")),
         F.struct(F.col("y_a").alias("a"), F.col("y_b").alias("b"), (~later).alias("late")))).alias("e")).select("e.*")
     linked = linked.groupBy("a", "b").agg(F.max("late").alias("late"), F.count(F.lit(1)).alias("n_links"))
 
     named = named.join(linked, ["a", "b"], "left").select(
-        "a", "b", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"),
+        "a", "b", F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_hash"), F.col("line").alias("first_line"),
         F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    own = lines.where("size > 0").select("doc_id", "line", "a", "b").join(named, ["a", "b"])
-    own = own.select("doc_id", "line", "first_doc", "first_line", "n_links",
-                     (F.col("late") | (F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))).alias("removed"))
+    own = lines.where("size > 0").select("doc_id", "text_hash", "line", "a", "b").join(named, ["a", "b"])
+    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("line") == F.col("first_line"))
+    own = own.select("doc_id", "text_hash", "line", "first_doc", "first_hash", "first_line", "n_links", (F.col("late") | ~first).alias("removed"))
     none = F.lit(None)
-    bare = lines.where("size = 0").select("doc_id", "line", none.cast("long").alias("first_doc"), none.cast("int").alias("first_line"),
-                                          F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"))
+    bare = lines.where("size = 0").select("doc_id", "text_hash", "line", none.cast("long").alias("first_doc"),
+                                          none.cast("long").alias("first_hash"), none.cast("int").alias("first_line"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return own.unionByName(bare).select(real("doc_id"), "line", real("first_doc"), "first_line", "n_links", "removed")
+    return own.unionByName(bare).select(real("doc_id"), "text_hash", "line", real("first_doc"), "first_hash", "first_line", "n_links", "removed")
 
 
-def summarise(decisions: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_lines`` (with tokens), ``n_links`` (of its
-    lines' classes), ``n_removed`` and ``removed`` (the lines' numbers)."""
+def _summary(decisions: DataFrame) -> DataFrame:
+    """The rows of :func:`summarise` with ``text_hash``."""
     gone = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line"))))
-    return decisions.groupBy("doc_id").agg(
+    return decisions.groupBy("doc_id", "text_hash").agg(
         F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"), F.sum("n_links").alias("n_links"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"), gone.alias("removed"))
 
 
+def summarise(decisions: DataFrame) -> DataFrame:
+    """Per document: ``doc_id``, ``n_lines`` (with tokens), ``n_links`` (of its
+    lines' classes), ``n_removed`` and ``removed`` (the lines' numbers)."""
+    return _summary(decisions).drop("text_hash")
+
+
 @column_safe
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts, all columns
     and rows kept (a text may end up empty)."""
-    gone = summarise(decide(docs, similarity).where("removed")).select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("removed").alias("_gone"))
+    gone = _summary(decide(docs, similarity).where("removed")).select(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_gone"))
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     kept = F.array_join(F.transform(left, lambda n: F.get(parts, n)), "\n")
-    both = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_id"], "left")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_id"]) & (_text_hash() == gone["_hash"])
+    both = docs.join(gone, same, "left")
     return both.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))

@@ -61,3 +61,13 @@ def test_full_filter_loses_nothing(spark, docs_of, monkeypatch):
     docs = docs_of([t for _, t in rows], [i for i, _ in rows])
     monkeypatch.setattr(line_dedup._sets_of, "__defaults__", (64,))
     assert {(r.doc_id, r.line): r.removed for r in line_dedup.decide(docs).collect() if r.line >= 0} == brute(rows)
+
+
+def test_different_texts_under_one_id_or_null(spark, docs_of):
+    rows = [(None, "p q\nr s"), (None, "t u\nv w\np q"), (2, "r s\na b"), (2, "c d\ne f"), (2, "c d\ng h"), (3, "p q")]
+    kept = line_dedup.remove_lines(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    got = sorted(line for r in kept for line in (r.text or "").split("\n") if line)
+    assert got == ["a b", "c d", "e f", "g h", "p q", "r s", "t u", "v w"]
+    assert [r.text for r in kept if r.doc_id == 3] == [""] and len(kept) == len(rows)
+    summary = line_dedup.summarise(line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows]))).collect()
+    assert sorted((str(r.doc_id), r.n_lines) for r in summary) == [("2", 2)] * 3 + [("3", 1), ("None", 2), ("None", 3)]
