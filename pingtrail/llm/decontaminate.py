@@ -97,7 +97,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, sim
           radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of :func:`leaks` with ``text_hash``."""
     items = _read(benchmark, "item_id", shingle).where(F.size("words") > 0)
-    items = stored(items.distinct().withColumn("w", F.size("words")), "items")
+    items = stored(items.distinct().withColumns({"w": F.size("words"), "no": F.xxhash64("key", "words")}), "items")
     anchors = items.select("w", F.posexplode("shingles").alias("off", "h")).distinct()
     if anchors.count() <= broadcast_rows:
         anchors = F.broadcast(anchors)
@@ -119,20 +119,21 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, sim
     windows = windows.where(stop > begin).select(
         *own, _shingles(F.slice("content", begin + 1, stop - begin), shingle).alias("shingles"))
     prints = _fingerprints(windows, own).withColumn("b", F.explode(_blocks(F.col("fp"), radius)))
-    indexed = _fingerprints(items, ["key", "w"]).select(
-        F.col("key").alias("item"), F.col("w").alias("iw"), F.col("fp").alias("ifp"),
+    indexed = _fingerprints(items, ["no", "w"]).select(
+        "no", F.col("w").alias("iw"), F.col("fp").alias("ifp"),
         F.explode(_blocks(F.col("fp"), radius)).alias("ib"))
     met = prints.join(indexed, (F.col("w") == F.col("iw")) & (F.col("b") == F.col("ib"))).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    pairs = stored(met.select(*own, "item").distinct(), "pairs")
+    pairs = stored(met.select(*own, "no").distinct(), "pairs")
 
     # the k-th occurrence of a shingle as an element of its own: multisets compare as sets
     both = _join(_join(pairs, windows, own).withColumn("here", _occurrences("shingles")).drop("shingles"),
-                 items.select(F.col("key").alias("item"), "w", "shingles"), ["item", "w"])
+                 items.select("no", "w", "shingles"), ["no", "w"])
     both = both.withColumn("there", _occurrences("shingles"))
     like = both.withColumn("similarity", F.size(F.array_intersect("here", "there")) / F.size(F.array_union("here", "there")))
-    best = like.where(F.col("similarity") >= similarity).groupBy("key", "hash", "item").agg(
+    best = like.where(F.col("similarity") >= similarity).groupBy("key", "hash", "no").agg(
         F.max(F.struct("similarity", (-F.col("at") - F.col("shift")).alias("before"), F.col("w"))).alias("best"))
+    best = best.join(items.select("no", F.col("key").alias("item")), "no")
     return best.select(F.col("key").alias("doc_id"), F.col("hash").alias("text_hash"), F.col("item").alias("item_id"), (-F.col("best.before")).alias("start"),
                        F.col("best.w").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
@@ -145,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Texts without words (NULL, empty) match nothing.  An item of fewer than
     ``shingle`` words is one shingle: it matches a document that consists of it.
     A document is a row's id and text: different texts under one id, or under
-    NULL, are documents of their own.  Other columns are ignored."""
+    NULL, are documents of their own, and so are items.  Other columns are
+    ignored."""
     return _leaks(docs, benchmark, **options).drop("text_hash")
 
 

@@ -110,3 +110,12 @@ def test_clean_documents_beside_a_leaked_one_with_their_id_stay(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "clean"), ("None", "None"), ("None", "clean too")]
     found = decontaminate.leaks(docs, bench).collect()
     assert sorted((str(r.doc_id), r.start) for r in found) == [("7", 1), ("8", 0), ("None", 1)]
+
+
+def test_items_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"i{n}x{i}" for i in range(20)) for n in range(8)]
+    ids = [None] * 4 + [6] * 4
+    docs = list(enumerate(texts))
+    bench = spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == [(n, i, 1.0) for n, i in enumerate(ids)]
