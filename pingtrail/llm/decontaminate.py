@@ -3,31 +3,32 @@ Hamming blocks, and exact weighted-shingle similarity for what it finds.
 
 * Words are runs of letters and digits, lower-cased; a text's shingles are its
   runs of five words (fewer words: the whole sequence).
-* For an item of ``w`` words, windows of ``w`` words are laid over a document
-  where the two then share a shingle at the same place, and at every word so
-  near to that that the similarity can still be reached.  Elsewhere a window
-  has too little in common with the item; windows are cut at the document's
-  ends.
+* For an item of ``w`` words, windows of ``w`` words are laid over a document at
+  every word where they hold so many places of the item's shingles, in any
+  order, that the similarity can be reached (a running sum over those places).
+  Elsewhere it cannot; windows are cut at the document's ends.
 * A window's and an item's SimHash weigh each shingle by how often it occurs.
   Two fingerprints within the radius agree in at least one of radius + 1 blocks
   of bits; windows and items of one size meet at each such block.
 * What meets within the radius is verified: weighted Jaccard similarity, the
   sum of the smaller over the sum of the larger numbers of each shingle.
 
-All of it is DataFrame expressions.  Nothing but the number of the benchmark's
-shingles reaches the driver.
+All of it is DataFrame expressions.  Nothing but the numbers of the benchmark's
+shingles and of the documents with windows reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.llm.shared import column_safe, stored
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 19, 64
-#: Rows (32 bytes each) up to which the benchmark's shingles are sent to all tasks; beyond it the join is shuffled.
+#: Rows (32 bytes each) up to which the benchmark's shingles, and the keys of documents with windows, are sent to
+#: all tasks; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+_EPS = 1e-9
 _NOT_WORD = "[^\\p{L}\\p{N}]+"
 
 
@@ -93,31 +94,65 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).drop(*[f"_{c}" for c in keys])
 
 
+def _starts(hits: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``key``, ``hash`` and ``starts`` (structs of ``w`` and ``start``): the windows
+    of each document that hold enough places of an item's shingles, from all such
+    places (``key``, ``hash``, ``length``, ``no``, ``w``, ``pos``).
+
+    With ``m`` shingles in a window, ``n`` in the item and ``c`` in common the
+    similarity is c / (m + n - c); ``c`` is at most the number of places."""
+    k = F.least(F.col("w"), F.lit(shingle))
+    n = F.col("w") - k + 1
+    least = F.lit(similarity) * n - F.lit(_EPS)  # of c, for any m >= c
+    pairs = hits.groupBy("key", "hash", "length", "no", "w").agg(F.collect_set("pos").alias("pos"))
+    # a place is in the windows that start from pos + k - w to pos
+    steps = F.concat(F.transform("pos", lambda p: F.struct((p + k - F.col("w")).alias("start"), F.lit(1).alias("step"))),
+                     F.transform("pos", lambda p: F.struct((p + 1).alias("start"), F.lit(-1).alias("step"))))
+    steps = pairs.where(F.size("pos") >= least).select("key", "hash", "length", "no", "w", F.explode(steps).alias("s"))
+    along = Window.partitionBy("key", "hash", "length", "no", "w").orderBy("start")
+    runs = steps.select("key", "hash", "length", "no", "w", "s.start", "s.step").select(
+        "key", "hash", "length", "w", "start", F.sum("step").over(along).alias("c"), F.lead("start").over(along).alias("next"))
+    runs = runs.where((F.col("next") > F.col("start")) & (F.col("c") >= least))
+    laid = runs.select("key", "hash", "length", "w", "c", F.explode(F.sequence(F.col("start"), F.col("next") - 1)).alias("start"))
+    words = F.least(F.col("start") + F.col("w"), F.col("length")) - F.greatest(F.col("start"), F.lit(0))
+    m = F.greatest(words - k + 1, F.lit(1))
+    laid = laid.where((words > 0) & (F.col("c") * F.lit(1 + similarity) >= F.lit(similarity) * (m + n) - F.lit(_EPS)))
+    return laid.groupBy("key", "hash").agg(F.collect_set(F.struct("w", "start")).alias("starts"))
+
+
+def _texts_of(docs: DataFrame, starts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``starts`` with the ``words`` of its documents, each document once."""
+    named = starts.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "starts")
+    keys = named.select("_key", "_hash")
+    if keys.count() <= broadcast_rows:
+        keys = F.broadcast(keys)
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), _text_hash().alias("hash"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(keys, same, "left_semi").dropDuplicates(["key", "hash"])
+    return rows.join(named, same).select("key", "hash", _word_hashes(F.col("text")).alias("words"), "starts")
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
           radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of :func:`leaks` with ``text_hash``."""
     items = _read(benchmark, "item_id", shingle).where(F.size("words") > 0)
     items = stored(items.distinct().withColumns({"w": F.size("words"), "no": F.xxhash64("key", "words")}), "items")
-    anchors = items.select("w", F.posexplode("shingles").alias("off", "h")).distinct()
+    anchors = items.select("no", "w", F.explode("shingles").alias("h")).distinct()
     if anchors.count() <= broadcast_rows:
         anchors = F.broadcast(anchors)
 
     # outer: an inner explode would add a filter that computes the shingles twice; the join drops NULL
-    places = _read(docs, "doc_id", shingle, _text_hash().alias("hash")).select("key", "hash", "words", F.posexplode_outer("shingles").alias("pos", "h"))
-    slack = F.floor(F.greatest(F.col("w") - shingle + 1, F.lit(1)) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    at = F.col("pos") - F.col("off")
-    first, end = F.greatest(at - slack, F.lit(0)), F.least(at + F.col("w") + slack, F.size("words"))
-    regions = places.join(anchors, "h").select("key", "hash", "w", at.alias("at"), (at - first).alias("lead"),
-                                               F.slice("words", first + 1, end - first).alias("content")).distinct()
-    regions = stored(regions.withColumn("id", F.xxhash64("content")), "regions")
-
-    own = ["key", "hash", "at", "w", "id", "shift"]
+    places = _read(docs, "doc_id", shingle, _text_hash().alias("hash")).select(
+        "key", "hash", F.size("words").alias("length"), F.posexplode_outer("shingles").alias("pos", "h"))
+    starts = stored(_starts(places.join(anchors, "h"), shingle, similarity), "starts")
+
+    own = ["key", "hash", "w", "start"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
-    windows = regions.repartition(tasks, "key", "at").withColumn("shift", F.explode(F.sequence(-slack, slack)))
-    begin = F.greatest(F.col("lead") + F.col("shift"), F.lit(0))
-    stop = F.least(F.col("lead") + F.col("shift") + F.col("w"), F.size("content"))
-    windows = windows.where(stop > begin).select(
-        *own, _shingles(F.slice("content", begin + 1, stop - begin), shingle).alias("shingles"))
+    laid = _texts_of(docs, starts, broadcast_rows).select("key", "hash", "words", F.explode("starts").alias("at"))
+    begin, stop = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("w"), F.size("words"))
+    laid = laid.select("key", "hash", "at.w", "at.start", "words").select(*own, F.slice("words", begin + 1, stop - begin).alias("content"))
+    windows = laid.repartition(tasks, "key", "hash", "start").select(*own, _shingles(F.col("content"), shingle).alias("shingles"))
+    windows = stored(windows, "windows")
     prints = _fingerprints(windows, own).withColumn("b", F.explode(_blocks(F.col("fp"), radius)))
     indexed = _fingerprints(items, ["no", "w"]).select(
         "no", F.col("w").alias("iw"), F.col("fp").alias("ifp"),
@@ -132,7 +167,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, sim
     both = both.withColumn("there", _occurrences("shingles"))
     like = both.withColumn("similarity", F.size(F.array_intersect("here", "there")) / F.size(F.array_union("here", "there")))
     best = like.where(F.col("similarity") >= similarity).groupBy("key", "hash", "no").agg(
-        F.max(F.struct("similarity", (-F.col("at") - F.col("shift")).alias("before"), F.col("w"))).alias("best"))
+        F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.col("w"))).alias("best"))
     best = best.join(items.select("no", F.col("key").alias("item")), "no")
     return best.select(F.col("key").alias("doc_id"), F.col("hash").alias("text_hash"), F.col("item").alias("item_id"), (-F.col("best.before")).alias("start"),
                        F.col("best.w").alias("n_words"), F.col("best.similarity").alias("similarity"))

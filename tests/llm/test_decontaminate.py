@@ -119,3 +119,19 @@ def test_items_with_null_and_repeated_ids(spark):
     bench = spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string")
     found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == [(n, i, 1.0) for n, i in enumerate(ids)]
+
+
+def test_swapped_halves_as_brute_force(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
+    items, docs = [], []
+    for n, size in enumerate((40, 45, 52, 59)):
+        own = prose(size)
+        items.append((n, " ".join(own)))
+        for m, cut in enumerate((size // 2, size // 3)):
+            docs.append((10 * n + m, " ".join(prose(7 * m) + own[cut:] + own[:cut] + prose(9))))
+    want = brute(docs, items)
+    assert len(want) >= 6
+    for options in ({}, {"broadcast_rows": 0}):
+        got = run(spark, docs, items, **options)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
