@@ -2,7 +2,8 @@
 Hamming blocks, and exact weighted-shingle similarity for what it finds.
 
 * Words are runs of letters and digits, lower-cased; a text's shingles are its
-  runs of five words (fewer words: the whole sequence).
+  runs of five words (fewer words: the whole sequence).  For an item of fewer
+  words a document's shingles are runs of as many words.
 * For an item of ``w`` words, windows of ``w`` words are laid over a document at
   every word where they hold so many places of the item's shingles, in any
   order, that the similarity can be reached (a running sum over those places).
@@ -14,11 +15,14 @@ Hamming blocks, and exact weighted-shingle similarity for what it finds.
   sum of the smaller over the sum of the larger numbers of each shingle.
 
 All of it is DataFrame expressions.  Nothing but the numbers of the benchmark's
-shingles and of the documents with windows reaches the driver.
+shingles and of the documents with windows, and the shingle lengths (five at
+most), reaches the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _shingles(words: Column, k: int) -> Column:
+def _shingles(words: Column, k: int | Column) -> Column:
     """Hashes of the runs of ``k`` words; of all words if there are fewer; none for none."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
     return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(
@@ -137,21 +141,24 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, sim
     """The rows of :func:`leaks` with ``text_hash``."""
     items = _read(benchmark, "item_id", shingle).where(F.size("words") > 0)
     items = stored(items.distinct().withColumns({"w": F.size("words"), "no": F.xxhash64("key", "words")}), "items")
-    anchors = items.select("no", "w", F.explode("shingles").alias("h")).distinct()
+    k = F.least(F.col("w"), F.lit(shingle))
+    lengths = [r[0] for r in items.select(k).distinct().collect()] or [shingle]
+    anchors = items.select("no", "w", k.alias("k"), F.explode("shingles").alias("h")).distinct()
     if anchors.count() <= broadcast_rows:
         anchors = F.broadcast(anchors)
 
     # outer: an inner explode would add a filter that computes the shingles twice; the join drops NULL
-    places = _read(docs, "doc_id", shingle, _text_hash().alias("hash")).select(
-        "key", "hash", F.size("words").alias("length"), F.posexplode_outer("shingles").alias("pos", "h"))
-    starts = stored(_starts(places.join(anchors, "h"), shingle, similarity), "starts")
+    places = reduce(DataFrame.unionByName, [_read(docs, "doc_id", size, _text_hash().alias("hash")).select(
+        "key", "hash", F.size("words").alias("length"), F.lit(size).alias("k"),
+        F.posexplode_outer("shingles").alias("pos", "h")) for size in lengths])
+    starts = stored(_starts(places.join(anchors, ["k", "h"]), shingle, similarity), "starts")
 
     own = ["key", "hash", "w", "start"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
     laid = _texts_of(docs, starts, broadcast_rows).select("key", "hash", "words", F.explode("starts").alias("at"))
     begin, stop = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("w"), F.size("words"))
     laid = laid.select("key", "hash", "at.w", "at.start", "words").select(*own, F.slice("words", begin + 1, stop - begin).alias("content"))
-    windows = laid.repartition(tasks, "key", "hash", "start").select(*own, _shingles(F.col("content"), shingle).alias("shingles"))
+    windows = laid.repartition(tasks, "key", "hash", "start").select(*own, _shingles(F.col("content"), k).alias("shingles"))
     windows = stored(windows, "windows")
     prints = _fingerprints(windows, own).withColumn("b", F.explode(_blocks(F.col("fp"), radius)))
     indexed = _fingerprints(items, ["no", "w"]).select(
@@ -179,7 +186,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     each document and item the most similar window, the first of equal ones.
 
     Texts without words (NULL, empty) match nothing.  An item of fewer than
-    ``shingle`` words is one shingle: it matches a document that consists of it.
+    ``shingle`` words is one shingle: it matches wherever its words follow each
+    other.
     A document is a row's id and text: different texts under one id, or under
     NULL, are documents of their own, and so are items.  Other columns are
     ignored."""

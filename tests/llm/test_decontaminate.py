@@ -135,3 +135,12 @@ def test_swapped_halves_as_brute_force(spark):
     for options in ({}, {"broadcast_rows": 0}):
         got = run(spark, docs, items, **options)
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_short_items_inside_documents(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "f1 f2 f3 f4 f5 f6")]
+    docs = [(1, "x alpha y"), (2, "beta x gamma"), (3, "z beta gamma beta gamma"), (4, "a one two three four b f1 f2 f3 f4 f5 f6 c"),
+            (5, "three four"), (6, "alpha"), (7, "f1 f2 f3 f4 f5 f6")]
+    want = brute(docs, items)
+    assert {(1, 1), (3, 2), (4, 3), (4, 4), (6, 1)} <= want.keys()
+    assert run(spark, docs, items) == want
