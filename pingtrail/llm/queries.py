@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingtrail.llm import chat, decontaminate, iblt, line_dedup, packing, quality, simhash, token_files, toxicity, url_filter
+from pingtrail.llm import (chat, decontaminate, hard_negatives, iblt, line_dedup, mixing, oracle, packing, quality, simhash, token_files,
+                           toxicity, url_filter, vector_codes)
 from pingtrail.llm.shared import scratch_path, table
 
 #: Ids of the tokenizer files, by their contracts.
@@ -76,6 +77,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
@@ -87,7 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_mixing": op13_mixing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_hard_negatives": oracle.HARD_NEGATIVES,
+    "op12_vector_codes": oracle.vector_codes_sql(),
+    "op13_mixing": oracle.mixing_sql(),
+}
