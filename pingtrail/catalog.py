@@ -13,9 +13,10 @@ from pyspark.sql.types import DoubleType, FloatType, LongType, StringType, Struc
 
 from pingtrail.functions.time import parse_dmy_hm
 from pingtrail.operators import diel, events, movement, range_test, residency, tidy, timeline
-from pingtrail.session import scratch_path
+from pingtrail.session import files_state, scratch_path
 from pingtrail.sources import tables
 from pingtrail.sources.delimited import read_delimited
+from pingtrail.sources.geojson import read_geojson, write_geojson
 from pingtrail.sources.stages import load_stage, save_stage
 
 # With a tag per user a tag has tens of pings: a three-day gap and hourly events
@@ -23,8 +24,11 @@ from pingtrail.sources.stages import load_stage, save_stage
 STATION_GAP_SECS = 3 * 86_400
 MIN_DAYS = 1.0
 MIN_HOURS, MIN_PER_HOUR = 0.25, 1
+# The two-per-hour rule, on one tag per species.
+STRICT_HOURS, STRICT_PER_HOUR = 1, 2
 ENTRY_STATIONS = 5
 MULTI_YEAR_GAP_SECS = 10 * 86_400
+HALF_HOUR_US = 1_800_000_000
 
 # Decimal places for floating results computed in a different order by the
 # two engines (means, SDs, model outputs).
@@ -55,14 +59,15 @@ def tidy_for(spark: SparkSession, sf_dir: str, n_stations: int = tables.N_STATIO
     )
 
 
-_STAGES: dict[tuple[str, str, str], str] = {}
+_STAGES: dict[tuple, str] = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """``build(spark, sf_dir)`` as a stage, written once per session and folder
-    (operators that read their input more than once start from it)."""
+    """``build(spark, sf_dir)`` as a stage, written once per session and state of the
+    folder's tables (operators that read their input more than once start from it)."""
     df = build(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    state = tuple((t, files_state(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")) for t in sorted(tables.SCHEMAS))
+    key = (spark.sparkContext.applicationId, sf_dir, name, state)
     if key not in _STAGES:
         _STAGES[key] = save_stage(df, scratch_path(spark, name))
     return load_stage(spark, _STAGES[key], df.schema)
@@ -77,8 +82,12 @@ def tidy_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.detections_multi_year(spark, sf_dir), tables.receivers(spark, sf_dir), tables.tags(spark, sf_dir))
 
 
+def tidy_multi_year_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage(spark, sf_dir, "tidy-multi-year", tidy_multi_year)
+
+
 def events_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.residency_events(tidy_multi_year(spark, sf_dir), min_days=MIN_DAYS,
+    return events.residency_events(tidy_multi_year_stage(spark, sf_dir), min_days=MIN_DAYS,
                                    max_gap_secs=MULTI_YEAR_GAP_SECS)
 
 
@@ -86,6 +95,10 @@ def days_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residency.expand_days(events_multi_year(spark, sf_dir))
 
 
+def months_multi_year(spark: SparkSession, sf_dir: str, years: str = "distinct") -> DataFrame:
+    return residency.monthly_presence(events_multi_year(spark, sf_dir), years=years)
+
+
 def _base(spark, sf):
     return movement.movement_base(tidy_stage(spark, sf))
 
@@ -99,7 +112,21 @@ def _hourly_ids(spark, sf):
 
 
 def _bins(spark, sf):
-    return events.hourly_bins(tidy_for(spark, sf), ["tag_id", "protection"], 3600)
+    return events.hourly_bins(tidy_stage(spark, sf), ["tag_id", "protection"], 3600)
+
+
+def _zone_bins(spark, sf):
+    """Bins by zone alone: the detections of all tags of a species, many per hour."""
+    return events.hourly_bins(_one_tag_per_species(tidy_stage(spark, sf)), ["tag_id", "protection"], 3600)
+
+
+def _one_tag_per_species(detections: DataFrame) -> DataFrame:
+    """Detections under one tag per species, so that hours hold many of them."""
+    return detections.withColumn("tag_id", F.col("scientific_name"))
+
+
+def _strict_events(spark, sf):
+    return events.hourly_residency(_zone_bins(spark, sf), min_hours=STRICT_HOURS, min_per_hour=STRICT_PER_HOUR)
 
 
 def _range_rates(spark, sf):
@@ -211,7 +238,7 @@ def q_movement_station_counts(spark, sf):
 
 
 def q_residency_events(spark, sf):
-    return events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS)
+    return events.residency_events(tidy_stage(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS)
 
 
 def q_residency_event_rows(spark, sf):
@@ -224,11 +251,11 @@ def q_residency_days(spark, sf):
 
 
 def q_monthly_days(spark, sf):
-    return residency.monthly_days(days_multi_year(spark, sf), years="distinct")
+    return months_multi_year(spark, sf)
 
 
 def q_days_per_year(spark, sf):
-    return residency.monthly_days(days_multi_year(spark, sf), years="rows")
+    return months_multi_year(spark, sf, "rows")
 
 
 STATION_KEYS = ["station_name", "protection", "scientific_name", "month"]
@@ -236,26 +263,26 @@ PROTECTION_KEYS = ["protection", "scientific_name", "month"]
 
 
 def q_mean_residency_station(spark, sf):
-    m = residency.monthly_days(days_multi_year(spark, sf), years="distinct")
+    m = months_multi_year(spark, sf)
     return round_doubles(residency.mean_residency(m, STATION_KEYS, se="tags"), STAT_PLACES)
 
 
 def q_mean_residency_protection(spark, sf):
-    m = residency.monthly_days(days_multi_year(spark, sf), years="distinct")
+    m = months_multi_year(spark, sf)
     return round_doubles(residency.mean_residency(m, PROTECTION_KEYS, se="tags"), STAT_PLACES)
 
 
 def q_mean_residency_station_se_rows(spark, sf):
-    m = residency.monthly_days(days_multi_year(spark, sf), years="rows")
+    m = months_multi_year(spark, sf, "rows")
     return round_doubles(residency.mean_residency(m, STATION_KEYS, se="rows"), STAT_PLACES)
 
 
 def q_unique_tags(spark, sf):
-    return residency.unique_tags(days_multi_year(spark, sf))
+    return residency.unique_tags(months_multi_year(spark, sf))
 
 
 def q_unique_tags_stacked_station(spark, sf):
-    return residency.stacked_totals(residency.unique_tags(days_multi_year(spark, sf)), STATION_KEYS)
+    return residency.stacked_totals(residency.unique_tags(months_multi_year(spark, sf)), STATION_KEYS)
 
 
 def q_station_points(spark, sf):
@@ -265,7 +292,7 @@ def q_station_points(spark, sf):
 
 
 def q_unique_tags_stacked(spark, sf):
-    return residency.stacked_totals(residency.unique_tags(days_multi_year(spark, sf)))
+    return residency.stacked_totals(residency.unique_tags(months_multi_year(spark, sf)))
 
 
 def q_rose_detections(spark, sf):
@@ -314,7 +341,7 @@ def q_tag_roses(spark, sf):
 
 
 def q_residency_station_frequency(spark, sf):
-    return tidy.frequency(events.residency_events(tidy_for(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS), "station_name")
+    return tidy.frequency(events.residency_events(tidy_stage(spark, sf), min_days=MIN_DAYS, max_gap_secs=STATION_GAP_SECS), "station_name")
 
 
 def q_range_datetime_summary(spark, sf):
@@ -322,7 +349,7 @@ def q_range_datetime_summary(spark, sf):
 
 
 def _means(spark, sf):
-    m = residency.monthly_days(days_multi_year(spark, sf), years="distinct")
+    m = months_multi_year(spark, sf)
     return residency.mean_residency(m, STATION_KEYS, se="tags")
 
 
@@ -335,6 +362,50 @@ def q_range_hourly(spark, sf):
     return range_test.range_hourly(tables.range_raw(spark, sf), zone="UTC")
 
 
+def q_range_hourly_local(spark, sf):
+    return range_test.range_hourly(tables.range_raw(spark, sf), zone=tables.LOCAL_ZONE, keep_instant=True)
+
+
+def q_range_expected_local(spark, sf):
+    schedule = tables.range_schedule(spark, tables.LOCAL_SCHEDULE)
+    return range_test.with_expected(q_range_hourly_local(spark, sf), schedule, zone=tables.LOCAL_ZONE)
+
+
+def q_range_expected_half_hours(spark, sf):
+    half_hours = range_test.range_hourly(tables.range_raw(spark, sf), zone="UTC", bin_us=HALF_HOUR_US)
+    return range_test.with_expected(half_hours, tables.range_schedule(spark, tables.HALF_HOUR_SCHEDULE), require_rows=True)
+
+
+def q_range_models(spark, sf):
+    """A model per receiver."""
+    m = range_test.fit_range(range_test.range_by_distance(_range_rates(spark, sf), by=["receiver"]), by=["receiver"])
+    m = round_doubles(m, MODEL_PLACES, only=("b0", "b1", "max_distance"))
+    return round_doubles(m, COV_PLACES, only=("v00", "v01", "v11"))
+
+
+def q_hourly_residency_strict(spark, sf):
+    return _strict_events(spark, sf)
+
+
+def q_resident_hours_of_events(spark, sf):
+    """Bins of a saved table of events."""
+    return events.resident_hours(_zone_bins(spark, sf), min_per_hour=STRICT_PER_HOUR,
+                                 event_filter=_stage(spark, sf, "strict-events", _strict_events))
+
+
+def q_bins_with_events(spark, sf):
+    return events.bins_with_events(_zone_bins(spark, sf), _stage(spark, sf, "strict-events", _strict_events),
+                                   min_per_hour=STRICT_PER_HOUR)
+
+
+def q_station_geojson(spark, sf):
+    """The station points written as GeoJSON and read back."""
+    counts = tidy.station_counts(tidy_for(spark, sf))
+    path = write_geojson(counts, scratch_path(spark, "stations-geojson"))
+    properties = StructType([StructField("station_name", StringType()), StructField("num_det", LongType())])
+    return read_geojson(spark, path, properties).select(*counts.columns)
+
+
 def q_range_expected(spark, sf):
     return _range_rates(spark, sf)
 
@@ -401,6 +472,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_model": q_range_model,
     "range_curve": q_range_curve,
     "range_thresholds": q_range_thresholds,
+    "range_hourly_local": q_range_hourly_local,
+    "range_expected_local": q_range_expected_local,
+    "range_expected_half_hours": q_range_expected_half_hours,
+    "range_models": q_range_models,
+    "hourly_residency_strict": q_hourly_residency_strict,
+    "resident_hours_of_events": q_resident_hours_of_events,
+    "bins_with_events": q_bins_with_events,
+    "station_geojson": q_station_geojson,
 }
 
 

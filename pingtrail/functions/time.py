@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 US_PER_SEC = 1_000_000
@@ -30,14 +30,22 @@ def to_ntz(col) -> Column:
     return _c(col).cast("timestamp_ntz")
 
 
+def _utc_session() -> bool:
+    """Whether the session's zone, which a cast keeps from the moment it is written, is UTC."""
+    spark = SparkSession.getActiveSession()
+    return spark is not None and spark.conf.get("spark.sql.session.timeZone").upper() in ("UTC", "ETC/UTC", "GMT", "Z")
+
+
 def epoch_us(col) -> Column:
     """Microseconds since 1970-01-01 00:00 of an NTZ wall-clock timestamp.
 
-    Built from calendar fields (days since the epoch, hour, minute, second),
+    In a session in UTC the value as it is stored.  Elsewhere built from calendar fields (days since the epoch, hour, minute, second),
     which are read without any zone; ``timestamp_diff`` on NTZ values goes
     through the session zone and is off across DST gaps.  Only the fraction of
     the second is taken through it: zones differ by whole seconds."""
     t = to_ntz(col)
+    if _utc_session():
+        return F.unix_micros(t.cast("timestamp"))
     days = F.datediff(F.to_date(t), F.lit(_EPOCH_DATE)).cast("long")
     hm = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long")
     fraction = F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(US_PER_SEC))
@@ -47,6 +55,8 @@ def epoch_us(col) -> Column:
 def from_epoch_us(col) -> Column:
     """Inverse of :func:`epoch_us`; returns ``timestamp_ntz`` (adding to an NTZ
     value involves no zone)."""
+    if _utc_session():
+        return F.timestamp_micros(_c(col).cast("long")).cast("timestamp_ntz")
     return F.timestamp_add("MICROSECOND", _c(col).cast("long"), F.expr(_EPOCH))
 
 
@@ -79,6 +89,31 @@ def shift_zone(col, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), to_ntz(col))
 
 
+def local_bounds(col, zone: str) -> tuple[Column, Column]:
+    """The first instant (UTC wall clock, NTZ) whose clock in ``zone`` shows at least the
+    wall-clock value, and the last whose clock shows at most that.
+
+    Both offsets around the value are probed.  They agree on most days.  A
+    repeated value has two instants: the first and the second.  A skipped one has
+    none: the instant of the change, and the microsecond before it."""
+    t = to_ntz(col)
+    if zone.upper() in ("UTC", "GMT", "Z", "ETC/UTC"):
+        return t, t
+
+    def instant(shift_days):  # by the offset of the day before or after
+        near = F.convert_timezone(F.lit(zone), F.lit("UTC"), t) + F.make_dt_interval(F.lit(shift_days))
+        offset = epoch_us(shift_zone(near, zone)) - epoch_us(near)
+        return from_epoch_us(epoch_us(t) - offset)
+
+    a, b = instant(-1), instant(1)
+    minutes = F.sequence(F.least(a, b), F.greatest(a, b), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1)))
+    first = F.array_min(F.filter(minutes, lambda x: shift_zone(x, zone) >= t))
+    later = F.array_min(F.filter(minutes, lambda x: shift_zone(x, zone) > t))
+    skipped = (shift_zone(a, zone) != t) & (shift_zone(b, zone) != t)
+    return first, F.when(skipped, from_epoch_us(epoch_us(later) - 1)).otherwise(F.array_max(
+        F.filter(F.array(a, b), lambda x: shift_zone(x, zone) == t)))
+
+
 def _year_from_text(y: Column) -> Column:
     # two-digit years follow the POSIX %y rule: 00-68 -> 20xx, 69-99 -> 19xx
     yi = y.try_cast("int")

@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingtrail.functions.time import (US_PER_DAY, US_PER_HOUR, diff_us, epoch_us, floor_time, from_epoch_us,
-                                      round_ratio_half_up)
-from pingtrail.plans.sequence import bucket_events, bucket_of, group_key, sessionize
+from pingtrail.functions.time import US_PER_DAY, US_PER_HOUR, diff_us, floor_time, from_epoch_us, round_ratio_half_up
+from pingtrail.plans.sequence import DEFAULT_CHUNK_ROWS, number_events, sessionize
 
 EVENT_CARRIED = ["scientific_name", "protection", "substrate"]
 
@@ -24,7 +23,7 @@ def event_ids(df: DataFrame, keys, max_gap_secs: float = 3600, *, first_gap: str
 
 
 def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float, max_gap_secs: float = 86_400,
-                     per: str = "event") -> DataFrame:
+                     per: str = "event", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Station residency events per (``tag_id``, ``station_name``).
 
     Event ids start at 0 (first gap counts as 0).  Each event gets
@@ -38,54 +37,52 @@ def residency_events(df: DataFrame, *, min_detections: int = 2, min_days: float,
     ``per='detection'``: one row per detection of a kept event (the shape a
     summary that carries whole columns produces).
 
-    Plan: detections are aggregated once per (tag, station, gap bucket) with
-    map-side partial aggregation; events are numbered over the buckets and
-    summarised from them.  No window runs over the detections.
-    ``per='detection'`` reads ``df`` a second time, so pass a stage.
+    Plan: rows are numbered by :func:`pingtrail.plans.sequence.number_events`
+    (one shuffle by tag and station, in chunks of about ``chunk_rows`` rows at
+    most); rows that are an event alone are dropped there if events need more;
+    the rest is summed up per chunk and event before the shuffle by event.
+    ``df`` is read more than once, so pass a stage.
     """
     if per not in ("event", "detection"):
         raise ValueError("per must be 'event' or 'detection'")
     keys = ["tag_id", "station_name"]
     carried = [c for c in EVENT_CARRIED if c in df.columns]
-    b = bucket_events(df, keys, "datetime", max_gap_secs, first_gap="zero", extra_keys=carried,
-                      aggs=[F.count(F.lit(1)).alias("__n")])
-    if per == "event":  # buckets are already partitioned by the group: no shuffle
-        b = b.groupBy("__grp", "event_id", *carried).agg(
-            F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("__n"))
-    # totals of the event over its rows (carried-value combinations, or buckets)
-    ew = Window.partitionBy("__grp", "event_id")
-    ev = b.withColumns({"__lo": F.min("__lo").over(ew), "__hi": F.max("__hi").over(ew),
-                           "n_detections": F.sum("__n").over(ew).cast("long")})
+    rows = number_events(df.select(*keys, "datetime", *carried), keys, ["datetime"], max_gap_secs, first_gap="zero",
+                         chunk_rows=chunk_rows)
+    several = rows.where("NOT __alone") if min_detections > 1 else rows
+    # the rows are partitioned by tag, station and chunk: no shuffle
+    parts = several.groupBy(*keys, "__chunk", "__eid", *carried).agg(
+        F.expr("min(__us) AS __lo"), F.expr("max(__us) AS __hi"), F.expr("count(1) AS __n"))
+    event = "OVER (PARTITION BY tag_id, station_name, __eid)"
+    ev = parts.selectExpr(*keys, "__eid", *carried, f"min(__lo) {event} AS __lo", f"max(__hi) {event} AS __hi",
+                          f"sum(__n) {event} AS n_detections")
     ev = ev.withColumn("__dur_us", F.col("__hi") - F.col("__lo"))
     ev = ev.withColumn("duration_days", round_ratio_half_up("__dur_us", US_PER_DAY, 2))
-    ev = ev.where((F.col("n_detections") >= min_detections) & (F.col("duration_days") >= F.lit(float(min_days))))
-    ev = ev.withColumns({"tag_id": F.col("__grp.tag_id"), "station_name": F.col("__grp.station_name"),
-                         "start_datetime": from_epoch_us("__lo"), "end_datetime": from_epoch_us("__hi")})
-    cols = [*keys, "event_id", "start_datetime", "end_datetime", "n_detections", "duration_days"]
+    ev = ev.where(f"n_detections >= {min_detections} AND duration_days >= {float(min_days)!r}D")
+    ev = ev.select(*keys, F.col("__eid").alias("event_id"), from_epoch_us("__lo").alias("start_datetime"),
+                   from_epoch_us("__hi").alias("end_datetime"), "n_detections", "duration_days", *carried)
+    ev = ev.distinct()  # an event's parts in several chunks
     if per == "event":
-        return ev.select(*cols, *carried)
-    # per detection: every detection of a bucket of a kept event
-    bucket_map = ev.select("__grp", "__bucket", *cols[2:]).distinct()
-    width = max(int(round(max_gap_secs * 1_000_000)), 1)
-    rows = df.withColumns({"__grp": group_key(keys), "__us": epoch_us("datetime")}).withColumn(
-        "__bucket", bucket_of("__us", width))
-    return rows.join(bucket_map, ["__grp", "__bucket"], "inner").select(*cols, *carried)
+        return ev
+    # per detection: every detection of a kept event
+    kept = ev.drop(*carried).distinct().withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = rows.join(kept, [*same, F.col("__eid") == F.col("event_id")])
+    return both.select(*keys, *[c for c in kept.columns if not c.startswith("__")], *carried)
 
 
 def hourly_bins(df: DataFrame, keys=("tag_id", "protection"), max_gap_secs: float = 3600) -> DataFrame:
     """Hour bins of hourly residency events straight from detections: the same
-    table as ``hour_bins(event_ids(df, keys, max_gap_secs))`` without a per-row
-    window; detections are aggregated once per (tag, zone, species, hour, gap
-    bucket) and events are numbered over the buckets."""
+    table as ``hour_bins(event_ids(df, keys, max_gap_secs))``, for any ``keys``.
+    ``df`` is read more than once, so pass a stage."""
     keys = list(keys)
-    d = df.withColumn("hour_bin", floor_time("datetime", US_PER_HOUR))
-    extra = [c for c in ("scientific_name", "hour_bin") if c not in keys]
-    b = bucket_events(d, keys, "datetime", max_gap_secs, first_gap="null", extra_keys=extra, aggs=[
-        F.count(F.lit(1)).alias("__n"), F.min("datetime").alias("__s"), F.max("datetime").alias("__e")])
-    return b.groupBy(*dict.fromkeys([*keys, "scientific_name", "event_id", "hour_bin"])).agg(
-        F.sum("__n").cast("long").alias("dets_in_hour"),
-        F.min("__s").alias("hour_start"),
-        F.max("__e").alias("hour_end"))
+    d = df.select(*dict.fromkeys([*keys, "scientific_name", "datetime"]))
+    d = sessionize(d, keys, ["datetime"], max_gap_secs, first_gap="null").withColumn(
+        "hour_bin", floor_time("datetime", US_PER_HOUR))
+    return d.groupBy(*dict.fromkeys([*keys, "scientific_name", "event_id", "hour_bin"])).agg(
+        F.count(F.lit(1)).alias("dets_in_hour"),
+        F.min("datetime").alias("hour_start"),
+        F.max("datetime").alias("hour_end"))
 
 
 def hour_bins(events: DataFrame) -> DataFrame:
@@ -122,27 +119,47 @@ def hourly_residency(bins: DataFrame, *, min_hours: float = 1, min_per_hour: int
         "n_detections", "duration_hours", "hours_covered", "min_dets_per_hour")
 
 
-def resident_hours(bins: DataFrame, *, min_per_hour: int = 2, event_filter: str = "none",
+EVENT_KEYS = ["tag_id", "scientific_name", "protection", "event_id"]
+
+
+def resident_hours(bins: DataFrame, *, min_per_hour: int = 2, event_filter: str | DataFrame = "none",
                    min_hours: float = 1) -> DataFrame:
     """Hour bins with at least ``min_per_hour`` detections, with ``hour_of_day``.
 
     ``event_filter='none'`` keeps every such bin; ``'semi'`` keeps only bins of
     events that pass :func:`hourly_residency` (the semi-join intent, computed
-    as window aggregates over each event's bins)."""
-    if event_filter not in ("none", "semi"):
-        raise ValueError("event_filter must be 'none' or 'semi'")
+    as window aggregates over each event's bins); a table of events (with
+    ``EVENT_KEYS``, such as a saved :func:`hourly_residency`) keeps only their
+    bins, by a semi join in which NULL keys are equal."""
     b = bins
-    if event_filter == "semi":
+    if isinstance(event_filter, DataFrame):
+        b = b.where(F.col("dets_in_hour") >= min_per_hour)
+        wanted = event_filter.select(*[F.col(k).alias(f"__{k}") for k in EVENT_KEYS])
+        b = b.join(wanted, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in EVENT_KEYS], "left_semi")
+    elif event_filter == "semi":
         # the event test of hourly_residency, as window aggregates over each
         # event's bins: the bins are read once, no join back
-        ew = Window.partitionBy("tag_id", "scientific_name", "protection", "event_id")
+        ew = Window.partitionBy(*EVENT_KEYS)
         b = b.withColumns({"__end": F.max("hour_end").over(ew), "__start": F.min("hour_start").over(ew),
                            "__min": F.min("dets_in_hour").over(ew)})
         span_h = diff_us("__end", "__start") / F.lit(float(US_PER_HOUR))
         b = b.where((span_h >= F.lit(float(min_hours))) & (F.col("__min") >= min_per_hour))
+    elif event_filter != "none":
+        raise ValueError("event_filter must be 'none', 'semi' or a table of events")
     b = b.where(F.col("dets_in_hour") >= min_per_hour)
-    return b.select("tag_id", "scientific_name", "protection", "event_id", "hour_bin",
-                    F.hour("hour_bin").alias("hour_of_day"), "dets_in_hour")
+    return b.select(*EVENT_KEYS, "hour_bin", F.hour("hour_bin").alias("hour_of_day"), "dets_in_hour")
+
+
+def bins_with_events(bins: DataFrame, events: DataFrame, *, min_per_hour: int = 2) -> DataFrame:
+    """The right join of saved events to the bins with at least ``min_per_hour``
+    detections: every such bin, with the ``start_datetime``, ``end_datetime`` and
+    ``duration_hours`` of its event (NULL if that is not among ``events``); NULL
+    keys are equal."""
+    spans = ["start_datetime", "end_datetime", "duration_hours"]
+    kept = bins.where(F.col("dets_in_hour") >= min_per_hour)
+    ev = events.select(*[F.col(k).alias(f"__{k}") for k in EVENT_KEYS], *spans)
+    both = ev.join(kept, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in EVENT_KEYS], "right")
+    return both.select(*EVENT_KEYS, "hour_bin", F.hour("hour_bin").alias("hour_of_day"), "dets_in_hour", *spans)
 
 
 def sorted_events(ev: DataFrame) -> DataFrame:

@@ -23,18 +23,42 @@ def expand_days(events: DataFrame, keep: Sequence[str] = DAY_KEYS) -> DataFrame:
         "month_label", month_label("month"))
 
 
+MONTH_KEYS = ["tag_id", "station_name", "protection", "scientific_name"]
+
+
 def monthly_days(days: DataFrame, years: str = "distinct") -> DataFrame:
+    """:func:`monthly_presence` from a table of days (:func:`expand_days`)."""
+    keys = [*MONTH_KEYS, "month", "year"]
+    return _per_year(days.groupBy(*keys).agg(F.count_distinct("date").alias("n_days_present")), years)
+
+
+def monthly_presence(events: DataFrame, years: str = "distinct") -> DataFrame:
     """Days present per (tag, station, zone, species, month, year), the number of
-    years seen for that tag, station and month, and ``days_per_year``.
+    years seen for that tag, station and month, and ``days_per_year``.  A day that
+    several events cover counts once.
 
     ``years='distinct'``: ``n_years`` = distinct years of the (tag, station,
     month); ``years='rows'``: the number of monthly rows of it (the older
     variant, which also splits by zone and species).  NULL tags form one group.
-    """
+
+    Interval arithmetic by month: an event is cut at the ends of months, and the
+    days of a month that it covers are a run of bits.  The union of overlapping
+    events is the OR of their bits, a partial aggregate, so neither days nor the
+    events of one key meet in a task, and the days are the bits set."""
+    first, last = F.to_date("start_datetime"), F.to_date("end_datetime")
+    d = events.select(*MONTH_KEYS, first.alias("__a"), last.alias("__b")).where("__a <= __b")
+    d = d.withColumn("__m", F.explode(F.sequence(F.trunc("__a", "month"), F.trunc("__b", "month"), F.expr("interval 1 month"))))
+    low = F.when(F.col("__a") > F.col("__m"), F.dayofmonth("__a")).otherwise(1)
+    high = F.when(F.col("__b") < F.last_day("__m"), F.dayofmonth("__b")).otherwise(F.dayofmonth(F.last_day("__m")))
+    d = d.withColumns({"month": F.month("__m"), "year": F.year("__m"), "__low": low, "__high": high})
+    bits = F.expr("shiftleft(1L, __high + 1) - shiftleft(1L, __low)")
+    md = d.groupBy(*MONTH_KEYS, "month", "year").agg(F.bit_or(bits).alias("__days"))
+    return _per_year(md.withColumn("n_days_present", F.bit_count("__days").cast("long")).drop("__days"), years)
+
+
+def _per_year(md: DataFrame, years: str) -> DataFrame:
     if years not in ("distinct", "rows"):
         raise ValueError("years must be 'distinct' or 'rows'")
-    keys = ["tag_id", "station_name", "protection", "scientific_name", "month", "year"]
-    md = days.groupBy(*keys).agg(F.count_distinct("date").alias("n_days_present"))
     w = Window.partitionBy("tag_id", "station_name", "month")
     n_years = F.size(F.collect_set("year").over(w)) if years == "distinct" else F.count(F.lit(1)).over(w)
     md = md.withColumn("n_years", n_years.cast("long"))
@@ -75,7 +99,8 @@ def mean_residency(monthly: DataFrame, keys: Sequence[str], se: str = "tags") ->
 
 def unique_tags(days: DataFrame, keys: Sequence[str] = ("station_name", "protection", "scientific_name", "month"),
                 count_col: str = "unique_tags") -> DataFrame:
-    """Distinct tags (NULL counted as one) per ``keys``."""
+    """Distinct tags (NULL counted as one) per ``keys``; ``days`` is a table of days
+    or of months (:func:`monthly_presence`)."""
     keys = list(keys)
     return days.select("tag_id", *keys).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
 

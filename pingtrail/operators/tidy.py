@@ -22,15 +22,9 @@ RECEIVER_RENAMES = {
 
 def _complete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Keep rows without NULL (or NaN) in any of ``cols`` (default: all)."""
-    cols = list(cols or df.columns)
-    cond = None
-    for c in cols:
-        dtype = df.schema[c].dataType.typeName()
-        ok = F.col(c).isNotNull()
-        if dtype in ("double", "float"):
-            ok = ok & ~F.isnan(F.col(c))
-        cond = ok if cond is None else cond & ok
-    return df.where(cond) if cond is not None else df
+    kinds = {c: df.schema[c].dataType.typeName() for c in cols or df.columns}
+    known = [f"`{c}` IS NOT NULL" + (f" AND NOT isnan(`{c}`)" if k in ("double", "float") else "") for c, k in kinds.items()]
+    return df.where(" AND ".join(known)) if known else df
 
 
 def tidy_detections(det: DataFrame, receivers: DataFrame, tags: DataFrame, *,

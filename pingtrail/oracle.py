@@ -166,8 +166,8 @@ SELECT make_timestamp(min(us)) AS "min",
 FROM u"""
 
 
-def _hourly() -> str:
-    return tidy_ctes() + f""",
+def _hourly(ctes: str | None = None, min_hours: float = C.MIN_HOURS, min_per_hour: int = C.MIN_PER_HOUR) -> str:
+    return (ctes or tidy_ctes()) + f""",
 h_us AS (SELECT *, epoch_us(datetime) AS us FROM tidy),
 h_gap AS (SELECT *, us - lag(us) OVER (PARTITION BY tag_id, protection ORDER BY datetime, station_name, transmitter) AS gap_us
           FROM h_us),
@@ -186,9 +186,15 @@ roll AS (SELECT tag_id, scientific_name, protection, event_id, min(hour_start) A
                 count(*) AS hours_covered, min(dets_in_hour) AS min_dets_per_hour,
                 CAST(epoch_us(max(hour_end)) - epoch_us(min(hour_start)) AS DOUBLE) / CAST({US_HOUR} AS DOUBLE) AS duration_hours
          FROM bins GROUP BY ALL),
-good AS (SELECT * FROM roll WHERE duration_hours >= {C.MIN_HOURS} AND min_dets_per_hour >= {C.MIN_PER_HOUR}),
+good AS (SELECT * FROM roll WHERE duration_hours >= {min_hours} AND min_dets_per_hour >= {min_per_hour}),
 rh AS (SELECT tag_id, scientific_name, protection, event_id, hour_bin, CAST(hour(hour_bin) AS INTEGER) AS hour_of_day,
-              dets_in_hour FROM bins WHERE dets_in_hour >= {C.MIN_PER_HOUR})"""
+              dets_in_hour FROM bins WHERE dets_in_hour >= {min_per_hour})"""
+
+
+def _strict() -> str:
+    """The hourly CTEs with one tag per species and the two-per-hour rule."""
+    return _hourly(tidy_ctes().replace("\ntidy AS (", "\ntidy_tags AS (") + """,
+tidy AS (SELECT * REPLACE (scientific_name AS tag_id) FROM tidy_tags)""", C.STRICT_HOURS, C.STRICT_PER_HOUR)
 
 
 def _movement() -> str:
@@ -209,7 +215,7 @@ def _range() -> str:
         f"WHEN hour_time >= TIMESTAMP '{a}' AND hour_time <= TIMESTAMP '{b}' THEN CAST({e} AS DOUBLE)"
         for a, b, e in TB.RANGE_SCHEDULE)
     return f"""WITH rh AS (
-  SELECT date_trunc('hour', ts) AS hour_time, event_type AS receiver, '{TB.RANGE_TRANSMITTER}' AS transmitter,
+  SELECT date_trunc('hour', ts) AS hour_time, event_type AS receiver, '{TB.RANGE_PREFIX}' || CAST(user_id AS VARCHAR) AS transmitter,
          CAST(floor(value / 20) * 20 AS DOUBLE) AS distance, count(*) AS n_det
   FROM events GROUP BY ALL),
 rx AS (SELECT *, CASE {whens} END AS detec_esperadas FROM rh),
@@ -221,6 +227,50 @@ bd AS (SELECT distance, CAST(sum(n_det) AS BIGINT) AS total_detections, sum(dete
        HAVING sum(detec_esperadas) > 0 AND sum(n_det) <= sum(detec_esperadas))"""
 
 
+def _range_windows(hour: str, extra: str, at: str, windows: list) -> str:
+    """Rates against windows by a range join; of several windows the first wins."""
+    rows = ", ".join(f"({i}, {a}, {b}, CAST({e} AS DOUBLE))" for i, (a, b, e) in enumerate(windows))
+    return f"""WITH rh AS (
+  SELECT {extra}{hour} AS hour_time, event_type AS receiver, '{TB.RANGE_PREFIX}' || CAST(user_id AS VARCHAR) AS transmitter,
+         CAST(floor(value / 20) * 20 AS DOUBLE) AS distance, count(*) AS n_det
+  FROM events GROUP BY ALL),
+win AS (SELECT * FROM (VALUES {rows}) AS w(p, a, b, e)),
+rx AS (SELECT rh.*, arg_min(win.e, win.p) AS detec_esperadas FROM rh JOIN win ON rh.{at} >= win.a AND rh.{at} <= win.b GROUP BY ALL),
+rates AS (SELECT *, n_det / detec_esperadas AS tasa_detec FROM rx WHERE detec_esperadas > 0 AND n_det <= detec_esperadas)"""
+
+
+def _range_local() -> str:
+    zone = f"'{TB.LOCAL_ZONE}'"
+    utc = lambda t: f"timezone('UTC', timezone({zone}, TIMESTAMP '{t}'))"
+    local = f"date_trunc('hour', timezone({zone}, timezone('UTC', ts)))"
+    return _range_windows(local, f"timezone('UTC', timezone({zone}, {local})) AS hour_utc, ", "hour_utc",
+                          [(utc(a), utc(b), e) for a, b, e in TB.LOCAL_SCHEDULE])
+
+
+def _range_half_hours() -> str:
+    half = "time_bucket(INTERVAL 30 MINUTE, ts)"
+    return _range_windows(half, "", "hour_time", [(f"TIMESTAMP '{a}'", f"TIMESTAMP '{b}'", e) for a, b, e in TB.HALF_HOUR_SCHEDULE])
+
+
+def _models(steps: int = 14) -> str:
+    """The Newton iteration of :func:`_model` for every receiver, coefficients joined by receiver."""
+    parts = [_range(), """,
+fit_in AS (SELECT receiver, distance AS x, CAST(sum(n_det) AS DOUBLE) / sum(detec_esperadas) AS y, sum(detec_esperadas) AS n
+           FROM rates WHERE distance IS NOT NULL GROUP BY receiver, distance
+           HAVING sum(detec_esperadas) > 0 AND sum(n_det) <= sum(detec_esperadas)),
+it0 AS (SELECT DISTINCT receiver, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM fit_in)"""]
+    sums = """SELECT receiver, b0, b1, sum(n * m * (1 - m)) AS s, sum(n * m * (1 - m) * x) AS sx, sum(n * m * (1 - m) * x * x) AS sxx,
+               sum(n * (y - m)) AS g0, sum(n * (y - m) * x) AS g1, max(x) AS max_distance
+        FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM fit_in JOIN it{k} USING (receiver)) GROUP BY receiver, b0, b1"""
+    for k in range(1, steps + 1):
+        parts.append(f""",
+it{k} AS (SELECT receiver, b0 + (sxx * g0 - sx * g1) / (s * sxx - sx * sx) AS b0, b1 + (s * g1 - sx * g0) / (s * sxx - sx * sx) AS b1
+        FROM ({sums.format(k=k - 1)}))""")
+    return "".join(parts) + f""",
+models AS (SELECT receiver, b0, b1, sxx / (s * sxx - sx * sx) AS v00, -sx / (s * sxx - sx * sx) AS v01,
+                  s / (s * sxx - sx * sx) AS v11, max_distance FROM ({sums.format(k=steps)}))"""
+
+
 def _model(steps: int = 14) -> str:
     """Unrolled Newton iteration for the grouped logit, from b = 0; each step's
     coefficients enter the next as scalar subqueries."""
@@ -334,6 +384,18 @@ SELECT station_name, count(*) AS n FROM r_events WHERE station_name IS NOT NULL
         "WITH rdt AS (SELECT date_trunc('second', ts) AS datetime FROM events)", "rdt")
     q["mean_residency_summary"] = _mean_summary()
     q["range_hourly"] = _range() + "\nSELECT * FROM rh"
+    q["range_hourly_local"] = _range_local() + "\nSELECT * FROM rh"
+    q["range_expected_local"] = _range_local() + "\nSELECT * FROM rates"
+    q["range_expected_half_hours"] = _range_half_hours() + "\nSELECT * FROM rates"
+    q["range_models"] = _models() + f"""
+SELECT receiver, round(b0, {C.MODEL_PLACES}) AS b0, round(b1, {C.MODEL_PLACES}) AS b1,
+       {_round_all(["v00", "v01", "v11"], C.COV_PLACES)}, round(max_distance, {C.MODEL_PLACES}) AS max_distance FROM models"""
+    q["hourly_residency_strict"] = _strict() + "\nSELECT * FROM good"
+    same = " AND ".join(f"g.{k} IS NOT DISTINCT FROM rh.{k}" for k in ("tag_id", "scientific_name", "protection", "event_id"))
+    q["resident_hours_of_events"] = _strict() + f"\nSELECT * FROM rh WHERE EXISTS (SELECT 1 FROM good g WHERE {same})"
+    q["bins_with_events"] = _strict() + f"""
+SELECT rh.*, g.start_datetime, g.end_datetime, g.duration_hours FROM rh LEFT JOIN good g ON {same}"""
+    q["station_geojson"] = q["station_counts"]
     q["range_expected"] = _range() + "\nSELECT * FROM rates"
     q["range_by_distance"] = _range() + "\nSELECT * FROM bd"
     mp = C.MODEL_PLACES

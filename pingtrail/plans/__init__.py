@@ -1,3 +1,3 @@
 """Reusable physical-plan shapes: chunked ordered windows and gap buckets."""
 
-from pingtrail.plans.sequence import bucket_events, lead_columns, number_rows, sessionize  # noqa: F401
+from pingtrail.plans.sequence import lead_columns, number_events, number_rows, sessionize  # noqa: F401

@@ -89,3 +89,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/pingtrail/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def files_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and modification times of the files at ``path`` (a file, or a folder
+    of files), by the session's file systems; no job.  Changes when a table is rewritten."""
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return ()
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+    except AttributeError:  # Spark Connect: no JVM access
+        return ("unknown", uuid.uuid4().hex)

@@ -33,7 +33,9 @@ def load_stage(spark: SparkSession, path: str, schema: StructType | None = None)
 def write_partitioned(df: DataFrame, path: str, key: str) -> str:
     """One output folder per value of ``key`` (the per-species / per-tag export).
 
-    No repartition by the key: a hot key would land in one task.  Each task
-    sorts its rows by the key and writes one file per key it holds."""
-    df.write.mode("overwrite").partitionBy(key).parquet(path)
+    Rows are rebalanced by the key first: adaptive execution puts small keys
+    together in one task and splits a key larger than its advisory partition
+    size over several, so a key has about as many files as its bytes need and
+    a hot key is not one task's work."""
+    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
     return path

@@ -23,7 +23,7 @@ from pingtrail.functions.time import floor_time, to_ntz
 # Fixed values of the test adapter.
 TRANSMITTER_PREFIX = "A69-1602-"
 SYNC_TRANSMITTER = "A69-1602-SYNC"
-RANGE_TRANSMITTER = "A69-1602-RANGE"
+RANGE_PREFIX = "A69-1602-RANGE-"
 SUBSTRATES = ["rock", "sand", "kelp"]
 STATION_LAT0, STATION_LON0 = -33.5, -71.6
 SYNC_TAG_KEY = 7
@@ -118,14 +118,15 @@ def detections_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_raw(spark: SparkSession, sf_dir: str, bin_m: int = 20) -> DataFrame:
     """Range-test rows in the shape of the range-test CSV (text date and time,
-    distance as "<n> metros")."""
+    distance as "<n> metros"); the transmitter is the user's, so the cells of an
+    hour, receiver, transmitter and distance grow with the table."""
     ev = table(spark, sf_dir, "events")
     ts = to_ntz(F.col("ts"))
     return ev.select(
         F.format_string("%02d-%02d-%02d", F.dayofmonth(ts), F.month(ts), F.year(ts) % 100).alias("date_utc"),
         F.format_string("%02d:%02d:%02d", F.hour(ts), F.minute(ts), F.second(ts)).alias("time_utc"),
         F.col("event_type").alias("receiver"),
-        F.lit(RANGE_TRANSMITTER).alias("transmitter"),
+        F.concat(F.lit(RANGE_PREFIX), F.col("user_id").cast("string")).alias("transmitter"),
         F.concat((F.floor(F.col("value") / bin_m) * bin_m).cast("int").cast("string"), F.lit(" metros")).alias("distance"),
     )
 
@@ -135,17 +136,23 @@ RANGE_SCHEDULE = [
     ("2024-01-01 00:00:00", "2024-01-15 23:00:00", 24.0),
     ("2024-01-16 00:00:00", "2024-01-30 22:00:00", 6.0),
 ]
+# A schedule that starts and ends at any minute, with an overlap (the first window wins) and a gap.
+HALF_HOUR_SCHEDULE = [
+    ("2024-01-01 10:30:00", "2024-01-04 09:30:00", 12.0),
+    ("2024-01-04 08:45:00", "2024-01-09 17:15:00", 3.0),
+    ("2024-01-10 00:30:00", "2024-01-24 23:29:59", 6.0),
+]
+# A schedule in local time.
+LOCAL_SCHEDULE = [
+    ("2023-12-31 21:00:00", "2024-01-15 16:30:00", 24.0),
+    ("2024-01-15 17:00:00", "2024-01-30 18:00:00", 6.0),
+]
+LOCAL_ZONE = "America/Santiago"
 
 
 def range_schedule(spark: SparkSession, rows=RANGE_SCHEDULE) -> DataFrame:
     """Schedule table: ``window_start``, ``window_end`` (closed, NTZ), ``expected``,
     ``priority`` (first matching window wins)."""
-    return spark.createDataFrame(
-        [(a, b, float(e), i) for i, (a, b, e) in enumerate(rows)],
-        "a string, b string, expected double, priority int",
-    ).select(
-        F.col("a").cast("timestamp_ntz").alias("window_start"),
-        F.col("b").cast("timestamp_ntz").alias("window_end"),
-        "expected", "priority",
-    )
-
+    values = ", ".join(f"(timestamp_ntz'{a}', timestamp_ntz'{b}', {float(e)!r}D, {i})" for i, (a, b, e) in enumerate(rows))
+    # a local relation: its size is known to the planner
+    return spark.sql(f"SELECT * FROM VALUES {values} AS schedule(window_start, window_end, expected, priority)")

@@ -125,3 +125,64 @@ def test_global_numbering_without_keys(spark):
     none = df.where("false")
     assert number_rows(none, ["k"], ["t"]).collect() == []
     assert lead_columns(none, ["k"], ["t"], {"nt": "t"}, row_number="rn").collect() == []
+
+
+def test_events_keep_rows_without_a_time(spark):
+    """Rows without a time come last in their group, each an event of its own; a cut group gives the same ids."""
+    df = _data(spark, n=300, seed=9).withColumn("t", F.when(F.col("i") % 5 == 0, None).otherwise(F.col("t")))
+    w = Window.partitionBy("k").orderBy(F.asc_nulls_last("t"), "s", "i")
+    us = epoch_us("t")
+    for first_gap in ("zero", "null"):
+        for gap in (1, 3600, 86400):
+            plain = us - F.lag(us).over(w)
+            if first_gap == "zero":
+                plain = F.when(us.isNotNull() & (F.row_number().over(w) == 1), 0).otherwise(plain)
+            want = df.withColumn("g", plain).withColumn("f", F.when(F.col("g") <= gap * 10**6, 0).otherwise(1))
+            want = want.withColumn("e", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            timed = _sorted(want.where("t is not null"), ["i", "f", "e"])
+            ids = sorted((repr(r.k), r.e) for r in want.where("t is null").collect())
+            for rows in (1, 7, 10**6):
+                got = sessionize(df, ["k"], ["t", "s", "i"], gap, first_gap=first_gap, flag_col="f", id_col="e", chunk_rows=rows)
+                assert got.count() == df.count()
+                assert _sorted(got.where("t is not null"), ["i", "f", "e"]) == timed, (first_gap, gap, rows)
+                assert sorted((repr(r.k), r.e) for r in got.where("t is null").collect()) == ids, (first_gap, gap, rows)
+
+
+def test_cut_groups_number_the_same_events(spark):
+    """A bucket of the gap limit that holds most rows is cut over several chunks."""
+    df = _data(spark, n=500, seed=4)
+    for first_gap in ("zero", "null"):
+        for gap in (0, 60, 3600, 30 * 86400):
+            want = _sorted(sessionize(df, ["k"], ["t", "s", "i"], gap, first_gap=first_gap), ["i", "gap_secs", "new_event", "event_id"])
+            for rows in (1, 20, 100):
+                got = sessionize(df, ["k"], ["t", "s", "i"], gap, first_gap=first_gap, chunk_rows=rows)
+                assert _sorted(got, ["i", "gap_secs", "new_event", "event_id"]) == want
+    day = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_add(
+        "MILLISECOND", F.col("id") * 4320, F.expr("TIMESTAMP_NTZ'2024-05-01 00:00:00'")).alias("t"))
+    from pingtrail.plans.sequence import number_events
+    parts = number_events(day, ["k"], ["t"], 86_400, chunk_rows=1000).groupBy("__chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.max("__eid").alias("e")).collect()
+    assert len(parts) >= 20 and max(r.n for r in parts) <= 1000 and {r.e for r in parts} == {0}
+
+
+def test_residency_events_of_cut_groups(spark):
+    from helpers import detections_df
+    from pingtrail.operators.events import residency_events
+
+    rnd = random.Random(8)
+    t, data = dt.datetime(2024, 1, 1), []
+    for _ in range(400):
+        t += dt.timedelta(minutes=rnd.choice([1, 7, 30, 60, 61, 200]))
+        data.append((t.isoformat(sep=" "), rnd.choice(["A69-1602-12345", "A69-1602-SYNC", "A69-1602-2222"]), rnd.choice(["ST1", "ST2"]),
+                     rnd.choice(["MPA", "OPEN"]), rnd.choice(["SpA", "SpB"])))
+    df = detections_df(spark, data)
+    for per in ("event", "detection"):
+        for least in (1, 2, 5):
+            make = lambda rows: sorted(map(repr, residency_events(df, min_detections=least, min_days=0.0, max_gap_secs=4 * 3600, per=per,
+                                                                  chunk_rows=rows).collect()))
+            whole = make(10**6)
+            assert whole and make(3) == whole and make(40) == whole
+    # without a time no event can last, and the rest is as before
+    gone = df.withColumn("datetime", F.when(F.col("station_name") == "ST1", None).otherwise(F.col("datetime")))
+    left = residency_events(gone, min_detections=1, min_days=0.0, max_gap_secs=4 * 3600)
+    assert {r.station_name for r in left.collect()} == {"ST2"}
