@@ -20,14 +20,23 @@ lines share is right).  Matching sets of sizes m <= n must
   one bit of a 128-bit parity map of the set: the maps differ in no more bits.
 
 What passes is verified on the whole sets.
+
+Whether a class goes depends on one earlier match only, so pairs are not listed.
+In rounds, every undecided class is held against the earliest undecided class
+of each prefix token: a large group of near copies is decided by its first
+members, in as many pairs as it has prefix tokens.  When a round decides
+little, the classes still undecided are held against all earlier ones of their
+prefix tokens, so a class stays only after every candidate has failed.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrail.llm.shared import column_safe, stored, texts
@@ -35,6 +44,9 @@ from pingtrail.llm.shared import column_safe, stored, texts
 SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
+#: Occurrences of a token per bin of its classes (a window is one bin), and the share of the undecided classes that a
+#: round must decide for another one to follow.
+BIN, WORTH = 1_000_000, 0.01
 #: Characters of text that a task takes apart at a time.
 STEP = 1_000_000
 NULL_ID = -(2 ** 63)
@@ -133,8 +145,8 @@ def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """A row per line with tokens: ``doc_id``, ``text_hash``, ``line`` (from 0), ``a``, ``b``
-    (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (32-bit
-    hashes of the rarest tokens); one row with size 0 for a document without such lines."""
+    (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (of the
+    rarest tokens 32-bit hashes, above them the number of bins); one row with size 0 for a document without such lines."""
     def run(batches):
         for batch in _portions(batches):
             row, number, lines = _lines(batch.column("text"))
@@ -142,7 +154,9 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
             starts = np.cumsum(sizes) - sizes
             length = _prefix(sizes, similarity)
             within = np.arange(len(tokens)) - np.repeat(starts, sizes)
-            short = (tokens[within < np.repeat(length, sizes)] & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
+            rare = tokens[within < np.repeat(length, sizes)]
+            bins = np.minimum(1 + counts[(rare % np.uint64(len(counts))).astype("i8")] // BIN, (1 << 30) - 1)
+            short = (rare & np.uint64(0xFFFFFFFF)).astype("i8") | (bins << 32)
             offsets = np.concatenate([[0], np.cumsum(length)])
             keep = sizes > 0
             bare = np.setdiff1d(np.arange(batch.num_rows), row[keep])
@@ -156,25 +170,56 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
             none = np.zeros(len(bare), "i8")
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[bare]), pa.array(texts_[bare]), pa.array(none.astype("i4") - 1), *[pa.array(none)] * 4, pa.array(none.astype("i4")),
-                pa.array([[]] * len(bare), pa.list_(pa.int32()))], names=kinds)
+                pa.array([[]] * len(bare), pa.list_(pa.int64()))], names=kinds)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<long>")
 
 
-def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``x`` < ``y`` of digests ``a`` that pass the filters, from
-    ``classes`` (``a``, ``p``, ``q``, ``size``, ``prefix``)."""
-    index = classes.select("a", "size", "p", "q", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
+def _may_match(x: str, y: str, similarity: float) -> Column:
+    """The filters, for structs or aliases ``x`` and ``y`` with ``p``, ``q`` and ``at`` (size and place of the shared token)."""
     size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
     rest = lambda s: size(s) - F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1))
-    shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
-    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
-    differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
-    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.a") < F.col("r.a")) & (apart <= differ)
-                                & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
-                                & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
-    return met.select(F.col("l.a").alias("x"), F.col("r.a").alias("y")).distinct()
+    shared = F.lit(similarity / (1 + similarity)) * (size(x) + size(y)) - F.lit(_EPS)
+    apart = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in "pq")
+    differ = F.lit((1 - similarity) / (1 + similarity)) * (size(x) + size(y)) + F.lit(_EPS)
+    return ((F.col(f"{x}.a") != F.col(f"{y}.a")) & (apart <= differ)
+            & (size(x) >= similarity * size(y) - _EPS) & (size(y) >= similarity * size(x) - _EPS)
+            & (F.least(rest(x), rest(y)) + F.least(size(x) - rest(x), size(y) - rest(y)) >= shared))
+
+
+ENTRY = ["token", "a", "p", "q", "at", "doc_id"]
+
+
+def prefix_index(classes: DataFrame) -> DataFrame:
+    """``ENTRY`` per class and prefix token: ``at`` holds the size of the class and the token's place."""
+    index = classes.select("a", "size", "p", "q", "doc_id", F.posexplode("prefix").alias("pos", "token"))
+    return index.select("token", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"), "doc_id")
+
+
+def _with_first(index: DataFrame) -> DataFrame:
+    """The entries that share their token, with the first of its classes, or of the class's bin where it has several bins."""
+    bins = F.shiftright("token", 32)
+    w = Window.partitionBy("token", F.when(bins > 1, F.pmod(F.xxhash64("a"), bins)).otherwise(0)).orderBy("doc_id", "a")
+    first = F.first(F.struct("a", "p", "q", "at")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    shared = F.lag("a").over(w).isNotNull() | F.lead("a").over(w).isNotNull() | (bins > 1)
+    return index.withColumns({"first": first, "shared": shared}).where("shared").drop("shared")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.a", f"{y}.a").alias("x"), F.greatest(f"{x}.a", f"{y}.a").alias("y")]
+
+
+def first_candidates(index: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``x`` < ``y`` of digests ``a``: each entry of :func:`_with_first` and the first of its token, if they pass the filters."""
+    own = index.select(F.struct("a", "p", "q", "at").alias("own"), "first")
+    return own.where(_may_match("own", "first", similarity)).select(*_pair("own", "first")).distinct()
+
+
+def all_candidates(undecided: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``x`` < ``y`` of an entry ``undecided`` and an entry of ``index`` that is not later, if they pass the filters."""
+    met = undecided.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("r.doc_id") <= F.col("l.doc_id"))
+                                    & _may_match("l", "r", similarity))
+    return met.select(*_pair("l", "r")).distinct()
 
 
 def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
@@ -193,7 +238,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
     such lines (and a few others) are taken apart and shuffled."""
     bitmap = _filter_of(wanted, bits)
     none = np.ones(1, "i8")
-    rows = _rows(docs).select("doc_id", "text_hash", "text", F.transform(
+    of = _rows(docs).join(wanted.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+    rows = of.select("doc_id", "text_hash", "text", F.transform(
         F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1),
         lambda n: F.pmod(F.xxhash64("doc_id", "text_hash", n), F.lit(bits))).alias("slots"))
 
@@ -215,21 +261,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
     return found.join(wanted, ["doc_id", "text_hash", "line", "a", "b"]).select("a", "b", "tokens").dropDuplicates(["a", "b"])
 
 
-def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per line with tokens: ``doc_id``, ``text_hash``, ``line``,
-    ``first_doc``, ``first_hash``, ``first_line`` (of its class), ``n_links``
-    (other classes that it matches) and ``removed``; and one with line -1 for a
-    document without such lines.
-
-    Lines without tokens are never removed.  A NULL text has none, a NULL doc_id
-    sorts first.  A document is a row's id and text: different texts under one id,
-    or under NULL, are documents of their own, and equal rows are one."""
-    lines = stored(line_table(docs, token_counts(docs), similarity), "lines")
-    first = F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first")
-    classes = lines.where("size > 0").groupBy("a", "b", "p", "q", "size").agg(first)
-    classes = stored(classes.select("a", "b", "p", "q", "size", "first.*"), "classes")
-    pairs = stored(candidates(classes, similarity), "candidates")
-
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The later class of each of ``pairs`` that is as similar as ``similarity``: ``a``,
+    ``b`` and ``earlier``, the first line of the earliest of its matches here."""
+    pairs = stored(pairs, "candidates")
     named = classes.select("a", "b", "doc_id", "text_hash", "line")
     ends = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
     wanted = stored(named.join(ends, "a", "left_semi"), "wanted")
@@ -239,36 +274,75 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     either = F.size("x_tokens") + F.size("y_tokens") - shared
     met = met.where(shared >= F.lit(similarity) * either - F.lit(_EPS))
-    later = F.struct("x_doc_id", "x_text_hash", "x_line") > F.struct("y_doc_id", "y_text_hash", "y_line")
-    linked = met.select(F.explode(F.array(
-        F.struct(F.col("x_a").alias("a"), F.col("x_b").alias("b"), later.alias("late")),
-        F.struct(F.col("y_a").alias("a"), F.col("y_b").alias("b"), (~later).alias("late")))).alias("e")).select("e.*")
-    linked = linked.groupBy("a", "b").agg(F.max("late").alias("late"), F.count(F.lit(1)).alias("n_links"))
+    at = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("doc_id", "text_hash", "line")])
+    later = at("x") > at("y")
+    pick = lambda c: F.when(later, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(c)
+    found = met.select(pick("a"), pick("b"), F.when(later, at("y")).otherwise(at("x")).alias("earlier"))
+    return stored(found.groupBy("a", "b").agg(F.min("earlier").alias("earlier")), "matched")
+
+
+def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, worth: float = WORTH) -> DataFrame:
+    """``a``, ``b`` and ``earlier`` (the first line of an earlier class that matches) of all classes that have one."""
+    index = stored(_with_first(prefix_index(classes)), "index")
+    undecided, found = index, []
+    while True:
+        now = verify(docs, classes, first_candidates(undecided, similarity), similarity)
+        found.append(now)
+        decided = now.count()
+        before = undecided.select("a").distinct().count()
+        left = undecided.drop("first").join(now.select("a"), "a", "left_anti").select(*ENTRY)
+        if decided <= worth * before:
+            break
+        undecided = stored(_with_first(left), "undecided")
+    left = index.select(*ENTRY).join(_union(found).select("a").distinct(), "a", "left_anti")
+    rest = verify(docs, classes, all_candidates(left, index, similarity), similarity)
+    return _union([*found, rest]).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
-    named = named.join(linked, ["a", "b"], "left").select(
+
+def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row per line with tokens: ``doc_id``, ``text_hash``, ``line``,
+    ``first_doc``, ``first_hash``, ``first_line`` (of its class), ``earlier_doc``,
+    ``earlier_hash``, ``earlier_line`` (of an earlier class that matches, or NULL)
+    and ``removed``; and one with line -1 for a document without such lines.
+
+    Lines without tokens are never removed.  A NULL text has none, a NULL doc_id
+    sorts first.  A document is a row's id and text: different texts under one id,
+    or under NULL, are documents of their own, and equal rows are one.  An empty
+    table gives none."""
+    lines = stored(line_table(docs, token_counts(docs), similarity), "lines")
+    first = F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first")
+    classes = lines.where("size > 0").groupBy("a", "b", "p", "q", "size").agg(first)
+    classes = stored(classes.select("a", "b", "p", "q", "size", "first.*"), "classes")
+    earlier = matches(docs, classes, similarity)
+    named = classes.select("a", "b", "doc_id", "text_hash", "line").join(earlier, ["a", "b"], "left").select(
         "a", "b", F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_hash"), F.col("line").alias("first_line"),
-        F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.col("earlier.doc_id").alias("earlier_doc"), F.col("earlier.text_hash").alias("earlier_hash"), F.col("earlier.line").alias("earlier_line"))
     own = lines.where("size > 0").select("doc_id", "text_hash", "line", "a", "b").join(named, ["a", "b"])
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("line") == F.col("first_line"))
-    own = own.select("doc_id", "text_hash", "line", "first_doc", "first_hash", "first_line", "n_links", (F.col("late") | ~first).alias("removed"))
-    none = F.lit(None)
-    bare = lines.where("size = 0").select("doc_id", "text_hash", "line", none.cast("long").alias("first_doc"),
-                                          none.cast("long").alias("first_hash"), none.cast("int").alias("first_line"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"))
+    found = [f"{k}_{c}" for k in ("first", "earlier") for c in ("doc", "hash", "line")]
+    own = own.select("doc_id", "text_hash", "line", *found, (F.col("earlier_line").isNotNull() | ~first).alias("removed"))
+    bare = lines.where("size = 0").select("doc_id", "text_hash", "line", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in found],
+                                          F.lit(False).alias("removed"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return own.unionByName(bare).select(real("doc_id"), "text_hash", "line", real("first_doc"), "first_hash", "first_line", "n_links", "removed")
+    both = own.unionByName(bare)
+    return both.select(*[real(c) if c in ("doc_id", "first_doc", "earlier_doc") else F.col(c) for c in both.columns])
 
 
 def _summary(decisions: DataFrame) -> DataFrame:
     """The rows of :func:`summarise` with ``text_hash``."""
     gone = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line"))))
     return decisions.groupBy("doc_id", "text_hash").agg(
-        F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"), F.sum("n_links").alias("n_links"),
+        F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"), F.count("earlier_line").alias("n_matched"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"), gone.alias("removed"))
 
 
 def summarise(decisions: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_lines`` (with tokens), ``n_links`` (of its
-    lines' classes), ``n_removed`` and ``removed`` (the lines' numbers)."""
+    """Per document: ``doc_id``, ``n_lines`` (with tokens), ``n_matched`` (lines whose
+    class matches an earlier one), ``n_removed`` and ``removed`` (the lines' numbers)."""
     return _summary(decisions).drop("text_hash")
 
 

@@ -71,3 +71,40 @@ def test_different_texts_under_one_id_or_null(spark, docs_of):
     assert [r.text for r in kept if r.doc_id == 3] == [""] and len(kept) == len(rows)
     summary = line_dedup.summarise(line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows]))).collect()
     assert sorted((str(r.doc_id), r.n_lines) for r in summary) == [("2", 2)] * 3 + [("3", 1), ("None", 2), ("None", 3)]
+
+
+def test_representatives_match_and_come_earlier(spark, docs_of):
+    rows = fixture(6)
+    words = {(i, n): frozenset(x.encode().lower().split()) for i, text in rows for n, x in enumerate((text or "").split("\n"))}
+    decisions = line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    found = 0
+    for r in decisions:
+        if r.line >= 0:
+            first = (r.first_doc, r.first_line)
+            assert words[first] == words[r.doc_id, r.line] and first <= (r.doc_id, r.line)
+            if r.earlier_line is not None:
+                found += 1
+                s, v = words[r.earlier_doc, r.earlier_line], words[first]
+                assert (r.earlier_doc, r.earlier_line) < first and len(s & v) >= 0.8 * len(s | v) - 1e-9
+    assert found > 10
+
+
+@pytest.mark.parametrize("worth, bin_rows", [(0.01, 1_000_000), (2.0, 1_000_000), (0.01, 3)])
+def test_a_group_of_near_copies_lists_no_pairs(spark, docs_of, monkeypatch, worth, bin_rows):
+    """Whatever the number of rounds and bins, the same lines go; with rounds, pairs grow with the lines."""
+    monkeypatch.setattr(line_dedup, "BIN", bin_rows)
+    monkeypatch.setattr(line_dedup.matches, "__defaults__", (0.8, worth))
+    pairs = []
+    real = line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda d, c, p, s: pairs.append(p.count()) or real(d, c, p, s))
+    base = [f"word{k}" for k in range(40)]
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        line = list(base)
+        line[rng.randrange(40)] = f"new{i}"
+        rows.append((i, " ".join(line)))
+    decisions = line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    assert {(r.doc_id, r.line): r.removed for r in decisions} == brute(rows)
+    if worth < 1 and bin_rows > 3:
+        assert sum(pairs) < 10 * 200
