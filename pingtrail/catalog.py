@@ -59,18 +59,19 @@ def tidy_for(spark: SparkSession, sf_dir: str, n_stations: int = tables.N_STATIO
     )
 
 
-_STAGES: dict[tuple, str] = {}
+_STAGES: dict[tuple, tuple[str, StructType]] = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """``build(spark, sf_dir)`` as a stage, written once per session and state of the
     folder's tables (operators that read their input more than once start from it)."""
-    df = build(spark, sf_dir)
     state = tuple((t, files_state(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")) for t in sorted(tables.SCHEMAS))
     key = (spark.sparkContext.applicationId, sf_dir, name, state)
     if key not in _STAGES:
-        _STAGES[key] = save_stage(df, scratch_path(spark, name))
-    return load_stage(spark, _STAGES[key], df.schema)
+        df = build(spark, sf_dir)
+        _STAGES[key] = save_stage(df, scratch_path(spark, name)), df.schema
+    path, schema = _STAGES[key]
+    return load_stage(spark, path, schema)
 
 
 def tidy_stage(spark: SparkSession, sf_dir: str) -> DataFrame:

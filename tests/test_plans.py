@@ -52,6 +52,7 @@ def test_scans_are_pruned(spark):
 
 def test_no_job_runs_while_a_query_is_defined(spark):
     catalog.tidy_stage(spark, SF)  # written once per session and folder
+    catalog.tidy_multi_year_stage(spark, SF)
     tracker = spark.sparkContext.statusTracker()
     for name in ("movement_base", "movement_legs", "abacus", "hourly_event_ids", "datetime_summary",
                  "residency_event_rows", "residency_events", "monthly_days"):
