@@ -23,10 +23,11 @@ What passes is verified on the whole sets.
 
 Whether a class goes depends on one earlier match only, so pairs are not listed.
 In rounds, every undecided class is held against the earliest undecided class
-of each prefix token: a large group of near copies is decided by its first
-members, in as many pairs as it has prefix tokens.  When a round decides
-little, the classes still undecided are held against all earlier ones of their
-prefix tokens, so a class stays only after every candidate has failed.
+with the same two neighbouring prefix tokens: a large group of near copies is
+decided by its first members, in about one pair per line.  When three rounds
+(first, second, third two tokens) decide little, the classes still undecided
+are held against all earlier ones that share a prefix token, so a class stays
+only after every candidate has failed.
 """
 
 from __future__ import annotations
@@ -175,50 +176,44 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
     return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<long>")
 
 
-def _may_match(x: str, y: str, similarity: float) -> Column:
-    """The filters, for structs or aliases ``x`` and ``y`` with ``p``, ``q`` and ``at`` (size and place of the shared token)."""
-    size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
-    rest = lambda s: size(s) - F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1))
-    shared = F.lit(similarity / (1 + similarity)) * (size(x) + size(y)) - F.lit(_EPS)
+def _fits(x: str, y: str, similarity: float) -> Column:
+    """The filters on sizes and parity maps, for structs or aliases ``x`` and ``y``."""
+    m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
     apart = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in "pq")
-    differ = F.lit((1 - similarity) / (1 + similarity)) * (size(x) + size(y)) + F.lit(_EPS)
-    return ((F.col(f"{x}.a") != F.col(f"{y}.a")) & (apart <= differ)
-            & (size(x) >= similarity * size(y) - _EPS) & (size(y) >= similarity * size(x) - _EPS)
-            & (F.least(rest(x), rest(y)) + F.least(size(x) - rest(x), size(y) - rest(y)) >= shared))
-
-
-ENTRY = ["token", "a", "p", "q", "at", "doc_id"]
-
-
-def prefix_index(classes: DataFrame) -> DataFrame:
-    """``ENTRY`` per class and prefix token: ``at`` holds the size of the class and the token's place."""
-    index = classes.select("a", "size", "p", "q", "doc_id", F.posexplode("prefix").alias("pos", "token"))
-    return index.select("token", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"), "doc_id")
-
-
-def _with_first(index: DataFrame) -> DataFrame:
-    """The entries that share their token, with the first of its classes, or of the class's bin where it has several bins."""
-    bins = F.shiftright("token", 32)
-    w = Window.partitionBy("token", F.when(bins > 1, F.pmod(F.xxhash64("a"), bins)).otherwise(0)).orderBy("doc_id", "a")
-    first = F.first(F.struct("a", "p", "q", "at")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    shared = F.lag("a").over(w).isNotNull() | F.lead("a").over(w).isNotNull() | (bins > 1)
-    return index.withColumns({"first": first, "shared": shared}).where("shared").drop("shared")
+    differ = F.lit((1 - similarity) / (1 + similarity)) * (m + n) + F.lit(_EPS)
+    return (F.col(f"{x}.a") != F.col(f"{y}.a")) & (apart <= differ) & (m >= similarity * n - _EPS) & (n >= similarity * m - _EPS)
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.a", f"{y}.a").alias("x"), F.greatest(f"{x}.a", f"{y}.a").alias("y")]
 
 
-def first_candidates(index: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``x`` < ``y`` of digests ``a``: each entry of :func:`_with_first` and the first of its token, if they pass the filters."""
-    own = index.select(F.struct("a", "p", "q", "at").alias("own"), "first")
-    return own.where(_may_match("own", "first", similarity)).select(*_pair("own", "first")).distinct()
+def first_candidates(classes: DataFrame, at: int, similarity: float) -> DataFrame:
+    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one with the same
+    prefix tokens ``at`` and ``at + 1`` (of its bin, where the tokens have several bins), if they pass the filters."""
+    own = classes.select("doc_id", "a", "p", "q", "size", F.get("prefix", F.lit(at)).alias("s"), F.get("prefix", F.lit(at + 1)).alias("t"))
+    bins = F.least(F.shiftright("s", 32), F.coalesce(F.shiftright("t", 32), F.lit(1 << 30)))
+    own = own.where("s is not null").select("doc_id", "a", "p", "q", "size", F.xxhash64("s", "t").alias("key"),
+                                            F.when(bins > 1, F.pmod(F.xxhash64("a"), bins)).otherwise(0).alias("bin"))
+    w = Window.partitionBy("key", "bin").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
+    first = own.select(F.struct("a", "p", "q", "size").alias("own"), F.first(F.struct("a", "p", "q", "size")).over(w).alias("first"))
+    return first.where(_fits("own", "first", similarity)).select(*_pair("own", "first"))
 
 
-def all_candidates(undecided: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``x`` < ``y`` of an entry ``undecided`` and an entry of ``index`` that is not later, if they pass the filters."""
-    met = undecided.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("r.doc_id") <= F.col("l.doc_id"))
-                                    & _may_match("l", "r", similarity))
+def all_candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``x`` < ``y`` of a class that is ``open`` and one that is not later, which share a prefix token, if they pass the filters."""
+    index = classes.select("open", "doc_id", "a", "p", "q", "size", F.posexplode("prefix").alias("pos", "token"))
+    # size and place of the token in one number
+    index = index.select("token", "open", "doc_id", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
+    size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
+    rest = lambda s: size(s) - F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1))
+    shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
+    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
+    differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
+    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & F.col("l.open") & (F.col("r.doc_id") <= F.col("l.doc_id"))
+                                & (F.col("l.a") != F.col("r.a")) & (apart <= differ)
+                                & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
+                                & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
     return met.select(*_pair("l", "r")).distinct()
 
 
@@ -281,22 +276,27 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: fl
     return stored(found.groupBy("a", "b").agg(F.min("earlier").alias("earlier")), "matched")
 
 
+#: Prefix tokens that a cycle of rounds looks at, each with its neighbour.
+ROUNDS = (0, 1, 2)
+
+
 def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, worth: float = WORTH) -> DataFrame:
     """``a``, ``b`` and ``earlier`` (the first line of an earlier class that matches) of all classes that have one."""
-    index = stored(_with_first(prefix_index(classes)), "index")
-    undecided, found = index, []
+    found, left, n = [], classes, classes.count()
     while True:
-        now = verify(docs, classes, first_candidates(undecided, similarity), similarity)
-        found.append(now)
-        decided = now.count()
-        before = undecided.select("a").distinct().count()
-        left = undecided.drop("first").join(now.select("a"), "a", "left_anti").select(*ENTRY)
-        if decided <= worth * before:
+        decided = 0
+        for at in ROUNDS:
+            now = verify(docs, classes, first_candidates(left, at, similarity), similarity)
+            decided += now.count()
+            found.append(now)
+            left = left.join(now.select("a"), "a", "left_anti")
+        n -= decided
+        if decided <= worth * n:
             break
-        undecided = stored(_with_first(left), "undecided")
-    left = index.select(*ENTRY).join(_union(found).select("a").distinct(), "a", "left_anti")
-    rest = verify(docs, classes, all_candidates(left, index, similarity), similarity)
-    return _union([*found, rest]).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
+    gone = _union(found).select("a").distinct().withColumn("gone", F.lit(True))
+    marked = classes.join(gone, "a", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    found.append(verify(docs, classes, all_candidates(marked, similarity), similarity))
+    return _union(found).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
