@@ -22,18 +22,15 @@ lines share is right).  Matching sets of sizes m <= n must
 What passes is verified on the whole sets.
 
 Whether a class goes depends on one earlier match only, so pairs are not listed.
-In rounds, every undecided class is held against the earliest undecided class
-with the same two neighbouring prefix tokens: a large group of near copies is
-decided by its first members, in about one pair per line.  When three rounds
-(first, second, third two tokens) decide little, the classes still undecided
-are held against all earlier ones that share a prefix token, so a class stays
-only after every candidate has failed.
+First, every class is held against the earliest class of its bin that has two
+neighbouring prefix tokens in common: a large group of near copies is decided by
+the first members of its bins, in a few pairs per line.  Then the classes still
+undecided are held against all earlier ones that share a prefix token, so a class
+stays only after every candidate has failed.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,9 +42,8 @@ from pingtrail.llm.shared import column_safe, stored, texts
 SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
-#: Occurrences of a token per bin of its classes (a window is one bin), and the share of the undecided classes that a
-#: round must decide for another one to follow.
-BIN, WORTH = 1_000_000, 0.01
+#: Bins of the classes with two prefix tokens in common, and how many neighbouring tokens are tried.
+BINS, NEIGHBOURS = 8, 3
 #: Characters of text that a task takes apart at a time.
 STEP = 1_000_000
 NULL_ID = -(2 ** 63)
@@ -146,8 +142,8 @@ def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """A row per line with tokens: ``doc_id``, ``text_hash``, ``line`` (from 0), ``a``, ``b``
-    (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (of the
-    rarest tokens 32-bit hashes, above them the number of bins); one row with size 0 for a document without such lines."""
+    (digests of its set), ``p``, ``q`` (its parity map), ``size``, ``prefix`` (32-bit
+    hashes of the rarest tokens); one row with size 0 for a document without such lines."""
     def run(batches):
         for batch in _portions(batches):
             row, number, lines = _lines(batch.column("text"))
@@ -155,9 +151,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
             starts = np.cumsum(sizes) - sizes
             length = _prefix(sizes, similarity)
             within = np.arange(len(tokens)) - np.repeat(starts, sizes)
-            rare = tokens[within < np.repeat(length, sizes)]
-            bins = np.minimum(1 + counts[(rare % np.uint64(len(counts))).astype("i8")] // BIN, (1 << 30) - 1)
-            short = (rare & np.uint64(0xFFFFFFFF)).astype("i8") | (bins << 32)
+            short = (tokens[within < np.repeat(length, sizes)] & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
             offsets = np.concatenate([[0], np.cumsum(length)])
             keep = sizes > 0
             bare = np.setdiff1d(np.arange(batch.num_rows), row[keep])
@@ -171,9 +165,9 @@ def line_table(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
             none = np.zeros(len(bare), "i8")
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[bare]), pa.array(texts_[bare]), pa.array(none.astype("i4") - 1), *[pa.array(none)] * 4, pa.array(none.astype("i4")),
-                pa.array([[]] * len(bare), pa.list_(pa.int64()))], names=kinds)
+                pa.array([[]] * len(bare), pa.list_(pa.int32()))], names=kinds)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, line int, a long, b long, p long, q long, size int, prefix array<int>")
 
 
 def _fits(x: str, y: str, similarity: float) -> Column:
@@ -188,29 +182,29 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.a", f"{y}.a").alias("x"), F.greatest(f"{x}.a", f"{y}.a").alias("y")]
 
 
-def first_candidates(classes: DataFrame, at: int, similarity: float) -> DataFrame:
-    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one with the same
-    prefix tokens ``at`` and ``at + 1`` (of its bin, where the tokens have several bins), if they pass the filters."""
-    own = classes.select("doc_id", "a", "p", "q", "size", F.get("prefix", F.lit(at)).alias("s"), F.get("prefix", F.lit(at + 1)).alias("t"))
-    bins = F.least(F.shiftright("s", 32), F.coalesce(F.shiftright("t", 32), F.lit(1 << 30)))
-    own = own.where("s is not null").select("doc_id", "a", "p", "q", "size", F.xxhash64("s", "t").alias("key"),
-                                            F.when(bins > 1, F.pmod(F.xxhash64("a"), bins)).otherwise(0).alias("bin"))
-    w = Window.partitionBy("key", "bin").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
+def first_candidates(classes: DataFrame, similarity: float, bins: int = BINS) -> DataFrame:
+    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one of its bin with the
+    same first, second or third two prefix tokens, if they pass the filters."""
+    keys = F.transform(F.sequence(F.lit(0), F.least(F.lit(NEIGHBOURS), F.greatest(F.size("prefix") - 1, F.lit(1))) - 1),
+                       lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.pmod(F.col("a"), F.lit(bins))))
+    own = classes.select("doc_id", "a", "p", "q", "size", F.explode(keys).alias("key"))
+    w = Window.partitionBy("key").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
     first = own.select(F.struct("a", "p", "q", "size").alias("own"), F.first(F.struct("a", "p", "q", "size")).over(w).alias("first"))
-    return first.where(_fits("own", "first", similarity)).select(*_pair("own", "first"))
+    return first.where(_fits("own", "first", similarity)).select(*_pair("own", "first")).distinct()
 
 
 def all_candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``x`` < ``y`` of a class that is ``open`` and one that is not later, which share a prefix token, if they pass the filters."""
     index = classes.select("open", "doc_id", "a", "p", "q", "size", F.posexplode("prefix").alias("pos", "token"))
-    # size and place of the token in one number
-    index = index.select("token", "open", "doc_id", "a", "p", "q", (F.col("size").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
+    # size, place of the token and whether the class is open in one number
+    at = F.col("size").cast("long") * (1 << 31) + F.col("pos") * 2 + F.col("open").cast("int")
+    index = index.select("token", "doc_id", "a", "p", "q", at.alias("at"))
     size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
-    rest = lambda s: size(s) - F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1))
+    rest = lambda s: size(s) - F.shiftright(F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1)), 1)
     shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
     apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
     differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
-    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & F.col("l.open") & (F.col("r.doc_id") <= F.col("l.doc_id"))
+    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.at") % 2 == 1) & (F.col("r.doc_id") <= F.col("l.doc_id"))
                                 & (F.col("l.a") != F.col("r.a")) & (apart <= differ)
                                 & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
                                 & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
@@ -276,31 +270,14 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: fl
     return stored(found.groupBy("a", "b").agg(F.min("earlier").alias("earlier")), "matched")
 
 
-#: Prefix tokens that a cycle of rounds looks at, each with its neighbour.
-ROUNDS = (0, 1, 2)
-
-
-def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, worth: float = WORTH) -> DataFrame:
+def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a``, ``b`` and ``earlier`` (the first line of an earlier class that matches) of all classes that have one."""
-    found, left, n = [], classes, classes.count()
-    while True:
-        decided = 0
-        for at in ROUNDS:
-            now = verify(docs, classes, first_candidates(left, at, similarity), similarity)
-            decided += now.count()
-            found.append(now)
-            left = left.join(now.select("a"), "a", "left_anti")
-        n -= decided
-        if decided <= worth * n:
-            break
-    gone = _union(found).select("a").distinct().withColumn("gone", F.lit(True))
-    marked = classes.join(gone, "a", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    found.append(verify(docs, classes, all_candidates(marked, similarity), similarity))
-    return _union(found).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, parts)
+    found = verify(docs, classes, first_candidates(classes, similarity), similarity)
+    gone = found.select("a", F.lit(True).alias("gone"))
+    marked = classes.select("doc_id", "a", "p", "q", "size", "prefix").join(gone, "a", "left")
+    marked = marked.withColumn("open", F.col("gone").isNull()).drop("gone")
+    rest = verify(docs, classes, all_candidates(marked, similarity), similarity)
+    return found.unionByName(rest).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

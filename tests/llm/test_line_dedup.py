@@ -89,22 +89,21 @@ def test_representatives_match_and_come_earlier(spark, docs_of):
     assert found > 10
 
 
-@pytest.mark.parametrize("worth, bin_rows", [(0.01, 1_000_000), (2.0, 1_000_000), (0.01, 3)])
-def test_a_group_of_near_copies_lists_no_pairs(spark, docs_of, monkeypatch, worth, bin_rows):
-    """Whatever the number of rounds and bins, the same lines go; with rounds, pairs grow with the lines."""
-    monkeypatch.setattr(line_dedup, "BIN", bin_rows)
-    monkeypatch.setattr(line_dedup.matches, "__defaults__", (0.8, worth))
+@pytest.mark.parametrize("bins", [1, 8, 1000])
+def test_a_group_of_near_copies_lists_few_pairs(spark, docs_of, monkeypatch, bins):
+    """Whatever the number of bins, the same lines go; with few, pairs grow with the lines."""
+    monkeypatch.setattr(line_dedup.first_candidates, "__defaults__", (bins,))
     pairs = []
     real = line_dedup.verify
     monkeypatch.setattr(line_dedup, "verify", lambda d, c, p, s: pairs.append(p.count()) or real(d, c, p, s))
     base = [f"word{k}" for k in range(40)]
     rng = random.Random(5)
     rows = []
-    for i in range(200):
+    for i in range(400):
         line = list(base)
         line[rng.randrange(40)] = f"new{i}"
         rows.append((i, " ".join(line)))
     decisions = line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
     assert {(r.doc_id, r.line): r.removed for r in decisions} == brute(rows)
-    if worth < 1 and bin_rows > 3:
-        assert sum(pairs) < 10 * 200
+    if bins < 1000:
+        assert sum(pairs) < 30 * 400  # of 79,800
