@@ -410,7 +410,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the conversations that :func:`format_conversations` made with
     the standard template, from their formatted text and loss mask alone, in the
-    order of its rows: ``conv_id``, ``n_turns``, ``turns_sha256``,
+    order of its parts (however its rows are stored): ``conv_id``, ``n_turns``, ``turns_sha256``,
     ``loss_chars``, ``loss_sha256``, ``formatted_chars``."""
     def run(batches):
         def rows():
@@ -435,5 +435,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[
             "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+    # one conversation's parts in one task, one after another
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                      "loss_sha256 string, formatted_chars long")

@@ -78,3 +78,20 @@ def test_what_the_sandbox_refuses(source):
 
 def test_no_python_attributes():
     assert render("{{ x.__class__ }}{{ x.upper }}", x="s") == ""
+
+
+def test_read_back_of_stored_rows(spark):
+    """However the formatted rows are written and dealt, every conversation reads back."""
+    from pingtrail.llm.shared import stored
+
+    rows = ROWS + [(100 + i, t, ("user", "assistant")[t % 2], f"{i} {t} " + "long text " * (i % 7) * 400) for i in range(60) for t in range(6)]
+    formatted = stored(chat.format_conversations(frame(spark, rows)).repartition(7), "formatted")
+    got = chat.read_back(formatted).collect()
+    assert len(got) == len({r[0] for r in rows})
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want(rows)
+
+
+def test_registered_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op5_chat_formatting(spark, str(tmp_path)).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(-7, 2)]
