@@ -80,8 +80,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                                           "n_ids": [offsets[-1]]})
 
     rows = texts(docs)
-    order = [F.asc_nulls_first("doc_id"), F.asc("text")]
-    dealt = (rows.repartitionByRange(shards, order[0]) if shards else rows.repartitionByRange(order[0]))
+    # an id, or none, may hold any share of the rows: the text's hash splits it
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc("text")]
+    dealt = (rows.repartitionByRange(shards, *order[:2]) if shards else rows.repartitionByRange(*order[:2]))
     # a row per shard: as many as there are partitions
     counts = sorted(dealt.sortWithinPartitions(*order).mapInArrow(write, _SHARD).collect())
     base, lines = 0, []
@@ -121,10 +122,11 @@ def open_array(folder: str, kind: str, shard: int, dtype: str):
         return np.frombuffer(f.read(), dtype)
 
 
-def read_token_files(spark: SparkSession, folder: str, step: int = 4096) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, step: int = 4096, piece: int = 10_000) -> DataFrame:
     """Read the files back: per document ``doc_id``, ``start`` (ids of all
     documents before it), ``n_tokens`` and ``ids_crc32`` (crc32 of its ids as
-    little-endian unsigned 32-bit integers)."""
+    little-endian unsigned 32-bit integers).  Shards are read in pieces of
+    ``piece`` documents, dealt over as many tasks."""
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -132,14 +134,16 @@ def read_token_files(spark: SparkSession, folder: str, step: int = 4096) -> Data
                 ids = open_array(folder, "ids", shard, kind)
                 offsets = open_array(folder, "offsets", shard, "<i8")
                 docs = open_array(folder, "docs", shard, "<i8")
-                for at in range(0, len(docs), step):
-                    ends = np.asarray(offsets[at:at + step + 1])
+                last = min(row["at"] + piece, len(docs))
+                for at in range(row["at"], last, step):
+                    ends = np.asarray(offsets[at:min(at + step, last) + 1])
                     crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:])]
-                    key = np.asarray(docs[at:at + step])
+                    key = np.asarray(docs[at:min(at + step, last)])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(key, pa.int64(), mask=key == NULL_ID), pa.array(ends[:-1] + row["base"]),
                         pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest(spark, folder)
-    return shards.repartition("shard").mapInArrow(read, _DOCS)
+    pieces = manifest(spark, folder).where("n_docs > 0").withColumn(
+        "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(piece).cast("long"))))
+    return pieces.repartition(max(pieces.count(), 1)).mapInArrow(read, _DOCS)

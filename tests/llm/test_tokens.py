@@ -119,3 +119,45 @@ def test_pieces_fill_sequences_without_gaps(spark, docs_of):
 
 def test_packing_of_an_empty_table(docs_of):
     assert packing.pack_documents(docs_of([]), tokenizer("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_pieces_of_shards_and_a_hot_id(spark, docs_of):
+    texts = [f"text number {n}" for n in range(400)]
+    ids = [None] * 150 + [9] * 150 + list(range(10, 110))
+    folder = scratch_path(spark, "t")
+    token_files.write_token_files(docs_of(texts, ids).repartition(5), folder, tokenizer("byte_bpe_50k.json"), 2, shards=8)
+    # no id keeps its rows in one shard
+    assert max(r.n_docs for r in token_files.manifest(spark, folder).collect()) < 150
+    read = token_files.read_token_files(spark, folder, step=16, piece=20)
+    assert read.rdd.getNumPartitions() >= 20
+    got = sorted(read.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    encode = plain("byte_bpe_50k.json")
+    want = sorted(zlib.crc32(np.array([*encode(t), 2], "<u4").tobytes()) for t in texts)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
+def test_registered_token_queries(spark):
+    from pingtrail.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    encode, start = plain("byte_bpe_50k.json"), 0
+    got = {r.doc_id: r for r in QUERIES["op9_token_files"](spark, "/root/testdata/sf0.001").collect()}
+    for i in sorted(docs):
+        want = np.array([*encode(docs[i]), 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    encode = plain("word_bpe_49k.json")
+    held = {}
+    for r in QUERIES["op3_best_fit_packing"](spark, "/root/testdata/sf0.001").collect():
+        held.setdefault(r.doc_id, []).append(r)
+    assert held.keys() == docs.keys()
+    for i, rows in held.items():
+        want = np.array([*encode(docs[i]), 1], "<u4")
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(want[r.start:r.start + r.length].tobytes())
+        assert sum(r.length for r in rows) == len(want)
