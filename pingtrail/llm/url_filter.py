@@ -76,18 +76,30 @@ def _lexical(df: DataFrame) -> DataFrame:
     })
 
 
+#: Folds of the labelled URLs: a fitted row gets its suffixes' statistics from the other folds.
+FOLDS = 5
+
+
 def _suffix_statistics(labelled: DataFrame, suffix: str) -> DataFrame:
-    """Block rate (drawn towards the overall one) and log count of each suffix of the labelled URLs."""
-    return labelled.groupBy(suffix).agg(F.sum("label").alias("_sum"), F.count(F.lit(1)).alias("_n")).select(
-        suffix, "_sum", "_n")
+    """Sum and number of the labels of each suffix of the labelled URLs, in each fold and (fold -1) in all."""
+    sums = [F.sum("label").alias("_sum"), F.count(F.lit(1)).alias("_n")]
+    folds = labelled.groupBy(suffix, "fold").agg(*sums)
+    return folds.unionByName(folds.groupBy(suffix).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")).withColumn("fold", F.lit(-1).cast("long")))
 
 
-def _with_statistics(df: DataFrame, statistics: dict[str, DataFrame], rate: float) -> DataFrame:
+def _with_statistics(df: DataFrame, statistics: dict[str, DataFrame], rate: float, fitted: bool = False) -> DataFrame:
+    """Block rate (drawn towards the overall one) and log count of each suffix; of
+    ``fitted`` rows, which have a ``fold``, without that fold's labels, their own among them."""
     for suffix, known in statistics.items():
+        df = df.join(known.where("fold = -1").drop("fold"), suffix, "left")
         n, total = F.coalesce("_n", F.lit(0)), F.coalesce("_sum", F.lit(0))
-        df = df.join(known, suffix, "left").withColumns({
+        if fitted:
+            own = known.where("fold >= 0").withColumnsRenamed({"_n": "_n_own", "_sum": "_sum_own"})
+            df = df.join(own, [suffix, "fold"], "left")
+            n, total = n - F.coalesce("_n_own", F.lit(0)), total - F.coalesce("_sum_own", F.lit(0))
+        df = df.withColumns({
             f"{suffix}_rate": (total + PRIOR_WEIGHT * rate) / (n + PRIOR_WEIGHT),
-            f"{suffix}_log_count": F.log1p(n)}).drop("_n", "_sum")
+            f"{suffix}_log_count": F.log1p(n)}).drop("_n", "_sum", "_n_own", "_sum_own")
     return df
 
 
@@ -118,12 +130,13 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
         return read.select(*plain, F.coalesce("ruled", other).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
 
     rate = seen.blocked / seen.n
-    suffixes = labelled.select("label", F.substring_index("host", ".", -1).alias("top"),
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)))
+    suffixes = labelled.select("label", "fold", F.substring_index("host", ".", -1).alias("top"),
                                F.substring_index("host", ".", -2).alias("site"))
     statistics = {s: stored(_suffix_statistics(suffixes, s), f"suffixes-{s}") for s in ("top", "site")}
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     fitted_on = labelled.orderBy(F.xxhash64("key", "url"), "key", "url").limit(sample)
-    fitted_on = stored(_with_statistics(_lexical(fitted_on), statistics, rate).select("label", *FEATURES), "labelled-urls")
+    fitted_on = stored(_with_statistics(_lexical(fitted_on), statistics, rate, fitted=True).select("label", *FEATURES), "labelled-urls")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(vector.transform(fitted_on))
 
     others = _with_statistics(_lexical(read.where("rule is null")), statistics, rate)

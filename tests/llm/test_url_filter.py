@@ -72,3 +72,15 @@ def test_trees_recover_what_the_rules_block(spark):
 def test_query(spark):
     got = op7_url_filter(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_a_row_does_not_see_its_own_label(spark):
+    """Sites ruled at random teach nothing: sites without a rule score the overall block rate."""
+    import random
+    rng = random.Random(1)
+    urls = [f"http://s{i}.org/p" for i in range(600)]
+    rules = [url_filter.Rule(rng.choice(["block", "allow"]), f"s{i}.org", "/") for i in range(300)]
+    blocked = sum(r.verdict == "block" for r in rules) / 300
+    got = url_filter.judge(pages(spark, urls), rules).where("rule is null").collect()
+    scores = [r.block_score for r in got]
+    assert len(scores) == 300 and abs(sum(scores) / 300 - blocked) < 0.2
