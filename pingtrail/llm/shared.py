@@ -78,17 +78,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sample_by_hash(rows: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
-    """At most ``bound`` of ``rows``, those whose keys have the smallest hashes."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(bound)
-
-
-def lookup_texts(docs: DataFrame, keys: DataFrame, bound: int) -> DataFrame:
-    """``doc_id``, ``text`` of ``docs`` with the other columns of ``keys``, which
-    has at most ``bound`` rows (so it is sent to all tasks)."""
+def sample_texts(docs: DataFrame, bound: int, ids: DataFrame | None = None) -> DataFrame:
+    """At most ``bound`` different rows (``doc_id``, ``text``) of ``docs`` and the other
+    columns of ``ids`` (``doc_id`` is its key; none: all rows with an id): those whose id
+    and text have the smallest hashes.  Rows are drawn, not ids, and equal rows
+    are one, so an id with any number of rows stays within the bound."""
     if bound > 100_000:
         raise ValueError("too many keys to send to all tasks")
-    return texts(docs).join(F.broadcast(keys), "doc_id")
+    rows = texts(docs).where("doc_id is not null")
+    rows = rows.join(ids, "doc_id") if ids is not None else rows
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    key = ["doc_id", "_hash"]
+    drawn = rows.select(*key).distinct().orderBy(F.xxhash64(*key, F.lit(17)), *key).limit(bound)
+    return rows.join(F.broadcast(drawn), key).dropDuplicates(key).drop("_hash")
 
 
 def column_safe(operator):

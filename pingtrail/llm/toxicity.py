@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingtrail.llm.shared import held_out, lookup_texts, sample_by_hash, texts
+from pingtrail.llm.shared import held_out, sample_texts, stored, texts
 
 #: Labelled documents of each class that the model is fitted on, at most, and its features.
 SAMPLE, FEATURES = 6_000, 1024
@@ -104,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features:
     class.  NULL ids and labels, and ids with both labels, are no labels."""
     known = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("doc_id is not null and low = toxic")
-    picked = [sample_by_hash(known.where(F.col("toxic") == c).select("doc_id", "toxic"), sample) for c in (0, 1)]
-    rows = lookup_texts(docs, picked[0].unionByName(picked[1]), 2 * sample)
+    picked = [sample_texts(docs, sample, known.where(F.col("toxic") == c).select("doc_id", "toxic")) for c in (0, 1)]
+    rows = stored(picked[0].unionByName(picked[1]), "labelled-texts")
 
     def tally(batches):
         for batch in batches:

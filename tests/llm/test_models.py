@@ -84,3 +84,68 @@ def test_cumulative_links_share_weights():
     assert np.all(np.diff(model.thresholds) > 0)
     p = model.at_least(x @ model.weights)
     assert np.all(np.diff(p, axis=1) <= 0) and np.corrcoef(p.sum(1), grades)[0, 1] > 0.9
+
+
+# --- the sample, the prior and the numbers behind the scores ----------------------
+
+def test_samples_draw_rows_within_the_bound(spark, docs_of):
+    from pingtrail.llm.shared import sample_texts
+
+    docs = docs_of(["same"] * 3000 + [f"text {n}" for n in range(500)] + ["a", "b", None], [7] * 3500 + [1, 2, None])
+    ids = spark.createDataFrame([(7, 1), (1, 0)], "doc_id long, toxic int")
+    assert sample_texts(docs, 100).count() == 100
+    got = sample_texts(docs, 1000, ids).collect()
+    assert len(got) == 502 and len({(r.doc_id, r.text) for r in got}) == 502  # equal rows are one
+    assert {r.toxic for r in got if r.doc_id == 7} == {1} and {r.doc_id for r in got} == {1, 7}
+    assert sample_texts(docs, 1000).where("doc_id is null").count() == 0
+    assert sample_texts(docs.limit(0), 10).count() == 0
+    with pytest.raises(ValueError):
+        sample_texts(docs, 10**6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(3)
+    good = lambda n: rng.normal(1.5, 1, (n, 3))
+    n = int(4000 * share)
+    unlabelled = np.vstack([good(n), rng.normal(-1.5, 1, (4000 - n, 3))])
+    assert abs(quality.estimate_prior(good(2000), unlabelled) - share) < 0.12
+    assert quality.estimate_prior(good(1), unlabelled[:1]) == 0.5
+
+
+def test_labels_of_bad_texts_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole, positives = quality.train(docs, labels), quality.train(docs, labels.where("quality = 1"))
+    assert np.array_equal(whole.w1, positives.w1) and whole.b2 == positives.b2
+    rows = quality.score(docs, positives).join(labels, "doc_id").where("held_out").collect()
+    right = sum(r.predicted == r.quality for r in rows)
+    assert right >= 0.97 * len(rows)
+    # a tenth of the positives still teaches the two classes
+    few = quality.train(docs, labels.where("quality = 1 and doc_id % 10 < 3"))
+    rows = quality.score(docs, few).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+
+
+def test_scores_from_the_models_numbers(spark, docs_of):
+    """Score and severity of each text, computed again in plain Python."""
+    from math import exp, log1p, tanh
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    every = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    m = quality.train(every, labels)
+    for r in quality.score(docs, m).collect():
+        x = [min(max((v - a) / s, -8), 8) for v, a, s in zip(quality.features(texts[r.doc_id]), m.mean, m.scale)]
+        z = m.b2 + sum(w * tanh(sum(xi * m.w1[i][j] for i, xi in enumerate(x)) + m.b1[j]) for j, w in enumerate(m.w2))
+        assert r.score == pytest.approx(1 / (1 + exp(-z)), abs=1e-9) and r.predicted == (r.score >= 0.3)
+    t = toxicity.train(every, labels)
+    for r in toxicity.grade(docs, t).collect():
+        found = {}
+        for feature, n in toxicity.count_features(texts[r.doc_id]).items():
+            if feature in t.index:
+                found[feature] = found.get(feature, 0) + n
+        value = sum(t.weights[t.index[f]] * log1p(n) for f, n in found.items())
+        p = [1 / (1 + exp(edge - value)) for edge in t.thresholds]
+        assert r.severity == pytest.approx(sum(p), abs=1e-6) and r.grade == sum(x >= 0.5 for x in p)
