@@ -24,13 +24,16 @@ What passes is verified on the whole sets.
 Whether a class goes depends on one earlier match only, so pairs are not listed.
 First, every class is held against the earliest class of its bin that has two
 neighbouring prefix tokens in common: a large group of near copies is decided by
-the first members of its bins, in a few pairs per line.  Then the classes still
-undecided are held against all earlier ones that share a prefix token, so a class
+the first members of its bins, in a few pairs per line.  Rounds with other bins
+follow for the classes that met one like them but none that matches, as long as
+they decide some.  Then the classes still undecided are held against all earlier ones that share a prefix token, so a class
 stays only after every candidate has failed.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +47,8 @@ SIMILARITY = 0.8
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
 #: Bins of the classes with two prefix tokens in common, and how many neighbouring tokens are tried.
 BINS, NEIGHBOURS = 8, 3
+#: Another round follows one that decided more than this share of the classes that met one like them and are still undecided.
+WORTH = 0.02
 #: Characters of text that a task takes apart at a time.
 STEP = 1_000_000
 NULL_ID = -(2 ** 63)
@@ -182,11 +187,11 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.a", f"{y}.a").alias("x"), F.greatest(f"{x}.a", f"{y}.a").alias("y")]
 
 
-def first_candidates(classes: DataFrame, similarity: float, bins: int = BINS) -> DataFrame:
-    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one of its bin with the
-    same first, second or third two prefix tokens, if they pass the filters."""
+def first_candidates(classes: DataFrame, similarity: float, turn: int, bins: int = BINS) -> DataFrame:
+    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one of its bin (another
+    each ``turn``) with the same first, second or third two prefix tokens, if they pass the filters."""
     keys = F.transform(F.sequence(F.lit(0), F.least(F.lit(NEIGHBOURS), F.greatest(F.size("prefix") - 1, F.lit(1))) - 1),
-                       lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.pmod(F.col("a"), F.lit(bins))))
+                       lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(bins))))
     own = classes.select("doc_id", "a", "p", "q", "size", F.explode(keys).alias("key"))
     w = Window.partitionBy("key").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
     first = own.select(F.struct("a", "p", "q", "size").alias("own"), F.first(F.struct("a", "p", "q", "size")).over(w).alias("first"))
@@ -270,14 +275,24 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: fl
     return stored(found.groupBy("a", "b").agg(F.min("earlier").alias("earlier")), "matched")
 
 
-def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, worth: float = WORTH) -> DataFrame:
     """``a``, ``b`` and ``earlier`` (the first line of an earlier class that matches) of all classes that have one."""
-    found = verify(docs, classes, first_candidates(classes, similarity), similarity)
-    gone = found.select("a", F.lit(True).alias("gone"))
-    marked = classes.select("doc_id", "a", "p", "q", "size", "prefix").join(gone, "a", "left")
+    left, found = classes, []
+    while True:
+        pairs = stored(first_candidates(left, similarity, len(found)), "first")
+        now = verify(docs, classes, pairs, similarity)
+        found.append(now)
+        # classes that met one like them, but no match yet: members of large groups, mostly
+        met = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
+        left = stored(left.join(met, "a", "left_semi").join(now.select("a"), "a", "left_anti"), "left")
+        if now.count() <= worth * left.count():
+            break
+    done = functools.reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
+    done = stored(done, "done")
+    marked = classes.select("doc_id", "a", "p", "q", "size", "prefix").join(done.select("a", F.lit(True).alias("gone")), "a", "left")
     marked = marked.withColumn("open", F.col("gone").isNull()).drop("gone")
     rest = verify(docs, classes, all_candidates(marked, similarity), similarity)
-    return found.unionByName(rest).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
+    return done.unionByName(rest).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

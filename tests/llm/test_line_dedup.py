@@ -92,7 +92,7 @@ def test_representatives_match_and_come_earlier(spark, docs_of):
 @pytest.mark.parametrize("bins", [1, 8, 1000])
 def test_a_group_of_near_copies_lists_few_pairs(spark, docs_of, monkeypatch, bins):
     """Whatever the number of bins, the same lines go; with few, pairs grow with the lines."""
-    monkeypatch.setattr(line_dedup.first_candidates, "__defaults__", (bins,))
+    monkeypatch.setattr(line_dedup.first_candidates, "__defaults__", (bins,))  # the number of bins
     pairs = []
     real = line_dedup.verify
     monkeypatch.setattr(line_dedup, "verify", lambda d, c, p, s: pairs.append(p.count()) or real(d, c, p, s))
