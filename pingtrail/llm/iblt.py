@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from itertools import groupby
 
 import numpy as np
@@ -29,6 +30,8 @@ CELLS, GROWTH = 24, 4
 WORDS = 16
 #: Characters of text that a task compares at a time.
 STEP = 2_000_000
+#: Characters of a text that a cut through the rows of one id compares, and the rows drawn for such cuts (for each bucket, and at most).
+HEAD, DRAWN, MOST_DRAWN = 256, 64, 20_000
 NULL_ID = -(2 ** 63)
 _END = re.compile(r"\n|(?<=[.!?]) ")
 _CELL = np.dtype([("count", "<i2"), ("digests", "<u8"), ("checks", "<u4")])
@@ -152,6 +155,20 @@ def compare(mine: list[str], nexts: list[str]) -> list[tuple]:
             for t, e, a, b, x, y in zip(mine, edited, *prints, near[0].tolist(), near[1].tolist())]
 
 
+def _cuts(rows: DataFrame, times: dict[int, int], buckets: int) -> dict[int, list[str]]:
+    """For each id that fills more than one range: the text heads that cut its rows
+    into as many ranges.  They only say which task compares a row."""
+    hot = sorted(key for key, k in times.items() if k > 1)
+    if not hot:
+        return {}
+    heads = rows.where(F.col("doc_id").isin(hot)).select("doc_id", F.substring("text", 1, HEAD).alias("head"))
+    drawn: dict[int, list[str]] = {}
+    for r in heads.orderBy(F.rand(17)).limit(min(DRAWN * buckets, MOST_DRAWN)).collect():
+        drawn.setdefault(r.doc_id, []).append(r.head)
+    out = {key: sorted({sorted(own)[len(own) * k // times[key]] for k in range(1, times[key])}) for key, own in drawn.items()}
+    return {key: own for key, own in out.items() if own}
+
+
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
@@ -162,40 +179,58 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     come last, NULL texts are empty; two texts without paragraphs are alike
     (1.0).  Other columns are ignored, and an empty table gives no rows.
 
-    Documents are dealt out once, by ranges of doc_id with sampled bounds; the
-    greatest of each range goes to the range above it as well, as its last
-    one's next.  The driver holds two numbers of each range."""
+    Documents are dealt out once, by ranges of doc_id with sampled bounds; an id
+    with more rows than a range is cut by ranges of its texts (by their first
+    ``HEAD`` characters; equal rows share a range).  The first of each range goes
+    to the range before it as well, as its last one's next.  The driver holds two
+    numbers of each range and the cuts."""
     spark = docs.sparkSession
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = rows.select("doc_id")
     shares = [k / n for k in range(1, n)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * n)).alias("q")).first().q if shares else None
-    bounds = np.unique(np.array(found or [], "i8"))
-
-    def bucket_of(batches):
+    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * n)).alias("q")).first().q if shares else None
+    bounds, times = np.unique(np.array(found or [], "i8"), return_counts=True)
+    cuts = _cuts(rows, dict(zip(bounds.tolist(), times.tolist())), n)
+    # range k of ids starts at bounds[k - 1], whose texts may be cut; earlier rows have greater numbers
+    room = np.array([1] + [1 + len(cuts.get(b, ())) for b in bounds.tolist()])
+    base = np.cumsum(room) - room
+
+    def bucket_of(ids: np.ndarray, text: pa.Array | None) -> np.ndarray:
+        at = np.searchsorted(bounds, ids, "right")
+        out = base[at] + room[at] - 1
+        for row in np.flatnonzero(np.isin(ids, list(cuts))) if cuts else ():
+            out[row] -= bisect_right(cuts[int(ids[row])], text[row].as_py()[:HEAD])
+        return out
+
+    def number(batches):
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column("doc_id").to_numpy(), "right")
+            at = bucket_of(batch.column("doc_id").to_numpy(), batch.column("text") if cuts else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at)], names=["doc_id", "bucket"])
 
-    tops = ids.mapInArrow(bucket_of, "doc_id long, bucket long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
+    keys = rows.select("doc_id", F.substring("text", 1, HEAD).alias("text")) if cuts else rows.select("doc_id")
+    tops = keys.mapInArrow(number, "doc_id long, bucket long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
     tops = sorted((r.bucket, r.top) for r in tops)  # one of each range
-    # the greatest of a range is the next one of the range above; of all, of the lowest
-    keys = np.array([top for _, top in tops], "i8")
+    # the first of a range is the next one of the range before it (above); of all, of the lowest
+    used = np.array([b for b, _ in tops], "i8")
+    top = np.array([t for _, t in tops], "i8")
     above = np.array([b for b, _ in tops[1:]] + [tops[0][0]] if tops else [], "i8")
 
     def deal(batches):
+        names = ["bucket", "tail", "doc_id", "text"]
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, ids, "right")), pa.array(np.zeros(len(ids), "i4")), *batch.columns],
-                names=["bucket", "tail", "doc_id", "text"])
-            at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
-            tail = np.flatnonzero(keys[at] == ids)
-            if len(tail):
+            ids, text = batch.column("doc_id").to_numpy(), batch.column("text")
+            at = bucket_of(ids, text)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(ids), "i4")), *batch.columns], names=names)
+            place = np.searchsorted(used, at)
+            firsts: dict[int, int] = {}  # of each range, the row of its first id with the first text
+            for row in np.flatnonzero(top[place] == ids).tolist():
+                other = firsts.setdefault(int(place[row]), row)
+                if other != row and text[row].as_py() < text[other].as_py():
+                    firsts[int(place[row])] = row
+            if firsts:
+                tail = pa.array(list(firsts.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(above[at[tail]]), pa.array(np.ones(len(tail), "i4")), *(c.take(pa.array(tail)) for c in batch.columns)],
-                    names=["bucket", "tail", "doc_id", "text"])
+                    [pa.array(above[list(firsts)]), pa.array(np.ones(len(tail), "i4")), *(c.take(tail) for c in batch.columns)], names=names)
 
     def run(batches):
         def all_rows():

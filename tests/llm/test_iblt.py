@@ -64,3 +64,18 @@ def test_retry_with_more_cells_and_shared_cells():
     a, b = ([rng.getrandbits(64) for _ in range(400)] for _ in range(2))
     assert not iblt.peel(iblt.sketch(np.array(a, "u8"), np.zeros(400, "i8"), 1, iblt.CELLS))[3].any()
     assert iblt.differing([a, a, []], [b, a[:390], []]).tolist() == [800, 10, 0]
+
+
+def test_rows_of_a_hot_id_are_cut_by_their_texts(spark, docs_of):
+    rng = random.Random(5)
+    for hot in (None, 3, 400):
+        rows = [(hot, f"{rng.choice('abcdé')} {prose(rng, rng.randint(1, 6))}") for _ in range(70)] + [(k, prose(rng, 3)) for k in range(-10, 60)]
+        rows += [(hot, "same"), (hot, "same"), (hot, None)]
+        frame = docs_of([t for _, t in rows], [i for i, _ in rows]).repartition(5)
+        got = iblt.fingerprints(frame, 12).collect()
+        short = lambda r: (str(r[0]), r[1], r[2], round(r[3], 9), round(r[4], 9))
+        assert sorted(short((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next)) for r in got) == sorted(map(short, brute(rows)))
+        from pingtrail.llm.shared import texts
+        keyed = texts(frame).fillna(iblt.NULL_ID, ["doc_id"])
+        own = iblt._cuts(keyed, {(iblt.NULL_ID if hot is None else hot): 6, 7: 1}, 12)
+        assert [len(c) for c in own.values()] == [5]  # six ranges
