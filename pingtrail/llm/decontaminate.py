@@ -85,10 +85,21 @@ def _blocks(fp: Column, radius: int) -> Column:
         for n, (a, b) in enumerate(zip(edges[:-1], edges[1:]))])
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _occurrences(column: str) -> Column:
-    """Each shingle of an array with the number of its occurrence, as one hash."""
+    """Each shingle of an array with the number of its occurrence, as one hash: the
+    runs of the sorted array, each counted from 1."""
+    def numbered(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _bind(begins, lambda at: F.flatten(F.transform(at, lambda i, no: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(at, no + 1), F.size(s)) - i), lambda nth: F.xxhash64(F.get(s, i), nth)))))
+
     a = F.col(column)
-    repeated = F.transform(a, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(a, F.lit(1), i + 1), lambda y: y == x))))
+    repeated = _bind(F.array_sort(a), numbered)
     return F.when(F.size(F.array_distinct(a)) == F.size(a), F.transform(a, lambda x: F.xxhash64(x, F.lit(1)))).otherwise(repeated)
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pingtrail.llm import decontaminate
 
 
@@ -144,3 +146,20 @@ def test_short_items_inside_documents(spark):
     want = brute(docs, items)
     assert {(1, 1), (3, 2), (4, 3), (4, 4), (6, 1)} <= want.keys()
     assert run(spark, docs, items) == want
+
+
+def test_occurrences_of_repeated_shingles(spark):
+    rng = random.Random(9)
+    rows = [(n, [rng.randrange(max(n // 3, 1)) for _ in range(n)]) for n in (0, 1, 2, 9, 50)] + [(99, [4] * 20_000)]
+    frame = spark.createDataFrame(rows, "n long, s array<bigint>")
+    want = frame.select("n", F.explode("s").alias("x")).groupBy("n", "x").count().select(
+        "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.xxhash64("x", k))).alias("h"))
+    got = frame.select("n", F.explode(decontaminate._occurrences("s")).alias("h"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_long_item_with_a_repeated_shingle(spark):
+    words = [f"u{n % 590}" for n in range(600)]
+    docs = [(1, "x " + " ".join(words) + " y"), (2, " ".join(words[:300])), (3, " ".join(words[:520] + ["z"] * 80))]
+    got = run(spark, docs, [(1, " ".join(words))])
+    assert got.keys() == {(1, 1), (3, 1)} and got[1, 1] == 1.0
