@@ -136,6 +136,16 @@ def test_files_per_key_are_bounded(spark):
     assert spark.read.parquet(path).count() == 200_000
 
 
+def test_folders_of_small_keys_are_dealt_over_tasks(spark):
+    rows = spark.range(2_000).select((F.col("id") % 200).cast("string").alias("key"), "id")
+    path = write_partitioned(rows, scratch_path(spark, "small-keys"), "key").removeprefix("file:")
+    files = [os.path.basename(f) for f in glob.glob(f"{path}/key=*/*.parquet")]
+    assert len(files) == 200  # one file per key
+    assert len({f.split("-")[1] for f in files}) > 4  # a few bytes, but not one task's work
+    assert spark.read.parquet(path).count() == 2_000
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
 def _by_distance(spark, rows):
     return spark.createDataFrame(rows, "g string, distance double, tasa_detec double, total_expected double")
 
