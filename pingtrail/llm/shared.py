@@ -85,11 +85,12 @@ def sample_texts(docs: DataFrame, bound: int, ids: DataFrame | None = None) -> D
     are one, so an id with any number of rows stays within the bound."""
     if bound > 100_000:
         raise ValueError("too many keys to send to all tasks")
-    rows = texts(docs).where("doc_id is not null")
-    rows = rows.join(ids, "doc_id") if ids is not None else rows
-    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    rows = texts(docs).where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
     key = ["doc_id", "_hash"]
-    drawn = rows.select(*key).distinct().orderBy(F.xxhash64(*key, F.lit(17)), *key).limit(bound)
+    # the draw shuffles ids and hashes; only the rows drawn are shuffled with their texts
+    named = rows.select(*key)
+    named = named.join(ids, "doc_id") if ids is not None else named
+    drawn = named.dropDuplicates(key).orderBy(F.xxhash64(*key, F.lit(17)), *key).limit(bound)
     return rows.join(F.broadcast(drawn), key).dropDuplicates(key).drop("_hash")
 
 

@@ -149,3 +149,29 @@ def test_scores_from_the_models_numbers(spark, docs_of):
         value = sum(t.weights[t.index[f]] * log1p(n) for f, n in found.items())
         p = [1 / (1 + exp(edge - value)) for edge in t.thresholds]
         assert r.severity == pytest.approx(sum(p), abs=1e-6) and r.grade == sum(x >= 0.5 for x in p)
+
+
+def test_sample_shuffles_no_texts_before_the_draw(spark):
+    from pingtrail.llm.shared import sample_texts
+
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(50)], "doc_id long, text string")
+    ids = spark.createDataFrame([(n, n % 2) for n in range(0, 50, 2)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        drawn = sample_texts(docs, 10, ids)
+        todo, whole = [(drawn._jdf.queryExecution().executedPlan(), False)], 0
+        while todo:  # an exchange with texts has the join to the rows drawn below it
+            node, below = todo.pop()
+            names = [node.output().apply(k).name() for k in range(node.output().size())]
+            below = below or (node.nodeName() == "Exchange" and "text" in names)
+            if node.nodeName() == "BroadcastHashJoin":
+                below = False
+            kids = [node.children().apply(k) for k in range(node.children().size())]
+            whole += below and not kids
+            todo += [(kid, below) for kid in kids]
+        assert not whole
+        assert drawn.columns == ["doc_id", "text", "toxic"] and drawn.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
