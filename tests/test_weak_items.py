@@ -18,7 +18,7 @@ from pingtrail.plans.quantiles import exact_quantiles
 from pingtrail.session import scratch_path
 from pingtrail.sources import tables
 from pingtrail.sources.geojson import read_geojson, write_geojson
-from pingtrail.sources.stages import write_partitioned
+from pingtrail.sources.stages import load_stage, write_partitioned
 
 EVENTS = "tag_id string, station_name string, protection string, scientific_name string, start_datetime timestamp_ntz, end_datetime timestamp_ntz"
 
@@ -146,6 +146,21 @@ def test_folders_of_small_keys_are_dealt_over_tasks(spark):
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
 
 
+def test_many_folders_are_listed_by_few_tasks(spark):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("key"), "id")
+    path = write_partitioned(rows, scratch_path(spark, "listed"), "key")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "load_stage")
+    try:
+        back = load_stage(spark, path, rows.schema)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(i).numTasks for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 8  # not a task per folder
+    assert sorted(map(tuple, back.select("key", "id").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def _by_distance(spark, rows):
     return spark.createDataFrame(rows, "g string, distance double, tasa_detec double, total_expected double")
 
