@@ -1,8 +1,10 @@
 """Token ids of whole texts with a public tokenizer file.
 
 The tokenizers library encodes each distinct stretch of text once per Python
-worker.  A text is cut in front of spaces that follow a character that is no
-white space.  The pre-tokenizers of the supported files never make one token
+worker, as long as it is kept; words of letters are handed to it many at a time,
+as one text.  The ids are looked up and put together by Arrow and numpy.  A text
+is cut in front of spaces that follow a character that is no white space, and at
+line breaks between characters that are none.  The pre-tokenizers of the supported files never make one token
 of both sides of such a cut (a token may begin with a space, none goes on
 after one), so the joined ids are those of the whole text.
 """
@@ -10,9 +12,9 @@ after one), so the joined ids are those of the whole text.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,58 @@ _BEFORE_SPACE = tuple(w + " " for w in WHITE_SPACE)
 _CUT = re.compile(f"(?<=[^{WHITE_SPACE}]) ")
 
 # Marks that end a word without being part of its token, and the
-# Latin letters (ASCII, Latin-1, Extended-A and -B) that such a word consists of.
+# Latin letters (ASCII, Latin-1, Extended-A and -B) that such a word consists of; not U+0130, whose
+# lower-case form ends with a combining dot, which goes with the mark.
 _MARKS = ".,"
-_MARKED = re.compile(f" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{_MARKS}]")
-# Stretches a Python worker keeps, twice at most: the entries in use, and
-# those of the generation before them.
-CACHE_ENTRIES = 120_000
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_WORD = f"^ ?[{_LETTERS}]+$"
+# Line breaks between characters that are neither white space nor control characters: tokens of their own, or none.
+_BROKEN = f"^ ?[!-~{_LETTERS}]+(\n[!-~{_LETTERS}]+)+$"
+# A part that ends with white space, or an empty one, stands before a space that is no cut.
+_OPEN = f"[{WHITE_SPACE}]$|^$"
+# What may stand between words that are encoded together, if it is one token.
+_BETWEEN = "\n", " .\n"
+# Stretches a Python worker keeps, beside those of the texts at hand.
+CACHE_ENTRIES = 500_000
 # Characters of text that are encoded at a time (a longer text alone).
 STEP = 3_000_000
-# Stretches that the library encodes in one call.
-BATCH = 20_000
+# Stretches that the library encodes in one call, and words that it is given as one text.
+BATCH, TOGETHER = 20_000, 100
+_EMPTY, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+
+
+class _Ragged:
+    """Lists of ids, one after another in ``pool``."""
+
+    def __init__(self, pool: np.ndarray, lengths: np.ndarray):
+        self.pool, self.lengths = pool, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def take(self, at: np.ndarray) -> _Ragged:
+        lengths = self.lengths[at]
+        shift = self.starts[at] - (np.cumsum(lengths) - lengths)
+        return _Ragged(self.pool[np.arange(lengths.sum()) + np.repeat(shift, lengths)], lengths)
+
+    def followed_by(self, other: _Ragged) -> _Ragged:
+        return _Ragged(np.concatenate([self.pool, other.pool]), np.concatenate([self.lengths, other.lengths]))
+
+    def joined(self, counts: np.ndarray) -> _Ragged:
+        """``counts`` neighbouring lists as one."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return _Ragged(self.pool, np.diff(ends))
+
+
+def _ragged(lists: list[list[int]]) -> _Ragged:
+    lengths = np.fromiter(map(len, lists), "i8", len(lists))
+    return _Ragged(np.fromiter(chain.from_iterable(lists), "<u4", lengths.sum()), lengths)
+
+
+def _strings(values: list[str] = ()) -> pa.Array:
+    return pa.array(values, pa.large_string())
+
+
+def _numpy(array) -> np.ndarray:
+    return array.to_numpy(zero_copy_only=False)
 
 
 class Encoder:
@@ -46,41 +90,92 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.cache_entries = cache_entries
-        self.marks = self._learn(list(_MARKS))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, parts: list[str]) -> list[bytes | None]:
-        got = list(map(self.new.get, parts))
-        for k, ids in enumerate(got):
-            if ids is None and (ids := self.old.get(parts[k])) is not None:
-                got[k] = self.new[parts[k]] = ids
-        return got
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        out = {}
+        self.keys, self.ids = _strings(), _ragged([])
+        # marks of one id, which are put behind the ids of their word
+        alone = {m: ids for m, ids in zip(_MARKS, self._each(list(_MARKS))) if len(ids) == 1}
+        self.marks = {m: ids[0] for m, ids in alone.items()}
+        self.marked = f"^ ?[{_LETTERS}]+[{''.join(self.marks)}]$" if self.marks else "^[^\\s\\S]$"
+        self.line_break = _ragged(self._each(["\n"]))
+        self.between, self.between_id = next(filter(None, map(self._between, _BETWEEN)), (None, None))
+
+    def _each(self, parts: list[str]) -> list[list[int]]:
+        out = []
         for at in range(0, len(parts), BATCH):
-            some = parts[at:at + BATCH]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            out.update((part, array("I", one.ids).tobytes()) for part, one in zip(some, encoded))
+            out += [one.ids for one in self.tokenizer.encode_batch_fast(parts[at:at + BATCH], add_special_tokens=False)]
         return out
 
-    def _lookup(self, parts: list[str]) -> list[bytes]:
+    def _between(self, text: str) -> tuple[str, int] | None:
+        """``text`` and its id, if it is one token between words and behind them."""
+        words = ["a", " b", "c"]
+        ids = self._each([*words, "".join(w + text for w in words)])
+        (first, *own), whole = ids[:-1], ids[-1]
+        last = whole[-1:]
+        return (text, last[0]) if whole == [*first, *last, *own[0], *last, *own[1], *last] else None
+
+    def _words(self, words: list[str]) -> _Ragged:
+        """The ids of words of letters, many in one text: no token reaches over what stands between them."""
+        if self.between is None:
+            return _ragged(self._each(words))
+        texts = [self.between.join([*words[at:at + TOGETHER], ""]) for at in range(0, len(words), TOGETHER)]
+        ids = _ragged(self._each(texts)).pool
+        ends = np.flatnonzero(ids == self.between_id)
+        if len(ends) != len(words):
+            return _ragged(self._each(words))
+        return _Ragged(ids[ids != self.between_id], np.diff(ends, prepend=-1) - 1)
+
+    def _learn(self, parts: pa.Array) -> None:
+        """Keep the ids of ``parts``, which are distinct and new."""
+        plain = pc.match_substring_regex(parts, _WORD)
+        words, others = parts.filter(plain), parts.filter(pc.invert(plain))
+        new = self._words(words.to_pylist()).followed_by(_ragged(self._each(others.to_pylist())))
+        self.keys = pa.concat_arrays([self.keys, words, others])
+        self.ids = self.ids.followed_by(new)
+
+    def _known(self, parts: pa.Array) -> _Ragged:
         """The ids of each of ``parts``, which are distinct."""
-        if len(self.new) > self.cache_entries:
-            self.old, self.new = self.new, {}
-        got = self._known(parts)
-        missing = [k for k, ids in enumerate(got) if ids is None]
-        # a word and the mark behind it are tokens of their own
-        words = {k: parts[k][:-1] for k in missing if _MARKED.fullmatch(parts[k])}
-        cores = list(dict.fromkeys(words.get(k, parts[k]) for k in missing))
-        known = dict(zip(cores, self._known(cores)))
-        learnt = self._learn([c for c, ids in known.items() if ids is None])
-        known.update(learnt)
-        self.new.update(learnt)
-        for k in missing:
-            got[k] = known[words[k]] + self.marks[parts[k][-1]] if k in words else known[parts[k]]
-        return got
+        at = pc.index_in(parts, self.keys)
+        if at.null_count:
+            if len(self.keys) > self.cache_entries:  # only what is at hand stays
+                held = at.drop_null()
+                self.keys, self.ids = self.keys.take(held), self.ids.take(_numpy(held))
+                at = pc.index_in(parts, self.keys)
+            self._learn(parts.filter(at.is_null()))
+            at = pc.index_in(parts, self.keys)
+        return self.ids.take(_numpy(at))
+
+    def _unbroken(self, parts: pa.Array) -> _Ragged:
+        """The ids of each of ``parts``: a word and the mark behind it are tokens of their own."""
+        marked = pc.match_substring_regex(parts, self.marked)
+        cores = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+        got = self._known(cores.dictionary)
+        marks = list(self.marks)
+        table = got.followed_by(_Ragged(np.array([self.marks[m] for m in marks], "<u4"), np.ones(len(marks), "i8")))
+        has = _numpy(marked)
+        mark = _numpy(pc.index_in(pc.utf8_slice_codeunits(parts.filter(marked), -1), _strings(marks))).astype("i8")
+        counts = 1 + has
+        at = np.repeat(_numpy(cores.indices).astype("i8"), counts)
+        at[(np.cumsum(counts) - 1)[has]] = len(cores.dictionary) + mark
+        return table.take(at).joined(counts)
+
+    def _parts(self, parts: pa.Array) -> _Ragged:
+        """The ids of each of ``parts``, which are distinct."""
+        broken = pc.match_substring_regex(parts, _BROKEN)
+        lines = pc.split_pattern(parts.filter(broken), "\n")
+        pieces = pa.concat_arrays([parts.filter(pc.invert(broken)), lines.flatten()]).dictionary_encode()
+        table = self._unbroken(pieces.dictionary).followed_by(self.line_break)
+        codes = _numpy(pieces.indices).astype("i8")
+        whole = len(parts) - len(lines)
+        # a line break between the pieces of a part
+        counts = 2 * np.diff(_numpy(lines.offsets)) - 1
+        ends = np.cumsum(counts)
+        of_lines = np.full(counts.sum(), len(pieces.dictionary))
+        place = np.arange(len(of_lines)) - np.repeat(ends - counts, counts)
+        of_lines[place % 2 == 0] = codes[whole:]
+        every = table.take(np.concatenate([codes[:whole], of_lines])).joined(np.concatenate([np.ones(whole, "i8"), counts]))
+        order = np.argsort(_numpy(broken), kind="stable")  # where each of them came from
+        back = np.empty(len(order), "i8")
+        back[order] = np.arange(len(order))
+        return every.take(back)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -95,22 +190,29 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         # where no white space stands before a space, every space is a cut
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        if any(w in text for text in texts for w in _BEFORE_SPACE):
-            lists = _rebuilt(lists, texts)
-        bounds = lists.offsets.to_numpy()
+        lists = pc.split_pattern(_strings(texts), " ")
         words = lists.flatten().dictionary_encode()
-        codes, table = words.indices.to_numpy().astype("i8"), words.dictionary.to_pylist()
+        bounds = _numpy(lists.offsets)
+        if self._open(words, bounds):
+            lists = _rebuilt(lists, texts)
+            words, bounds = lists.flatten().dictionary_encode(), _numpy(lists.offsets)
+        codes, table = _numpy(words.indices).astype("i8"), words.dictionary
         # the first part of a text has no space before it
         first = bounds[:-1]
-        starts = [table[c] for c in codes[first]]
-        distinct = {w: len(table) + k for k, w in enumerate(dict.fromkeys(starts))}
-        codes[first] = [distinct[w] for w in starts]
-        blobs = self._lookup([" " + w for w in table] + [*distinct])
-        ids = np.frombuffer(b"".join(map(blobs.__getitem__, codes.tolist())), "<u4")
-        lengths = np.fromiter(map(len, blobs), "i8", len(blobs)) // 4
-        edges = np.concatenate([[0], np.cumsum(lengths[codes])])[bounds]
-        return (ids[a:b] for a, b in zip(edges[:-1], edges[1:]))
+        starts, own = np.unique(codes[first], return_inverse=True)
+        codes[first] = len(table) + own
+        parts = pa.concat_arrays([pc.binary_join_element_wise(_EMPTY, table, _SPACE), table.take(pa.array(starts))]).dictionary_encode()
+        ids = self._parts(parts.dictionary).take(_numpy(parts.indices).astype("i8")[codes])
+        edges = np.concatenate([[0], np.cumsum(ids.lengths)])[bounds]
+        return (ids.pool[a:b] for a, b in zip(edges[:-1], edges[1:]))
+
+    @staticmethod
+    def _open(words, bounds: np.ndarray) -> bool:
+        """Does some part that is not the last of its text end with white space, or is it empty?"""
+        ends = _numpy(pc.match_substring_regex(words.dictionary, _OPEN))
+        hit = ends[_numpy(words.indices)]
+        hit[bounds[1:] - 1] = False
+        return bool(hit.any())
 
 
 def _rebuilt(lists, texts: list[str]):

@@ -37,6 +37,40 @@ def test_small_cache_gives_the_same_ids():
         assert [x.tolist() for x in small.encode(ODD)] == [encode(t) for t in ODD]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_line_breaks_and_letters_with_a_combining_lower_case(name):
+    from pingtrail.llm.encoding import Encoder
+
+    encode, rng = plain(name), random.Random(3)
+    texts = ["\u0130. \u0130, x\u0130.\n\u0130", "a.\nb", "x a.\nb,\n'sc d", "a,\n\nb", "\n", "a\n", "\na", "a.. b.,", "\u017f.\nK \u212a."]
+    texts += ["".join(rng.choice(" \n\tab'.,\u0130\u017f\u03a3\u0301") for _ in range(40)) for _ in range(300)]
+    for entries in (3, 1000):
+        own = Encoder(tokenizer(name), entries)
+        for _ in range(2):
+            assert [x.tolist() for x in own.encode(texts)] == [encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_go_to_the_library_together_and_once(name):
+    from pingtrail.llm.encoding import Encoder
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own = Encoder(tokenizer(name))
+    own.tokenizer = Counting(own.tokenizer)
+    words = ["".join(chr(97 + n // 26 ** k % 26) for k in range(3)) for n in range(5000)]
+    text = " ".join(w + "" if n % 3 else w + ".\n" + w[::-1] for n, w in enumerate(words))
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode([text])] == [plain(name)(text)]
+    assert own.tokenizer.texts <= 100
+
+
 def test_token_files_round_trip(spark, docs_of):
     texts = [None, *ODD, "a b"]
     ids = list(range(50, 50 + 3 * len(texts), 3))
