@@ -39,11 +39,11 @@ _OPEN = f"[{WHITE_SPACE}]$|^$"
 # What may stand between words that are encoded together, if it is one token.
 _BETWEEN = "\n", " .\n"
 # Stretches a Python worker keeps, beside those of the texts at hand.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 # Characters of text that are encoded at a time (a longer text alone).
-STEP = 3_000_000
+STEP = 8_000_000
 # Stretches that the library encodes in one call, and words that it is given as one text.
-BATCH, TOGETHER = 20_000, 100
+BATCH, TOGETHER = 20_000, 20
 _EMPTY, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
 
@@ -123,13 +123,15 @@ class Encoder:
             return _ragged(self._each(words))
         return _Ragged(ids[ids != self.between_id], np.diff(ends, prepend=-1) - 1)
 
-    def _learn(self, parts: pa.Array) -> None:
-        """Keep the ids of ``parts``, which are distinct and new."""
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Keep the ids of ``parts``, which are distinct and new, and return their places."""
         plain = pc.match_substring_regex(parts, _WORD)
         words, others = parts.filter(plain), parts.filter(pc.invert(plain))
         new = self._words(words.to_pylist()).followed_by(_ragged(self._each(others.to_pylist())))
         self.keys = pa.concat_arrays([self.keys, words, others])
         self.ids = self.ids.followed_by(new)
+        first, word = len(self.keys) - len(parts), _numpy(plain)
+        return first + np.where(word, np.cumsum(word) - 1, len(words) + np.cumsum(~word) - 1)
 
     def _known(self, parts: pa.Array) -> _Ragged:
         """The ids of each of ``parts``, which are distinct."""
@@ -139,8 +141,9 @@ class Encoder:
                 held = at.drop_null()
                 self.keys, self.ids = self.keys.take(held), self.ids.take(_numpy(held))
                 at = pc.index_in(parts, self.keys)
-            self._learn(parts.filter(at.is_null()))
-            at = pc.index_in(parts, self.keys)
+            place, new = _numpy(pc.fill_null(at, 0)).astype("i8"), at.is_null()
+            place[_numpy(new)] = self._learn(parts.filter(new))
+            return self.ids.take(place)
         return self.ids.take(_numpy(at))
 
     def _unbroken(self, parts: pa.Array) -> _Ragged:
