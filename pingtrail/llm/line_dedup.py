@@ -50,7 +50,7 @@ BINS, NEIGHBOURS = 8, 3
 #: Another round follows one that decided more than this share of the classes that met one like them and are still undecided.
 WORTH = 0.02
 #: Characters of text that a task takes apart at a time.
-STEP = 1_000_000
+STEP = 4_000_000
 NULL_ID = -(2 ** 63)
 _EPS = 1e-9
 
@@ -85,19 +85,40 @@ def _lines(text: pa.Array):
     return row, number, lists.flatten()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each bit of a result hangs on all bits of its number."""
+    with np.errstate(over="ignore"):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(33))
+
+
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and length in bytes of each of ``words`` (none NULL): its bytes, each
+    times a number that its place in the word fixes, added up and mixed."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, "i8")[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(data or b"", "u1")[ends[0]:ends[-1]]
+    starts, size = ends[:-1] - ends[0], np.diff(ends)
+    places = _mixed(np.arange(1, size.max(initial=0) + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    at = np.arange(len(data)) - np.repeat(starts, size)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * places[at], dtype="u8")])
+        return _mixed(sums[starts + size] - sums[starts] + size.astype("u8")), size
+
+
 def _tokens(lines: pa.Array):
     """Words of lines: (line of each word, its code, hash of each code)."""
-    from xxhash import xxh64_intdigest
-
     lists = pc.ascii_split_whitespace(pc.ascii_lower(lines))
     words = lists.flatten().dictionary_encode()
     line = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    table = words.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.array([xxh64_intdigest(w) for w in table], "u8")
-    if hashes.size and b"" in table:  # white space at an end of a line gives empty words
-        keep = pc.not_equal(words.indices, table.index(b"")).to_numpy(zero_copy_only=False)
-        return line[keep], words.indices.to_numpy()[keep], hashes
-    return line, words.indices.to_numpy(), hashes
+    hashes, length = _hashes(words.dictionary)
+    codes = words.indices.to_numpy()
+    if not length.all():  # white space at an end of a line gives empty words
+        keep = length[codes] > 0
+        return line[keep], codes[keep], hashes
+    return line, codes, hashes
 
 
 def token_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
@@ -124,7 +145,8 @@ def _sets(lines: pa.Array, counts: np.ndarray):
     order = np.lexsort((hashes, counts[(hashes % np.uint64(len(counts))).astype("i8")]))
     rank = np.empty(len(order), "i8")
     rank[order] = np.arange(len(order))
-    keys = np.unique((line.astype("i8") << 32) | rank[codes])
+    keys = np.sort((line.astype("i8") << 32) | rank[codes])
+    keys = keys[np.diff(keys, prepend=-1) > 0]
     line, tokens = keys >> 32, hashes[order][keys & 0xFFFFFFFF]
     sizes = np.bincount(line, minlength=len(lines))
     digests = []
@@ -199,21 +221,26 @@ def first_candidates(classes: DataFrame, similarity: float, turn: int, bins: int
 
 
 def all_candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``x`` < ``y`` of a class that is ``open`` and one that is not later, which share a prefix token, if they pass the filters."""
+    """Pairs ``x`` < ``y`` of classes, the later of them ``open``, which share a prefix token, if they pass the filters.
+
+    Each condition names both sides in the same way, so that the index is shuffled once and read by both."""
     index = classes.select("open", "doc_id", "a", "p", "q", "size", F.posexplode("prefix").alias("pos", "token"))
     # size, place of the token and whether the class is open in one number
     at = F.col("size").cast("long") * (1 << 31) + F.col("pos") * 2 + F.col("open").cast("int")
     index = index.select("token", "doc_id", "a", "p", "q", at.alias("at"))
     size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
     rest = lambda s: size(s) - F.shiftright(F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1)), 1)
+    is_open = lambda s: F.col(f"{s}.at") % 2 == 1
+    before = lambda s, t: F.col(f"{s}.doc_id") < F.col(f"{t}.doc_id")
+    later_open = F.when(before("l", "r"), is_open("r")).when(before("r", "l"), is_open("l")).otherwise(is_open("l") | is_open("r"))
     shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
     apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
     differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
-    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.at") % 2 == 1) & (F.col("r.doc_id") <= F.col("l.doc_id"))
-                                & (F.col("l.a") != F.col("r.a")) & (apart <= differ)
+    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.a") < F.col("r.a"))
+                                & (apart <= differ) & later_open
                                 & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
                                 & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
-    return met.select(*_pair("l", "r")).distinct()
+    return met.select(F.col("l.a").alias("x"), F.col("r.a").alias("y")).distinct()
 
 
 def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
@@ -228,12 +255,11 @@ def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``a``, ``b``, ``tokens`` of the lines ``wanted`` (``doc_id``, ``text_hash``,
-    ``line``, ``a``, ``b``).  Their hashes go to all tasks as a bitmap of fixed size, so that only
-    such lines (and a few others) are taken apart and shuffled."""
+    ``line``, ``a``, ``b``).  Their hashes go to all tasks as a bitmap of fixed size, so that no text is
+    shuffled and only such lines (and a few others) are taken apart."""
     bitmap = _filter_of(wanted, bits)
     none = np.ones(1, "i8")
-    of = _rows(docs).join(wanted.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
-    rows = of.select("doc_id", "text_hash", "text", F.transform(
+    rows = _rows(docs).select("doc_id", "text_hash", "text", F.transform(
         F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1),
         lambda n: F.pmod(F.xxhash64("doc_id", "text_hash", n), F.lit(bits))).alias("slots"))
 
@@ -255,15 +281,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
     return found.join(wanted, ["doc_id", "text_hash", "line", "a", "b"]).select("a", "b", "tokens").dropDuplicates(["a", "b"])
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
+
+
+def _named(classes: DataFrame, ends: DataFrame) -> DataFrame:
+    """The classes ``ends`` (``a``) by the places of their first lines."""
+    return stored(classes.select("a", "b", "doc_id", "text_hash", "line").join(ends, "a", "left_semi"), "wanted")
+
+
+def verify(sets: DataFrame, named: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The later class of each of ``pairs`` that is as similar as ``similarity``: ``a``,
-    ``b`` and ``earlier``, the first line of the earliest of its matches here."""
-    pairs = stored(pairs, "candidates")
-    named = classes.select("a", "b", "doc_id", "text_hash", "line")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
-    wanted = stored(named.join(ends, "a", "left_semi"), "wanted")
-    sets = stored(_sets_of(docs, wanted).join(wanted, ["a", "b"]), "sets")
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in sets.columns])
+    ``b`` and ``earlier``, the first line of the earliest of its matches here.  The pairs'
+    classes are in ``sets`` (``a``, ``b``, ``tokens``) and ``named``."""
+    both = sets.join(named, ["a", "b"])
+    side = lambda s: both.select(*[F.col(c).alias(f"{s}_{c}") for c in both.columns])
     met = pairs.join(side("x"), F.col("x") == F.col("x_a")).join(side("y"), F.col("y") == F.col("y_a"))
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     either = F.size("x_tokens") + F.size("y_tokens") - shared
@@ -280,10 +312,13 @@ def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY,
     left, found = classes, []
     while True:
         pairs = stored(first_candidates(left, similarity, len(found)), "first")
-        now = verify(docs, classes, pairs, similarity)
+        met = _ends(pairs)
+        if not found:  # further rounds are among these classes, so their sets are read once
+            named = _named(classes, met)
+            sets = stored(_sets_of(docs, named), "sets")
+        now = verify(sets, named, pairs, similarity)
         found.append(now)
         # classes that met one like them, but no match yet: members of large groups, mostly
-        met = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
         left = stored(left.join(met, "a", "left_semi").join(now.select("a"), "a", "left_anti"), "left")
         if now.count() <= worth * left.count():
             break
@@ -291,7 +326,10 @@ def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY,
     done = stored(done, "done")
     marked = classes.select("doc_id", "a", "p", "q", "size", "prefix").join(done.select("a", F.lit(True).alias("gone")), "a", "left")
     marked = marked.withColumn("open", F.col("gone").isNull()).drop("gone")
-    rest = verify(docs, classes, all_candidates(marked, similarity), similarity)
+    pairs = stored(all_candidates(marked, similarity), "candidates")
+    more = _named(classes, _ends(pairs).join(named.select("a"), "a", "left_anti"))
+    sets = sets.unionByName(stored(_sets_of(docs, more), "sets"))
+    rest = verify(sets, named.unionByName(more), pairs, similarity)
     return done.unionByName(rest).groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingtrail.session import materialize, scratch_path  # noqa: F401
+from pingtrail.sources.stages import setting
 
 FOLDS = 5
 
@@ -69,12 +70,18 @@ def commit_file(uri: str, chunks) -> None:
     store.move(tmp, path)
 
 
+#: Spark removes the shuffle files of a query when it ends.
+_CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once,
-    and a lost executor costs no more than the rows that it was working on."""
+    and a lost executor costs no more than the rows that it was working on.  Its shuffle
+    files go when it is written, so steps that follow one another need not fit the disk together."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, _CLEAN_KEY, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

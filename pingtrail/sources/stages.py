@@ -13,7 +13,7 @@ _LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
+def setting(spark: SparkSession, name: str, value: str):
     """The session with another value of a setting, for what runs here."""
     before = spark.conf.get(name)
     spark.conf.set(name, value)
@@ -43,7 +43,7 @@ def load_stage(spark: SparkSession, path: str, schema: StructType | None = None)
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    with _setting(spark, _LISTERS, spark.conf.get("spark.sql.shuffle.partitions")):
+    with setting(spark, _LISTERS, spark.conf.get("spark.sql.shuffle.partitions")):
         return r.parquet(path)
 
 
@@ -55,6 +55,6 @@ def write_partitioned(df: DataFrame, path: str, key: str) -> str:
     work.  It would also put all keys of few bytes together in one task, but a folder
     costs the same however little it holds: so partitions are not coalesced, and the
     folders are dealt over all shuffle partitions."""
-    with _setting(df.sparkSession, _COALESCE, "false"):
+    with setting(df.sparkSession, _COALESCE, "false"):
         df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
     return path
