@@ -46,7 +46,7 @@ SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
 #: Bins of the classes with two prefix tokens in common, and how many neighbouring tokens are tried.
-BINS, NEIGHBOURS = 8, 3
+BINS, NEIGHBOURS = 8, 5
 #: Another round follows one that decided more than this share of the classes that met one like them and are still undecided.
 WORTH = 0.02
 #: Characters of text that a task takes apart at a time.
@@ -210,10 +210,13 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def first_candidates(classes: DataFrame, similarity: float, turn: int, bins: int = BINS) -> DataFrame:
-    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one of its bin (another
-    each ``turn``) with the same first, second or third two prefix tokens, if they pass the filters."""
-    keys = F.transform(F.sequence(F.lit(0), F.least(F.lit(NEIGHBOURS), F.greatest(F.size("prefix") - 1, F.lit(1))) - 1),
-                       lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(bins))))
+    """Pairs ``x`` < ``y`` of digests ``a``: each class and the first one of its bin with the same
+    two neighbours in the prefix, if they pass the filters.  Of a class's neighbours, those with the smallest hashes
+    are tried (others each ``turn``, like the bins): near copies choose the same ones, wherever they differ."""
+    two = F.transform(F.sequence(F.lit(0), F.greatest(F.size("prefix") - 2, F.lit(0))),
+                      lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.lit(turn)))
+    bin_ = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(bins))
+    keys = F.transform(F.slice(F.array_sort(two), 1, NEIGHBOURS), lambda h: F.xxhash64(h, bin_))
     own = classes.select("doc_id", "a", "p", "q", "size", F.explode(keys).alias("key"))
     w = Window.partitionBy("key").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
     first = own.select(F.struct("a", "p", "q", "size").alias("own"), F.first(F.struct("a", "p", "q", "size")).over(w).alias("first"))

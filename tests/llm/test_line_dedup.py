@@ -107,3 +107,33 @@ def test_a_group_of_near_copies_lists_few_pairs(spark, docs_of, monkeypatch, bin
     assert {(r.doc_id, r.line): r.removed for r in decisions} == brute(rows)
     if bins < 1000:
         assert sum(pairs) < 30 * 400  # of 79,800
+
+
+def test_sets_are_read_twice_whatever_the_rounds(spark, docs_of, monkeypatch):
+    """Near copies that differ in their rarest words: once for all rounds and once for the rest, and few pairs."""
+    reads, pairs = [], []
+    sets_of, verify = line_dedup._sets_of, line_dedup.verify
+    monkeypatch.setattr(line_dedup, "_sets_of", lambda *a: reads.append(1) or sets_of(*a))
+    monkeypatch.setattr(line_dedup, "verify", lambda s, n, p, t: pairs.append(p.count()) or verify(s, n, p, t))
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        line = [f"word{k}" for k in range(60)]
+        for n, k in enumerate(rng.sample(range(60), 3)):
+            line[k] = f"new{i}x{n}"
+        rows.append((i, " ".join(line)))
+    decisions = line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    assert {(r.doc_id, r.line): r.removed for r in decisions} == brute(rows)
+    assert len(reads) == 2 and len(pairs) > 2
+    assert sum(pairs) < 20 * 300  # of 44,850
+
+
+def test_hashes_of_words():
+    import pyarrow as pa
+
+    words = ["", "a", "b", "ab", "ba", "é", "a" * 70_000, "a" * 69_999]
+    hashes, size = line_dedup._hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words) and size.tolist() == [len(w.encode()) for w in words]
+    for k in range(len(words)):  # whatever stands beside a word
+        assert line_dedup._hashes(pa.array(words).slice(k, 1))[0][0] == hashes[k]
+    assert line_dedup._hashes(pa.array([], pa.string()))[0].tolist() == []
