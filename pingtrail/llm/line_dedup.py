@@ -23,8 +23,8 @@ What passes is verified on the whole sets.
 
 Whether a class goes depends on one earlier match only, so pairs are not listed.
 First, every class is held against the earliest class of its bin that has two
-neighbouring prefix tokens in common: a large group of near copies is decided by
-the first members of its bins, in a few pairs per line.  Rounds with other bins
+neighbouring prefix tokens in common (those neighbours with the smallest hashes): a
+large group of near copies is decided by the first members of its bins, in a few pairs per line.  Rounds with other bins
 follow for the classes that met one like them but none that matches, as long as
 they decide some.  Then the classes still undecided are held against all earlier ones that share a prefix token, so a class
 stays only after every candidate has failed.
@@ -45,7 +45,7 @@ from pingtrail.llm.shared import column_safe, stored, texts
 SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
 SLOTS, FILTER_BITS = 1 << 18, 1 << 26
-#: Bins of the classes with two prefix tokens in common, and how many neighbouring tokens are tried.
+#: Bins of the classes with two prefix tokens in common, and how many pairs of neighbours are tried.
 BINS, NEIGHBOURS = 8, 5
 #: Another round follows one that decided more than this share of the classes that met one like them and are still undecided.
 WORTH = 0.02
