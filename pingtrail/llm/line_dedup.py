@@ -19,6 +19,10 @@ lines share is right).  Matching sets of sizes m <= n must
 * so differ in at most (1 - t) / (1 + t) * (m + n) tokens, each of which flips
   one bit of a 128-bit parity map of the set: the maps differ in no more bits.
 
+They also share enough of their prefixes: tokens of the prefix that ends first, in the common order, are in the
+other prefix or not in the other set.  So with m <= n, at least ceil(t / (1 + t) * (m + n)) - ceil(t * n) + 1 tokens are
+in both prefixes.
+
 What passes is verified on the whole sets.
 
 Whether a class goes depends on one earlier match only, so pairs are not listed.
@@ -40,7 +44,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingtrail.llm.shared import column_safe, stored, texts
+from pingtrail.llm.shared import column_safe, release_unused, stored, texts
+from pingtrail.sources.stages import setting
 
 SIMILARITY = 0.8
 #: Slots of the token counts (bounds what goes to the driver and to each task), and bits of the candidate filter.
@@ -49,8 +54,10 @@ SLOTS, FILTER_BITS = 1 << 18, 1 << 26
 BINS, NEIGHBOURS = 8, 5
 #: Another round follows one that decided more than this share of the classes that met one like them and are still undecided.
 WORTH = 0.02
-#: Characters of text that a task takes apart at a time.
-STEP = 4_000_000
+#: Characters of text that a task takes apart at a time, rows of the index that it holds and pairs of them that it compares at a time.
+STEP, ROWS, PAIRS = 4_000_000, 100_000, 1 << 18
+#: Slots whose counts are one row.
+PART = 4096
 NULL_ID = -(2 ** 63)
 _EPS = 1e-9
 
@@ -65,7 +72,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _portions(batches):
-    """Batches cut to about ``STEP`` characters."""
+    """Batches cut to about ``STEP`` characters.  Memory that this worker's earlier tasks left unused goes back first."""
+    release_unused()
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
         at = 0
@@ -123,19 +131,31 @@ def _tokens(lines: pa.Array):
 
 def token_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """How often the tokens of each slot occur: at most ``slots`` numbers."""
+    def rows(counts):
+        parts = [k for k in sorted(counts) if counts[k].any()]
+        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "n": pa.array([counts[k].tobytes() for k in parts], pa.binary())})
+
     def run(batches):
-        counts = np.zeros(slots, "i8")
+        counts = np.zeros(-(-slots // PART) * PART, "i8")
         for batch in _portions(batches):
-            _, codes, hashes = _tokens(_lines(batch.column("text"))[2])
+            _, codes, hashes = _tokens(batch.column("text"))  # a line ends in white space, so words are those of its lines
             own = np.bincount(codes, minlength=len(hashes))
             np.add.at(counts, (hashes % np.uint64(slots)).astype("i8"), own)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "n": pa.array(counts[at])})
+        yield rows(dict(enumerate(counts.reshape(-1, PART))))
 
-    found = _rows(docs).select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(slots, "i8")
-    out[found["slot"].to_numpy("i8")] = found["n"].to_numpy("i8")
-    return out
+    def add(batches):
+        counts = {}
+        for batch in batches:
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+                counts[part] = counts.get(part, 0) + np.frombuffer(n, "i8")
+        yield rows(counts)
+
+    kinds = "part int, n binary"
+    found = _rows(docs).select("text").mapInArrow(run, kinds).repartition("part").mapInArrow(add, kinds).collect()
+    out = np.zeros(-(-slots // PART) * PART, "i8")
+    for r in found:
+        out[r["part"] * PART:][:PART] = np.frombuffer(r["n"], "i8")
+    return out[:slots]
 
 
 def _sets(lines: pa.Array, counts: np.ndarray):
@@ -216,60 +236,128 @@ def first_candidates(classes: DataFrame, similarity: float, turn: int, bins: int
     two = F.transform(F.sequence(F.lit(0), F.greatest(F.size("prefix") - 2, F.lit(0))),
                       lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1), F.lit(turn)))
     bin_ = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(bins))
-    keys = F.transform(F.slice(F.array_sort(two), 1, NEIGHBOURS), lambda h: F.xxhash64(h, bin_))
+    keys = F.transform(F.slice(F.sort_array(two), 1, NEIGHBOURS), lambda h: F.xxhash64(h, bin_))
     own = classes.select("doc_id", "a", "p", "q", "size", F.explode(keys).alias("key"))
     w = Window.partitionBy("key").orderBy("doc_id", "a").rowsBetween(Window.unboundedPreceding, 0)
     first = own.select(F.struct("a", "p", "q", "size").alias("own"), F.first(F.struct("a", "p", "q", "size")).over(w).alias("first"))
     return first.where(_fits("own", "first", similarity)).select(*_pair("own", "first")).distinct()
 
 
+def _spans(begin: np.ndarray, end: np.ndarray, most: int):
+    """(row, place) of all places from ``begin`` to ``end`` of each row, ``most`` at a time."""
+    ends = np.cumsum(np.maximum(end - begin, 0))
+    starts = np.concatenate([[0], ends[:-1]])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, most):
+        to = min(at + most, ends[-1])
+        rows = slice(np.searchsorted(ends, at, "right"), np.searchsorted(ends, to - 1, "right") + 1)
+        first = np.maximum(starts[rows], at)
+        count = np.minimum(ends[rows], to) - first
+        row = np.repeat(np.arange(rows.start, rows.stop), np.maximum(count, 0))
+        yield row, np.arange(at, to) + (begin - starts)[row]
+
+
+def _packed(*names: str) -> Column:
+    """Numbers as the bytes of one column: each column of a row costs time on its way to Python."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names]))
+
+
+def _numbers(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The four numbers of each of :func:`_packed`."""
+    flat = b"".join(packed.to_pylist())
+    return [n.astype("i8") for n in np.frombuffer(flat, ">i8").reshape(-1, 4).T]
+
+
+def _meetings(similarity: float):
+    """From rows (``key``, ``at``, ``own``) sorted by token and size, their ``key``, to the pairs of a token that pass the filters:
+    ``x`` < ``y`` and ``need``, the number of tokens that their prefixes must share."""
+    each = (1 - similarity) / (1 + similarity)
+
+    def together(batches):
+        kept, n = [], 0
+        for batch in batches:
+            kept.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield pa.Table.from_batches(kept)
+                kept, n = [], 0
+        if n:
+            yield pa.Table.from_batches(kept)
+
+    def run(batches):
+        held = None  # rows of the last token that further ones may meet
+        for table in together(batches):
+            new = [table.column("key").to_numpy(), table.column("at").to_numpy(), *_numbers(table.column("own"))]
+            key, at, doc, a, p, q = new = new if held is None else [np.concatenate(both) for both in zip(held, new)]
+            p, q = p.view("u8"), q.view("u8")
+            size, pos, open_ = key & 0xFFFFFFFF, at >> 1, (at & 1).astype(bool)
+            low = np.searchsorted(key, key - size + np.ceil(similarity * size - _EPS).astype("i8"))
+            last = np.flatnonzero(open_)
+            own = np.arange(len(at) - table.num_rows, len(at))
+            most = np.minimum(np.floor(2 * each * size + _EPS), 255).astype("u1")
+            for side in (open_, ~open_):  # an open class meets all, another one those that are open
+                i = own[side[own]]
+                begin, end = (low[i], i) if side is open_ else (np.searchsorted(last, low[i]), np.searchsorted(last, i))
+                for row, j in _spans(begin, end, PAIRS):
+                    k = i[row]
+                    if side is not open_:
+                        j = last[j]
+                    apart = np.bitwise_count(p[k] ^ p[j]) + np.bitwise_count(q[k] ^ q[j])
+                    hit = np.flatnonzero(apart <= most[k])
+                    k, j, apart = k[hit], j[hit], apart[hit]
+                    n, m = size[k], size[j]
+                    later = np.where(doc[j] < doc[k], open_[k], np.where(doc[k] < doc[j], open_[j], open_[k] | open_[j]))
+                    shared = np.ceil(similarity / (1 + similarity) * (m + n) - _EPS).astype("i8")
+                    good = later & (a[k] != a[j]) & (apart <= each * (m + n) + _EPS)
+                    good &= np.minimum(n - pos[k], m - pos[j]) + np.minimum(pos[k], pos[j]) >= shared
+                    need = shared - np.ceil(similarity * n - _EPS).astype("i8") + 1
+                    x, y = np.minimum(a[k], a[j])[good], np.maximum(a[k], a[j])[good]
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "need": pa.array(need[good].astype("i4"))})
+            held = [c[low[-1]:].copy() for c in new]
+
+    return run
+
+
 def all_candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``x`` < ``y`` of classes, the later of them ``open``, which share a prefix token, if they pass the filters.
-
-    Each condition names both sides in the same way, so that the index is shuffled once and read by both."""
-    index = classes.select("open", "doc_id", "a", "p", "q", "size", F.posexplode("prefix").alias("pos", "token"))
-    # size, place of the token and whether the class is open in one number
-    at = F.col("size").cast("long") * (1 << 31) + F.col("pos") * 2 + F.col("open").cast("int")
-    index = index.select("token", "doc_id", "a", "p", "q", at.alias("at"))
-    size = lambda s: F.shiftright(F.col(f"{s}.at"), 31)
-    rest = lambda s: size(s) - F.shiftright(F.col(f"{s}.at").bitwiseAND(F.lit((1 << 31) - 1)), 1)
-    is_open = lambda s: F.col(f"{s}.at") % 2 == 1
-    before = lambda s, t: F.col(f"{s}.doc_id") < F.col(f"{t}.doc_id")
-    later_open = F.when(before("l", "r"), is_open("r")).when(before("r", "l"), is_open("l")).otherwise(is_open("l") | is_open("r"))
-    shared = F.lit(similarity / (1 + similarity)) * (size("l") + size("r")) - F.lit(_EPS)
-    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in "pq")
-    differ = F.lit((1 - similarity) / (1 + similarity)) * (size("l") + size("r")) + F.lit(_EPS)
-    met = index.alias("l").join(index.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.a") < F.col("r.a"))
-                                & (apart <= differ) & later_open
-                                & (size("l") >= similarity * size("r") - _EPS) & (size("r") >= similarity * size("l") - _EPS)
-                                & (F.least(rest("l"), rest("r")) + F.least(size("l") - rest("l"), size("r") - rest("r")) >= shared))
-    return met.select(F.col("l.a").alias("x"), F.col("r.a").alias("y")).distinct()
+    """Pairs ``x`` < ``y`` of classes, the later of them ``open``, which share enough prefix tokens, if they pass the filters.
+
+    The classes with one token come sorted by size, so each is held against those only that are not too small."""
+    index = classes.select("open", _packed("doc_id", "a", "p", "q").alias("own"), "size", F.posexplode("prefix").alias("pos", "token"))
+    # one number to sort by: token and size, and one of the token's place and whether the class is open
+    key = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
+    at = F.col("pos") * 2 + F.col("open").cast("int")
+    index = index.select(key.alias("key"), at.alias("at"), "own")
+    index = index.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+    met = index.mapInArrow(_meetings(similarity), "x long, y long, need int")
+    return met.groupBy("x", "y", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("x", "y")
 
 
 def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size of the hashes of (``doc_id``, ``text_hash``, ``line``)."""
-    slot = F.pmod(F.xxhash64("doc_id", "text_hash", "line"), F.lit(bits))
-    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, text_hash, line), {bits}) % 64 as int))").alias("m"))
+    """A bitmap of fixed size of the slots (as of :func:`_slots`) of (``doc_id``, ``text_hash``, ``line``)."""
+    mixed = F.col("text_hash").bitwiseXOR(F.shiftleft("doc_id", 7)).bitwiseXOR(F.col("line").cast("long"))
+    slot = keys.select(F.pmod(mixed, F.lit(bits)).alias("slot"))
+    words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("m"))
     got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     out = np.zeros(bits // 64, "i8")
     out[got["w"].to_numpy("i8")] = got["m"].to_numpy("i8")
     return out
 
 
+def _slots(doc_id: np.ndarray, text_hash: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return (text_hash ^ (doc_id << 7) ^ line) % bits
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``a``, ``b``, ``tokens`` of the lines ``wanted`` (``doc_id``, ``text_hash``,
     ``line``, ``a``, ``b``).  Their hashes go to all tasks as a bitmap of fixed size, so that no text is
     shuffled and only such lines (and a few others) are taken apart."""
     bitmap = _filter_of(wanted, bits)
     none = np.ones(1, "i8")
-    rows = _rows(docs).select("doc_id", "text_hash", "text", F.transform(
-        F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1),
-        lambda n: F.pmod(F.xxhash64("doc_id", "text_hash", n), F.lit(bits))).alias("slots"))
+    rows = _rows(docs).select("doc_id", "text_hash", "text")
 
     def run(batches):
         for batch in _portions(batches):
             row, number, lines = _lines(batch.column("text"))
-            slots = batch.column("slots").flatten().to_numpy()
+            slots = _slots(*(batch.column(c).to_numpy()[row] for c in ("doc_id", "text_hash")), number, bits)
             hit = np.flatnonzero((bitmap[slots >> 6] >> (slots & 63)) & 1)
             if not len(hit):
                 continue
@@ -329,7 +417,8 @@ def matches(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY,
     done = stored(done, "done")
     marked = classes.select("doc_id", "a", "p", "q", "size", "prefix").join(done.select("a", F.lit(True).alias("gone")), "a", "left")
     marked = marked.withColumn("open", F.col("gone").isNull()).drop("gone")
-    pairs = stored(all_candidates(marked, similarity), "candidates")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "20000"):  # rows of the index are short
+        pairs = stored(all_candidates(marked, similarity), "candidates")
     more = _named(classes, _ends(pairs).join(named.select("a"), "a", "left_anti"))
     sets = sets.unionByName(stored(_sets_of(docs, more), "sets"))
     rest = verify(sets, named.unionByName(more), pairs, similarity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 
@@ -43,6 +44,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def release_unused() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system:
+    a Python worker lives on after a task, and what it keeps adds to that of the next steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or plain path, None for another store."""
     if uri.startswith("file:"):

@@ -137,3 +137,47 @@ def test_hashes_of_words():
     for k in range(len(words)):  # whatever stands beside a word
         assert line_dedup._hashes(pa.array(words).slice(k, 1))[0][0] == hashes[k]
     assert line_dedup._hashes(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_long_lines_that_share_few_rare_tokens_are_no_candidates(spark, docs_of, monkeypatch):
+    """Parity maps of 128 bits tell nothing of such lines: the number of prefix tokens in common does."""
+    pairs = []
+    verify = line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda s, n, p, t: pairs.append(p.count()) or verify(s, n, p, t))
+    rng = random.Random(3)
+    pool = [f"word{k}" for k in range(4000)]
+    lines = [rng.sample(pool, 400) for _ in range(60)]
+    lines += [[*lines[k][:380], *[f"new{k}x{n}" for n in range(20)]] for k in range(5)]
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    decisions = line_dedup.decide(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    gone = {(r.doc_id, r.line): r.removed for r in decisions}
+    assert gone == brute(rows) and sum(gone.values()) == 5
+    assert pairs[-1] < 60  # of 2,080
+
+
+@pytest.mark.parametrize("rows, most", [(1, 2), (7, 1 << 18), (1000, 3)])
+def test_pairs_of_a_token_whatever_the_steps(monkeypatch, rows, most):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "ROWS", rows)
+    monkeypatch.setattr(line_dedup, "PAIRS", most)
+    rng = random.Random(rows)
+    index = sorted(((rng.choice([-5, 0, 9]) << 32 | rng.randint(4, 20), rng.randint(0, 4) * 2 + rng.randint(0, 1), rng.randint(-9, 9), rng.randint(-99, 99),
+                     rng.choice([0, -1, -2, 3]), rng.choice([0, -(2 ** 63), 1])) for _ in range(150)), key=lambda r: r[0])
+    expected = []
+    for i, (key, at, doc, a, p, q) in enumerate(index):
+        for key2, at2, doc2, a2, p2, q2 in index[:i]:
+            n, m, e = key & 0xFFFFFFFF, key2 & 0xFFFFFFFF, 1e-9
+            apart = ((p ^ p2) & (2 ** 64 - 1)).bit_count() + ((q ^ q2) & (2 ** 64 - 1)).bit_count()
+            later = at & 1 if doc2 < doc else at2 & 1 if doc < doc2 else (at | at2) & 1
+            shared = int(np.ceil(4 / 9 * (m + n) - e))
+            bound = min(n - (at >> 1), m - (at2 >> 1)) + min(at >> 1, at2 >> 1)
+            if key >> 32 == key2 >> 32 and m >= 0.8 * n - e and apart <= (m + n) / 9 + e and later and a != a2 and bound >= shared:
+                expected.append((min(a, a2), max(a, a2), shared - int(np.ceil(0.8 * n - e)) + 1))
+    batches = [pa.RecordBatch.from_pydict({
+        "key": pa.array([r[0] for r in part], pa.int64()), "at": pa.array([r[1] for r in part], pa.int32()),
+        "own": pa.array([b"".join(x.to_bytes(8, "big", signed=True) for x in r[2:]) for r in part], pa.binary())})
+        for part in (index[k:k + 4] for k in range(0, len(index), 4))]
+    got = [tuple(r.values()) for b in line_dedup._meetings(0.8)(batches) for r in b.to_pylist()]
+    assert sorted(got) == sorted(expected) and len(got) > 20
